@@ -231,6 +231,12 @@ def quarantined(normalized: DataFrame) -> DataFrame:
     return normalized.filter("parse_reasons != '' or store_reasons != ''").withColumn("reason", reject_reasons())
 
 
-def golden(prefix: str = "") -> Column:
-    """The part of a canonical event a parser answers for, as one comparable struct."""
-    return F.struct(*[F.col(f"{prefix}{name}").alias(name) for name in GOLDEN_FIELDS])
+def golden() -> Column:
+    """The part of a canonical event a parser answers for, as one comparable struct.
+
+    Token counts compare as plain JSON numbers, before the table's integer type.
+    """
+    as_number = {"input_tokens", "output_tokens"}
+    return F.struct(
+        *[(F.col(n).cast("double") if n in as_number else F.col(n)).alias(n) for n in GOLDEN_FIELDS]
+    )

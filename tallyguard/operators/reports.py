@@ -81,7 +81,8 @@ def weekly_grid(weekly_rows: DataFrame, providers: tuple[str, ...] = PROVIDERS)
     """
     grid = weekly_rows.groupBy("week").pivot("provider", list(providers)).agg(F.sum("cost_usd")).fillna(0.0)
     totals = weekly_rows.agg(
-        F.sum("cost_usd").alias("total_usd"), F.greatest(F.max("cost_usd"), F.lit(0.0001)).alias("max_cell")
+        F.sum(F.col("cost_usd").cast("decimal(38,18)")).cast("double").alias("total_usd"),
+        F.greatest(F.max("cost_usd"), F.lit(0.0001)).alias("max_cell"),
     )
     # The totals are a single row.
     return grid.crossJoin(F.broadcast(totals))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..session import cut, small_enough
+
+# Distinct shape keys that may be broadcast; above it paths are read row by row.
+MAX_BROADCAST_SHAPES = 100_000
 
 
 def with_paths(df: DataFrame) -> DataFrame:
@@ -15,6 +19,14 @@ def with_paths(df: DataFrame) -> DataFrame:
     )
 
 
+def attach_paths(df: DataFrame) -> DataFrame:
+    """Add path list and fingerprint to a large table that has a shape_key column."""
+    keys = cut(with_paths(df.select("shape_key").distinct()), "shapes")
+    if small_enough(keys, MAX_BROADCAST_SHAPES):
+        return df.join(F.broadcast(keys), "shape_key", "left")
+    return with_paths(df)
+
+
 def payload_paths(df: DataFrame, payload: str) -> DataFrame:
     """Per row, the payload's sorted path set and fingerprint, read row by row."""
     return (

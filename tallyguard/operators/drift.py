@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..session import cut
+from ..session import cut, lookup
 from .prefix import BUCKET_BITS, ranked, running_totals
 from .registry import COST_FIELD, FIELD_COLUMNS, Registry
 from .shapes import with_paths
 
+# Providers are limited to the registry's; their path lists are looked up by broadcast.
+MAX_BROADCAST_PROVIDERS = 1_000
+
 STRUCTURAL, SILENT_NULL = "STRUCTURAL", "SILENT_NULL"
 
 ALERT_SCHEMA = """id bigint, seq bigint, provider string, type string, severity string, field string, message string,
@@ -44,36 +47,43 @@ def structural_alerts(accepted: DataFrame, corpus: DataFrame) -> DataFrame:
     payload raises nothing.  Arrivals and stored payloads are reduced to one row per
     shape key before anything is compared.
     """
-    stored = corpus.groupBy("provider", "shape_key").agg(F.min("seq").alias("stored_seq"))
+    stored = cut(
+        with_paths(corpus.groupBy("provider", "shape_key").agg(F.min("seq").alias("stored_seq"))), "stored_shapes"
+    )
     # One row per provider, and providers are limited to the registry's.
-    opening = corpus.groupBy("provider").agg(F.min("seq").alias("opened_seq"))
+    opening = stored.groupBy("provider").agg(F.min("stored_seq").alias("opened_seq"))
     later = (
         accepted.join(F.broadcast(opening), "provider")
         .filter("seq > opened_seq")
         .groupBy("provider", "shape_key")
         .agg(F.min("seq").alias("seq"))
     )
-    stored_shapes = with_paths(stored).groupBy("provider", "fingerprint").agg(F.min("stored_seq").alias("stored_seq"))
     seen_shapes = (
         with_paths(later)
         .groupBy("provider", "fingerprint")
         .agg(F.min("seq").alias("seq"), F.first("paths").alias("paths"))
     )
-    # From here on the tables hold one row per distinct shape.  Stored shapes and the
-    # arrivals to judge share one order; each arrival collects what was stored before it.
-    stored_rows = stored_shapes.select(
-        "provider", F.col("stored_seq").alias("at"), F.split("fingerprint", "\n").alias("stored_paths")
-    )
-    judged = seen_shapes.join(stored_shapes, ["provider", "fingerprint"], "left").join(F.broadcast(opening), "provider")
-    new = judged.filter("stored_seq is null or stored_seq > opened_seq").withColumn("at", F.col("seq"))
-    earlier = Window.partitionBy("provider").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    stored_shapes = stored.groupBy("provider", "fingerprint").agg(F.min("stored_seq").alias("stored_seq"))
     new = (
-        stored_rows.unionByName(new.drop("stored_seq", "opened_seq"), allowMissingColumns=True)
-        .withColumn("known", F.array_distinct(F.flatten(F.collect_list("stored_paths").over(earlier))))
-        .filter("seq is not null")
+        seen_shapes.join(stored_shapes, ["provider", "fingerprint"], "left")
+        .join(F.broadcast(opening), "provider")
+        .filter("stored_seq is null or stored_seq > opened_seq")
+    )
+    # Per provider, each path with the position of the first stored payload that has it.
+    since = (
+        stored.select("provider", F.explode(F.split("fingerprint", "\n")).alias("path"), "stored_seq")
+        .groupBy("provider", "path")
+        .agg(F.min("stored_seq").alias("since"))
+    )
+    known = cut(
+        since.groupBy("provider").agg(F.collect_list(F.struct("path", "since")).alias("_history")), "known_paths"
+    )
+    compared = lookup(new, known, "provider", "fingerprint", MAX_BROADCAST_PROVIDERS).withColumn(
+        "known",
+        F.transform(F.filter("_history", lambda p: p["since"] < F.col("seq")), lambda p: p["path"]),
     )
     return (
-        new.withColumn("added", F.expr(paths.added_paths("paths", "known")))
+        compared.withColumn("added", F.expr(paths.added_paths("paths", "known")))
         .withColumn("removed", F.expr(paths.removed_paths("paths", "known")))
         .select(
             "seq",
@@ -119,16 +129,19 @@ def field_stats(
     """
     fields = fields or FIELD_COLUMNS
     counts = {name: F.count(column) for name, column in fields.items()}
+    # Both sides read the same columns, so the shuffle below them is done once.
+    newest = F.max(order[0]).alias("newest")
 
     def stats(df: DataFrame, prefix: str) -> DataFrame:
         return df.groupBy(group).agg(
             F.count("*").alias(f"{prefix}_seen"),
+            newest,
             *[c.alias(f"{prefix}_{i}") for i, c in enumerate(counts.values())],
         )
 
     latest = Window.partitionBy(group).orderBy(*[F.col(o).desc() for o in order])
     recent = events.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= recent_window)
-    both = stats(events, "total").join(F.broadcast(stats(recent, "recent")), group)
+    both = stats(events, "total").join(stats(recent, "recent"), [group, "newest"])
     return _unpivot_fields(
         both,
         [group],
@@ -201,7 +214,7 @@ def silent_null_first_fire(events: DataFrame, registry: Registry, limits: Thresh
     * it adds to ``rec`` at that point if it is then still recent, and is taken out of
       ``rec`` when enough later events have pushed it out of the window.
 
-    ``events`` is a :func:`fold_events` result.
+    ``events`` is a :func:`fold_presence` result.
     """
     _check_expects(registry)
     window = limits.recent_window
@@ -304,14 +317,11 @@ def new_alerts(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def number_alerts(alerts: DataFrame, start: int = 0) -> DataFrame:
-    """Give alerts their ids in the order they were raised.
-
-    One window over all alerts: there is one alert per shape and per field, never one
-    per event.
-    """
+    """Give alerts their ids in the order they were raised."""
     field_order = F.array_position(F.array(*[F.lit(n) for n in FIELD_COLUMNS]), F.col("field"))
-    order = Window.orderBy("seq", F.col("type").desc(), field_order, "fingerprint")
-    return alerts.withColumn("id", (F.row_number().over(order) + start).cast("bigint"))
+    tiebreak = (F.col("type").desc(), field_order, F.col("fingerprint"))
+    one_group = alerts.withColumn("_all", F.lit(0))
+    return ranked(one_group, "_all", "seq", "id", tiebreak).drop("_all").withColumn("id", F.col("id") + start)
 
 
 def alerts_table(structural: DataFrame, silent: DataFrame, received: DataFrame) -> DataFrame:
@@ -329,7 +339,7 @@ def alerts_table(structural: DataFrame, silent: DataFrame, received: DataFrame)
     both = cut(both, "alerts")
     # The alerts are few and written out; the arrivals are only looked up by position.
     stamped = received.select("seq", F.col("received_at").alias("created_at")).join(both, "seq", "right")
-    return number_alerts(stamped)
+    return number_alerts(cut(stamped, "stamped_alerts"))
 
 
 def latest_first(alerts: DataFrame) -> DataFrame:

@@ -68,6 +68,23 @@ def fold_events(accepted: DataFrame) -> DataFrame:
     )
 
 
+def fold_presence(accepted: DataFrame) -> DataFrame:
+    """One row per event with, in place of each measured field, 1 if it is populated.
+
+    Enough for population reports, and made of fixed-width values only, so it is a
+    hash aggregation where the full fold sorts.
+    """
+    def kept(column: str) -> Column:
+        return F.when(F.col(column).isNotNull(), F.lit(1))
+
+    return accepted.groupBy("dedup_key", "provider").agg(
+        F.min("seq").alias("first_seq"),
+        *[F.min_by(kept(c), "seq").alias(c) for c in ("model", "raw_user_id")],
+        *[F.max(kept(c)).alias(c) for c in VALUES],
+        *[F.min(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{c}_seq") for c in VALUES],
+    )
+
+
 def _segmented(accepted: DataFrame) -> DataFrame:
     """Arrivals with, per value, the last present value before them in their segment.
 
@@ -98,8 +115,9 @@ def _summaries(segmented: DataFrame) -> DataFrame:
     def head(c: str) -> Column:
         return F.min_by(c, F.when(F.col(f"_head_{c}"), F.col("seq")))
 
-    return segmented.groupBy("dedup_key", "provider", "segment").agg(
-        *[_first(c).alias(c) for c in IDENTITY],
+    # The key fixes the provider.  Grouping by the window's own columns reuses its order.
+    return segmented.groupBy("dedup_key", "segment").agg(
+        *[_first(c).alias(c) for c in ("provider", *IDENTITY)],
         _first("received_at").alias("ingested_at"),
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
@@ -138,8 +156,8 @@ def _carried(summaries: DataFrame) -> DataFrame:
 
 
 def _close(carried: DataFrame) -> DataFrame:
-    events = carried.groupBy("dedup_key", "provider").agg(
-        *[_first(c, "segment").alias(c) for c in (*IDENTITY, "ingested_at")],
+    events = carried.groupBy("dedup_key").agg(
+        *[_first(c, "segment").alias(c) for c in ("provider", *IDENTITY, "ingested_at")],
         F.min("first_seq").alias("first_seq"),
         F.max("last_seq").alias("last_seq"),
         *[_last_present(c, "segment").alias(c) for c in VALUES],

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..session import small_enough
-from .drift import SILENT_NULL, STRUCTURAL, field_stats
+from ..session import cut, lookup
+from .drift import MAX_BROADCAST_PROVIDERS, SILENT_NULL, STRUCTURAL, field_stats
 from .normalize import normalize, with_event_id
 from .registry import COST_FIELD, FIELD_COLUMNS, Registry
 from .reports import last_flags, missing_cost
@@ -21,11 +21,6 @@ from .shapes import dominant_shape, known_shapes, with_paths
 RATE_THRESHOLD = 0.9
 RECENT_LIMIT = 1 - RATE_THRESHOLD + 0.0001
 
-# Alerts that may be broadcast with the provider facts; above it they are joined
-# with the events spread over salts.
-MAX_BROADCAST_ALERTS = 100_000
-SALTS = 64
-
 # Status names, and the texts and stages of the report.
 HEALTHY, DRIFT, SILENT, REPLAY_FAILED = "Healthy", "Drift", "Silent Null", "Replay Failed"
 NONE_MARK = "—"
@@ -176,12 +171,7 @@ def with_related_alerts(described: DataFrame, alerts: DataFrame) -> DataFrame:
     index = by_kind.groupBy("provider").agg(
         F.map_from_entries(F.collect_list(F.struct("kind", "ids"))).alias("_alerts")
     )
-    if small_enough(alerts, MAX_BROADCAST_ALERTS):
-        joined = described.join(F.broadcast(index), "provider", "left")
-    else:
-        salted = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = described.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int"))
-        joined = keyed.join(salted, ["provider", "_salt"], "left").drop("_salt")
+    joined = lookup(described, cut(index, "alert_index"), "provider", "event_id", MAX_BROADCAST_PROVIDERS)
 
     def ids(key: Column) -> Column:
         return F.coalesce(F.try_element_at("_alerts", key), F.array().cast("array<bigint>"))

@@ -8,7 +8,7 @@ and each row adds what came before its bucket to the running total inside it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, small_enough
@@ -46,12 +46,22 @@ def totals_before(buckets: DataFrame, group: str, measures: list[str], max_rows:
     )
 
 
-def ranked(df: DataFrame, group: str, seq: str, name: str = "rank", max_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
-    """Add the 1-based position of each row within its group, ordered by ``seq``."""
+def ranked(
+    df: DataFrame,
+    group: str,
+    seq: str,
+    name: str = "rank",
+    tiebreak: tuple[Column, ...] = (),
+    max_rows: int = MAX_WINDOW_ROWS,
+) -> DataFrame:
+    """Add the 1-based position of each row within its group, ordered by ``seq``.
+
+    ``df`` is read twice, so it should be cheap to re-read.
+    """
     bucketed = with_bucket(df, seq)
     sizes = cut(bucketed.groupBy(group, "_bucket").agg(F.count("*").alias("n")), "bucket_sizes")
     before = totals_before(sizes, group, ["n"], max_rows)
-    inside = Window.partitionBy(group, "_bucket").orderBy(seq)
+    inside = Window.partitionBy(group, "_bucket").orderBy(seq, *tiebreak)
     return (
         bucketed.withColumn("_in_bucket", F.row_number().over(inside))
         .join(before, [group, "_bucket"])

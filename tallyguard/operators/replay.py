@@ -108,6 +108,19 @@ def provider_replay(matrix: DataFrame) -> DataFrame:
     return sums.withColumn("status", F.when(F.col("regressions") > 0, "failed").otherwise("passed"))
 
 
+def replay_summary(matrix: DataFrame) -> DataFrame:
+    """The run as a whole: cells, outcomes, and how many payloads are stored."""
+    outcomes = ["ok", "drift", "throw"]
+    per_provider = matrix.groupBy("provider").agg(
+        F.count("*").alias("cells"), F.max("total").alias("stored"), *[F.sum(o).alias(o) for o in outcomes]
+    )
+    return per_provider.agg(
+        F.sum("cells").cast("bigint").alias("cells"),
+        *[F.sum(o).cast("bigint").alias(o) for o in outcomes],
+        F.sum("stored").cast("bigint").alias("corpus_size"),
+    )
+
+
 def replay_grid(matrix: DataFrame, versions: list[int]) -> DataFrame:
     """Providers by versions, each cell as its status."""
     grid = matrix.groupBy("provider").pivot("version", versions).agg(F.first("status"))

@@ -79,13 +79,11 @@ def weekly_grid(weekly_rows: DataFrame, providers: tuple[str, ...] = PROVIDERS)
 
     Runs over the weekly report, whose size is weeks times providers.
     """
+    amount = F.col("cost_usd").cast("decimal(38,18)")
+    total = weekly_rows.agg(F.sum(amount).cast("double")).scalar()
+    largest = weekly_rows.agg(F.greatest(F.max("cost_usd"), F.lit(0.0001))).scalar()
     grid = weekly_rows.groupBy("week").pivot("provider", list(providers)).agg(F.sum("cost_usd")).fillna(0.0)
-    totals = weekly_rows.agg(
-        F.sum(F.col("cost_usd").cast("decimal(38,18)")).cast("double").alias("total_usd"),
-        F.greatest(F.max("cost_usd"), F.lit(0.0001)).alias("max_cell"),
-    )
-    # The totals are a single row.
-    return grid.crossJoin(F.broadcast(totals))
+    return grid.withColumns({"total_usd": total, "max_cell": largest})
 
 
 def last_flags(

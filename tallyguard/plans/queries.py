@@ -91,10 +91,9 @@ def events(spark, sf_dir):
 def merged_events(spark, sf_dir):
     """The event table folded in two batches: the later half merged into the earlier."""
     t = Tables.from_source(spark, sf_dir)
-    middle = t.arrivals.agg(F.avg("seq").alias("middle"))
-    split = t.accepted.crossJoin(F.broadcast(middle))  # one row
-    first = fold.events_table(split.filter("seq <= middle").drop("middle"))
-    return _event_columns(fold.merge_events(cut(first, "first_half"), split.filter("seq > middle").drop("middle")))
+    middle = t.arrivals.agg(F.avg("seq")).scalar()
+    first = cut(fold.events_table(t.accepted.filter(F.col("seq") <= middle)), "first_half")
+    return _event_columns(fold.merge_events(first, t.accepted.filter(F.col("seq") > middle)))
 
 
 @query
@@ -314,12 +313,12 @@ def structural_alerts(spark, sf_dir):
 
 @query
 def field_stats(spark, sf_dir):
-    return drift.field_stats(Tables.from_source(spark, sf_dir).folded)
+    return drift.field_stats(Tables.from_source(spark, sf_dir).presence)
 
 
 @query
 def silent_null_alerts(spark, sf_dir):
-    return drift.silent_nulls(drift.field_stats(Tables.from_source(spark, sf_dir).folded)).select(
+    return drift.silent_nulls(drift.field_stats(Tables.from_source(spark, sf_dir).presence)).select(
         "provider", "field", "severity", "message", "overall_rate", "recent_rate", "overall_seen", "recent_seen"
     )
 
@@ -327,7 +326,7 @@ def silent_null_alerts(spark, sf_dir):
 @query
 def silent_null_first_fire(spark, sf_dir):
     t = Tables.from_source(spark, sf_dir)
-    return drift.silent_null_first_fire(t.folded, t.registry).select(
+    return drift.silent_null_first_fire(t.presence, t.registry).select(
         "provider", "field", "seq", "severity", "message",
         "overall_seen", "overall_populated", "recent_seen", "recent_populated",
     )
@@ -378,13 +377,7 @@ def replay_matrix(spark, sf_dir):
 def replay_summary(spark, sf_dir):
     """The replay run as a whole: cells, stored payloads, outcomes."""
     cells = _matrix(spark, sf_dir, with_v2())
-    sizes = cells.groupBy("provider").agg(F.max("total").alias("n"))
-    return cells.agg(
-        F.count("*").alias("cells"),
-        F.sum("ok").cast("bigint").alias("ok"),
-        F.sum("drift").cast("bigint").alias("drift"),
-        F.sum("throw").cast("bigint").alias("throw"),
-    ).crossJoin(F.broadcast(sizes.agg(F.sum("n").cast("bigint").alias("corpus_size"))))  # one row each
+    return replay.replay_summary(cells)
 
 
 @query
@@ -447,12 +440,12 @@ def weekly_cost(spark, sf_dir):
 
 @query
 def missing_cost(spark, sf_dir):
-    return reports.missing_cost(Tables.from_source(spark, sf_dir).folded)
+    return reports.missing_cost(Tables.from_source(spark, sf_dir).presence)
 
 
 @query
 def cost_integrity(spark, sf_dir):
-    return reports.cost_integrity(Tables.from_source(spark, sf_dir).folded)
+    return reports.cost_integrity(Tables.from_source(spark, sf_dir).presence)
 
 
 @query
@@ -465,13 +458,13 @@ def weekly_grid(spark, sf_dir):
 
 @query
 def field_vitals(spark, sf_dir):
-    vitals = reports.field_vitals(Tables.from_source(spark, sf_dir).folded)
+    vitals = reports.field_vitals(Tables.from_source(spark, sf_dir).presence)
     return vitals.select("provider", "field", _list("series", "").alias("series"), "rate", "state")
 
 
 @query
 def dark_providers(spark, sf_dir):
-    return reports.dark_providers(reports.field_vitals(Tables.from_source(spark, sf_dir).folded))
+    return reports.dark_providers(reports.field_vitals(Tables.from_source(spark, sf_dir).presence))
 
 
 @query
@@ -551,7 +544,7 @@ def silent_null_analysis(spark, sf_dir):
 def field_series(spark, sf_dir):
     from ..operators.registry import FIELD_COLUMNS
 
-    flags = reports.last_flags(Tables.from_source(spark, sf_dir).folded, FIELD_COLUMNS)
+    flags = reports.last_flags(Tables.from_source(spark, sf_dir).presence, FIELD_COLUMNS)
     return flags.select("provider", "field", _list("series", "").alias("series"))
 
 

@@ -45,6 +45,10 @@ class Tables:
     def folded(self) -> DataFrame:
         return fold.fold_events(self.accepted)
 
+    @cached_property
+    def presence(self) -> DataFrame:
+        return fold.fold_presence(self.accepted)
+
     @cached_property
     def events(self) -> DataFrame:
         return fold.events_table(self.accepted)
@@ -64,7 +68,7 @@ class Tables:
     @cached_property
     def alerts(self) -> DataFrame:
         structural = drift.structural_alerts(self.accepted, self.corpus)
-        silent = drift.silent_null_first_fire(self.folded, self.registry)
+        silent = drift.silent_null_first_fire(self.presence, self.registry)
         return drift.alerts_table(structural, silent, self.arrivals)
 
     @cached_property

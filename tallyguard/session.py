@@ -49,6 +49,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup(df: DataFrame, small: DataFrame, key: str, spread_by: str, max_rows: int, salts: int = 64) -> DataFrame:
+    """Left join with a table that has one row per ``key``, safe for hot keys.
+
+    Up to ``max_rows`` rows are broadcast.  A larger table is repeated once per salt, so
+    the rows of one key are spread over many tasks by a hash of ``spread_by``.
+    """
+    if small_enough(small, max_rows):
+        return df.join(F.broadcast(small), key, "left")
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` holds at most ``max_rows`` rows, reading no more than needed."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows

@@ -202,7 +202,72 @@ def _check_expects(registry: Registry) -> None:
             raise ValueError(f"parser versions of {provider} expect different fields")
 
 
-def silent_null_first_fire(events: DataFrame, registry: Registry, limits: Thresholds = DEFAULTS) -> DataFrame:
+def _field_positions(events: DataFrame) -> DataFrame:
+    """Per event, its first position and, per field, the position it was first filled at."""
+    def at(column: str) -> Column:
+        if f"{column}_seq" in events.columns:
+            return F.col(f"{column}_seq")
+        return F.when(F.col(column).isNotNull(), F.col("first_seq"))  # set by the first arrival or never
+
+    return events.select(
+        "provider", "first_seq", *[at(column).alias(f"at_{i}") for i, column in enumerate(FIELD_COLUMNS.values())]
+    )
+
+
+def _with_leaving(events: DataFrame, window: int) -> DataFrame:
+    """Add the position of the arrival that pushes each event out of the recent window.
+
+    That is the first arrival of the event ``window`` ranks later.  Blocks of ranks carry
+    the first ranks of the next block along to look that up.
+    """
+    size = 1 << BUCKET_BITS
+    block = F.floor(F.col("rank") / size)
+    blocks = F.when((F.col("rank") % size) < window, F.array(block, block - 1)).otherwise(F.array(block))
+    in_block = Window.partitionBy("provider", "_block").orderBy("rank")
+    return (
+        ranked(events, "provider", "first_seq")
+        .withColumn("_home", block)
+        .withColumn("_block", F.explode(blocks))
+        .withColumn("leaves", F.lead("first_seq", window).over(in_block))
+        .filter("_block = _home")
+        .drop("_block", "_home", "rank")
+    )
+
+
+def _resume(events: DataFrame, since: int, window: int, fields: int) -> tuple[DataFrame, DataFrame]:
+    """What still matters of the events up to ``since``, and the totals reached there.
+
+    Only events that can still change a total are kept: the last ``window`` before
+    ``since``, those after it, and older ones with a field filled after it.
+    """
+    old = events.filter(F.col("first_seq") <= since)
+    latest = Window.partitionBy("provider").orderBy(F.col("first_seq").desc())
+    tail = cut(
+        old.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= window).drop("_rn"), "recent_tail"
+    )
+    filled_later = F.greatest(*[F.coalesce(F.col(f"at_{i}"), F.lit(-1)) for i in range(fields)]) > since
+    late = old.filter(filled_later).join(tail.select("provider", "first_seq"), ["provider", "first_seq"], "left_anti")
+
+    def counts(df: DataFrame, prefix: str) -> DataFrame:
+        return df.groupBy("provider").agg(
+            F.count("*").alias(f"{prefix}_seen"),
+            *[F.count_if(F.col(f"at_{i}") <= since).alias(f"{prefix}_{i}") for i in range(fields)],
+        )
+
+    base = (
+        counts(old, "pop")
+        .withColumnRenamed("pop_seen", "seen")
+        .join(counts(tail, "rec").drop("rec_seen"), "provider")
+        .withColumn("seq", F.lit(since).cast("bigint"))
+    )
+    moving = _with_leaving(cut(tail.unionByName(events.filter(F.col("first_seq") > since)), "moving_events"), window)
+    # Older events left the window before `since`.
+    return moving.unionByName(late.withColumn("leaves", F.lit(-1).cast("bigint"))), base
+
+
+def silent_null_first_fire(
+    events: DataFrame, registry: Registry, limits: Thresholds = DEFAULTS, since: int | None = None
+) -> DataFrame:
     """Per provider and field, the first arrival after which the field was gone.
 
     The detector conceptually runs after every arrival.  Its three inputs (events
@@ -214,36 +279,18 @@ def silent_null_first_fire(events: DataFrame, registry: Registry, limits: Thresh
     * it adds to ``rec`` at that point if it is then still recent, and is taken out of
       ``rec`` when enough later events have pushed it out of the window.
 
-    ``events`` is a :func:`fold_presence` result.
+    ``events`` is a :func:`fold_presence` result or the event table.  With ``since``,
+    only arrivals after that position are judged, starting from the totals at it.
     """
     _check_expects(registry)
     window = limits.recent_window
     names = list(FIELD_COLUMNS)
-    filled = {
-        "model": F.when(F.col("model").isNotNull(), F.col("first_seq")),
-        "raw_user_id": F.when(F.col("raw_user_id").isNotNull(), F.col("first_seq")),
-        **{c: F.col(f"{c}_seq") for c in ("input_tokens", "output_tokens", "cost_amount_usd")},
-    }
-    slim = cut(
-        events.select(
-            "provider", "first_seq", *[filled[FIELD_COLUMNS[n]].alias(f"at_{i}") for i, n in enumerate(names)]
-        ),
-        "field_positions",
-    )
-
-    # The arrival that pushes an event out of the window is the one `window` ranks later.
-    # Blocks of ranks carry the first ranks of the next block along to look that up.
-    size = 1 << BUCKET_BITS
-    ranks = ranked(slim, "provider", "first_seq")
-    block = F.floor(F.col("rank") / size)
-    blocks = F.when((F.col("rank") % size) < window, F.array(block, block - 1)).otherwise(F.array(block))
-    in_block = Window.partitionBy("provider", "_block").orderBy("rank")
-    placed = (
-        ranks.withColumn("_home", block)
-        .withColumn("_block", F.explode(blocks))
-        .withColumn("leaves", F.lead("first_seq", window).over(in_block))
-        .filter("_block = _home")
-    )
+    slim = cut(_field_positions(events), "field_positions")
+    base = None
+    if since is None:
+        placed = _with_leaving(slim, window)
+    else:
+        placed, base = _resume(slim, since, window, len(names))
 
     at = [F.col(f"at_{i}") for i in range(len(names))]
     leaves = F.col("leaves")
@@ -275,6 +322,8 @@ def silent_null_first_fire(events: DataFrame, registry: Registry, limits: Thresh
     deltas = placed.select("provider", F.inline(F.filter(F.array(*changes), lambda c: c.isNotNull())))
 
     measures = ["seen", *[f"pop_{i}" for i in range(len(names))], *[f"rec_{i}" for i in range(len(names))]]
+    if base is not None:
+        deltas = deltas.filter(F.col("seq") > since).unionByName(base)
     # One row per arrival that changes anything, before ordering.
     per_seq = cut(deltas.groupBy("provider", "seq").agg(*[F.sum(m).alias(m) for m in measures]), "field_changes")
     totals = running_totals(per_seq, "provider", "seq", measures)
@@ -291,7 +340,7 @@ def silent_null_first_fire(events: DataFrame, registry: Registry, limits: Thresh
     numbers = ["overall_seen", "overall_populated", "recent_seen", "recent_populated"]
     first = (
         _rates(states)
-        .filter(_is_dark(limits))
+        .filter(_is_dark(limits) & (F.lit(True) if since is None else F.col("seq") > since))
         .groupBy("provider", "field")
         .agg(F.min("seq").alias("seq"), *[F.min_by(n, "seq").alias(n) for n in numbers])
     )
@@ -324,10 +373,12 @@ def number_alerts(alerts: DataFrame, start: int = 0) -> DataFrame:
     return ranked(one_group, "_all", "seq", "id", tiebreak).drop("_all").withColumn("id", F.col("id") + start)
 
 
-def alerts_table(structural: DataFrame, silent: DataFrame, received: DataFrame) -> DataFrame:
+def alerts_table(
+    structural: DataFrame, silent: DataFrame, received: DataFrame, raised: DataFrame | None = None
+) -> DataFrame:
     """All alerts of a load in the order a one-by-one ingest would have raised them.
 
-    ``received`` maps seq to received_at.
+    ``received`` maps seq to received_at; ``raised`` holds the alerts that exist already.
     """
     both = structural.unionByName(
         silent.select(
@@ -336,10 +387,13 @@ def alerts_table(structural: DataFrame, silent: DataFrame, received: DataFrame)
         ),
         allowMissingColumns=True,
     )
+    start = 0
+    if raised is not None:
+        both = new_alerts(both, raised)
+        start = raised.count()
     both = cut(both, "alerts")
-    # The alerts are few and written out; the arrivals are only looked up by position.
     stamped = received.select("seq", F.col("received_at").alias("created_at")).join(both, "seq", "right")
-    return number_alerts(cut(stamped, "stamped_alerts"))
+    return number_alerts(cut(stamped, "stamped_alerts"), start)
 
 
 def latest_first(alerts: DataFrame) -> DataFrame:

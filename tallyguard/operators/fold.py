@@ -36,6 +36,7 @@ EVENT_COLUMNS = (
     "last_seq",
     "shape_key",
     "content_hash",
+    *[f"{c}_seq" for c in VALUES],
 )
 
 
@@ -126,6 +127,7 @@ def _summaries(segmented: DataFrame) -> DataFrame:
         # NULL where the row of the first value already counts as a change.
         *[F.min(F.when(F.col(f"_head_{c}") & ~F.col("_changed"), F.col("seq"))).alias(f"head_seq_{c}") for c in VALUES],
         *[_last_present(c).alias(c) for c in VALUES],
+        *[F.min(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{c}_seq") for c in VALUES],
         *[_last(c).alias(c) for c in POINTERS],
     )
 
@@ -161,6 +163,7 @@ def _close(carried: DataFrame) -> DataFrame:
         F.min("first_seq").alias("first_seq"),
         F.max("last_seq").alias("last_seq"),
         *[_last_present(c, "segment").alias(c) for c in VALUES],
+        *[F.min(f"{c}_seq").alias(f"{c}_seq") for c in VALUES],
         (F.sum("changes") + 1).cast("int").alias("revision"),
         *[_last(c, "segment").alias(c) for c in POINTERS],
     )
@@ -173,12 +176,9 @@ def events_table(accepted: DataFrame) -> DataFrame:
     return _close(_carried(_summaries(_segmented(accepted))))
 
 
-def merge_events(existing: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Fold a later batch into an existing event table.
-
-    An existing row acts as one segment that precedes all new ones.
-    """
-    before = existing.select(
+def _as_segment(existing: DataFrame) -> DataFrame:
+    """Existing events as summaries of one segment that precedes all new ones."""
+    return existing.select(
         "dedup_key",
         "provider",
         F.lit(-1).cast("bigint").alias("segment"),
@@ -190,15 +190,27 @@ def merge_events(existing: DataFrame, accepted: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"head_{c}") for c in VALUES],
         *[F.lit(None).cast("bigint").alias(f"head_seq_{c}") for c in VALUES],
         *VALUES,
+        *[f"{c}_seq" for c in VALUES],
         *POINTERS,
     )
-    return _close(_carried(before.unionByName(_summaries(_segmented(accepted)))))
 
 
-def ingest_results(accepted: DataFrame) -> DataFrame:
-    """Per arrival: whether it inserted the event, and the event's revision after it."""
+def merge_events(existing: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Fold a later batch into an existing event table."""
+    return _close(_carried(_as_segment(existing).unionByName(_summaries(_segmented(accepted)))))
+
+
+def ingest_results(accepted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Per arrival: whether it inserted the event, and the event's revision after it.
+
+    ``existing`` is the event table before these arrivals, if there is one.
+    """
     segmented = _segmented(accepted)
-    carried = _carried(_summaries(segmented))
+    summaries = _summaries(segmented)
+    if existing is not None:
+        touched = existing.join(accepted.select("dedup_key").distinct(), "dedup_key", "left_semi")
+        summaries = _as_segment(touched).unionByName(summaries)
+    carried = _carried(summaries)
     key = Window.partitionBy("dedup_key").orderBy("segment")
     entry = carried.select(
         "dedup_key",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import prepare, spread
 from ..sources.arrivals import as_arrivals
 
 RECIPE = """
@@ -70,7 +70,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
         events="{source}",
     )
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return as_arrivals(spark.sql(_escape(text), source=source))
+    return spread(as_arrivals(spark.sql(_escape(text), source=source)), "seq")
 
 
 def _escape(text: str) -> str:

@@ -293,7 +293,7 @@ def ingest_results(spark, sf_dir):
     t = Tables.from_source(spark, sf_dir)
     raised = t.stored_alerts.groupBy("seq").agg(F.count("*").alias("alerts"))
     return (
-        fold.ingest_results(t.accepted)
+        fold.ingest_results(t.stored_accepted)
         .join(raised, "seq", "left")
         .select("seq", "dedup_key", "event_id", "inserted", "revision", F.coalesce("alerts", F.lit(0)).alias("alerts"))
     )
@@ -304,8 +304,8 @@ def ingest_results(spark, sf_dir):
 
 @query
 def structural_alerts(spark, sf_dir):
-    t = Tables.from_source(spark, sf_dir)
-    return drift.structural_alerts(t.accepted, t.corpus).select(
+    rows = Tables.from_source(spark, sf_dir).stored_accepted
+    return drift.structural_alerts(rows, fold.corpus_table(rows, ("provider", "shape_key"))).select(
         "seq", "provider", "severity", "message", "fingerprint",
         _list("added").alias("added"), _list("removed").alias("removed"),
     )

@@ -16,9 +16,8 @@ from . import fixture
 class Tables:
     """Lazily defined tables over one source.
 
-    ``events`` and ``corpus`` are plans; ``stored_events`` and ``stored_corpus`` are the
-    same tables written once to the shared folder, for reports that read them several
-    times.
+    ``events`` and ``corpus`` are plans; the ``stored_`` properties are the same tables
+    written once to the shared folder, for reports that read them several times.
     """
 
     def __init__(self, arrivals: DataFrame, registry: Registry | None = None):
@@ -57,19 +56,25 @@ class Tables:
     def corpus(self) -> DataFrame:
         return fold.corpus_table(self.accepted)
 
+    @cached_property
+    def stored_accepted(self) -> DataFrame:
+        """Accepted rows parsed once and written; later steps read the columns they need."""
+        return cut(self.accepted.drop("version", "parse_reasons", "store_reasons"), "accepted")
+
     @cached_property
     def stored_events(self) -> DataFrame:
-        return cut(self.events, "events")
+        return cut(fold.events_table(self.stored_accepted), "events")
 
     @cached_property
     def stored_corpus(self) -> DataFrame:
-        return cut(self.corpus, "corpus")
+        return cut(fold.corpus_table(self.stored_accepted), "corpus")
 
     @cached_property
     def alerts(self) -> DataFrame:
-        structural = drift.structural_alerts(self.accepted, self.corpus)
-        silent = drift.silent_null_first_fire(self.presence, self.registry)
-        return drift.alerts_table(structural, silent, self.arrivals)
+        rows = self.stored_accepted
+        structural = drift.structural_alerts(rows, fold.corpus_table(rows, ("provider", "shape_key")))
+        silent = drift.silent_null_first_fire(fold.fold_presence(rows), self.registry)
+        return drift.alerts_table(structural, silent, rows)
 
     @cached_property
     def stored_alerts(self) -> DataFrame:

@@ -49,6 +49,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core for a source that comes in fewer splits than there are cores.
+
+    Parsing is the costly step, so a small source is spread before it.  A source with
+    enough splits is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup(df: DataFrame, small: DataFrame, key: str, spread_by: str, max_rows: int, salts: int = 64) -> DataFrame:
     """Left join with a table that has one row per ``key``, safe for hot keys.
 

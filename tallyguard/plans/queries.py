@@ -491,25 +491,25 @@ def event_weekly(spark, sf_dir):
 
 @query
 def alert_events(spark, sf_dir):
-    t = Tables.from_source(spark, sf_dir)
+    t = Tables.stored_load(spark, sf_dir)
     return forensics.alert_events(t.stored_alerts, t.stored_events, t.stored_corpus)
 
 
 @query
 def provider_focus_event(spark, sf_dir):
-    return forensics.provider_focus(Tables.from_source(spark, sf_dir).folded)
+    return forensics.provider_focus(Tables.stored_load(spark, sf_dir).stored_events)
 
 
 @query
 def parser_match(spark, sf_dir):
-    t = Tables.from_source(spark, sf_dir)
-    rows = with_event_id(forensics.with_parser_match(t.folded, t.registry))
+    t = Tables.stored_load(spark, sf_dir)
+    rows = forensics.with_parser_match(t.stored_events, t.latest_registry)
     return rows.select("event_id", _list("populated").alias("populated"), _list("missing").alias("missing"))
 
 
 @query
 def canonical_nested(spark, sf_dir):
-    rows = Tables.from_source(spark, sf_dir).events.withColumn("event", forensics.canonical_nested())
+    rows = Tables.stored_load(spark, sf_dir).stored_events.withColumn("event", forensics.canonical_nested())
     return rows.select(
         F.col("event.event_id").alias("event_id"),
         F.col("event.actor.raw_user_id").alias("raw_user_id"),
@@ -521,8 +521,8 @@ def canonical_nested(spark, sf_dir):
 
 
 def _described(spark, sf_dir) -> tuple[Tables, DataFrame]:
-    t = Tables.from_source(spark, sf_dir)
-    return t, forensics.describe(t.stored_events, t.stored_facts(with_v2()), with_v2())
+    t = Tables.stored_load(spark, sf_dir)
+    return t, forensics.describe(t.stored_events, t.stored_facts, t.latest_registry)
 
 
 @query
@@ -557,9 +557,9 @@ def related_alerts(spark, sf_dir):
 
 @query
 def suggested_version(spark, sf_dir):
-    t = Tables.from_source(spark, sf_dir)
-    matched = forensics.with_parser_match(t.stored_events, with_v2())
-    return forensics.suggested_versions(matched, t.stored_corpus, with_v2())
+    t = Tables.stored_load(spark, sf_dir)
+    matched = forensics.with_parser_match(t.stored_events, t.latest_registry)
+    return forensics.suggested_versions(matched, t.stored_corpus, t.latest_registry)
 
 
 @query
@@ -578,15 +578,14 @@ def event_timeline(spark, sf_dir):
 @query
 def event_notes(spark, sf_dir):
     t, rows = _described(spark, sf_dir)
-    fixes = forensics.suggested_versions(rows, t.stored_corpus, with_v2())
+    fixes = forensics.suggested_versions(rows, t.stored_corpus, t.latest_registry)
     return rows.join(fixes, "event_id", "left").withColumn("n", forensics.notes()).select("event_id", "n.*")
 
 
 def _inspection(spark, sf_dir) -> tuple[Tables, DataFrame]:
-    t = Tables.from_source(spark, sf_dir)
-    known = with_v2()
+    t = Tables.stored_load(spark, sf_dir)
     return t, forensics.inspect_events(
-        t.stored_events, t.stored_corpus, t.stored_alerts, t.stored_facts(known), known
+        t.stored_events, t.stored_corpus, t.stored_alerts, t.stored_facts, t.latest_registry
     )
 
 

@@ -13,6 +13,9 @@ from ..session import cut
 from . import fixture
 
 
+_LOADS: dict[tuple[str, str], Tables] = {}
+
+
 class Tables:
     """Lazily defined tables over one source.
 
@@ -28,6 +31,17 @@ class Tables:
     def from_source(cls, spark: SparkSession, sf_dir: str, registry: Registry | None = None) -> Tables:
         return cls(fixture.arrivals(spark, sf_dir), registry)
 
+    @classmethod
+    def stored_load(cls, spark: SparkSession, sf_dir: str) -> Tables:
+        """The load whose stored tables the forensic reports of this session read.
+
+        They are built on first use and then read like any other table.
+        """
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _LOADS:
+            _LOADS[key] = cls.from_source(spark, sf_dir)
+        return _LOADS[key]
+
     @cached_property
     def normalized(self) -> DataFrame:
         return normalize(self.arrivals, self.registry)
@@ -83,12 +97,13 @@ class Tables:
     def replay(self, registry: Registry) -> DataFrame:
         return replay.replay_rows(self.corpus, registry)
 
-    def stored_replay_matrix(self, registry: Registry) -> DataFrame:
-        rows = replay.replay_rows(self.stored_corpus, registry)
-        return cut(replay.replay_matrix(rows, registry), "replay_matrix")
+    @cached_property
+    def latest_registry(self) -> Registry:
+        """What reports replay with: the load's parsers and every later version known."""
+        return build_registry(openai_v2=True)
 
-    def stored_facts(self, registry: Registry) -> DataFrame:
-        facts = forensics.provider_facts(
-            self.stored_events, self.stored_corpus, self.stored_replay_matrix(registry)
-        )
-        return cut(facts, "provider_facts")
+    @cached_property
+    def stored_facts(self) -> DataFrame:
+        rows = replay.replay_rows(self.stored_corpus, self.latest_registry)
+        matrix = cut(replay.replay_matrix(rows, self.latest_registry), "replay_matrix")
+        return cut(forensics.provider_facts(self.stored_events, self.stored_corpus, matrix), "provider_facts")

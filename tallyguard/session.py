@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +46,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     once and a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyguard/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/tallyguard/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that :func:`cut` writes inside the block when it ends.
+
+    For jobs that publish their results themselves, such as a micro-batch.
+    """
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _open_scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use every core for a source that comes in fewer splits than there are cores.
 

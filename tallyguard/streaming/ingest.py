@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from ..operators import drift, fold
 from ..operators.normalize import accepted, normalize, quarantined
 from ..operators.registry import Registry
-from ..session import cut, prepare
+from ..session import cut, intermediate_tables, prepare
 from ..sources.snapshots import bucket_of, publish, read_appended, read_bucketed
 
 CORPUS_SCHEMA = """content_hash string, seq bigint, provider string, received_at timestamp, parser_version int,
@@ -70,7 +70,12 @@ class IngestJob:
         return read_appended(self.spark, self._path("shapes"), _schema(SHAPE_SCHEMA), before)
 
     def run_batch(self, arrivals: DataFrame, batch: int) -> None:
+        """Process one batch; its sequence numbers must follow those of earlier batches."""
         prepare(self.spark)
+        with intermediate_tables(self.spark):
+            self._run(arrivals, batch)
+
+    def _run(self, arrivals: DataFrame, batch: int) -> None:
         rows = normalize(arrivals, self.registry)
         publish(quarantined(rows).select(*_schema(QUARANTINE_SCHEMA).names), self._path("quarantine"), batch)
         good = cut(accepted(rows), "accepted")

@@ -25,10 +25,20 @@ def _node(path: str, value: str) -> str:
     return f"named_struct('path', {path}, 'value', {value}, 'open', {_is_open(value)})"
 
 
+def _nesting(text: str) -> str:
+    """Depth of the brackets in printed JSON, in one pass over them."""
+    quotes = f"""replace(replace({text}, r'{chr(92) * 2}'), r'{chr(92)}"')"""
+    brackets = f"""regexp_replace(regexp_replace({quotes}, '"[^"]*+"', ''), '[^{{}}\\\\[\\\\]]', '')"""
+    return f"""aggregate(split({brackets}, ''), named_struct('now', 0, 'top', 0), (s, c) -> case
+        when c in ('{{', '[') then named_struct('now', s.now + 1, 'top', greatest(s.top, s.now + 1))
+        when c in ('}}', ']') then named_struct('now', s.now - 1, 'top', s.top) else s end, s -> s.top)"""
+
+
 def leaf_paths(value: str) -> str:
     """Every leaf path of a VARIANT, one entry per leaf (repeats kept).
 
-    The tree is opened level by level; the number of containers bounds the levels.
+    The tree is opened level by level.  The containers in the type text bound the levels;
+    a type text with mixed arrays hides some, so there the brackets are counted.
     """
     members = "try_variant_get(n.value, '$', 'map<string,variant>')"
     items = "try_variant_get(n.value, '$', 'array<variant>')"
@@ -40,10 +50,10 @@ def leaf_paths(value: str) -> str:
         when {members} is not null then transform(map_entries({members}), e -> {member})
         when size({items}) = 0 then array({empty})
         else transform({items}, i -> {item}) end as {_NODES})))"""
-    kind, text = f"schema_of_variant({value})", f"to_json({value})"
-    containers = f"""if(contains({kind}, 'VARIANT'), length({text}) - length(translate({text}, '{{[', '')),
+    kind = f"schema_of_variant({value})"
+    levels = f"""if(contains({kind}, 'VARIANT'), {_nesting(f'to_json({value})')},
         length({kind}) - length(replace({kind}, '<')))"""
-    rounds = f"if({containers} > 0, sequence(1, {containers}), cast(array() as array<int>))"
+    rounds = f"if({levels} > 0, sequence(1, {levels}), cast(array() as array<int>))"
     start = f"cast(array({_node(chr(39) * 2, value)}) as {_NODES})"
     return f"""if({value} is null, null, aggregate({rounds}, {start},
         (nodes, r) -> if(exists(nodes, n -> n.open), {grown}, nodes), nodes -> transform(nodes, n -> n.path)))"""

@@ -52,13 +52,20 @@ def _last_present(column: str, by: str = "seq") -> Column:
     return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(by)))
 
 
+def _by_key(accepted: DataFrame, *measures: Column) -> DataFrame:
+    """Aggregate per event; the key travels as bytes, half the size of its hex text."""
+    grouped = accepted.groupBy(F.unhex("dedup_key").alias("_key"), "provider").agg(*measures)
+    return grouped.withColumn("dedup_key", F.lower(F.hex("_key"))).drop("_key")
+
+
 def fold_events(accepted: DataFrame) -> DataFrame:
     """One row per event without its revision: a single hash aggregation.
 
     Unused columns are pruned from the aggregation, so a report over a few of them
     shuffles only those.
     """
-    return accepted.groupBy("dedup_key", "provider").agg(
+    return _by_key(
+        accepted,
         *[_first(c).alias(c) for c in IDENTITY],
         _first("received_at").alias("ingested_at"),
         F.min("seq").alias("first_seq"),
@@ -78,7 +85,8 @@ def fold_presence(accepted: DataFrame) -> DataFrame:
     def kept(column: str) -> Column:
         return F.when(F.col(column).isNotNull(), F.lit(1))
 
-    return accepted.groupBy("dedup_key", "provider").agg(
+    return _by_key(
+        accepted,
         F.min("seq").alias("first_seq"),
         *[F.min_by(kept(c), "seq").alias(c) for c in ("model", "raw_user_id")],
         *[F.max(kept(c)).alias(c) for c in VALUES],
@@ -269,4 +277,6 @@ def corpus_table(accepted: DataFrame, fields: tuple[str, ...] = CORPUS_FIELDS) -
 
     The hash decides alone, so the same payload from a second provider is not stored.
     """
-    return first_by_content(accepted, "content_hash", "seq", list(fields)).drop("copies")
+    rows = accepted.withColumn("_content", F.unhex("content_hash"))
+    first = first_by_content(rows, "_content", "seq", list(fields))
+    return first.withColumn("content_hash", F.lower(F.hex("_content"))).drop("copies", "_content")

@@ -10,6 +10,7 @@ from tallyguard.operators import fold, replay
 from tallyguard.operators.normalize import accepted, normalize, quarantined, with_event_id
 from tallyguard.operators.registry import ANTHROPIC_V1, Parser, build_registry
 from tallyguard.operators.shapes import known_shapes
+from tallyguard.sources.arrivals import read_arrivals
 
 from .model import sha
 
@@ -198,6 +199,7 @@ def test_same_payload_from_two_providers_is_stored_once(make_arrivals):
         ('{"":{"q":1}}', ["q"]),
         ('{"t":[1,"a",true]}', ["t[]"]),
         ('{"o":[1,{"p":{"q":[{"r":0}]}}]}', ["o[]", "o[].p.q[].r"]),
+        ('{"o":["]}{[\\"",{"p":[2,{"q":"\\\\"}]}]}', ["o[]", "o[].p[]", "o[].p[].q"]),
     ],
 )
 def test_leaf_paths(spark, doc, want):
@@ -240,6 +242,19 @@ def test_json_text(spark, text, want):
     assert row.selectExpr(f"{ecma.json_text('t')} as j").first().j == want
 
 
+def test_json_lines_source(spark, tmp_path):
+    lines = [
+        {"seq": 1, "received_at": "2024-01-01T00:00:00Z", "provider": "openai", "payload": {"id": "a", "n": [1, {"x": 1.5}]}},
+        {"seq": 2, "received_at": "2024-01-01T00:00:01Z", "provider": "openai"},
+        {"seq": 3, "received_at": "2024-01-01T00:00:02Z", "provider": "openai", "version": 1, "payload": [1]},
+    ]
+    (tmp_path / "in.json").write_text("\n".join(json.dumps(line) for line in lines))
+    rows = normalize(read_arrivals(spark, str(tmp_path), "json"), build_registry()).orderBy("seq").collect()
+    assert [r.parse_reasons for r in rows] == ["", "payload:missing", "payload:not_object"]
+    assert json.loads(rows[0].payload) == lines[0]["payload"]
+    assert rows[0].dedup_key == sha("openai|a")
+
+
 def test_uuid_shape(spark):
     rows = with_event_id(spark.range(200).select(F.sha2(F.col("id").cast("string"), 256).alias("dedup_key")))
     pattern = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"

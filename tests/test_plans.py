@@ -32,14 +32,15 @@ def test_recent_rows_are_cut_before_the_shuffle(tables):
     for df in (drift.field_stats(tables.presence), reports.field_vitals(tables.presence)):
         text = plan(df)
         assert text.count("WindowGroupLimit") == 2
-        last_exchange = text.index("Exchange hashpartitioning(provider")
-        assert "WindowGroupLimit" in text[:last_exchange] or "WindowGroupLimit" in text[last_exchange:]
+        final = text.index("WindowGroupLimit")
+        shuffle = text.index("Exchange hashpartitioning(provider", final)
+        assert "WindowGroupLimit" in text[shuffle:]
 
 
 def test_spend_report_is_hash_aggregation_only(tables):
     text = plan(reports.weekly(tables.folded))
     assert "SortAggregate" not in text and "Window" not in text
-    assert text.count("Exchange hashpartitioning(dedup_key") == 1
+    assert text.count("Exchange") == 3  # source spread over the cores, events, report
 
 
 def test_source_columns_are_pruned(spark):

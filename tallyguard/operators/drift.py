@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..session import cut, lookup
+from ..session import cut, small_enough
 from .prefix import BUCKET_BITS, ranked, running_totals
 from .registry import COST_FIELD, FIELD_COLUMNS, Registry
-from .shapes import with_paths
+from .shapes import known_paths, with_paths
 
-# Providers are limited to the registry's; their path lists are looked up by broadcast.
-MAX_BROADCAST_PROVIDERS = 1_000
+# Known paths that may be listed per provider; more are joined as a table.
+MAX_LISTED_PATHS = 100_000
+PATH_SALTS = 32
 
 STRUCTURAL, SILENT_NULL = "STRUCTURAL", "SILENT_NULL"
 
@@ -40,7 +41,51 @@ DEFAULTS = Thresholds()
 # --- structural drift ---------------------------------------------------------------
 
 
-def structural_alerts(accepted: DataFrame, corpus: DataFrame) -> DataFrame:
+def _compare_paths(new: DataFrame, history: DataFrame, max_paths: int) -> DataFrame:
+    """Add to each new shape its added and removed paths against what was stored before.
+
+    ``history`` has one row per provider and path.  A short one becomes one list per
+    provider; a long one stays a table and is joined path by path.
+    """
+    if small_enough(history, max_paths):
+        lists = history.groupBy("provider").agg(F.collect_list(F.struct("path", "since")).alias("_history"))
+        known = F.transform(F.filter("_history", lambda p: p["since"] < F.col("seq")), lambda p: p["path"])
+        return (
+            new.join(F.broadcast(lists), "provider")
+            .withColumn("known", known)
+            .withColumn("added", F.expr(paths.added_paths("paths", "known")))
+            .withColumn("removed", F.expr(paths.removed_paths("paths", "known")))
+        )
+
+    shape = ["provider", "fingerprint"]
+    own = new.select(*shape, "seq", F.explode("paths").alias("path"))
+    added = (
+        own.join(history, ["provider", "path"], "left")
+        .filter("since is null or since >= seq")
+        .groupBy(*shape)
+        .agg(F.array_sort(F.collect_list("path")).alias("added"))
+    )
+    # Each shape meets every older path it lacks: that is the result itself.  Salts keep
+    # a provider's paths in many tasks.
+    salts = F.sequence(F.lit(0), F.lit(PATH_SALTS - 1))
+    salted = history.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(PATH_SALTS)).cast("int"))
+    removed = (
+        new.select(*shape, "seq", F.explode(salts).alias("_salt"))
+        .join(salted, ["provider", "_salt"])
+        .filter("since < seq")
+        .join(own.select(*shape, "path"), [*shape, "path"], "left_anti")
+        .groupBy(*shape)
+        .agg(F.array_sort(F.collect_list("path")).alias("removed"))
+    )
+    none = F.array().cast("array<string>")
+    return (
+        new.join(added, shape, "left")
+        .join(removed, shape, "left")
+        .withColumns({"added": F.coalesce("added", none), "removed": F.coalesce("removed", none)})
+    )
+
+
+def structural_alerts(accepted: DataFrame, corpus: DataFrame, max_paths: int = MAX_LISTED_PATHS) -> DataFrame:
     """One alert per provider and shape that was new when it arrived.
 
     A shape is known once a payload with it is stored, and a provider's first stored
@@ -69,22 +114,8 @@ def structural_alerts(accepted: DataFrame, corpus: DataFrame) -> DataFrame:
         .join(F.broadcast(opening), "provider")
         .filter("stored_seq is null or stored_seq > opened_seq")
     )
-    # Per provider, each path with the position of the first stored payload that has it.
-    since = (
-        stored.select("provider", F.explode(F.split("fingerprint", "\n")).alias("path"), "stored_seq")
-        .groupBy("provider", "path")
-        .agg(F.min("stored_seq").alias("since"))
-    )
-    known = cut(
-        since.groupBy("provider").agg(F.collect_list(F.struct("path", "since")).alias("_history")), "known_paths"
-    )
-    compared = lookup(new, known, "provider", "fingerprint", MAX_BROADCAST_PROVIDERS).withColumn(
-        "known",
-        F.transform(F.filter("_history", lambda p: p["since"] < F.col("seq")), lambda p: p["path"]),
-    )
     return (
-        compared.withColumn("added", F.expr(paths.added_paths("paths", "known")))
-        .withColumn("removed", F.expr(paths.removed_paths("paths", "known")))
+        _compare_paths(cut(new, "new_shapes"), cut(known_paths(stored, order="stored_seq"), "known_paths"), max_paths)
         .select(
             "seq",
             "provider",

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..session import cut, lookup
-from .drift import MAX_BROADCAST_PROVIDERS, SILENT_NULL, STRUCTURAL, field_stats
+from ..session import cut, lookup, small_enough
+from .drift import SILENT_NULL, STRUCTURAL, field_stats
 from .normalize import normalize, with_event_id
 from .registry import COST_FIELD, FIELD_COLUMNS, Registry
 from .reports import last_flags, missing_cost
@@ -21,6 +21,9 @@ from .shapes import dominant_shape, known_shapes, with_paths
 RATE_THRESHOLD = 0.9
 RECENT_LIMIT = 1 - RATE_THRESHOLD + 0.0001
 
+# Above either, alert ids reach the events by a salted join instead of a broadcast.
+MAX_BROADCAST_PROVIDERS, MAX_BROADCAST_ALERTS = 1_000, 100_000
+
 # Status names, and the texts and stages of the report.
 HEALTHY, DRIFT, SILENT, REPLAY_FAILED = "Healthy", "Drift", "Silent Null", "Replay Failed"
 NONE_MARK = "—"
@@ -171,7 +174,9 @@ def with_related_alerts(described: DataFrame, alerts: DataFrame) -> DataFrame:
     index = by_kind.groupBy("provider").agg(
         F.map_from_entries(F.collect_list(F.struct("kind", "ids"))).alias("_alerts")
     )
-    joined = lookup(described, cut(index, "alert_index"), "provider", "event_id", MAX_BROADCAST_PROVIDERS)
+    # The index has one row per provider, as long as its alerts are many.
+    max_rows = MAX_BROADCAST_PROVIDERS if small_enough(alerts, MAX_BROADCAST_ALERTS) else 0
+    joined = lookup(described, cut(index, "alert_index"), "provider", "event_id", max_rows)
 
     def ids(key: Column) -> Column:
         return F.coalesce(F.try_element_at("_alerts", key), F.array().cast("array<bigint>"))

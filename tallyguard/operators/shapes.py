@@ -51,14 +51,12 @@ def known_shapes(corpus: DataFrame, group: str = "provider", order: str = "seq")
     )
 
 
-def known_paths(shapes: DataFrame, group: str = "provider") -> DataFrame:
-    """Union of the paths of all shapes of a provider."""
-    lines = F.explode(F.split("fingerprint", "\n"))
+def known_paths(shapes: DataFrame, group: str = "provider", order: str = "first_seq") -> DataFrame:
+    """Union of the paths of all shapes of a provider, with where each was first stored."""
     return (
-        shapes.select(group, lines.alias("path"))
-        .distinct()
-        .groupBy(group)
-        .agg(F.array_sort(F.collect_list("path")).alias("paths"))
+        shapes.select(group, F.explode(F.split("fingerprint", "\n")).alias("path"), order)
+        .groupBy(group, "path")
+        .agg(F.min(order).alias("since"))
     )
 
 

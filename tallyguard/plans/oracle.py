@@ -380,8 +380,8 @@ ORACLE: dict[str, str] = {
     "fingerprint": _with(*_BASE, SHAPES) + "select seq, provider, fingerprint from n join shape using (content_hash)",
     "payload_paths": _with(*_BASE, SHAPES) + "select seq, fingerprint from n join shape using (content_hash)",
     "known_shapes": _with(*_SHAPED) + "select provider, fingerprint, first_seq, n from known",
-    "known_paths": _with(*_SHAPED) + """select provider, string_agg(p, ',' order by p) paths from (
-      select distinct provider, unnest(string_split(fingerprint, chr(10))) p from known) group by provider""",
+    "known_paths": _with(*_SHAPED) + """select provider, path, min(first_seq) since from (
+      select provider, first_seq, unnest(string_split(fingerprint, chr(10))) path from known) group by all""",
     "dominant_shape": _with(*_SHAPED) + "select provider, fingerprint, n from usual",
     "props_shapes": """select event_type, fingerprint, min(event_id) first_event_id, count(*) n from (
       select event_id, event_type, array_to_string(list_sort(json_keys(props)), chr(10)) fingerprint from events)

@@ -257,7 +257,7 @@ def known_shapes(spark, sf_dir):
 @query
 def known_paths(spark, sf_dir):
     known = shapes.known_shapes(Tables.from_source(spark, sf_dir).corpus)
-    return shapes.known_paths(known).select("provider", _list("paths").alias("paths"))
+    return shapes.known_paths(known)
 
 
 @query

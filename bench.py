@@ -1,8 +1,9 @@
 """Headline timings: one JSON line with the median wall seconds per query.
 
 Each query runs into a sink that discards rows, once to warm up and then
-``BENCH_RUNS`` times.  ``stored_tables`` writes the tables that forensic reports read;
-``event_inspection`` reads them, all others start from the source files.
+``BENCH_RUNS`` times.  ``stored_tables`` is the one exception: it writes the tables that
+forensic reports read, once.  ``event_inspection`` reads them; all others start from the
+source files.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def main() -> None:
 
     def stored_tables() -> None:
         """Everything forensic reports read: events, corpus, alerts, provider facts."""
-        load = Tables.from_source(spark, sf_dir)
+        load = Tables.stored_load(spark, sf_dir)
         _ = load.stored_events, load.stored_corpus, load.stored_alerts, load.stored_facts
 
     def once(name: str) -> float:
@@ -64,6 +65,9 @@ def main() -> None:
 
     seconds = {}
     for name in HEADLINE:
+        if name == "stored_tables":  # built once per session
+            seconds[name] = round(once(name), 3)
+            continue
         once(name)
         seconds[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
     print(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ecma
 from ..operators import drift, fold, forensics, replay, reports, shapes
-from ..operators.normalize import accepted, normalize, route, with_event_id
+from ..operators.normalize import normalize, route, with_event_id
 from ..operators.registry import OPENAI_V2, Parser, Registry, build_registry
 from ..session import cut, prepare
 from . import fixture

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,16 +28,21 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one the cluster names.
 
-    A machine-local folder is used only when the whole session is one machine.
+    A machine-local folder is used only when the whole session is one machine and the
+    setting is absent; it is remembered here, as a running session cannot be given one.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a shared folder")
-    chosen = tempfile.mkdtemp(prefix="tallyguard-")
-    spark.conf.set(CHECKPOINT_DIR, chosen)
-    return chosen
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="tallyguard-")
+    return _own_folders[application]
+
+
+_own_folders: dict[str, str] = {}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,6 @@
 import json
 import os
 import sys
-import tempfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +8,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tallyguard.session import CHECKPOINT_DIR, prepare  # noqa: E402
+from tallyguard.session import prepare  # noqa: E402
 from tallyguard.sources.arrivals import ARRIVALS  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,8 +26,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get(CHECKPOINT_DIR, None):
-        session.conf.set(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="tallyguard-tests-"))
     yield prepare(session)
     session.stop()
 

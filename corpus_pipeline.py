@@ -1,10 +1,20 @@
-"""A corpus pipeline out of the training-data operators."""
+"""A corpus pipeline out of the training-data operators.
+
+Each stage takes what the one before it kept.  All stages keep whole rows; null texts are
+treated as the operators document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm import secrets
+from tallyguard.llm import mixing, quality, secrets
+from tallyguard.llm.queries import TARGETS, labelled_domains
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +22,16 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs)
 
 
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the rate and the number of copies that bring the languages to their targets."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.mix(docs, labelled_domains(docs, labels), TARGETS)
+
+
 STAGES = [
+    ("quality classifier", keep_quality),
     ("secret scans", scan_secrets),
+    ("mixing sources to target weights", mix_domains),
 ]
 
 #: Trained models and signatures are not expressible in SQL; tests compare with brute force.

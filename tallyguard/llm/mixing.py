@@ -34,7 +34,7 @@ from .features import Scaler, byte_shares
 
 #: Bound of the labelled sample.
 LABELLED = 20_000
-TOLERANCE, MAX_STEPS = 1e-9, 100
+TOLERANCE, MAX_STEPS = 1e-9, 30
 _SPACE = 2**32
 
 
@@ -104,11 +104,15 @@ def posteriors(model: Classifier, text: str | Column = "text") -> Column:
 
 def _rate(steps: list[np.ndarray], p: str = "p") -> Column:
     """The rate after projected steps from one."""
-    rate = F.lit(1.0)
-    for step in steps:
-        move = sum((F.col(p)[i] * float(g) for i, g in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+    if not steps:
+        return F.lit(1.0)
+    moves = F.array(*(F.array(*(F.lit(float(g)) for g in step)) for step in steps))
+
+    def descend(rate: Column, step: Column) -> Column:
+        move = sum((F.col(p)[i] * step[i] for i in range(len(steps[0]))), F.lit(0.0))
+        return F.greatest(F.lit(0.0), rate - move)
+
+    return F.aggregate(moves, F.lit(1.0), descend)
 
 
 def solve(judged: DataFrame, targets: np.ndarray, total: float | None = None) -> list[np.ndarray]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, secrets
+from . import decontaminate, mixing, pii, quality, search, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +42,52 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(findings)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the documents whose id is divisible by 100."""
+    docs = _table(spark, sf_dir, "documents")
+    return search.search_documents(docs, docs.where(F.col("doc_id") % 100 == 0), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix": op4_mix,
     "op5_quality": op5_quality,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_search": op10_search,
 }
 
-ORACLE: dict[str, str] = {}
+OP10 = r"""
+with docs as (
+  select row_number() over () as row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents
+), stats as (
+  select count(*) as n, avg(len(words)) as mean_length from docs
+), postings as (
+  select row_id, doc_id, len(words) as length, word, count(*) as tf
+  from (select row_id, doc_id, words, unnest(words) as word from docs)
+  group by all
+), frequency as (
+  select word, count(*) as df from postings group by word
+), impacts as (
+  select p.row_id, p.doc_id, p.word,
+    ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.length / s.mean_length)) as impact
+  from postings p join frequency f using (word), stats s
+), scored as (
+  select q.row_id as query, q.doc_id as query_id, i.doc_id, round(sum(i.impact), 6) as score
+  from postings q join impacts i using (word)
+  where q.doc_id % 100 = 0 and i.doc_id is not null
+  group by q.row_id, q.doc_id, i.row_id, i.doc_id
+), ranked as (
+  select *, row_number() over (partition by query order by score desc, doc_id) as rank from scored where score > 0
+)
+select query_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+ORACLE: dict[str, str] = {
+    "op10_search": OP10,
+}

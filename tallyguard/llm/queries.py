@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, search, secrets
+from . import decontaminate, mixing, pii, quality, search, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Token shares that the mix aims at, by domain.
 TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
@@ -53,6 +58,7 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op4_mix": op4_mix,
     "op5_quality": op5_quality,
     "op7_pii": op7_pii,
@@ -61,6 +67,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_search": op10_search,
 }
 
+OP1 = r"""
+with docs as (
+  select row_number() over () as row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents
+), starts as (
+  select row_id, doc_id, words, unnest(range(1, len(words) - 48)) as pos from docs where len(words) >= 50
+), windows as (
+  select row_id, doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) as digest from starts
+), firsts as (
+  select digest, min(doc_id) as first_doc from windows group by digest
+), gone as (
+  select distinct row_id, unnest(range(pos, pos + 50)) as pos
+  from windows join firsts using (digest) where first_doc < doc_id
+), kept as (
+  select d.row_id, d.words, d.doc_id, list(g.pos) filter (g.pos is not null) as gone
+  from docs d left join gone g using (row_id) group by d.row_id, d.words, d.doc_id
+)
+select doc_id, len(words) as n_words, len(coalesce(gone, [])) as n_removed,
+  sha256(array_to_string(case when gone is null then words
+    else list_transform(list_filter(range(1, len(words) + 1), lambda i: not list_contains(gone, i)), lambda i: words[i]) end, ' ')) as kept_sha256
+from kept
+"""
+
 OP10 = r"""
 with docs as (
   select row_number() over () as row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
@@ -89,5 +118,6 @@ select query_id, rank, doc_id, score from ranked where rank <= 10
 """
 
 ORACLE: dict[str, str] = {
+    "op1_substrings": OP1,
     "op10_search": OP10,
 }

@@ -6,10 +6,12 @@ documents.  Queries come in blocks of bounded size.  For a block, one pass over
 sums document frequencies, so all shards score with global statistics; a second pass searches
 each shard with block-max WAND and keeps k hits per query and task, which are merged exactly.
 
-In a shard, terms are taken by falling upper bound.  Once the bounds of the terms not yet
-taken cannot lift an unseen document over the k-th best score, no new candidates are opened
-(the pivot condition); the maxima per block of 64 documents then discard candidates before
-their remaining postings are looked up.
+In a shard, the part of the terms that are frequent there comes from one matrix product for many
+queries.  Rare terms are taken by falling upper bound: once the bounds of the terms not yet
+taken cannot lift a document that no earlier term has opened over the k-th best score so far,
+no new candidates are opened (the pivot condition).  Blocks of 64 documents whose maximum is out of
+reach are then skipped, and the other terms are looked up for what is left, which shrinks term
+by term.  The first k-th best score comes from one shard, so that pruning works everywhere.
 
 Defined cases: words are runs of characters other than white space, unchanged; a document's
 score sums over the distinct words of the query; null and empty texts count in the statistics
@@ -33,11 +35,13 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 K1, B = 1.2, 0.75
-SHARD_POSTINGS, SHARD_DOCS = 1_000_000, 16_384
+SHARD_POSTINGS, SHARD_DOCS = 2_000_000, 16_384
 BLOCK_DOCS = 64
 #: Words of the queries that one block holds, about; a block passes through the driver.
 BLOCK_WORDS = 8_000_000
 INDEX = "terms array<long>, starts array<int>, docs array<int>, tfs array<int>, ids array<long>, lengths array<long>"
+#: Queries whose frequent terms are scored in one product.
+QUERIES_AT_ONCE = 128
 _NO_ID = np.iinfo(np.int64).min
 _SLACK = 1e-5
 
@@ -95,64 +99,73 @@ def _arrays(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
 
 
 class Shard:
-    """One shard with its impacts under global statistics, ready to search."""
+    """One shard with its impacts under global statistics, ready to search for a block of queries.
 
-    def __init__(self, arrays: dict[str, np.ndarray], mean_length: float):
-        self.terms, self.starts = arrays["terms"], arrays["starts"].astype(np.int64)
-        self.docs, self.ids = arrays["docs"], arrays["ids"]
+    Frequent terms, in over a sixteenth of the documents, are also laid out as rows over
+    documents, so that their part of the scores of many queries is one matrix product.
+    """
+
+    def __init__(self, arrays: dict[str, np.ndarray], mean_length: float, vocabulary: np.ndarray, weights: np.ndarray):
+        terms, self.starts = arrays["terms"], arrays["starts"].astype(np.int64)
+        self.docs, self.ids, self.weights = arrays["docs"], arrays["ids"], weights
+        self.sizes = np.diff(self.starts)
         tf = arrays["tfs"].astype(np.float64)
         norm = K1 * (1 - B + B * arrays["lengths"] / (mean_length or 1.0))
         self.impacts = tf * (K1 + 1) / (tf + norm[self.docs])
-        if len(tf):
-            self.peaks = np.maximum.reduceat(self.impacts, self.starts[:-1])
-            block = self.docs // BLOCK_DOCS
-            term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
-            edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (term[1:] != term[:-1])])
-            self.blocks, self.block_peaks = block[edge], np.maximum.reduceat(self.impacts, edge)
-            self.block_starts = np.searchsorted(edge, self.starts)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores that can be among the k best given the k-th best so far."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(self.terms) or not len(terms):
-            return none
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        known = self.terms[at] == terms
-        at, weights = at[known], weights[known]
+        self.peaks = np.maximum.reduceat(self.impacts, self.starts[:-1]) if len(tf) else tf
+        frequent = np.flatnonzero(self.sizes > len(self.ids) / 16)
+        self.row = np.full(len(terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), len(self.ids)))
+        for i, t in enumerate(frequent):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.dense[i, self.docs[own]] = self.impacts[own]
+        self.edges = np.arange(0, len(self.ids), BLOCK_DOCS)
+        # Where the vocabulary of the queries is in this shard.
+        self.at = np.searchsorted(terms, vocabulary)
+        self.at[self.at == len(terms)] = 0
+        self.at[(terms[self.at] != vocabulary) if len(terms) else slice(None)] = -1
+
+    def search(self, queries: list[np.ndarray], k: int, floors: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query (places in the vocabulary) what can be among the k best, given the k-th best so far."""
+        known = [q[self.at[q] >= 0] for q in queries]
+        weights = np.zeros((len(queries), len(self.dense)))
+        for i, q in enumerate(known):
+            rows = self.row[self.at[q]]
+            weights[i, rows[rows >= 0]] = self.weights[q[rows >= 0]]
+        frequent = weights @ self.dense
+        return [self._one(q, frequent[i], floors[i]) for i, q in enumerate(known)]
+
+    def _one(self, query: np.ndarray, scores: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """``scores`` hold the part of the frequent terms; rare ones are added as far as needed."""
+        least = max(floor - _SLACK, 0.0)
+        rare = query[self.row[self.at[query]] < 0]
+        at, weights = self.at[rare], self.weights[rare]
         bounds = weights * self.peaks[at]
         order = np.argsort(-bounds, kind="stable")
         at, weights, bounds = at[order], weights[order], bounds[order]
         rest = np.append(np.cumsum(bounds[::-1])[::-1], 0.0)
-        sizes = np.diff(self.starts)[at]
-        scores = np.zeros(len(self.ids))
-        done, taken = 0, 16
-        while done < len(at) and rest[done] > floor - _SLACK:
-            until = min(len(at), done + taken)
-            # Stop inside the step as soon as the pivot condition holds.
-            until = done + max(1, int(np.searchsorted(-rest[done:until], -(floor - _SLACK)))) if floor > 0 else until
-            spans = [slice(self.starts[t], self.starts[t + 1]) for t in at[done:until]]
-            docs = np.concatenate([self.docs[s] for s in spans])
-            gains = np.concatenate([self.impacts[s] for s in spans]) * np.repeat(weights[done:until], sizes[done:until])
-            scores += np.bincount(docs, gains, len(scores))
-            done, taken = until, taken * 2
-            if len(scores) >= k:
-                floor = max(floor, np.partition(scores, -k)[-k])
-        found = np.flatnonzero(scores + rest[done] * (scores > 0) > max(floor - _SLACK, 0.0))
-        if done < len(at) and len(found):
-            # Block maxima of the remaining terms, at the blocks of the candidates.
-            bound = scores[found].copy()
-            for t, w in zip(at[done:], weights[done:], strict=True):
-                low, high = self.block_starts[t], self.block_starts[t + 1]
-                where = np.minimum(np.searchsorted(self.blocks[low:high], found // BLOCK_DOCS), high - low - 1) + low
-                bound += w * self.block_peaks[where] * (self.blocks[where] == found // BLOCK_DOCS)
-            found = found[bound > floor - _SLACK]
-            for t, w in zip(at[done:], weights[done:], strict=True):
-                low, high = self.starts[t], self.starts[t + 1]
-                where = np.minimum(np.searchsorted(self.docs[low:high], found), high - low - 1) + low
-                scores[found] += w * self.impacts[where] * (self.docs[where] == found)
-        found = found[(scores[found] > 0) & (self.ids[found] != _NO_ID)]
-        return self.ids[found], np.round(scores[found], 6)
+        # The pivot: later terms cannot lift a document that no earlier term has opened.
+        done = min(int(np.searchsorted(-(rest + scores.max(initial=0.0)), -least)), len(at))
+        sizes = self.sizes[at[:done]]
+        place = np.repeat(self.starts[at[:done]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        scores = scores + np.bincount(self.docs[place], self.impacts[place] * np.repeat(weights[:done], sizes), len(scores))
+        # Blocks whose maximum is out of reach are skipped as a whole.
+        live = np.flatnonzero(np.maximum.reduceat(scores, self.edges) + rest[done] > least)
+        found = (live[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
+        found = found[found < len(scores)]
+        found = found[scores[found] + rest[done] > least]
+        total = scores[found]
+        for j in range(done, len(at)):
+            reach = total + rest[j] > least
+            found, total = found[reach], total[reach]
+            if not len(found):
+                break
+            own = slice(self.starts[at[j]], self.starts[at[j] + 1])
+            where = np.minimum(np.searchsorted(self.docs[own], found), self.sizes[at[j]] - 1)
+            total = total + weights[j] * self.impacts[own][where] * (self.docs[own][where] == found)
+        keep = (total > 0) & (self.ids[found] != _NO_ID)
+        return self.ids[found[keep]], np.round(total[keep], 6)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +210,7 @@ def _search_block(index: DataFrame, block: DataFrame, number: int, k: int, n_doc
     vocabulary, flat = np.unique(listed.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)
     offsets -= offsets[0]
     query_ids = table.column("query_id").to_numpy()
+    flat = flat.astype(np.int32)
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,21 +228,44 @@ def _search_block(index: DataFrame, block: DataFrame, number: int, k: int, n_doc
     df = np.zeros(len(vocabulary))
     df[counted.column("at").to_numpy()] = counted.column("df").to_numpy()
     weights = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    shared = spark.sparkContext.broadcast((vocabulary, weights, flat.astype(np.int32), offsets, query_ids))
+    shared = spark.sparkContext.broadcast((vocabulary, weights, flat, offsets, query_ids))
+
+    # A k-th best score per query from one shard, whose size is bounded; queries are spread over tasks.
+    sample = index.limit(1).toArrow()
+    if not sample.num_rows:
+        return None
+    shared_sample = spark.sparkContext.broadcast(next(_arrays(sample.to_batches()[0])))
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, weights, flat, offsets, _ = shared.value
+        shard = Shard(shared_sample.value, mean_length, vocabulary, weights)
+        for batch in batches:
+            asked, floors = batch.column(0).to_pylist(), []
+            for at in range(0, len(asked), QUERIES_AT_ONCE):
+                part = [flat[offsets[q] : offsets[q + 1]] for q in asked[at : at + QUERIES_AT_ONCE]]
+                for hit in shard.search(part, k, [0.0] * len(part)):
+                    _, scores = best(*hit, k)
+                    floors.append(float(scores[-1]) if len(scores) == k else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(floors, pa.float64())], names=["query", "floor"])
+
+    started = spark.range(0, len(query_ids), 1, spark.sparkContext.defaultParallelism).withColumnRenamed("id", "query")
+    at_least = started.mapInArrow(lowest, "query long, floor double").toArrow().sort_by("query").column("floor").to_numpy()
+    shared_floors = spark.sparkContext.broadcast(at_least)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights, flat, offsets, query_ids = shared.value
+        floors = shared_floors.value
         top = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
         for batch in batches:
             for arrays in _arrays(batch):
-                shard = Shard(arrays, mean_length)
-                for q in range(len(query_ids)):
-                    own = flat[offsets[q] : offsets[q + 1]]
-                    ids, scores = top[q]
-                    floor = scores[-1] if len(scores) == k else 0.0
-                    more = shard.search(vocabulary[own], weights[own], k, floor)
-                    if len(more[0]):
-                        top[q] = best(np.append(ids, more[0]), np.append(scores, more[1]), k)
+                shard = Shard(arrays, mean_length, vocabulary, weights)
+                for at in range(0, len(query_ids), QUERIES_AT_ONCE):
+                    some = range(at, min(at + QUERIES_AT_ONCE, len(query_ids)))
+                    part = [flat[offsets[q] : offsets[q + 1]] for q in some]
+                    least = [max(floors[q], top[q][1][-1] if len(top[q][1]) == k else 0.0) for q in some]
+                    for q, more in zip(some, shard.search(part, k, least), strict=True):
+                        if len(more[0]):
+                            top[q] = best(np.append(top[q][0], more[0]), np.append(top[q][1], more[1]), k)
         sizes = [len(ids) for ids, _ in top]
         at = np.repeat(np.arange(len(top), dtype=np.int32), sizes)
         columns = [pa.array(np.full(len(at), number, np.int32)), pa.array(at), pa.array(query_ids[at])]

@@ -209,55 +209,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return map_slices(joined, make, "a long, b long, close boolean")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node``, ``class``: the least node that each of ``nodes(node)`` is connected with.
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(node, class)`` after joining the classes that ``links(a, b)`` connect.
 
-    Classes hook onto lesser neighbours, and chains of hooks are shortened, so the number of
-    steps grows with the logarithm of the longest chain.
+    The least node names a class.  Classes hook onto lesser neighbours, and chains of hooks are
+    shortened, so the number of steps grows with the logarithm of the longest chain.
     """
-    labels = cut(nodes.select("node", F.col("node").alias("class")), "classes")
+    left = labels.select(F.col("node").alias("a"), F.col("class").alias("x"))
+    right = labels.select(F.col("node").alias("b"), F.col("class").alias("y"))
+    across = links.join(left, "a").join(right, "b").select("x", "y")
     while True:
-        left = labels.select(F.col("node").alias("a"), F.col("class").alias("x"))
-        right = labels.select(F.col("node").alias("b"), F.col("class").alias("y"))
-        across = links.join(left, "a").join(right, "b").where("x != y")
-        hooks = across.select(F.greatest("x", "y").alias("class"), F.least("x", "y").alias("to")).groupBy("class").agg(F.min("to").alias("to"))
-        hooks = cut(hooks, "hooks")
-        if hooks.isEmpty():
-            return labels
+        across = cut(across.where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "class-links")
+        if across.isEmpty():
+            return cut(labels, "classes")
+        hooks = across.groupBy("x").agg(F.min("y").alias("to")).withColumnRenamed("x", "class")
         for _ in range(2):
             onward = hooks.select(F.col("class").alias("to"), F.col("to").alias("next"))
             hooks = hooks.join(onward, "to", "left").select("class", F.coalesce("next", "to").alias("to"))
-        labels = cut(labels.join(hooks, "class", "left").select("node", F.coalesce("to", "class").alias("class")), "classes")
+        hooks = cut(hooks, "hooks")
+        labels = labels.join(hooks, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+        for end in ("x", "y"):
+            onto = hooks.select(F.col("class").alias(end), "to")
+            across = across.join(onto, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node``, ``class``: the least node that each of ``nodes(node)`` is connected with."""
+    return merged(nodes.select("node", F.col("node").alias("class")), links)
 
 
 def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, idf) -> DataFrame:
     """Classes of ``members(bucket, node)`` by rounds of leaders."""
     spark = members.sparkSession
     labels = cut(nodes.select("node", F.col("node").alias("class")), "classes")
-    links = spark.createDataFrame([], "a long, b long")
-    checked = spark.createDataFrame([], "a long, b long")
+    checked = spark.createDataFrame([], "a long, b long, close boolean")  # all pairs compared so far
     open_ = members  # neither a leader nor linked to one
     turn = 0
     while True:
         at = members.join(labels, "node")
         active = at.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
-        open_ = open_.join(active, "bucket", "left_semi")
+        open_ = cut(open_.join(active, "bucket", "left_semi"), "open-members")
+        if open_.isEmpty():
+            return labels
         turn += 1
         order = F.struct((F.xxhash64("node", F.lit(turn)) if turn > 1 else F.col("node")).alias("rank"), F.col("node"))
         leaders = cut(open_.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", F.col("l.node").alias("leader")), "leaders")
-        if leaders.isEmpty():
-            return labels
         leader_class = labels.select(F.col("node").alias("leader"), F.col("class").alias("leader_class"))
         met = at.join(leaders, "bucket").join(leader_class, "leader").where("class != leader_class")
         pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         judged = cut(_verified(pairs.join(checked, ["a", "b"], "left_anti"), texts, idf), "judged-pairs")
-        links = cut(links.unionByName(judged.where("close").select("a", "b")), "links")
-        checked = cut(checked.unionByName(judged.select("a", "b")), "checked-pairs")
+        checked = checked.unionByName(judged)
+        links = checked.where("close").select("a", "b")
         near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         covered = leaders.join(near, leaders.leader == near.a).select("bucket", F.col("b").alias("node"))
         covered = covered.unionByName(leaders.select("bucket", F.col("leader").alias("node")))
-        open_ = cut(open_.join(covered, ["bucket", "node"], "left_anti"), "open-members")
-        labels = components(nodes, links)
+        open_ = open_.join(covered, ["bucket", "node"], "left_anti")
+        labels = merged(labels, judged.where("close").select("a", "b"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

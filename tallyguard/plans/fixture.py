@@ -16,8 +16,8 @@ RECIPE = """
 with base as (
  select event_id, ts, user_id,
    case event_id % 3 when 0 then 'openai' when 1 then 'anthropic' else 'cursor' end provider,
-   200 + (event_id*7) % 1800 tin, 50 + (event_id*13) % 900 tout,
-   concat('0.', lpad(cast(2000 + (event_id % 50)*300 as {text}), 6, '0')) cost,
+   40 + user_id*5 tin, 12 + cast(floor(value) as bigint) tout,
+   concat('0.', lpad(cast(1000 + cast(round(value*100) as bigint) as {text}), 6, '0')) cost,
    {iso} iso, {epoch} ep
  from {events}),
 arr as (

@@ -50,16 +50,19 @@ def parse(provider, doc):
     return {"key": key, "model": model, "user": user, "input_tokens": tin, "output_tokens": tout, "cost": cost}
 
 
-def leaf_paths(value, prefix=""):
-    if isinstance(value, list):
-        if not value:
-            return [prefix + "[]"]
-        return [p for v in value for p in leaf_paths(v, prefix + "[]")]
-    if isinstance(value, dict):
-        if not value:
-            return [prefix]
-        return [p for k in value for p in leaf_paths(value[k], f"{prefix}.{k}" if prefix else k)]
-    return [prefix]
+def leaf_paths(doc):
+    """Paths from the root to everything that holds nothing further, one step a turn."""
+    ends, ahead = [], [("", doc)]
+    while ahead:
+        path, node = ahead.pop()
+        if node and isinstance(node, dict):
+            ahead += [(f"{path}.{name}" if path else name, below) for name, below in node.items()]
+        elif isinstance(node, list):
+            ahead += [(path + "[]", item) for item in node]
+            ends += [] if node else [path + "[]"]
+        else:
+            ends.append(path)
+    return ends
 
 
 def shape(doc):

@@ -10,59 +10,42 @@ from tallyguard.operators.normalize import accepted, normalize
 from tallyguard.operators.registry import OPENAI_V2, build_registry
 from tallyguard.session import cut
 
-N = 150
-END = datetime(2026, 6, 28, 12, tzinfo=timezone.utc)
-
-
-def moment(i):
-    return END - timedelta(days=i % 28, seconds=(i * 137) % 3600)
-
-
-def cost(i):
-    return round(0.002 + (i % 50) * 0.0003, 6)
-
-
-def openai(i, ident=None, **extra):
-    tokens = {"prompt_tokens": 200 + 7 * i % 1800, "completion_tokens": 50 + 13 * i % 900}
-    doc = {
-        "id": ident or f"oa_{i}",
-        "object": "chat.completion",
-        "created": int(moment(i).timestamp()),
-        "model": f"gpt-{i % 2}",
-        "user": f"u_{i % 20}",
-        "usage": tokens,
-    }
-    return {**doc, **(extra or {"cost": {"amount_usd": cost(i)}})}
-
-
-def anthropic(i):
-    return {
-        "id": f"an_{i}",
-        "type": "message",
-        "model": f"claude-{i % 2}",
-        "created_at": moment(i).strftime("%Y-%m-%dT%H:%M:%S.000Z"),
-        "usage": {"input_tokens": 200 + 7 * i % 1800, "output_tokens": 50 + 13 * i % 900},
-        "metadata": {"user_id": f"u_{i % 20}"},
-        "cost_usd": cost(i),
-    }
-
-
-def cursor(i):
-    return {
-        "request_id": f"cu_{i}",
-        "kind": "edit",
-        "model": f"cursor-{i % 2}",
-        "timestamp": moment(i).strftime("%Y-%m-%dT%H:%M:%S.000Z"),
-        "tokens": {"in": 200 + 7 * i % 1800, "out": 50 + 13 * i % 900},
-        "user": {"id": f"u_{i % 20}"},
-        "billing": {"usd": cost(i)},
+PROVIDERS = ("openai", "anthropic", "cursor")
+BEGIN = datetime(2025, 3, 3, 8, tzinfo=timezone.utc)
+
+#: One payload text per provider, with the places its parser reads.
+LAYOUT = {
+    "openai": """{"id": "%(key)s", "object": "chat.completion", "created": %(epoch)d, "model": "large", "user": "%(user)s",
+        "usage": {"prompt_tokens": %(read)d, "completion_tokens": %(written)d}, %(price)s}""",
+    "anthropic": """{"id": "%(key)s", "type": "message", "created_at": "%(clock)s", "model": "small",
+        "metadata": {"user_id": "%(user)s"}, "usage": {"output_tokens": %(written)d, "input_tokens": %(read)d}, "cost_usd": %(amount)s}""",
+    "cursor": """{"request_id": "%(key)s", "kind": "edit", "timestamp": "%(clock)s", "model": "small", "user": {"id": "%(user)s"},
+        "tokens": {"in": %(read)d, "out": %(written)d}, "billing": {"usd": %(amount)s}}""",
+}
+PLAIN, MOVED_TO = '"cost": {"amount_usd": %s}', '"pricing": {"cost": {"amount_usd": %s}}'
+
+
+def payload(provider, number, key=None, amount=None, place=PLAIN):
+    """Payload ``number`` of a provider: one a minute, a cent per hundred numbers dearer."""
+    when = BEGIN + timedelta(minutes=number)
+    amount = amount or f"0.{100 + number:04d}"
+    values = {
+        "key": key or f"{provider}-{number:05d}",
+        "epoch": when.timestamp(),
+        "clock": when.strftime("%Y-%m-%dT%H:%M:%S.000Z"),
+        "user": f"member {number // 10}",
+        "read": 1000 - number,
+        "written": 3 * number + 1,
+        "amount": amount,
+        "price": place % amount,
     }
+    return provider, LAYOUT[provider] % values
 
 
-CLEAN = [x for i in range(N) for x in (("openai", openai(i)), ("anthropic", anthropic(i)), ("cursor", cursor(i)))]
-AGAIN = [("openai", openai(i)) for i in range(30)]
-LATE = [("openai", openai(7, "oa_late", cost={"amount_usd": c})) for c in (None, 0.0123)]
-MOVED = [("openai", openai(i, f"oa_bad_{i}", pricing={"cost": {"amount_usd": cost(i)}})) for i in range(30)]
+CLEAN = [payload(provider, number) for number in range(150) for provider in PROVIDERS]
+AGAIN = [payload("openai", number) for number in range(30)]
+LATE = [payload("openai", 3, "late-bill", amount) for amount in ("null", "0.5")]
+MOVED = [payload("openai", number, f"moved-{number}", place=MOVED_TO) for number in range(30)]
 
 
 @pytest.fixture(scope="module")

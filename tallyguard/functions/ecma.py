@@ -81,7 +81,22 @@ def is_numeric(kind: str) -> str:
 
 
 def _array_text(printed: str) -> str:
-    return f"""replace(translate({printed}, '[]"', ''), 'null')"""
+    """Items joined by commas at every depth; objects as ``[object Object]``, null as nothing.
+
+    Walks the tokens of the JSON text with the number of objects that are open.
+    """
+    masked = f"replace(replace({printed}, {_literal(chr(92) * 2)}, char(1)), {_literal(chr(92) + chr(34))}, char(2))"
+    unmasked = f"replace(replace(tok, char(1), {_literal(chr(92) * 2)}), char(2), {_literal(chr(92) + chr(34))})"
+    plain = f"""case when startswith(tok, '"') then try_variant_get(parse_json({unmasked}), '$', 'string')
+        when tok rlike '^-?[0-9]' then {number_text("try_cast(tok as double)")}
+        else tok end"""
+    return f"""aggregate(regexp_extract_all({masked}, {_literal(_TOKEN)}, 1), named_struct('depth', 0, 'out', ''),
+        (s, tok) -> case
+            when tok = '{{' then named_struct('depth', s.depth + 1, 'out', if(s.depth = 0, concat(s.out, '[object Object]'), s.out))
+            when tok = '}}' then named_struct('depth', s.depth - 1, 'out', s.out)
+            when s.depth > 0 or tok in ('[', ']', 'null') then s
+            else named_struct('depth', s.depth, 'out', concat(s.out, {plain})) end,
+        s -> s.out)"""
 
 
 def string_text(value: str, kind: str, text: str) -> str:

@@ -17,6 +17,10 @@ from .shapes import known_paths, with_paths
 MAX_LISTED_PATHS = 100_000
 PATH_SALTS = 32
 
+# The messages of alerts.
+SHAPE_MESSAGE = "New raw shape for %s: %d path(s) added, %d removed."
+DARK_MESSAGE = "%s went dark: %.0f%% populated historically, %.0f%% across the last %d. Parser never threw."
+
 STRUCTURAL, SILENT_NULL = "STRUCTURAL", "SILENT_NULL"
 
 ALERT_SCHEMA = """id bigint, seq bigint, provider string, type string, severity string, field string, message string,
@@ -123,7 +127,7 @@ def structural_alerts(accepted: DataFrame, corpus: DataFrame, max_paths: int = M
             F.lit("warn").alias("severity"),
             F.lit(None).cast("string").alias("field"),
             F.format_string(
-                "New raw shape for %s: %d path(s) added, %d removed.", "provider", F.size("added"), F.size("removed")
+                SHAPE_MESSAGE, "provider", F.size("added"), F.size("removed")
             ).alias("message"),
             "fingerprint",
             "added",
@@ -172,7 +176,10 @@ def field_stats(
 
     latest = Window.partitionBy(group).orderBy(*[F.col(o).desc() for o in order])
     recent = events.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= recent_window)
-    both = stats(events, "total").join(stats(recent, "recent"), [group, "newest"])
+    total, last = stats(events, "total"), stats(recent, "recent").withColumnsRenamed({group: "_group", "newest": "_newest"})
+    # Null is a group like any other.
+    same = total[group].eqNullSafe(last["_group"]) & total["newest"].eqNullSafe(last["_newest"])
+    both = total.join(last, same).drop("_group", "_newest")
     return _unpivot_fields(
         both,
         [group],
@@ -209,7 +216,7 @@ def _silent_null_columns(df: DataFrame) -> DataFrame:
         {
             "severity": F.when(F.col("field") == COST_FIELD, "critical").otherwise("warn"),
             "message": F.format_string(
-                "%s went dark: %.0f%% populated historically, %.0f%% across the last %d. Parser never threw.",
+                DARK_MESSAGE,
                 "field",
                 F.col("overall_rate") * 100,
                 F.col("recent_rate") * 100,

@@ -64,10 +64,21 @@ def provider_facts(events: DataFrame, corpus: DataFrame, matrix: DataFrame) -> D
     replay = matrix.groupBy("provider").agg(
         F.max("total").alias("historical_payloads"), F.sum("throw").cast("bigint").alias("regressions")
     )
-    facts = shape
-    for part in (rates, series, replay, missing_cost(events)):
+    # A provider whose payloads all arrived first from another one has events, but no stored
+    # payloads: nothing is usual for it, and nothing of it was replayed.
+    facts = events.select("provider").distinct()
+    for part in (shape, rates, series, replay, missing_cost(events)):
         facts = facts.join(F.broadcast(part), "provider", "left")
-    return facts
+    nothing = F.array().cast("array<string>")
+    none = F.lit(0).cast("bigint")
+    return facts.withColumns(
+        {
+            "usual_all": F.coalesce("usual_all", nothing),
+            "usual_paths": F.coalesce("usual_paths", nothing),
+            "historical_payloads": F.coalesce("historical_payloads", none),
+            "regressions": F.coalesce("regressions", none),
+        }
+    )
 
 
 # --- one event at a time, for all events ------------------------------------------------

@@ -358,8 +358,9 @@ ORACLE: dict[str, str] = {
     + f"select seq, {_uuid('dedup_key')} event_id, {_uuid('content_hash')} raw_payload_id from n",
     "content_dedup": """select sha256(text) content_hash, min(doc_id) doc_id, count(*) copies, arg_min(lang, doc_id) lang,
       arg_min(source, doc_id) source, arg_min(n_chars, doc_id) n_chars from documents group by text""",
-    "conversation_dedup": """select sha256(text) content_hash, min(conv_id * 1000000 + turn) as position, count(*) copies,
-      arg_min(role, conv_id * 1000000 + turn) as role from conversations group by text""",
+    "conversation_dedup": """select content_hash, conv_id, turn, copies, role from (select sha256(text) content_hash, conv_id, turn, role,
+      count(*) over (partition by text) copies, row_number() over (partition by text order by conv_id, turn) rn
+      from conversations) where rn = 1""",
     "normalize_openai_v1": _normalized("openai"),
     "normalize_openai_v2": _normalized("openai", "coalesce(moved_cost, cost)", "2"),
     "normalize_anthropic_v1": _normalized("anthropic"),

@@ -141,9 +141,10 @@ def content_dedup(spark, sf_dir):
 def conversation_dedup(spark, sf_dir):
     """First turn per distinct conversation text, ordered by conversation and turn."""
     turns = _table(spark, sf_dir, "conversations").select(
-        F.sha2("text", 256).alias("content_hash"), (F.col("conv_id") * 1000000 + F.col("turn")).alias("position"), "role"
+        F.sha2("text", 256).alias("content_hash"), F.struct("conv_id", "turn").alias("position"), "role"
     )
-    return fold.first_by_content(turns, "content_hash", "position", ["role"])
+    first = fold.first_by_content(turns, "content_hash", "position", ["role"])
+    return first.select("content_hash", "position.conv_id", "position.turn", "copies", "role")
 
 
 # --- normalization --------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyguard.functions import ecma, paths
-from tallyguard.operators import fold, replay
+from tallyguard.operators import drift, fold, forensics, replay
 from tallyguard.operators.normalize import accepted, normalize, quarantined, with_event_id
 from tallyguard.operators.registry import ANTHROPIC_V1, Parser, build_registry
 from tallyguard.operators.shapes import known_shapes
@@ -49,6 +49,43 @@ def test_numeric_ids_pass(make_arrivals):
     assert [r.dedup_key for r in (a, b, c)] == [sha("openai|12345"), sha("openai|12.5"), sha("openai|100")]
 
 
+def test_array_ids_are_joined_at_every_depth(make_arrivals):
+    ids = {
+        '["nullable"]': "nullable",
+        '["able"]': "able",
+        '[{"k": 1, "l": [{}, "]"]}]': "[object Object]",
+        '["[object Object]"]': "[object Object]",
+        '[["a", null], 1.0, [], true]': "a,,1,,true",
+        r'["x\"y,[z]\\", "null"]': 'x"y,[z]\\,null',
+    }
+    rows = normalized(make_arrivals, *(("openai", f'{{"id": {i}}}') for i in ids)).collect()
+    assert [r.dedup_key for r in rows] == [sha(f"openai|{text}") for text in ids.values()]
+
+
+def test_provider_without_stored_payloads(make_arrivals):
+    """Its only payload arrived first from another provider."""
+    registry = build_registry()
+    rows = accepted(normalize(make_arrivals([("anthropic", {"id": "a"}), ("openai", {"id": "a"})]), registry))
+    events, corpus = fold.events_table(rows), fold.corpus_table(rows)
+    alerts = drift.alerts_table(
+        drift.structural_alerts(rows, corpus), drift.silent_null_first_fire(fold.fold_presence(rows), registry), rows
+    )
+    matrix = replay.replay_matrix(replay.replay_rows(corpus, registry), registry)
+    facts = forensics.provider_facts(events, corpus, matrix)
+    reports = {r.provider: r for r in forensics.inspect_events(events, corpus, alerts, facts, registry).collect()}
+    report = reports["openai"]
+    assert (report.status, report.structural_diff.changed) == ("Drift", True)
+    assert report.notes.impact.startswith("1 openai events currently missing ")
+    assert report.notes.replay == "0 historical openai payloads validate successfully."
+    assert reports["anthropic"].structural_diff.changed is False
+
+
+def test_null_group_keeps_its_statistics(spark):
+    events = spark.createDataFrame([(None, i, None if i > 6 else "x") for i in range(9)], "provider string, first_seq long, model string")
+    row = drift.field_stats(events, {"model": "model"}, recent_window=3).first()
+    assert (row.provider, row.overall_seen, row.overall_populated, row.recent_seen, row.recent_populated) == (None, 6, 6, 3, 1)
+
+
 @pytest.mark.parametrize(
     "created,text",
     [

@@ -9,7 +9,9 @@ depth, then a blind trie for each group that still agrees, which orders the suff
 those that agree in all 200 bytes.
 
 Spark partitions the sort by gram.  A gram with very many different segments is spread over
-several groups; its strings are then also compared across groups by 128-bit hashes.
+several groups.  Each group sorts its own and passes on one entry per different string (its 128-bit
+hash and how often it occurred), packed and dealt by hash; a second step adds the entries of all
+groups up and finds strings that are single in their group but not in all.
 
 Defined cases: a null text is empty; texts under 200 bytes lose nothing; repeated rows and null
 ids count like any other row; other columns are ignored.
@@ -32,7 +34,9 @@ WIDTH, GRAM = 200, 48
 #: Depth to which suffixes are sorted by multikey sorting, in bytes.
 SHALLOW = 24
 #: Different segments that one group sorts, about; and bytes that are sorted at a time.
-GROUP, SORT_BYTES = 512, 1 << 18
+GROUP, SORT_BYTES = 2048, 1 << 18
+#: A string of a group that is spread: its hash, occurrences, and for single ones their place.
+ENTRY = np.dtype([("w0", "<u8"), ("w1", "<u8"), ("seg", "<i8"), ("off", "<i4"), ("times", "<i4")])
 
 
 def symbols(data: np.ndarray) -> np.ndarray:
@@ -163,7 +167,17 @@ def deep_shallow(data: bytes, starts: np.ndarray) -> Iterator[list[int]]:
         yield from (leaf for leaf in trie.leaves() if len(leaf) > 1)
 
 
-SORTED = "key long, seg long, a int, b int, w0 long, w1 long, times long"
+SORTED = "key long, seg long, a int, b int, part int, entries binary"
+
+
+def _sorted_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SORTED.split(", ")])
+
+
+def _runs(key: int, seg: int, hit: np.ndarray) -> list[tuple]:
+    return [(key, seg, a, b, None, None) for a, b, _ in runs_of(hit, np.zeros(len(hit), np.int64))] if len(hit) else []
 
 
 def _sort_groups(rows: list[tuple]) -> pa.RecordBatch:
@@ -173,27 +187,65 @@ def _sort_groups(rows: list[tuple]) -> pa.RecordBatch:
     base = np.cumsum(sizes) - sizes
     n = sizes - WIDTH + 1
     which = np.repeat(np.arange(len(rows)), n)
-    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = base[which] + off
-    again = np.zeros(len(data), bool)
+    starts = base[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    again, spread = np.zeros(len(data), bool), np.array([r[1] for r in rows]) > 1
+    owner = np.zeros(len(data), np.int64)
+    owner[starts] = which
+    entries: list[tuple[int, int]] = []  # (a suffix, its occurrences) for repeated strings of spread groups
     for leaf in deep_shallow(data, starts):
         again[leaf] = True
-    columns: dict[str, list] = {name.split()[0]: [] for name in SORTED.split(", ")}
-    spread = np.array([r[1] for r in rows]) > 1
-    for i in np.flatnonzero(~spread):
-        hit = np.flatnonzero(again[base[i] : base[i] + n[i]])
-        for a, b, _ in runs_of(hit, np.zeros(len(hit), np.int64)) if len(hit) else []:
-            for name, value in zip(columns, (rows[i][0], rows[i][2], a, b, None, None, None), strict=True):
-                columns[name].append(value)
+        if spread[owner[leaf[0]]]:
+            entries.append((leaf[0], sum(rows[owner[at]][3] for at in leaf)))
+    out = [x for i in range(len(rows)) for x in _runs(rows[i][0], rows[i][2], np.flatnonzero(again[base[i] : base[i] + n[i]]))]
     if spread.any():
-        mine = np.flatnonzero(spread[which])
         symbol = symbols(np.frombuffer(data, np.uint8))
-        w = [SpanHashes(symbol, k)(starts[mine], starts[mine] + WIDTH).view(np.int64).tolist() for k in range(2)]
-        own = [rows[i] for i in which[mine]]
-        for name, values in zip(columns, ([r[0] for r in own], [r[2] for r in own], off[mine].tolist(), off[mine].tolist(), *w, [r[3] for r in own]), strict=True):
-            columns[name] += values
-    kinds = {"a": pa.int32(), "b": pa.int32()}
-    return batch_of({name: pa.array(values, kinds.get(name, pa.int64())) for name, values in columns.items()})
+        hashes = [SpanHashes(symbol, k) for k in range(2)]
+        single = starts[spread[which] & ~again[starts]]
+        at = np.append(single, np.array([e[0] for e in entries], np.int64)).astype(np.int64)
+        made = np.zeros(len(at), ENTRY)
+        made["w0"], made["w1"] = (h(at, at + WIDTH) for h in hashes)
+        seg, times = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        made["seg"], made["off"] = seg[owner[at]], at - base[owner[at]]
+        made["times"] = np.append(times[owner[single]], [e[1] for e in entries])
+        made["off"][len(single) :] = -1
+        key, salts = np.array([r[0] for r in rows])[owner[at]], np.array([r[1] for r in rows])[owner[at]]
+        part = (made["w0"] % salts.astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((part, key))
+        edge = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1])])
+        for own in np.split(order, edge[1:]):
+            out.append((int(key[own[0]]), None, None, None, int(part[own[0]]), made[own].tobytes()))
+    return _sorted_batch(out)
+
+
+def _across_groups(spread: DataFrame) -> DataFrame:
+    """Strings that are single in their group and occur in another group of the same gram."""
+
+    def joined(key: int, blobs: list[bytes]) -> list[tuple]:
+        made = np.frombuffer(b"".join(blobs), ENTRY)
+        made = made[np.lexsort((made["w1"], made["w0"]))]
+        edge = np.flatnonzero(np.r_[True, (made["w0"][1:] != made["w0"][:-1]) | (made["w1"][1:] != made["w1"][:-1])])
+        total = np.repeat(np.add.reduceat(made["times"].astype(np.int64), edge), np.diff(np.append(edge, len(made))))
+        hit = made[(total > 1) & (made["off"] >= 0)]
+        hit = hit[np.lexsort((hit["off"], hit["seg"]))]
+        out = []
+        for own in np.split(np.arange(len(hit)), np.flatnonzero(hit["seg"][1:] != hit["seg"][:-1]) + 1):
+            out += _runs(key, int(hit["seg"][own[0]]), hit["off"][own].astype(np.int64)) if len(own) else []
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for key, part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, part) != at and held:
+                    yield _sorted_batch(joined(at[0], held))
+                    held = []
+                at = (key, part)
+                held.append(blob)
+        if held:
+            yield _sorted_batch(joined(at[0], held))
+
+    dealt = spread.select("key", "part", "entries").repartition("key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(run, SORTED)
 
 
 def _sorted_strings(texts: DataFrame) -> DataFrame:
@@ -252,10 +304,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     texts = _segment_texts(texts).groupBy("key", "seg").agg(F.first("text").alias("text"))
     texts = texts.join(several.select("key", "seg", "times", "salts"), ["key", "seg"]).withColumn("salt", F.pmod("seg", "salts").cast("int"))
     sorted_ = cut(_sorted_strings(texts), "sorted-strings")
-    across = sorted_.where("w0 is not null")
-    twice = across.groupBy("w0", "w1").agg(F.sum("times").alias("total")).where("total > 1").select("w0", "w1")
-    across = across.join(twice, ["w0", "w1"], "left_semi")
-    runs = sorted_.where("w0 is null").select("key", "seg", "a", "b").unionByName(across.select("key", "seg", "a", "b"))
+    runs = sorted_.where("entries is null").unionByName(_across_groups(sorted_.where("entries is not null")))
+    runs = runs.select("key", "seg", "a", "b")
     # A segment has at most as many runs as strings.
     runs = runs.groupBy("key", "seg").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     decided = distinct.select("key", "seg", "times").join(runs, ["key", "seg"], "left").where("times > 1 or runs is not null")

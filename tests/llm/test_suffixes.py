@@ -47,7 +47,7 @@ def random_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, group", [(1, 512), (2, 3)])
+@pytest.mark.parametrize("seed, group", [(1, 2048), (2, 3)])
 def test_against_brute_force(spark, monkeypatch, seed, group):
     """The second case spreads every gram over several groups."""
     monkeypatch.setattr(segments, "CHUNK", 3000)

@@ -208,6 +208,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     keyed = with_row_key(docs)
     segments = cut(find_segments(keyed), "word-segments")
     shared = segments.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    shared = cut(shared, "shared-word-keys")  # a plain table, so that a hot key's side of the join can be split
     repeated = cut(segments.join(shared, "key"), "shared-word-segments")
     distinct = repeated.groupBy("key", "seg").agg(F.min(F.struct("doc_id", "row_key", "lo", "n")).alias("r")).select("key", "seg", "r.*")
     distinct = cut(distinct, "distinct-word-segments")
@@ -220,6 +221,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     firsts = windows.groupBy("w0", "w1").agg(F.min("first").alias("first"))
     runs = _runs(windows.drop("first").join(firsts, ["w0", "w1"]))
     decided = distinct.select("key", "seg", F.col("doc_id").alias("first")).join(runs, ["key", "seg"], "left")
+    decided = cut(decided, "decided-word-segments")
     at = repeated.join(decided, ["key", "seg"])
     lo, n = F.col("lo"), F.col("n")
     plain = F.when(F.col("first") < F.col("doc_id"), F.array(whole(lo, n, WIDTH))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))

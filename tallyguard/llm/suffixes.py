@@ -291,6 +291,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     keyed = with_row_key(docs)
     segments = cut(find_segments(keyed), "byte-segments")
     shared = segments.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    shared = cut(shared, "shared-byte-keys")  # a plain table, so that a hot key's side of the join can be split
     repeated = cut(segments.join(shared, "key"), "shared-byte-segments")
     distinct = repeated.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("row_key", "lo", "n")).alias("r"))
     distinct = cut(distinct.select("key", "seg", "times", "r.*"), "distinct-byte-segments")
@@ -309,6 +310,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     # A segment has at most as many runs as strings.
     runs = runs.groupBy("key", "seg").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     decided = distinct.select("key", "seg", "times").join(runs, ["key", "seg"], "left").where("times > 1 or runs is not null")
+    decided = cut(decided, "decided-byte-segments")
     at = repeated.join(decided, ["key", "seg"])
     lo = F.col("lo")
     parts = F.transform("runs", lambda r: F.struct((lo + r["a"]).alias("start"), (lo + r["b"] + WIDTH).alias("stop")))

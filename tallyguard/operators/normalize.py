@@ -130,6 +130,11 @@ def _store_reasons() -> str:
                 f"cost_value is not null and try_cast(cost_value as {COST_TYPE}) is null",
             ),
             ("occurred_at:out_of_range", "startswith(occurred_at_text, '0000-')"),
+            # Stored text cannot hold the character NUL, which JSON can only escape.
+            (
+                "payload:nul_text",
+                r"contains(payload, r'\u0000') and contains(replace(payload, r'\\', ''), r'\u0000')",
+            ),
         ]
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -54,12 +55,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyguard/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    if open_scopes := _scopes():
+        open_scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_open_scopes: list[list[str]] = []
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The open scopes of this thread: each streaming job runs its batches in its own."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 @contextmanager
@@ -68,11 +76,11 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
 
     For jobs that publish their results themselves, such as a micro-batch.
     """
-    _open_scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for name in _open_scopes.pop():
+        for name in _scopes().pop():
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

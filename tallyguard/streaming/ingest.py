@@ -29,6 +29,7 @@ EVENT_SCHEMA = """event_id string, dedup_key string, provider string, parser_ver
     first_seq bigint, last_seq bigint, shape_key string, content_hash string,
     input_tokens_seq bigint, output_tokens_seq bigint, cost_amount_usd_seq bigint"""
 SHAPE_SCHEMA = "provider string, shape_key string, seq bigint"
+POSITION_SCHEMA = "first_seq bigint, last_seq bigint"
 RESULT_SCHEMA = "seq bigint, provider string, dedup_key string, event_id string, inserted boolean, revision int"
 QUARANTINE_SCHEMA = "seq bigint, received_at timestamp, provider string, version int, payload string, reason string"
 
@@ -69,6 +70,10 @@ class IngestJob:
     def _shapes(self, before: int) -> DataFrame:
         return read_appended(self.spark, self._path("shapes"), _schema(SHAPE_SCHEMA), before)
 
+    def _positions(self, before: int) -> DataFrame:
+        """First and last position of each batch, one row a batch."""
+        return read_appended(self.spark, self._path("positions"), _schema(POSITION_SCHEMA), before)
+
     def run_batch(self, arrivals: DataFrame, batch: int) -> None:
         """Process one batch; its sequence numbers must follow those of earlier batches."""
         prepare(self.spark)
@@ -76,7 +81,9 @@ class IngestJob:
             self._run(arrivals, batch)
 
     def _run(self, arrivals: DataFrame, batch: int) -> None:
-        rows = normalize(arrivals, self.registry)
+        # Parsed once, read for both outcomes.
+        rows = cut(normalize(arrivals, self.registry), "normalized")
+        self._check_order(rows, batch)
         publish(quarantined(rows).select(*_schema(QUARANTINE_SCHEMA).names), self._path("quarantine"), batch)
         good = cut(accepted(rows), "accepted")
 
@@ -94,6 +101,18 @@ class IngestJob:
 
         self._publish_alerts(good, new_corpus, batch)
 
+    def _check_order(self, rows: DataFrame, batch: int) -> None:
+        """Fail a batch with positions at or before those of earlier batches.
+
+        Revisions and alerts depend on the order, and earlier results are not revised.
+        """
+        span = rows.agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+        first = span.first().first_seq
+        before = self._positions(before=batch).agg(F.max("last_seq")).first()[0]
+        if first is not None and before is not None and first <= before:
+            raise ValueError(f"batch {batch} starts at position {first}, but {before} was already ingested")
+        publish(span, self._path("positions"), batch)
+
     def _publish_alerts(self, good: DataFrame, new_corpus: DataFrame, batch: int) -> None:
         shapes = new_corpus.groupBy("provider", "shape_key").agg(F.min("seq").alias("seq"))
         stored = self._shapes(before=batch).unionByName(shapes)

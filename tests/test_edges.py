@@ -80,6 +80,17 @@ def test_provider_without_stored_payloads(make_arrivals):
     assert reports["anthropic"].structural_diff.changed is False
 
 
+def test_text_with_nul_is_not_stored(make_arrivals):
+    rows = normalized(
+        make_arrivals,
+        ("openai", r'{"id": "a", "model": "x\u0000y"}'),
+        ("openai", r'{"id": "b", "model": "x\\u0000y"}'),
+        ("openai", r'{"id": "c", "k\\\u0000": 1}'),
+    ).collect()
+    assert [r.store_reasons for r in rows] == ["payload:nul_text", "", "payload:nul_text"]
+    assert [r.parse_reasons for r in rows] == [""] * 3
+
+
 def test_null_group_keeps_its_statistics(spark):
     events = spark.createDataFrame([(None, i, None if i > 6 else "x") for i in range(9)], "provider string, first_seq long, model string")
     row = drift.field_stats(events, {"model": "model"}, recent_window=3).first()

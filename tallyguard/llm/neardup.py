@@ -3,14 +3,15 @@
 A text is a multiset of five-word shingles, weighted by count times inverse document
 frequency.  Frequencies are counted over all documents in a fixed number of hashed buckets, so
 the table that every task needs has a fixed size; rare shingles share buckets and weigh
-about the same.  48 consistent samples per text, in 12 bands of 4, make texts of weighted
-Jaccard similarity 0.8 share a band with probability 0.998; candidates are verified by their exact
-weighted similarity.
+about the same.  120 consistent samples per text, in 20 bands of 6, make texts of weighted
+Jaccard similarity 0.8 share a band with probability 0.998, and texts that only share a passage
+hardly ever; candidates are verified by their exact weighted similarity.
 
-Texts with equal words form one node.  Within a band's bucket not all pairs are compared: a
-leader is compared with the members of other classes; members that are not similar to it choose the
-next leader, until every member is a leader or linked to one, or the bucket is one class.
-Classes are the connected components of all verified links.
+Texts with equal words form one node.  Within a band's bucket not all pairs are compared: leaders
+are compared with the members of other classes; members that are not similar to any choose the
+next leaders, four times as many as before, until every member is a leader or linked to one, or the
+bucket is one class.  Two members that are linked to leaders of different classes are not compared in that
+bucket; they meet in other bands, where the leaders are others.  Classes are the connected components of all verified links.
 
 Defined cases: texts of one to four words are one shingle; null texts and texts without words are
 classes of their own; rows with a null ``doc_id`` have a null class; rows equal in id and text are
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -32,7 +33,7 @@ from .common import map_slices, mix, packed, unpacked, with_row_key
 from .segments import pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 20, 6
 #: log2 of the number of buckets that document frequencies are counted in.
 DF_BITS = 18
 
@@ -252,8 +253,9 @@ def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, idf) -> DataF
         if open_.isEmpty():
             return labels
         turn += 1
-        order = F.struct((F.xxhash64("node", F.lit(turn)) if turn > 1 else F.col("node")).alias("rank"), F.col("node"))
-        leaders = cut(open_.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", F.col("l.node").alias("leader")), "leaders")
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)) if turn > 1 else F.col("node"), "node")
+        ranked = open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 4 ** (turn - 1))
+        leaders = cut(ranked.select("bucket", F.col("node").alias("leader")), "leaders")
         leader_class = labels.select(F.col("node").alias("leader"), F.col("class").alias("leader_class"))
         met = at.join(leaders, "bucket").join(leader_class, "leader").where("class != leader_class")
         pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()

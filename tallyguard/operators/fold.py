@@ -248,11 +248,12 @@ def first_by_content(df: DataFrame, content: str, order: str, columns: list[str]
     Copies collapse in the map-side aggregation, so a value with very many copies
     sends one row per input partition.
     """
-    return df.groupBy(content).agg(
+    first = df.groupBy(content).agg(
         F.min(order).alias(order),
         F.count("*").alias("copies"),
-        *[F.min_by(c, order).alias(c) for c in columns],
+        F.min_by(F.struct(*columns), order).alias("_first"),
     )
+    return first.select(content, order, "copies", "_first.*")
 
 
 CORPUS_FIELDS = (

@@ -294,7 +294,7 @@ def ingest_results(spark, sf_dir):
     t = Tables.from_source(spark, sf_dir)
     raised = t.stored_alerts.groupBy("seq").agg(F.count("*").alias("alerts"))
     return (
-        fold.ingest_results(t.stored_accepted)
+        fold.ingest_results(t.stored_light)
         .join(raised, "seq", "left")
         .select("seq", "dedup_key", "event_id", "inserted", "revision", F.coalesce("alerts", F.lit(0)).alias("alerts"))
     )
@@ -305,7 +305,7 @@ def ingest_results(spark, sf_dir):
 
 @query
 def structural_alerts(spark, sf_dir):
-    rows = Tables.from_source(spark, sf_dir).stored_accepted
+    rows = Tables.from_source(spark, sf_dir).stored_light
     return drift.structural_alerts(rows, fold.corpus_table(rows, ("provider", "shape_key"))).select(
         "seq", "provider", "severity", "message", "fingerprint",
         _list("added").alias("added"), _list("removed").alias("removed"),

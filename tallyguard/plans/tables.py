@@ -75,6 +75,16 @@ class Tables:
         """Accepted rows parsed once and written; later steps read the columns they need."""
         return cut(self.accepted.drop("version", "parse_reasons", "store_reasons"), "accepted")
 
+    @cached_property
+    def stored_light(self) -> DataFrame:
+        """Accepted rows without payload texts, for jobs that only count and compare.
+
+        A load that is stored already serves as it is.
+        """
+        if "stored_accepted" in self.__dict__:
+            return self.stored_accepted
+        return cut(self.accepted.drop("payload", "version", "parse_reasons", "store_reasons"), "accepted_light")
+
     @cached_property
     def stored_events(self) -> DataFrame:
         return cut(fold.events_table(self.stored_accepted), "events")
@@ -85,7 +95,7 @@ class Tables:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        rows = self.stored_accepted
+        rows = self.stored_light
         structural = drift.structural_alerts(rows, fold.corpus_table(rows, ("provider", "shape_key")))
         silent = drift.silent_null_first_fire(fold.fold_presence(rows), self.registry)
         return drift.alerts_table(structural, silent, rows)

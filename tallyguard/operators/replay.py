@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .normalize import GOLDEN_FIELDS, golden, normalize
-from .prefix import ranked
 from .registry import Registry
 
 
@@ -66,18 +65,24 @@ def replay_failures(rows: DataFrame, corpus: DataFrame, limit: int = 8) -> DataF
         .filter(F.col("_rn") <= limit)
         .select("provider", "version", "seq", F.col("golden.cost_value").alias("expected"), "parse_reasons")
     )
-    positions = ranked(corpus.select("provider", "seq"), "provider", "seq")
-    # At most `limit` rows per provider.
-    return (
-        positions.join(F.broadcast(first), ["provider", "seq"])
-        .select(
-            "provider",
-            (F.col("rank") - 1).alias("payload"),
-            "version",
-            "expected",
-            F.lit(None).cast("double").alias("actual"),
-            F.col("parse_reasons").alias("reason"),
-        )
+    # At most `limit` positions per provider: the stored payloads before each are counted
+    # where they are, without ranking the corpus.
+    sought = first.groupBy("provider").agg(F.array_sort(F.collect_set("seq")).alias("seqs"))
+    before = F.array(*(F.count_if(F.col("seq") < F.get("seqs", F.lit(i))) for i in range(limit)))
+    counted = (
+        corpus.select("provider", "seq")
+        .join(F.broadcast(sought), "provider")
+        .groupBy("provider")
+        .agg(F.first("seqs").alias("seqs"), before.alias("payloads"))
+    )
+    positions = counted.select("provider", F.inline(F.arrays_zip(F.col("seqs").alias("seq"), F.col("payloads").alias("payload"))))
+    return first.join(positions.filter("seq is not null"), ["provider", "seq"]).select(
+        "provider",
+        "payload",
+        "version",
+        "expected",
+        F.lit(None).cast("double").alias("actual"),
+        F.col("parse_reasons").alias("reason"),
     )
 
 

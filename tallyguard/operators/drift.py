@@ -235,8 +235,8 @@ def silent_nulls(stats: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def _check_expects(registry: Registry) -> None:
-    for provider in registry.providers():
-        if len({registry.get(provider, v).expects for v in registry.versions(provider)}) > 1:
+    for provider, known in registry.table.items():
+        if len({parser.expects for parser in known.values()}) > 1:
             raise ValueError(f"parser versions of {provider} expect different fields")
 
 
@@ -382,7 +382,7 @@ def silent_null_first_fire(
         .groupBy("provider", "field")
         .agg(F.min("seq").alias("seq"), *[F.min_by(n, "seq").alias(n) for n in numbers])
     )
-    expected = registry.by_provider(lambda p: f"array({', '.join(repr(e) for e in registry.latest(p).expects)})")
+    expected = registry.by_provider(lambda p: f"array({', '.join(repr(e) for e in registry.newest(p).expects)})")
     return _silent_null_columns(_rates(first.filter(F.expr(f"array_contains({expected}, field)"))))
 
 

@@ -54,9 +54,9 @@ def route(arrivals: DataFrame, registry: Registry) -> DataFrame:
 
     NULL where no such parser is registered.
     """
-    latest = registry.by_provider(lambda name: str(registry.latest(name).version))
+    latest = registry.by_provider(lambda name: str(registry.newest(name).version))
     wanted = f"coalesce(if(version != 0, version, null), {latest})"
-    known = f"concat_ws(':', provider, {wanted}) in ({_quoted(p.key for p in registry.all())})"
+    known = f"concat_ws(':', provider, {wanted}) in ({_quoted(p.key for p in registry.parsers)})"
     return arrivals.withColumn("parser_version", F.expr(f"if({known}, {wanted}, null)"))
 
 
@@ -111,7 +111,7 @@ def _parse_reasons(registry: Registry) -> str:
     for name, (column, field, _, code) in _TYPED.items():
         present = f"coalesce(_{name}_type, 'VOID') != 'VOID'"
         checks.append((f"{field}:{code}", f"{present} and {column} is null"))
-        needed_by = [p.key for p in registry.all() if field in p.required]
+        needed_by = [p.key for p in registry.parsers if field in p.required]
         if needed_by:
             checks.append((f"{field}:required", f"{routed} and not {present} and _route in ({_quoted(needed_by)})"))
     return _reasons(checks)
@@ -149,7 +149,7 @@ def normalize(arrivals: DataFrame, registry: Registry) -> DataFrame:
     The steps are separate projections on purpose: each value that later steps read
     more than once (the parsed document, a raw field, its type) is computed once.
     """
-    parsers = registry.all()
+    parsers = registry.parsers
     source = [f"`{c}`" for c in arrivals.columns]
     doc = route(arrivals, registry).selectExpr(
         *source, "parser_version", "concat_ws(':', provider, parser_version) as _route", "try_parse_json(payload) as _doc"

@@ -65,51 +65,46 @@ class Parser:
 
 
 class Registry:
-    """Parsers by provider and version; immutable, so plans built from it are stable."""
+    """A table of parsers, provider -> version -> parser, and the SQL that reads it.
 
-    def __init__(self, parsers: Iterable[Parser] = ()):
-        self._parsers = {p.key: p for p in parsers}
-
-    def register(self, parser: Parser) -> Registry:
-        return Registry([*self._parsers.values(), parser])
-
-    def get(self, provider: str, version: int) -> Parser | None:
-        return self._parsers.get(f"{provider}:{version}")
-
-    def has(self, provider: str, version: int) -> bool:
-        return self.get(provider, version) is not None
+    It never changes, so plans built from it are stable.  Providers keep the order in which
+    they came, versions ascend; a later parser replaces an equal version.
+    """
 
-    def versions(self, provider: str) -> list[int]:
-        return sorted(p.version for p in self._parsers.values() if p.provider == provider)
+    def __init__(self, parsers: Iterable[Parser] = ()):
+        table: dict[str, dict[int, Parser]] = {}
+        for parser in parsers:
+            table.setdefault(parser.provider, {})[parser.version] = parser
+        self.table = {provider: dict(sorted(known.items())) for provider, known in table.items()}
 
-    def latest(self, provider: str) -> Parser | None:
-        versions = self.versions(provider)
-        return self.get(provider, versions[-1]) if versions else None
+    @property
+    def parsers(self) -> list[Parser]:
+        return [parser for known in self.table.values() for parser in known.values()]
 
-    def providers(self) -> list[str]:
-        return list(dict.fromkeys(p.provider for p in self._parsers.values()))
+    def plus(self, parser: Parser) -> Registry:
+        return Registry([*self.parsers, parser])
 
-    def all(self) -> list[Parser]:
-        return list(self._parsers.values())
+    def newest(self, provider: str) -> Parser:
+        return self.table[provider][max(self.table[provider])]
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """One row per parser; the row count is the registry's own size."""
-        rows = [(p.provider, p.version, list(p.expects)) for p in self.all()]
+        rows = [(p.provider, p.version, list(p.expects)) for p in self.parsers]
         return spark.createDataFrame(rows, "provider string, version int, expects array<string>")
 
     def by_provider(self, value: Callable[[str], str], column: str = "provider") -> str:
         """SQL CASE over a provider column."""
-        branches = " ".join(f"when '{name}' then {value(name)}" for name in self.providers())
+        branches = " ".join(f"when '{name}' then {value(name)}" for name in self.table)
         return f"case {column} {branches} end"
 
     def version_list(self, column: str = "provider") -> str:
         """SQL for the registered versions of a provider, ascending."""
-        return self.by_provider(lambda name: f"array({', '.join(map(str, self.versions(name)))})", column)
+        return self.by_provider(lambda name: f"array({', '.join(map(str, self.table[name]))})", column)
 
     def expected_fields(self, provider: str = "provider", version: str = "parser_version") -> str:
         """SQL for the expected field names of a parser; empty if it is not registered."""
         branches = " ".join(
-            f"when '{p.key}' then array({', '.join(repr(e) for e in p.expects)})" for p in self.all()
+            f"when '{p.key}' then array({', '.join(repr(e) for e in p.expects)})" for p in self.parsers
         )
         return f"case concat_ws(':', {provider}, {version}) {branches} else cast(array() as array<string>) end"
 

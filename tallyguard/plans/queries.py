@@ -34,7 +34,7 @@ def with_v2() -> Registry:
 
 
 def with_v3() -> Registry:
-    return with_v2().register(STRICT_V3)
+    return with_v2().plus(STRICT_V3)
 
 
 def _list(column: str | Column, sep: str = ",") -> Column:
@@ -158,7 +158,7 @@ def _canonical(df: DataFrame) -> DataFrame:
 
 
 def _one_parser(spark, sf_dir, provider: str, version: int) -> DataFrame:
-    registry = Registry([with_v2().get(provider, version)])
+    registry = Registry([with_v2().table[provider][version]])
     rows = fixture.arrivals(spark, sf_dir).filter(F.col("provider") == provider)
     return _canonical(normalize(rows, registry))
 

@@ -312,7 +312,7 @@ def test_uuid_shape(spark):
 
 def test_a_strict_version_turns_its_cells_red(make_arrivals):
     strict = Parser(**{**ANTHROPIC_V1.__dict__, "version": 2, "required": ("model",)})
-    registry = build_registry(openai_v2=True).register(strict)
+    registry = build_registry(openai_v2=True).plus(strict)
     items = [("anthropic", {"id": "a"}), ("anthropic", {"id": "b", "model": "m"})]
     corpus = fold.corpus_table(accepted(normalize(make_arrivals(items), build_registry())))
     cells = replay.replay_matrix(replay.replay_rows(corpus, registry), registry).collect()

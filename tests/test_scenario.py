@@ -89,7 +89,7 @@ def test_alerts(load):
 
 def test_replay(load):
     corpus = load[2]
-    before_registry, after_registry = build_registry(), build_registry().register(OPENAI_V2)
+    before_registry, after_registry = build_registry(), build_registry().plus(OPENAI_V2)
     before = replay.replay_matrix(replay.replay_rows(corpus, before_registry), before_registry)
     after = replay.replay_matrix(replay.replay_rows(corpus, after_registry), after_registry)
     cells = {(c.provider, c.version): c for c in after.collect()}

@@ -8,6 +8,9 @@ whose bound passes the threshold are scored, and every item above it is retrieve
 item counts as leaked if the five-word shingles of the item, of its question and of its answer
 occur in the passage to the required shares.
 
+Words are compared without regard to case and to punctuation at their edges, in items and passages
+alike (``words_of``), so a passage copied in capitals or in quotation marks is found.
+
 The answer of an item is its last sentence, or the last third of its words if it has only one;
 the question is the rest.
 
@@ -22,6 +25,7 @@ items one per row; other columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -40,17 +44,24 @@ THRESHOLD = 0.5
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 SHINGLE = 5
 PART_ITEMS, BLOCK_ITEMS = 4096, 64
-_SENTENCE = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+")
+_SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+")
+#: Punctuation that is no part of a word it stands at the edge of.
+EDGE = string.punctuation + "\u00a1\u00ab\u00b4\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2015\u2018\u2019\u201a\u201c\u201d\u201e\u2026\u2039\u203a\u3001\u3002\u300c\u300d\uff01\uff0c\uff1f"
 FOUND = "doc_id long, item_id long, start long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
+def words_of(text: str) -> list[bytes]:
+    """Words of a text, case folded and without punctuation at the edges; one of punctuation only stays as it is."""
+    return [w.decode().strip(EDGE).encode() or w for w in text.casefold().encode().split()]
+
+
 def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     size = min(SHINGLE, len(words))
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
-    parts = [p.split() for p in _SENTENCE.split(text.encode())]
+    parts = [words_of(p) for p in _SENTENCE.split(text)]
     parts = [p for p in parts if p]
     if len(parts) > 1:
         return [w for p in parts[:-1] for w in p], parts[-1]
@@ -64,7 +75,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_length: float):
         self.ids = [i for i, _ in items]
-        self.words = [t.encode().split() for _, t in items]
+        self.words = [words_of(t) for _, t in items]
         # Parts of under five words are covered by the shingles of the whole item.
         self.parts = [[{s for s in shingles(p) if len(s) == SHINGLE} for p in question_and_answer(t)] for _, t in items]
         self.whole = [shingles(w) for w in self.words]
@@ -98,7 +109,7 @@ class ItemIndex:
 
     def retrieve(self, text: str) -> Iterator[tuple[int, int, float, list[bytes]]]:
         """(item, start, score, words) of each passage and item at or above the threshold."""
-        words = text.encode().split()
+        words = words_of(text)
         if not words or not self.ids:
             return
         ids = np.fromiter(map(self.at.get, words, repeat(len(self.at))), np.int64, len(words))
@@ -138,10 +149,16 @@ class ItemIndex:
 
 def item_indexes(benchmark: DataFrame) -> list[ItemIndex]:
     """Indexes of parts of the benchmark, each of at most ``PART_ITEMS`` items."""
-    split = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    items = benchmark.select("item_id", "text").where(F.size(split) > 0)
-    words = items.select(F.explode(F.array_distinct(split)).alias("w"))
-    shape = items.agg(F.count("*"), F.avg(F.size(split))).first()
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            listed = [[w.decode() for w in words_of(t or "")] for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(listed, pa.list_(pa.string()))], names=["item_id", "text", "words"])
+
+        return each
+
+    items = map_slices(benchmark.select("item_id", "text"), make, "item_id long, text string, words array<string>").where(F.size("words") > 0)
+    words = items.select(F.explode(F.array_distinct("words")).alias("w"))
+    shape = items.agg(F.count("*"), F.avg(F.size("words"))).first()
     n_items, mean_length = shape[0], shape[1] or 1.0
     df = words.groupBy("w").count()
     n_parts = -(-n_items // PART_ITEMS)
@@ -149,7 +166,7 @@ def item_indexes(benchmark: DataFrame) -> list[ItemIndex]:
     indexes = []
     for part in range(n_parts):
         mine = numbered.where(F.col("part") == part)
-        own = mine.select(F.explode(split).alias("w")).distinct()
+        own = mine.select(F.explode("words").alias("w")).distinct()
         known = {r["w"].encode(): r["count"] for r in df.join(own, "w", "left_semi").collect()}
         listed = sorted((tuple(r) for r in mine.select("item_id", "text").collect()), key=lambda x: (x[0] is None, x))
         indexes.append(ItemIndex(listed, known, n_items, mean_length))

@@ -90,3 +90,26 @@ def test_leak_edges(spark, monkeypatch):
     assert decontaminate.drop_leaked(docs, bench).count() == 4
     assert decontaminate.find_leaks(docs, bench.limit(0)).collect() == []
     assert decontaminate.find_leaks(docs.limit(0), bench).collect() == []
+
+
+def test_leaks_in_other_case_and_punctuation(spark):
+    """Whole items in capitals, in title case, in quotation marks, and with other marks after the words."""
+    item = "Which of the old harbour towns has the tallest lighthouse on the coast? It is the town of Straße-am-Meer, in the north."
+    filler = " ".join(f"word{i}" for i in range(500))
+    copies = [item, item.upper(), item.lower(), item.title(), f"\u201c{item}\u201d", item.replace(" ", ", "), item.replace(" ", " (")]
+    docs = spark.createDataFrame([(i, f"{filler} {c} {filler}") for i, c in enumerate(copies)] + [(100, filler), (101, filler.upper())], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "ONLY three Words!"), (3, "?!")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == {(i, 1) for i in range(len(copies))}
+    assert {r["doc_id"] for r in decontaminate.drop_leaked(docs, bench).collect()} == {100, 101}
+    short = spark.createDataFrame([(1, "so: only THREE words"), (2, "what ?!")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(short, bench).collect()} == {(1, 2), (2, 3)}
+
+
+def test_planted_item_in_capitals(spark):
+    """An item of the table, in capitals inside a document of the table."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    clean = decontaminate.drop_leaked(docs, bench).orderBy("doc_id").first()["text"]
+    items = [(r["item_id"], r["text"]) for r in bench.orderBy("item_id").limit(5).collect()]
+    planted = spark.createDataFrame([(i, f"{clean} {t.upper()} {clean}") for i, t in items], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(planted, bench).collect()}
+    assert got >= {(i, i) for i, _ in items}

@@ -10,8 +10,9 @@ hardly ever; candidates are verified by their exact weighted similarity.
 Texts with equal words form one node.  Within a band's bucket not all pairs are compared: leaders
 are compared with the members of other classes; members that are not similar to any choose the
 next leaders, four times as many as before, until every member is a leader or linked to one, or the
-bucket is one class.  Two members that are linked to leaders of different classes are not compared in that
-bucket; they meet in other bands, where the leaders are others.  Classes are the connected components of all verified links.
+bucket is one class.  Two members that are linked to leaders of different classes are then compared
+unless the distances to their leaders rule a link out (see ``bridges``), so every pair that shares a bucket is
+compared, of one class, or known to be too far apart.  Classes are the connected components of all verified links.
 
 Defined cases: texts of one to four words are one shingle; null texts and texts without words are
 classes of their own; rows with a null ``doc_id`` have a null class; rows equal in id and text are
@@ -33,6 +34,8 @@ from .common import map_slices, mix, packed, unpacked, with_row_key
 from .segments import pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Distance of linked texts, with room for rounding.
+NEAR = 1 - SIMILARITY + 1e-12
 BANDS, ROWS = 20, 6
 #: log2 of the number of buckets that document frequencies are counted in.
 DF_BITS = 18
@@ -186,7 +189,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs ``a``, ``b`` whose texts are similar."""
+    """The pairs ``a``, ``b`` with the distance ``d`` of their texts, one minus the similarity."""
     a, b = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
 
@@ -198,16 +201,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
             return made.shingle, made.weights(idf.value)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            close = []
+            apart = []
             for x, text_x, text_y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if last[0] != x:
                     last[:] = [x, vector(text_x)]
-                close.append(weighted_jaccard(last[1], vector(text_y)) >= SIMILARITY - 1e-12)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(close, pa.bool_())], names=["a", "b", "close"])
+                apart.append(1 - weighted_jaccard(last[1], vector(text_y)))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.float64())], names=["a", "b", "d"])
 
         return each
 
-    return map_slices(joined, make, "a long, b long, close boolean")
+    return map_slices(joined, make, "a long, b long, d double")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -239,34 +242,74 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return merged(nodes.select("node", F.col("node").alias("class")), links)
 
 
+def _spanning(at: DataFrame) -> DataFrame:
+    """Buckets of ``at(bucket, node, class)`` with more than one class."""
+    return at.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
+
+
+def bridges(members: DataFrame, labels: DataFrame, leaders: DataFrame, checked: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of linked members of different classes that may be similar and were not compared.
+
+    Every member is a leader of its bucket or linked to one, and a leader was compared with all members
+    of other classes.  One minus the weighted Jaccard similarity is a metric, so members as near as a link lie
+    about as far from either one's leader: ``d(leader, other) <= d(leader, own) + NEAR``.
+    A pair must hold this seen from both sides; no link is lost.
+    """
+    active = cut(_spanning(members.join(labels, "node")), "spanning-buckets")
+    both = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).where(F.col("d") <= 2 * NEAR)
+    both = cut(both.select(F.col("a").alias("leader"), F.col("b").alias("node"), "d").distinct(), "judged-both-ways")
+    own = leaders.join(active, "bucket", "left_semi").join(both.where(F.col("d") <= NEAR), "leader")
+    own = own.join(members, ["bucket", "node"], "left_semi").select("leader", "node", "d").distinct()
+    own = cut(own.join(labels, "node"), "led-members")
+    others = cut(both.join(own.select("leader").distinct(), "leader", "left_semi").join(labels, "node"), "judged-others")
+    others = others.select("leader", F.col("node").alias("other"), F.col("d").alias("reach"), F.col("class").alias("other_class"))
+    met = own.join(others, "leader").where((F.col("class") != F.col("other_class")) & (F.col("reach") <= F.col("d") + NEAR))
+    seen = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), (F.col("node") < F.col("other")).alias("up"))
+    pairs = seen.groupBy("a", "b").agg(F.min("up").alias("x"), F.max("up").alias("y")).where("x != y").select("a", "b")
+    return pairs.join(checked, ["a", "b"], "left_anti")
+
+
 def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, idf) -> DataFrame:
-    """Classes of ``members(bucket, node)`` by rounds of leaders."""
+    """Classes of ``members(bucket, node)`` by rounds of leaders, then bridges between the classes of a bucket."""
     spark = members.sparkSession
     labels = cut(nodes.select("node", F.col("node").alias("class")), "classes")
-    checked = spark.createDataFrame([], "a long, b long, close boolean")  # all pairs compared so far
+    checked = spark.createDataFrame([], "a long, b long, d double")  # all pairs compared so far
+    led = spark.createDataFrame([], "bucket long, leader long")  # all leaders so far
     open_ = members  # neither a leader nor linked to one
     turn = 0
     while True:
         at = members.join(labels, "node")
-        active = at.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
-        open_ = cut(open_.join(active, "bucket", "left_semi"), "open-members")
+        open_ = cut(open_.join(_spanning(at), "bucket", "left_semi"), "open-members")
         if open_.isEmpty():
-            return labels
+            break
         turn += 1
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)) if turn > 1 else F.col("node"), "node")
         ranked = open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 4 ** (turn - 1))
         leaders = cut(ranked.select("bucket", F.col("node").alias("leader")), "leaders")
+        led = led.unionByName(leaders)
         leader_class = labels.select(F.col("node").alias("leader"), F.col("class").alias("leader_class"))
         met = at.join(leaders, "bucket").join(leader_class, "leader").where("class != leader_class")
         pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         judged = cut(_verified(pairs.join(checked, ["a", "b"], "left_anti"), texts, idf), "judged-pairs")
         checked = checked.unionByName(judged)
-        links = checked.where("close").select("a", "b")
+        links = checked.where(F.col("d") <= NEAR).select("a", "b")
         near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         covered = leaders.join(near, leaders.leader == near.a).select("bucket", F.col("b").alias("node"))
         covered = covered.unionByName(leaders.select("bucket", F.col("leader").alias("node")))
         open_ = open_.join(covered, ["bucket", "node"], "left_anti")
-        labels = merged(labels, judged.where("close").select("a", "b"))
+        labels = merged(labels, judged.where(F.col("d") <= NEAR).select("a", "b"))
+    left = cut(bridges(members, labels, led, checked), "bridges")
+    # A first share of the pairs joins most classes that have any link, and the rest of their pairs is spared.
+    for share in (16, 1):
+        if left.isEmpty():
+            break
+        across = left.join(labels.select(F.col("node").alias("a"), F.col("class").alias("x")), "a")
+        across = across.join(labels.select(F.col("node").alias("b"), F.col("class").alias("y")), "b").where("x != y").select("a", "b")
+        picked = F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0
+        judged = cut(_verified(across.where(picked), texts, idf), "judged-bridges")
+        left = left.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        labels = merged(labels, judged.where(F.col("d") <= NEAR).select("a", "b"))
+    return labels
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

@@ -128,3 +128,31 @@ def test_components(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(101), *range(1000, 1009), 5000]], "node long")
     got = {r["node"]: r["class"] for r in neardup.components(nodes, links).collect()}
     assert {got[i] for i in range(101)} == {0} and {got[i] for i in range(1000, 1009)} == {1000} and got[5000] == 5000
+
+
+def bridged_rows():
+    """24 families: near copies of a text, and a row of copies that are near the one before and the one after only."""
+    rows, at = [], 0
+    for family in range(24):
+        base = [f"f{family}w{i}" for i in range(400)]
+        # 33 of 400 words differ between steps, so only neighbouring steps are near each other.
+        for k in range(3):  # the centre and near copies
+            rows.append((at + k, " ".join(f"{w}c{k}" if i < k else w for i, w in enumerate(base))))
+        for k in range(12):  # a row of copies, each a step further from the centre
+            words = [f"s{family}x{i}" if i < 33 * (k + 1) else w for i, w in enumerate(base)]
+            rows.append((at + 3 + k, " ".join(words)))
+        at += 20
+    return rows
+
+
+def test_bridges_in_one_bucket(spark):
+    """All texts in one bucket: members linked to leaders of different classes are compared too."""
+    rows = bridged_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dict(brute_classes(rows, idf_function(frame)))
+    texts = neardup.packed(frame, "doc_id").withColumnRenamed("doc_id", "node")
+    nodes = frame.select(neardup.F.col("doc_id").alias("node"))
+    members = nodes.select(neardup.F.lit(7).cast("long").alias("bucket"), "node")
+    idf = spark.sparkContext.broadcast(neardup.inverse_frequencies(*neardup.document_frequencies(frame)))
+    got = {r["node"]: r["class"] for r in neardup._links(members, texts, nodes, idf).collect()}
+    assert got == want and 24 <= len(set(want.values())) < len(rows)

@@ -1,9 +1,9 @@
 """Near-duplicate detection by improved consistent weighted sampling.
 
 A text is a multiset of five-word shingles, weighted by count times inverse document
-frequency.  Frequencies are counted over all documents in a fixed number of hashed buckets, so
-the table that every task needs has a fixed size; rare shingles share buckets and weigh
-about the same.  120 consistent samples per text, in 20 bands of 6, make texts of weighted
+frequency.  Frequencies are exact: chunks of texts send the sorted 64-bit hashes of their shingles
+to parts of the hash range, and each part answers a chunk with the counts of those that occur in two or more
+documents; the others occur in one.  120 consistent samples per text, in 20 bands of 6, make texts of weighted
 Jaccard similarity 0.8 share a band with probability 0.998, and texts that only share a passage
 hardly ever; candidates are verified by their exact weighted similarity.
 
@@ -21,24 +21,28 @@ one document; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import map_slices, mix, packed, unpacked, with_row_key
+from .common import map_slices, mix, unpacked, with_row_key
 from .segments import pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Distance of linked texts, with room for rounding.
 NEAR = 1 - SIMILARITY + 1e-12
 BANDS, ROWS = 20, 6
-#: log2 of the number of buckets that document frequencies are counted in.
+#: log2 of the size of a table of weights by the first bits of a hash (``Shingles.weights``).
 DF_BITS = 18
+#: Documents and bytes of text of a chunk at most (a longer text is one by itself), and bytes of text for each part of the hash range.
+CHUNK_ROWS, CHUNK_BYTES, PART_BYTES = 2048, 8 << 20, 8 << 20
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -76,39 +80,34 @@ class Shingles:
         self.count = np.diff(np.append(edge, len(text)))
 
     def buckets(self) -> np.ndarray:
-        return (self.shingle >> np.uint64(64 - DF_BITS)).astype(np.int64)
+        """What document frequencies are counted by: the 64-bit hash of each shingle."""
+        return self.shingle
 
     def weights(self, idf: np.ndarray) -> np.ndarray:
-        return self.count * idf[self.buckets()]
+        """Weights under a table of ``1 << DF_BITS`` numbers by the first bits of the hash."""
+        return self.count * idf[(self.shingle >> np.uint64(64 - DF_BITS)).astype(np.int64)]
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per bucket of shingles, and documents, over all rows."""
+def document_frequencies(docs: DataFrame) -> tuple[dict[int, int], int]:
+    """Documents per shingle, and documents, over all rows of a small table, as one plain count on the driver.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(1 << DF_BITS, np.int64), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                texts = [(t or "").encode() for t in batch.slice(at, 64).column(0).to_pylist()]
-                made = Shingles(texts)
-                own = np.unique(made.text * (1 << DF_BITS) + made.buckets())
-                df += np.bincount(own & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
-                n += len(texts)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["bucket", "df"])
+    The operator counts in parts of the hash range instead (see ``signatures``).
+    """
 
-    counted = docs.select("text").mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
-    df, n = np.zeros(1 << DF_BITS, np.int64), 0
-    for bucket, count in zip(counted.column("bucket").to_numpy(), counted.column("df").to_numpy(), strict=True):
-        if bucket < 0:
-            n = int(count)
-        else:
-            df[bucket] = count
-    return df, n
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = Shingles([(t or "").encode() for t in batch.column(0).to_pylist()])
+            return pa.RecordBatch.from_arrays([pa.array(made.shingle.view(np.int64))], names=["shingle"])
+
+        return each
 
+    counted = map_slices(docs.select("text"), make, "shingle long").groupBy("shingle").count().toArrow()
+    hashes = counted.column("shingle").to_numpy().view(np.uint64).tolist()
+    return dict(zip(hashes, counted.column("count").to_pylist(), strict=True)), docs.count()
 
-def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log1p(n / np.maximum(df, 1))
+
+def inverse_frequencies(df: dict[int, int], n: int) -> dict[int, float]:
+    return {shingle: float(np.log1p(n / count)) for shingle, count in df.items()}
 
 
 class Sampler:
@@ -149,36 +148,132 @@ class Sampler:
         return out
 
 
-def signatures(keyed: DataFrame, df: np.ndarray, n: int) -> DataFrame:
-    """``doc_id``, ``row_key``, node ``t0``/``t1`` (hashes of the words) and bands for rows with words and an id."""
-    shared = keyed.sparkSession.sparkContext.broadcast(inverse_frequencies(df, n))
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes(), 1)
+
+
+def _numbers(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _part_edges(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of the hashes starts in sorted ``hashes``, and the end."""
+    return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+
+
+def _chunks(keyed: DataFrame) -> DataFrame:
+    """The rows in chunks of compressed texts, written once, as later steps refer to the chunks."""
 
     def make():
-        sampler = Sampler()
+        def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            out, start, held = [], 0, 0
+            for at in range(len(texts) + 1):
+                if at == len(texts) or (held and held + len(texts[at]) > CHUNK_BYTES):
+                    own = [t.encode() for t in texts[start:at]]
+                    rows = [[uuid.uuid4().int >> 65], [len(own)], [sum(map(len, own))]]
+                    columns = [pa.array(x, pa.int64()) for x in rows] + [pa.array([batch.column(k).slice(start, at - start).to_pylist()], pa.list_(pa.int64())) for k in (0, 2)]
+                    columns.append(pa.array([[zstandard.compress(t, 1) for t in own]], pa.list_(pa.binary())))
+                    out.append(pa.RecordBatch.from_arrays(columns, names=["chunk", "n_rows", "n_bytes", "doc_ids", "row_keys", "packed"]))
+                    start, held = at, 0
+                if at < len(texts):
+                    held += len(texts[at])
+            return out
+
+        return each
 
+    rows = keyed.select("doc_id", "text", "row_key")
+    schema = "chunk long, n_rows long, n_bytes long, doc_ids array<long>, row_keys array<long>, packed array<binary>"
+    return cut(map_slices(rows, make, schema, CHUNK_ROWS), "near-chunks")
+
+
+def _shared_counts(chunks: DataFrame, parts: int) -> DataFrame:
+    """``chunk`` and ``answers(part, places, counts)``: exact document counts of two or more."""
+
+    def make():
         def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             out = []
-            for piece in pieces([len(t) // 4 for t in texts]):
-                made = Shingles(texts[piece])
-                bands = sampler.bands(made, made.weights(shared.value), len(texts[piece])).view(np.int64)
-                rows = batch.slice(piece.start, piece.stop - piece.start)
-                names = [xxhash.xxh128_intdigest(w) for w in made.words]
+            for chunk, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes, counts = np.unique(Shingles([unpacked(x) for x in blobs]).shingle, return_counts=True)
+                edges = _part_edges(hashes, parts)
+                filled = [p for p in range(parts) if edges[p] < edges[p + 1]]
+                sent = [(slice(edges[p], edges[p + 1])) for p in filled]
                 columns = [
-                    rows.column(0),
-                    rows.column(2),
-                    pa.array(np.array([x >> 64 for x in names], np.uint64).view(np.int64)),
-                    pa.array(np.array([x & (2**64 - 1) for x in names], np.uint64).view(np.int64)),
-                    pa.array(list(bands), pa.list_(pa.int64())),
+                    pa.array(filled, pa.int32()),
+                    pa.array([chunk] * len(filled), pa.int64()),
+                    pa.array([_squeezed(np.diff(hashes[x], prepend=np.uint64(0))) for x in sent], pa.binary()),
+                    pa.array([_squeezed(counts[x].astype(np.uint32)) for x in sent], pa.binary()),
                 ]
-                keep = pa.array([bool(w) for w in made.words])
-                out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "t0", "t1", "bands"]).filter(keep))
+                out.append(pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "hashes", "counts"]))
+            return out
+
+        return each
+
+    def answer(table: pa.Table) -> pa.Table:
+        hashes = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+        known, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.concatenate([_numbers(x, np.uint32) for x in table.column("counts").to_pylist()])
+        df = np.bincount(place, counts, len(known)).astype(np.int64)[place]
+        places, found = [], []
+        for own in np.split(df, np.cumsum([len(x) for x in hashes])[:-1]):
+            at = np.flatnonzero(own > 1)
+            places.append(_squeezed(at.astype(np.uint32)))
+            found.append(_squeezed(own[at]))
+        return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "places": pa.array(places, pa.binary()), "counts": pa.array(found, pa.binary())})
+
+    sent = map_slices(chunks.select("chunk", "packed"), make, "part int, chunk long, hashes binary, counts binary", 1)
+    answers = sent.groupBy("part").applyInArrow(answer, "part int, chunk long, places binary, counts binary")
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "places", "counts")).alias("answers"))
+
+
+def signatures(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """``doc_id``, ``row_key``, node ``t0``/``t1`` (hashes of the words), bands, ``packed`` text and exact document frequencies
+    ``df`` of its sorted shingles, for rows with words and an id; and the number of documents."""
+    chunks = _chunks(keyed)
+    shape = chunks.agg(F.sum("n_rows"), F.sum("n_bytes")).first()
+    n, parts = shape[0] or 0, max(16, -(-(shape[1] or 0) // PART_BYTES))
+    joined = chunks.join(_shared_counts(chunks, parts), "chunk", "left").select("doc_ids", "row_keys", "packed", "answers")
+
+    def make():
+        sampler = Sampler()
+
+        def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+            out = []
+            for doc_ids, row_keys, blobs, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts = [unpacked(x) for x in blobs]
+                hashes = np.unique(Shingles(texts).shingle)
+                df, edges = np.ones(len(hashes), np.int64), _part_edges(hashes, parts)
+                for x in answers or []:
+                    df[edges[x["part"]] + _numbers(x["places"], np.uint32).astype(np.int64)] = _numbers(x["counts"], np.int64)
+                for piece in pieces([len(t) // 4 for t in texts]):
+                    made = Shingles(texts[piece])
+                    own = df[np.searchsorted(hashes, made.shingle)]
+                    bands = sampler.bands(made, exact_weights(made, own, n), len(texts[piece])).view(np.int64)
+                    names = [xxhash.xxh128_intdigest(w) for w in made.words]
+                    ends = np.searchsorted(made.text, np.arange(len(names) + 1))
+                    columns = [
+                        pa.array(doc_ids[piece], pa.int64()),
+                        pa.array(row_keys[piece], pa.int64()),
+                        pa.array(np.array([x >> 64 for x in names], np.uint64).view(np.int64)),
+                        pa.array(np.array([x & (2**64 - 1) for x in names], np.uint64).view(np.int64)),
+                        pa.array(list(bands), pa.list_(pa.int64())),
+                        pa.array(blobs[piece], pa.binary()),
+                        pa.array([_squeezed(own[i:j]) if i < j else b"" for i, j in zip(ends, ends[1:])], pa.binary()),
+                    ]
+                    keep = pa.array([bool(w) and i is not None for w, i in zip(made.words, doc_ids[piece], strict=True)])
+                    out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "t0", "t1", "bands", "packed", "df"]).filter(keep))
             return out
 
         return each
 
-    rows = keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "row_key")
-    return map_slices(rows, make, "doc_id long, row_key long, t0 long, t1 long, bands array<long>")
+    return map_slices(joined, make, "doc_id long, row_key long, t0 long, t1 long, bands array<long>, packed binary, df binary", 1), n
+
+
+def exact_weights(made: Shingles, df: np.ndarray, n: int) -> np.ndarray:
+    """Weights of the shingles of ``made``, which occur in ``df`` of ``n`` documents."""
+    return made.count * np.log1p(n / df)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -188,17 +283,17 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """The pairs ``a``, ``b`` with the distance ``d`` of their texts, one minus the similarity."""
-    a, b = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
+    a, b = (texts.select(F.col("node").alias(k), F.struct("packed", "df").alias(f"text_{k}")) for k in ("a", "b"))
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
 
     def make():
         last: list = [None, None]
 
-        def vector(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-            made = Shingles([unpacked(blob)])
-            return made.shingle, made.weights(idf.value)
+        def vector(text: dict) -> tuple[np.ndarray, np.ndarray]:
+            made = Shingles([unpacked(text["packed"])])
+            return made.shingle, exact_weights(made, _numbers(text["df"], np.int64), n)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             apart = []
@@ -269,7 +364,7 @@ def bridges(members: DataFrame, labels: DataFrame, leaders: DataFrame, checked:
     return pairs.join(checked, ["a", "b"], "left_anti")
 
 
-def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, idf) -> DataFrame:
+def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """Classes of ``members(bucket, node)`` by rounds of leaders, then bridges between the classes of a bucket."""
     spark = members.sparkSession
     labels = cut(nodes.select("node", F.col("node").alias("class")), "classes")
@@ -290,7 +385,7 @@ def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, idf) -> DataF
         leader_class = labels.select(F.col("node").alias("leader"), F.col("class").alias("leader_class"))
         met = at.join(leaders, "bucket").join(leader_class, "leader").where("class != leader_class")
         pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        judged = cut(_verified(pairs.join(checked, ["a", "b"], "left_anti"), texts, idf), "judged-pairs")
+        judged = cut(_verified(pairs.join(checked, ["a", "b"], "left_anti"), texts, n), "judged-pairs")
         checked = checked.unionByName(judged)
         links = checked.where(F.col("d") <= NEAR).select("a", "b")
         near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -306,7 +401,7 @@ def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, idf) -> DataF
         across = left.join(labels.select(F.col("node").alias("a"), F.col("class").alias("x")), "a")
         across = across.join(labels.select(F.col("node").alias("b"), F.col("class").alias("y")), "b").where("x != y").select("a", "b")
         picked = F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0
-        judged = cut(_verified(across.where(picked), texts, idf), "judged-bridges")
+        judged = cut(_verified(across.where(picked), texts, n), "judged-bridges")
         left = left.join(judged.select("a", "b"), ["a", "b"], "left_anti")
         labels = merged(labels, judged.where(F.col("d") <= NEAR).select("a", "b"))
     return labels
@@ -318,9 +413,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     ``kept`` marks the document of each class that stays, the one with the least id.
     """
     keyed = with_row_key(docs)
-    df, n = document_frequencies(docs)
-    signed = cut(signatures(keyed, df, n), "signatures")
-    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(df, n))
+    signed, n = signatures(keyed)
+    signed = cut(signed, "signatures")
     nodes = signed.groupBy("t0").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.first("bands").alias("bands"))
     nodes = cut(nodes.select(F.col("t0").alias("node"), "first", "bands"), "near-nodes")
     banded = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("bucket"))
@@ -328,10 +422,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     members = cut(banded.join(shared, "bucket").select("bucket", "node"), "bucket-members")
     met = cut(members.select("node").distinct(), "candidate-nodes")
     chosen = nodes.join(met, "node", "left_semi").select("node", F.col("first.row_key").alias("row_key")).alias("c")
-    carried = packed(keyed.where(F.col("doc_id").isNotNull()), "row_key").alias("t")
-    texts = carried.join(chosen, F.col("t.row_key") == F.col("c.row_key")).select("c.node", "t.packed")
-    texts = cut(texts.groupBy("node").agg(F.first("packed").alias("packed")), "candidate-texts")
-    labels = _links(members, texts, met, idf)
+    carried = signed.select("row_key", F.struct("packed", "df").alias("text")).alias("t")
+    texts = carried.join(chosen, F.col("t.row_key") == F.col("c.row_key")).select("c.node", "t.text")
+    texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", "text.*"), "candidate-texts")
+    labels = _links(members, texts, met, n)
     classed = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("class", "node").alias("class"))
     least = classed.groupBy("class").agg(F.min("first").alias("least"))
     by_node = classed.join(least, "class").select(F.col("node").alias("t0"), "least")

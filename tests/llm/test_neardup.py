@@ -149,10 +149,53 @@ def test_bridges_in_one_bucket(spark):
     """All texts in one bucket: members linked to leaders of different classes are compared too."""
     rows = bridged_rows()
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    want = dict(brute_classes(rows, idf_function(frame)))
-    texts = neardup.packed(frame, "doc_id").withColumnRenamed("doc_id", "node")
+    want = dict(brute_classes(rows, counted_idf(rows)))
+    signed, n = neardup.signatures(neardup.with_row_key(frame))
+    texts = signed.select(neardup.F.col("doc_id").alias("node"), "packed", "df")
     nodes = frame.select(neardup.F.col("doc_id").alias("node"))
     members = nodes.select(neardup.F.lit(7).cast("long").alias("bucket"), "node")
-    idf = spark.sparkContext.broadcast(neardup.inverse_frequencies(*neardup.document_frequencies(frame)))
-    got = {r["node"]: r["class"] for r in neardup._links(members, texts, nodes, idf).collect()}
+    got = {r["node"]: r["class"] for r in neardup._links(members, texts, nodes, n).collect()}
     assert got == want and 24 <= len(set(want.values())) < len(rows)
+
+
+def counted_idf(rows):
+    """Inverse frequencies of shingles, counted here."""
+    _, bags = vectors(rows)
+    df = Counter(s for bag in bags for s in bag)
+    return lambda shingle: np.log1p(len(rows) / df[shingle])
+
+
+@pytest.mark.parametrize("chunk", [neardup.CHUNK_ROWS, 7])
+def test_exact_frequencies(spark, monkeypatch, chunk):
+    """The frequencies of every text and the classes, by plain counts; few large or many small chunks."""
+    monkeypatch.setattr(neardup, "CHUNK_ROWS", chunk)
+    rows = edge_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    signed, n = neardup.signatures(neardup.with_row_key(frame))
+    listed, bags = vectors(rows)
+    df = Counter(s for bag in bags for s in bag)
+    texts, found = {i: t for i, t in rows if i is not None}, signed.collect()
+    assert n == len(rows) and len(found) == sum(i is not None and bool(w) for (i, _), w in zip(rows, listed))
+    for r in found:
+        bag = Counter({s: 1 for s in vectors([(0, texts[r["doc_id"]])])[1][0]})
+        assert sorted(neardup._numbers(r["df"], np.int64).tolist()) == sorted(df[s] for s in bag)
+    assert classes(frame) == brute_classes(rows, counted_idf(rows))
+
+
+def test_many_shingles_do_not_share_counts(spark):
+    """Two texts share a common passage and have one rare shingle each; six million other shingles do not change their weights."""
+    F = neardup.F
+    passage = " ".join(f"p{i}" for i in range(54))
+    rare = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(30_000)), lambda i: F.concat_ws("x", "id", i)), " ")
+    filler = spark.range(200).repartition(8).select("id", F.concat(F.lit(passage + " "), rare).alias("text"))
+    pair = spark.createDataFrame([(1000, passage + " one"), (1001, passage + " two")], "id long, text string")
+    frame = filler.unionByName(pair).withColumnRenamed("id", "doc_id")
+    # 50 shingles in all 202 texts and one in one: 50 ln 2 / (50 ln 2 + 2 ln 203) = 0.77.
+    assert {d: c for d, c in classes(frame) if d >= 1000} == {1000: 1000, 1001: 1001}
+
+
+def test_table_under_plain_counts(spark):
+    """All pairs of the table under frequencies that are counted here."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert classes(docs) == brute_classes(rows, counted_idf(rows))

@@ -7,11 +7,12 @@ longest common subsequence aligns with the nearest page are shared: templates, m
 Shared lines are deleted, with two corrections where sharing alone is wrong for a page:
 elements that HTML itself marks as no content (navigation, forms, adverts, reader comments and so
 on) go even if their words differ from page to page, and lines inside an article element stay
-even if a neighbour repeats them, as copied articles and licence lines do.  On a page with an
-article element everything outside of it goes.
+even if a neighbour repeats them, as copied articles and licence lines do.  Lines outside the article
+and not marked as no content stay unless they are shared.
 
 Defined cases: a null or empty page has no text; a page without a URL belongs to the host '';
-a page whose every line is shared is a copy and loses none by sharing; rows with equal id, URL
+a page without an article element
+whose every line that is not marked as no content is shared is a copy and loses none by sharing; rows with equal id, URL
 and text have one result each; other columns are ignored.
 """
 
@@ -137,13 +138,12 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
 
 def main_text(page: str, neighbour: list[int] | None) -> str:
     cut_up = lines(page)
-    if any(kind == "article" for _, kind in cut_up):
-        return "\n".join(text for text, kind in cut_up if kind == "article")
-    here = line_hashes(cut_up)
-    shared = common_lines(here, neighbour) if neighbour else set()
-    if len(shared) == len(here):
+    # The neighbour's lines come without those of its article.
+    rest = [i for i, (_, kind) in enumerate(cut_up) if kind != "article"]
+    shared = {rest[k] for k in common_lines(line_hashes([cut_up[i] for i in rest]), neighbour)} if neighbour else set()
+    if len(rest) == len(cut_up) and all(i in shared for i in rest if cut_up[i][1] == "open"):
         shared = set()
-    return "\n".join(text for i, (text, kind) in enumerate(cut_up) if kind == "open" and i not in shared)
+    return "\n".join(text for i, (text, kind) in enumerate(cut_up) if kind == "article" or (kind == "open" and i not in shared))
 
 
 def line_hashes(cut_up: list[tuple[str, str]]) -> list[int]:

@@ -96,3 +96,23 @@ def test_articles_of_the_table(spark):
         inner = r["html"].split("<article>")[1].split("</article>")[0].split("<footer>")[0]
         blocks = [" ".join(html.unescape(re.sub(r"</?b>|<br>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_copies_that_differ_in_a_menu_line(spark):
+    """Neighbouring copies without an article element keep their text although menus and adverts differ."""
+
+    def page(menu):
+        return f"<html><body><nav><ul><li>{menu}</li></ul></nav><div class='ad'>Buy {menu}</div><p>The first.</p><p>The second.</p></body></html>"
+
+    got = run(spark, [(i, f"https://h.example/x/{i}", page(f"menu {i}")) for i in range(4)])
+    assert got == dict.fromkeys(range(4), "The first.\nThe second.")
+
+
+def test_lines_outside_the_article(spark):
+    """Own lines outside the article stay, those shared with the nearest page go, article lines stay in any case."""
+
+    def page(i):
+        return f"<html><body><div>Welcome</div><div>Summary of {i}</div><article><p>Same text.</p></article><p>Note {i}.</p><div>All rights</div></body></html>"
+
+    got = run(spark, [(i, f"https://h.example/x/{i}", page(i)) for i in range(4)])
+    assert got == {i: f"Summary of {i}\nSame text.\nNote {i}." for i in range(4)}

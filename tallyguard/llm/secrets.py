@@ -42,13 +42,18 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+#: A private key through its END line, or without one through its headers and base64 lines (line ends may be escaped).
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])+(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{40,}={0,2})+(?:(?:\r?\n|\\n)[A-Za-z0-9+/]+={0,2}(?![^\s\\\"']))?)?)"
+)
 #: The first three are the base rules; the order breaks ties between spans.
 RULES = (
     Rule("assign", 1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, re.ASCII | re.IGNORECASE),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 16),
     # As long as it is greedy, {32,} takes the same runs as + and a check of the length.
     Rule("hex", 1, r"[0-9a-f]{32,}", 32),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 1),
+    Rule("pem", 2, _PEM, 1),
     Rule("pat", 1, r"gh[opsu]_[A-Za-z0-9]+", 40),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 30),
 )

@@ -124,3 +124,14 @@ def test_redaction(spark):
     assert got[1]["text"] == "é [SECRET] [SECRET]." and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "clean" and got[3]["text"] is None
     assert got[4]["text"] == "[SECRET]"
+
+
+def test_private_keys_go_whole(spark):
+    """Header, body and END line of a key are one span; without an END line the base64 lines go, and text around stays."""
+    body = ["MIIEpAIBAAKCAQEA" + "aB3/" * 12, "Zx9+" * 16, "qL0b" * 5 + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n"
+    keys = ["\n".join([begin, *body, end]), "\n".join([begin, *body]), "\\n".join([begin, *body, end]), begin + "\n" + head + "\n" + "\n".join(body), begin]
+    frame = spark.createDataFrame([(i, f"Before it.\n{k}\nAfter it all.") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert got == dict.fromkeys(range(len(keys)), "Before it.\n[SECRET]\nAfter it all.")

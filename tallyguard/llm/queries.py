@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, pages, pii, quality, search, secrets, substrings, suffixes
+from . import decontaminate, merkle, merkle_sql, mixing, neardup, pages, pii, quality, search, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_documents(docs, docs.where(F.col("doc_id") % 100 == 0), 10)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.build(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_neardup": op2_neardup,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_search": op10_search,
+    "op12_merkle": op12_merkle,
 }
 
 OP1 = r"""
@@ -136,4 +141,5 @@ select query_id, rank, doc_id, score from ranked where rank <= 10
 ORACLE: dict[str, str] = {
     "op1_substrings": OP1,
     "op10_search": OP10,
+    "op12_merkle": merkle_sql.statement(),
 }

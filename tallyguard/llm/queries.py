@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, merkle, merkle_sql, mixing, neardup, pages, pii, quality, search, secrets, substrings, suffixes
+from . import alignment, decontaminate, merkle, merkle_sql, mixing, neardup, pages, pii, quality, search, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_documents(docs, docs.where(F.col("doc_id") % 100 == 0), 10)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.build(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_search": op10_search,
+    "op11_alignment": op11_alignment,
     "op12_merkle": op12_merkle,
 }
 

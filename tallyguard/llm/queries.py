@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, merkle, merkle_sql, mixing, neardup, pages, pii, quality, search, secrets, substrings, suffixes
+from . import alignment, decontaminate, merkle, merkle_sql, mixing, neardup, neighbours, pages, pii, quality, search, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.build(_table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 100."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_neardup": op2_neardup,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_search": op10_search,
     "op11_alignment": op11_alignment,
     "op12_merkle": op12_merkle,
+    "op13_neighbours": op13_neighbours,
 }
 
 OP1 = r"""

@@ -7,16 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths
-from ..session import cut, small_enough
-from .prefix import BUCKET_BITS, ranked, running_totals
+from ..session import cut
+from .prefix import BUCKET_BITS, as_of, ranked, running_totals
 from .registry import COST_FIELD, FIELD_COLUMNS, Registry
 from .shapes import known_paths, with_paths
 
-# Known paths that may be listed per provider; more are joined as a table.
-MAX_LISTED_PATHS = 100_000
-PATH_SALTS = 32
-
 # The messages of alerts.
 SHAPE_MESSAGE = "New raw shape for %s: %d path(s) added, %d removed."
 DARK_MESSAGE = "%s went dark: %.0f%% populated historically, %.0f%% across the last %d. Parser never threw."
@@ -24,7 +19,7 @@ DARK_MESSAGE = "%s went dark: %.0f%% populated historically, %.0f%% across the l
 STRUCTURAL, SILENT_NULL = "STRUCTURAL", "SILENT_NULL"
 
 ALERT_SCHEMA = """id bigint, seq bigint, provider string, type string, severity string, field string, message string,
-    fingerprint string, added array<string>, removed array<string>,
+    fingerprint string, added array<string>, removed array<struct<start: bigint, stop: bigint>>,
     overall_rate double, recent_rate double, overall_seen bigint, recent_seen bigint, created_at timestamp"""
 
 
@@ -43,62 +38,64 @@ DEFAULTS = Thresholds()
 
 
 # --- structural drift ---------------------------------------------------------------
+#
+# The paths known of a provider only ever grow, so they are numbered in the order they became
+# known.  What was known before an arrival is then a prefix of these positions, and what a payload
+# lacks of it is the gaps between its own positions: as many intervals as it has paths, however
+# many paths are known.
+
+
+def stored_shapes(corpus: DataFrame) -> DataFrame:
+    """One row per provider and shape key of the stored payloads, with where it was first stored."""
+    shapes = corpus.groupBy("provider", "shape_key").agg(F.min("seq").alias("stored_seq"))
+    return cut(with_paths(shapes), "stored_shapes")
 
 
-def _compare_paths(new: DataFrame, history: DataFrame, max_paths: int) -> DataFrame:
-    """Add to each new shape its added and removed paths against what was stored before.
+def path_positions(stored: DataFrame) -> DataFrame:
+    """The known paths of each provider with their positions, from 0, in the order they became known.
 
-    ``history`` has one row per provider and path.  A short one becomes one list per
-    provider; a long one stays a table and is joined path by path.
+    Positions do not change when more is stored later.
     """
-    if small_enough(history, max_paths):
-        lists = history.groupBy("provider").agg(F.collect_list(F.struct("path", "since")).alias("_history"))
-        known = F.transform(F.filter("_history", lambda p: p["since"] < F.col("seq")), lambda p: p["path"])
-        return (
-            new.join(F.broadcast(lists), "provider")
-            .withColumn("known", known)
-            .withColumn("added", F.expr(paths.added_paths("paths", "known")))
-            .withColumn("removed", F.expr(paths.removed_paths("paths", "known")))
-        )
+    known = cut(known_paths(stored, order="stored_seq"), "known_paths")
+    placed = ranked(known, "provider", "since", "_rank", (F.col("path"),))
+    return cut(placed.withColumn("position", F.col("_rank") - 1).drop("_rank"), "path_positions")
+
 
+def _compare_paths(new: DataFrame, positions: DataFrame) -> DataFrame:
+    """Add to each new shape its added paths, and the intervals of known positions that it lacks."""
     shape = ["provider", "fingerprint"]
-    own = new.select(*shape, "seq", F.explode("paths").alias("path"))
-    added = (
-        own.join(history, ["provider", "path"], "left")
-        .filter("since is null or since >= seq")
-        .groupBy(*shape)
-        .agg(F.array_sort(F.collect_list("path")).alias("added"))
+    own = new.select(*shape, "seq", F.explode("paths").alias("path")).join(positions, ["provider", "path"], "left")
+    old = F.col("since") < F.col("seq")
+    met = own.groupBy(*shape).agg(
+        F.array_sort(F.collect_list(F.when(F.coalesce(~old, F.lit(True)), F.col("path")))).alias("added"),
+        F.array_sort(F.collect_list(F.when(old, F.col("position")))).alias("_held"),
     )
-    # Each shape meets every older path it lacks: that is the result itself.  Salts keep
-    # a provider's paths in many tasks.
-    salts = F.sequence(F.lit(0), F.lit(PATH_SALTS - 1))
-    salted = history.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(PATH_SALTS)).cast("int"))
-    removed = (
-        new.select(*shape, "seq", F.explode(salts).alias("_salt"))
-        .join(salted, ["provider", "_salt"])
-        .filter("since < seq")
-        .join(own.select(*shape, "path"), [*shape, "path"], "left_anti")
-        .groupBy(*shape)
-        .agg(F.array_sort(F.collect_list("path")).alias("removed"))
+    counts = positions.groupBy("provider", F.col("since").alias("_at")).agg((F.max("position") + 1).alias("n_known"))
+    # What became known strictly before.
+    probes = new.select(*shape, (F.col("seq") - 1).alias("_at"))
+    known = as_of(cut(counts, "known_counts"), cut(probes, "shape_probes"), ["provider"], "_at", ["n_known"])
+    none = F.lit(0).cast("bigint")
+    gaps = F.expr(
+        """filter(transform(sequence(0, size(_held)), i -> struct(
+            if(i = 0, 0L, get(_held, i - 1) + 1) as start, coalesce(get(_held, i), n_known) as stop)), g -> g.start < g.stop)"""
     )
-    none = F.array().cast("array<string>")
     return (
-        new.join(added, shape, "left")
-        .join(removed, shape, "left")
-        .withColumns({"added": F.coalesce("added", none), "removed": F.coalesce("removed", none)})
+        new.join(met, shape)
+        .join(known.select(*shape, F.coalesce("n_known", none).alias("n_known")), shape)
+        .withColumn("removed", gaps)
+        .withColumn("n_removed", F.col("n_known") - F.size("_held"))
     )
 
 
-def structural_alerts(accepted: DataFrame, corpus: DataFrame, max_paths: int = MAX_LISTED_PATHS) -> DataFrame:
+def structural_alerts(accepted: DataFrame, corpus: DataFrame) -> DataFrame:
     """One alert per provider and shape that was new when it arrived.
 
     A shape is known once a payload with it is stored, and a provider's first stored
     payload raises nothing.  Arrivals and stored payloads are reduced to one row per
-    shape key before anything is compared.
+    shape key before anything is compared.  ``removed`` holds intervals of known paths by
+    position; :func:`with_removed_paths` lists them.
     """
-    stored = cut(
-        with_paths(corpus.groupBy("provider", "shape_key").agg(F.min("seq").alias("stored_seq"))), "stored_shapes"
-    )
+    stored = stored_shapes(corpus)
     # One row per provider, and providers are limited to the registry's.
     opening = stored.groupBy("provider").agg(F.min("stored_seq").alias("opened_seq"))
     later = (
@@ -112,28 +109,38 @@ def structural_alerts(accepted: DataFrame, corpus: DataFrame, max_paths: int = M
         .groupBy("provider", "fingerprint")
         .agg(F.min("seq").alias("seq"), F.first("paths").alias("paths"))
     )
-    stored_shapes = stored.groupBy("provider", "fingerprint").agg(F.min("stored_seq").alias("stored_seq"))
+    first_stored = stored.groupBy("provider", "fingerprint").agg(F.min("stored_seq").alias("stored_seq"))
     new = (
-        seen_shapes.join(stored_shapes, ["provider", "fingerprint"], "left")
+        seen_shapes.join(first_stored, ["provider", "fingerprint"], "left")
         .join(F.broadcast(opening), "provider")
         .filter("stored_seq is null or stored_seq > opened_seq")
     )
-    return (
-        _compare_paths(cut(new, "new_shapes"), cut(known_paths(stored, order="stored_seq"), "known_paths"), max_paths)
-        .select(
-            "seq",
-            "provider",
-            F.lit(STRUCTURAL).alias("type"),
-            F.lit("warn").alias("severity"),
-            F.lit(None).cast("string").alias("field"),
-            F.format_string(
-                SHAPE_MESSAGE, "provider", F.size("added"), F.size("removed")
-            ).alias("message"),
-            "fingerprint",
-            "added",
-            "removed",
-        )
+    return _compare_paths(cut(new, "new_shapes"), path_positions(stored)).select(
+        "seq",
+        "provider",
+        F.lit(STRUCTURAL).alias("type"),
+        F.lit("warn").alias("severity"),
+        F.lit(None).cast("string").alias("field"),
+        F.format_string(SHAPE_MESSAGE, "provider", F.size("added"), "n_removed").alias("message"),
+        "fingerprint",
+        "added",
+        "removed",
+    )
+
+
+def with_removed_paths(alerts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Alerts with ``removed`` spelled out: one step per path listed, as the list asks for."""
+    alert = ["provider", "fingerprint"]
+    wanted = alerts.filter(F.col("type") == STRUCTURAL).select(*alert, F.inline("removed"))
+    wanted = wanted.select(*alert, F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("position"))
+    lists = (
+        wanted.join(path_positions(stored_shapes(corpus)), ["provider", "position"])
+        .groupBy(*alert)
+        .agg(F.array_sort(F.collect_list("path")).alias("_removed"))
     )
+    none = F.when(F.col("type") == STRUCTURAL, F.array().cast("array<string>"))
+    listed = alerts.join(lists, alert, "left").withColumn("removed", F.coalesce("_removed", none))
+    return listed.select(*alerts.columns)
 
 
 # --- field statistics ---------------------------------------------------------------
@@ -233,23 +240,55 @@ def silent_nulls(stats: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
 
 # --- first arrival at which a field counts as gone ------------------------------------
 
+FIELDS = list(FIELD_COLUMNS)
+_AT = [f"at_{i}" for i in range(len(FIELDS))]
+_POP = [f"pop_{i}" for i in range(len(FIELDS))]
+_REC = [f"rec_{i}" for i in range(len(FIELDS))]
+_NUMBERS = ["overall_seen", "overall_populated", "recent_seen", "recent_populated"]
+
+#: What the detector needs of everything before a position, one row per provider: events seen, how
+#: many have each field, and the most recent events with where their fields were filled.
+STATE_SCHEMA = (
+    f"provider string, seen bigint, {', '.join(f'{p} bigint' for p in _POP)}, "
+    f"ring array<struct<first_seq: bigint, {', '.join(f'{a}: bigint' for a in _AT)}>>"
+)
 
-def _check_expects(registry: Registry) -> None:
-    for provider, known in registry.table.items():
-        if len({parser.expects for parser in known.values()}) > 1:
-            raise ValueError(f"parser versions of {provider} expect different fields")
 
+def field_moves(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Per event, its first position and, per field, the position it was first filled at.
 
-def _field_positions(events: DataFrame) -> DataFrame:
-    """Per event, its first position and, per field, the position it was first filled at."""
+    ``events`` is a :func:`fold_presence` result, the event table or a batch's summaries.  With
+    ``existing``, the events before the batch, a known event is there only with the fields that the
+    batch fills (``is_new`` is false).
+    """
     def at(column: str) -> Column:
         if f"{column}_seq" in events.columns:
             return F.col(f"{column}_seq")
         return F.when(F.col(column).isNotNull(), F.col("first_seq"))  # set by the first arrival or never
 
-    return events.select(
-        "provider", "first_seq", *[at(column).alias(f"at_{i}") for i, column in enumerate(FIELD_COLUMNS.values())]
+    columns = list(FIELD_COLUMNS.values())
+    if existing is None:
+        placed = [at(column).alias(a) for a, column in zip(_AT, columns)]
+        return events.select("provider", "first_seq", *placed, F.lit(True).alias("is_new"))
+    known = existing.select(
+        "dedup_key",
+        F.col("first_seq").alias("_first"),
+        *[F.col(f"{c}_seq").alias(f"_{c}_seq") for c in columns if f"{c}_seq" in events.columns],
+    )
+    fresh = F.col("_first").isNull()
+
+    def filled(column: str) -> Column:
+        if f"{column}_seq" not in events.columns:
+            return F.when(fresh, at(column))
+        return F.when(fresh | F.col(f"_{column}_seq").isNull(), at(column))
+
+    moves = events.join(known, "dedup_key", "left").select(
+        "provider",
+        F.coalesce("_first", "first_seq").alias("first_seq"),
+        *[filled(column).alias(a) for a, column in zip(_AT, columns)],
+        fresh.alias("is_new"),
     )
+    return moves.filter(F.col("is_new") | F.coalesce(*_AT).isNotNull())
 
 
 def _with_leaving(events: DataFrame, window: int) -> DataFrame:
@@ -272,65 +311,50 @@ def _with_leaving(events: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _resume(events: DataFrame, since: int, window: int, fields: int) -> tuple[DataFrame, DataFrame]:
-    """What still matters of the events up to ``since``, and the totals reached there.
+def _ring(state: DataFrame, moves: DataFrame) -> DataFrame:
+    """The recent events of a state, with the fields that ``moves`` fill."""
+    fills = moves.filter(~F.col("is_new")).select("provider", "first_seq", *[F.col(a).alias(f"_{a}") for a in _AT])
+    ring = state.select("provider", F.inline("ring")).join(fills, ["provider", "first_seq"], "left")
+    return ring.select("provider", "first_seq", *[F.coalesce(a, f"_{a}").alias(a) for a in _AT])
 
-    Only events that can still change a total are kept: the last ``window`` before
-    ``since``, those after it, and older ones with a field filled after it.
-    """
-    old = events.filter(F.col("first_seq") <= since)
+
+def next_state(state: DataFrame, moves: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+    """The state after a batch: reads the state before it and the batch, nothing older."""
+    added = moves.groupBy("provider").agg(
+        F.count_if("is_new").alias("_seen"), *[F.count(a).alias(f"_{p}") for a, p in zip(_AT, _POP)]
+    )
+    events = _ring(state, moves).unionByName(moves.filter("is_new").drop("is_new"))
     latest = Window.partitionBy("provider").orderBy(F.col("first_seq").desc())
-    tail = cut(
-        old.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= window).drop("_rn"), "recent_tail"
+    last = events.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= limits.recent_window)
+    ring = last.groupBy("provider").agg(F.array_sort(F.collect_list(F.struct("first_seq", *_AT))).alias("ring"))
+    none = F.lit(0).cast("bigint")
+    counted = state.drop("ring").join(added, "provider", "full").select(
+        "provider",
+        *[(F.coalesce(c, none) + F.coalesce(f"_{c}", none)).alias(c) for c in ("seen", *_POP)],
     )
-    filled_later = F.greatest(*[F.coalesce(F.col(f"at_{i}"), F.lit(-1)) for i in range(fields)]) > since
-    late = old.filter(filled_later).join(tail.select("provider", "first_seq"), ["provider", "first_seq"], "left_anti")
+    return counted.join(ring, "provider", "left")
 
-    def counts(df: DataFrame, prefix: str) -> DataFrame:
-        return df.groupBy("provider").agg(
-            F.count("*").alias(f"{prefix}_seen"),
-            *[F.count_if(F.col(f"at_{i}") <= since).alias(f"{prefix}_{i}") for i in range(fields)],
-        )
 
-    base = (
-        counts(old, "pop")
-        .withColumnRenamed("pop_seen", "seen")
-        .join(counts(tail, "rec").drop("rec_seen"), "provider")
-        .withColumn("seq", F.lit(since).cast("bigint"))
-    )
-    moving = _with_leaving(cut(tail.unionByName(events.filter(F.col("first_seq") > since)), "moving_events"), window)
+def _resume(moves: DataFrame, state: DataFrame, since: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """Events that can still move a total after ``since``, and the totals reached there."""
+    recent = _ring(state, moves).unionByName(moves.filter("is_new").drop("is_new"))
+    moving = _with_leaving(cut(recent, "moving_events"), window)
     # Older events left the window before `since`.
+    ring = state.select("provider", F.inline("ring"))
+    late = moves.filter(~F.col("is_new")).drop("is_new").join(ring, ["provider", "first_seq"], "left_anti")
+    base = state.select(
+        "provider",
+        F.lit(since).cast("bigint").alias("seq"),
+        "seen",
+        *_POP,
+        *[F.size(F.array_compact(F.col(f"ring.{a}"))).cast("bigint").alias(c) for a, c in zip(_AT, _REC)],
+    )
     return moving.unionByName(late.withColumn("leaves", F.lit(-1).cast("bigint"))), base
 
 
-def silent_null_first_fire(
-    events: DataFrame, registry: Registry, limits: Thresholds = DEFAULTS, since: int | None = None
-) -> DataFrame:
-    """Per provider and field, the first arrival after which the field was gone.
-
-    The detector conceptually runs after every arrival.  Its three inputs (events
-    seen, events populated, populated among the most recent) only change at known
-    arrivals, so they are running totals over a table of changes:
-
-    * an event adds to ``seen`` at its first arrival;
-    * it adds to ``pop`` when its field is first present;
-    * it adds to ``rec`` at that point if it is then still recent, and is taken out of
-      ``rec`` when enough later events have pushed it out of the window.
-
-    ``events`` is a :func:`fold_presence` result or the event table.  With ``since``,
-    only arrivals after that position are judged, starting from the totals at it.
-    """
-    _check_expects(registry)
-    window = limits.recent_window
-    names = list(FIELD_COLUMNS)
-    slim = cut(_field_positions(events), "field_positions")
-    base = None
-    if since is None:
-        placed = _with_leaving(slim, window)
-    else:
-        placed, base = _resume(slim, since, window, len(names))
-
-    at = [F.col(f"at_{i}") for i in range(len(names))]
+def _field_changes(placed: DataFrame) -> DataFrame:
+    """One row per change of a total: its position and what it adds."""
+    at = [F.col(a) for a in _AT]
     leaves = F.col("leaves")
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
@@ -338,30 +362,92 @@ def silent_null_first_fire(
         return F.struct(
             seq.alias("seq"),
             seen.alias("seen"),
-            *[p.alias(f"pop_{i}") for i, p in enumerate(pops)],
-            *[r.alias(f"rec_{i}") for i, r in enumerate(recs)],
+            *[p.alias(c) for c, p in zip(_POP, pops)],
+            *[r.alias(c) for c, r in zip(_REC, recs)],
         )
 
     def flag(condition: Column, value: Column = one) -> Column:
         return F.when(condition, value).otherwise(zero)
 
     arrives = [flag(a == F.col("first_seq")) for a in at]
-    nothing = [zero] * len(names)
+    nothing = [zero] * len(at)
     changes = [
         delta(F.col("first_seq"), one, arrives, arrives),
         F.when(leaves.isNotNull(), delta(leaves, zero, nothing, [flag(a < leaves, -one) for a in at])),
     ]
     for i, a in enumerate(at):
-        if FIELD_COLUMNS[names[i]] in ("model", "raw_user_id"):
+        if FIELD_COLUMNS[FIELDS[i]] in ("model", "raw_user_id"):
             continue  # set by the first arrival or never
-        later = [one if j == i else zero for j in range(len(names))]
-        recent = [flag(leaves.isNull() | (a < leaves)) if j == i else zero for j in range(len(names))]
+        later = [one if j == i else zero for j in range(len(at))]
+        recent = [flag(leaves.isNull() | (a < leaves)) if j == i else zero for j in range(len(at))]
         changes.append(F.when(a > F.col("first_seq"), delta(a, zero, later, recent)))
-    deltas = placed.select("provider", F.inline(F.filter(F.array(*changes), lambda c: c.isNotNull())))
+    return placed.select("provider", F.inline(F.filter(F.array(*changes), lambda c: c.isNotNull())))
+
+
+def _first_judged(states: DataFrame, registry: Registry, arrivals: DataFrame | None, since: int) -> DataFrame:
+    """Per provider and field, the first arrival whose own parser expects the field while it is gone.
+
+    ``states`` has a row per arrival that changes a field's numbers.  A field that all versions of a
+    provider expect is judged at every arrival, so the change itself is the first.  Other fields
+    are judged at the arrivals whose version expects them, against the state as of each.
+    """
+    first = [F.min("seq").alias("seq"), *[F.min_by(n, "seq").alias(n) for n in _NUMBERS]]
+    always = registry.by_provider(lambda p: _names(registry.agreed(p)))
+    dark = states.filter(F.col("dark") & (F.col("seq") > since))
+    fired = dark.filter(F.expr(f"array_contains({always}, field)")).groupBy("provider", "field").agg(*first)
+    sometimes = {p: registry.contested(p) for p in registry.table if registry.contested(p)}
+    if not sometimes:
+        return fired
+    if arrivals is None:
+        raise ValueError(f"parser versions of {', '.join(sometimes)} expect different fields: arrivals are needed")
+    contested = registry.by_provider(lambda p: _names(registry.contested(p)))
+    asking = arrivals.filter(F.col("provider").isin(*sometimes)).select(
+        "provider", "seq", F.explode(F.expr(f"array_intersect({registry.expected_fields()}, {contested})")).alias("field")
+    )
+    held = states.filter(F.expr(f"array_contains({contested}, field)")).select("provider", "field", "seq", *_NUMBERS, "dark")
+    judged = as_of(held, asking, ["provider", "field"], "seq", [*_NUMBERS, "dark"])
+    return fired.unionByName(
+        judged.filter(F.col("dark") & (F.col("seq") > since)).groupBy("provider", "field").agg(*first)
+    )
+
+
+def _names(fields: tuple[str, ...]) -> str:
+    return f"cast(array({', '.join(map(repr, fields))}) as array<string>)"
+
+
+def first_fires(
+    moves: DataFrame,
+    registry: Registry,
+    limits: Thresholds = DEFAULTS,
+    arrivals: DataFrame | None = None,
+    state: DataFrame | None = None,
+    since: int = -1,
+) -> DataFrame:
+    """Per provider and field, the first arrival after ``since`` after which the field was gone.
+
+    The detector conceptually runs after every arrival.  Its three inputs (events
+    seen, events populated, populated among the most recent) only change at known
+    arrivals, so they are running totals over a table of changes:
 
-    measures = ["seen", *[f"pop_{i}" for i in range(len(names))], *[f"rec_{i}" for i in range(len(names))]]
+    * an event adds to ``seen`` at its first arrival;
+    * it adds to ``pop`` when its field is first present;
+    * it adds to ``rec`` at that point if it is then still recent, and is taken out of
+      ``rec`` when enough later events have pushed it out of the window.
+
+    ``moves`` comes from :func:`field_moves`; with ``state``, the totals start from it and
+    ``moves`` are those of the arrivals after ``since`` only.  ``arrivals`` (provider, seq,
+    parser_version) are needed where versions of a provider expect different fields.
+    """
+    window = limits.recent_window
+    slim = cut(moves, "field_moves")
+    if state is None:
+        placed, base = _with_leaving(slim.drop("is_new"), window), None
+    else:
+        placed, base = _resume(slim, state, since, window)
+    deltas = _field_changes(placed)
     if base is not None:
         deltas = deltas.filter(F.col("seq") > since).unionByName(base)
+    measures = ["seen", *_POP, *_REC]
     # One row per arrival that changes anything, before ordering.
     per_seq = cut(deltas.groupBy("provider", "seq").agg(*[F.sum(m).alias(m) for m in measures]), "field_changes")
     totals = running_totals(per_seq, "provider", "seq", measures)
@@ -370,20 +456,22 @@ def silent_null_first_fire(
         totals,
         ["provider", "seq"],
         {
-            n: [F.col("seen") - recent_seen, F.col(f"pop_{i}") - F.col(f"rec_{i}"), recent_seen, F.col(f"rec_{i}")]
-            for i, n in enumerate(names)
+            name: [F.col("seen") - recent_seen, F.col(pop) - F.col(rec), recent_seen, F.col(rec)]
+            for name, pop, rec in zip(FIELDS, _POP, _REC)
         },
-        ["overall_seen", "overall_populated", "recent_seen", "recent_populated"],
+        _NUMBERS,
     )
-    numbers = ["overall_seen", "overall_populated", "recent_seen", "recent_populated"]
-    first = (
-        _rates(states)
-        .filter(_is_dark(limits) & (F.lit(True) if since is None else F.col("seq") > since))
-        .groupBy("provider", "field")
-        .agg(F.min("seq").alias("seq"), *[F.min_by(n, "seq").alias(n) for n in numbers])
-    )
-    expected = registry.by_provider(lambda p: f"array({', '.join(repr(e) for e in registry.newest(p).expects)})")
-    return _silent_null_columns(_rates(first.filter(F.expr(f"array_contains({expected}, field)"))))
+    judged = _rates(states).withColumn("dark", F.coalesce(_is_dark(limits), F.lit(False)))
+    if any(registry.contested(p) for p in registry.table):
+        judged = cut(judged, "field_states")
+    return _silent_null_columns(_rates(_first_judged(judged, registry, arrivals, since)))
+
+
+def silent_null_first_fire(
+    events: DataFrame, registry: Registry, limits: Thresholds = DEFAULTS, arrivals: DataFrame | None = None
+) -> DataFrame:
+    """:func:`first_fires` over a whole load."""
+    return first_fires(field_moves(events), registry, limits, arrivals)
 
 
 # --- alert table ----------------------------------------------------------------------
@@ -435,4 +523,17 @@ def alerts_table(
 
 
 def latest_first(alerts: DataFrame) -> DataFrame:
-    return alerts.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    """Alerts with their place in the list that shows the newest first."""
+    ahead = alerts.select((-F.unix_micros("created_at")).alias("_age"), (-F.col("id")).alias("_later"), *alerts.columns)
+    one_group = ahead.withColumn("_all", F.lit(0))
+    listed = ranked(cut(one_group, "alert_list"), "_all", "_age", "place", (F.col("_later"),))
+    return listed.drop("_all", "_age", "_later")
+
+
+def with_raised(results: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Results of an ingest with the alerts that each arrival raised, in the order of their ids."""
+    raised = alerts.groupBy("seq").agg(
+        F.array_sort(F.collect_list(F.struct("id", "type", "severity", "field", "message"))).alias("alerts")
+    )
+    none = F.expr(f"cast(array() as {dict(raised.dtypes)['alerts']})")
+    return results.join(raised, "seq", "left").withColumn("alerts", F.coalesce("alerts", none))

@@ -3,9 +3,10 @@
 An event's identity comes from its first arrival, its token counts and cost from the
 last arrival that has them, and its pointers (raw payload, parser version) from the
 last arrival.  All of that is plain aggregation.  The revision counter is not: it
-depends on the order of the values.  It is computed in two levels, first inside
-segments of the arrival order and then over segment summaries, so that one key holding
-a large part of all rows is spread over many tasks.
+depends on the order of the values.  It is a prefix scan: arrivals are dealt in ranges of
+(key, position), each range is summarized, and the summaries of a key are merged, so that
+one key holding a large part of all rows is spread over many tasks.  The same summaries, one
+per batch, are what a continuous ingest appends and merges on read.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .normalize import with_event_id
-from .prefix import BUCKET_BITS
+from .prefix import in_ranges
 
 VALUES = ("input_tokens", "output_tokens", "cost_amount_usd")
 IDENTITY = ("occurred_at_text", "occurred_at", "event_type", "model", "raw_user_id")
@@ -58,14 +60,8 @@ def _by_key(accepted: DataFrame, *measures: Column) -> DataFrame:
     return grouped.withColumn("dedup_key", F.lower(F.hex("_key"))).drop("_key")
 
 
-def fold_events(accepted: DataFrame) -> DataFrame:
-    """One row per event without its revision: a single hash aggregation.
-
-    Unused columns are pruned from the aggregation, so a report over a few of them
-    shuffles only those.
-    """
-    return _by_key(
-        accepted,
+def _fold_measures() -> list[Column]:
+    return [
         *[_first(c).alias(c) for c in IDENTITY],
         _first("received_at").alias("ingested_at"),
         F.min("seq").alias("first_seq"),
@@ -73,7 +69,16 @@ def fold_events(accepted: DataFrame) -> DataFrame:
         *[_last_present(c).alias(c) for c in VALUES],
         *[F.min(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{c}_seq") for c in VALUES],
         *[_last(c).alias(c) for c in POINTERS],
-    )
+    ]
+
+
+def fold_events(accepted: DataFrame) -> DataFrame:
+    """One row per event without its revision: a single hash aggregation.
+
+    Unused columns are pruned from the aggregation, so a report over a few of them
+    shuffles only those.
+    """
+    return _by_key(accepted, *_fold_measures())
 
 
 def fold_presence(accepted: DataFrame) -> DataFrame:
@@ -94,151 +99,233 @@ def fold_presence(accepted: DataFrame) -> DataFrame:
     )
 
 
-def _segmented(accepted: DataFrame) -> DataFrame:
-    """Arrivals with, per value, the last present value before them in their segment.
+# --- the order-dependent part ----------------------------------------------------------
+#
+# A run is a set of arrivals of one key that follow each other.  Its summary holds, per value,
+# the first value of the run (``head_``), where it stands (``head_seq_``, NULL once its row is
+# counted as a change), the last value, and the number of changes inside the run.  Whether a
+# head is a change depends on what came before the run; everything else is settled.  Summaries
+# of neighbouring runs merge into one, in any grouping, so runs may be ranges of a batch,
+# batches, or whole stored histories.
 
-    A segment is one key within one range of sequence numbers; sequence numbers are
-    unique, so a segment holds a bounded number of rows whatever the key's size.
-    """
-    segment = Window.partitionBy("dedup_key", "segment").orderBy("seq")
+SUMMARY_COLUMNS = (
+    "dedup_key",
+    "provider",
+    *IDENTITY,
+    "ingested_at",
+    "first_seq",
+    "last_seq",
+    "changes",
+    *[f"head_{c}" for c in VALUES],
+    *[f"head_seq_{c}" for c in VALUES],
+    *VALUES,
+    *[f"{c}_seq" for c in VALUES],
+    *POINTERS,
+)
+
+
+def _segmented(rows: DataFrame) -> DataFrame:
+    """Arrivals with, per value, the last present value before them in their range of the order."""
+    segment = Window.partitionBy("dedup_key", "_range").orderBy("seq")
     earlier = segment.rowsBetween(Window.unboundedPreceding, -1)
-    rows = accepted.withColumn("segment", F.expr(f"shiftright(seq, {BUCKET_BITS})"))
     rows = rows.withColumns({f"_prev_{c}": F.last(c, ignorenulls=True).over(earlier) for c in VALUES})
     changed = reduce(
-        lambda a, b: a | b,
-        [
-            F.coalesce(F.col(c).isNotNull() & F.col(f"_prev_{c}").isNotNull() & (F.col(c) != F.col(f"_prev_{c}")), F.lit(False))
-            for c in VALUES
-        ],
+        lambda a, b: a | b, [F.coalesce(F.col(c) != F.col(f"_prev_{c}"), F.lit(False)) for c in VALUES]
     )
     heads = {f"_head_{c}": F.col(c).isNotNull() & F.col(f"_prev_{c}").isNull() for c in VALUES}
     return rows.withColumns({"_changed": changed, **heads})
 
 
-def _summaries(segmented: DataFrame) -> DataFrame:
-    """One row per segment: what the next level needs to know about it.
-
-    Whether the first present value of a segment is a change depends on earlier
-    segments, so that value is kept with its position; every other change is counted.
-    """
+def _segments(segmented: DataFrame) -> DataFrame:
+    """One summary per key and range, of the values only."""
     def head(c: str) -> Column:
         return F.min_by(c, F.when(F.col(f"_head_{c}"), F.col("seq")))
 
-    # The key fixes the provider.  Grouping by the window's own columns reuses its order.
-    return segmented.groupBy("dedup_key", "segment").agg(
-        *[_first(c).alias(c) for c in ("provider", *IDENTITY)],
-        _first("received_at").alias("ingested_at"),
+    # Grouping by the window's own columns reuses its order.
+    return segmented.groupBy("dedup_key", "_range").agg(
         F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
-        F.count_if("_changed").cast("int").alias("changes"),
+        F.count_if("_changed").alias("changes"),
         *[head(c).alias(f"head_{c}") for c in VALUES],
         # NULL where the row of the first value already counts as a change.
         *[F.min(F.when(F.col(f"_head_{c}") & ~F.col("_changed"), F.col("seq"))).alias(f"head_seq_{c}") for c in VALUES],
         *[_last_present(c).alias(c) for c in VALUES],
-        *[F.min(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{c}_seq") for c in VALUES],
-        *[_last(c).alias(c) for c in POINTERS],
     )
 
 
-def _carried(summaries: DataFrame) -> DataFrame:
-    """Segment summaries with the state on entry and the number of changes they hold."""
-    key = Window.partitionBy("dedup_key").orderBy("segment")
+def _with_entry(runs: DataFrame) -> DataFrame:
+    """Runs with the values on entry: the last present ones of the key's earlier runs."""
+    key = Window.partitionBy("dedup_key").orderBy("first_seq")
     earlier = key.rowsBetween(Window.unboundedPreceding, -1)
-    entry = summaries.withColumns(
+    return runs.withColumns(
         {
             **{f"entry_{c}": F.last(c, ignorenulls=True).over(earlier) for c in VALUES},
             "_opens": F.row_number().over(key) == 1,
         }
     )
-    # A row that sets several values at once is one change.
-    changed_rows = F.array_distinct(
-        F.filter(
-            F.array(
-                *[
-                    F.when(~F.col(f"head_{c}").eqNullSafe(F.col(f"entry_{c}")), F.col(f"head_seq_{c}"))
-                    for c in VALUES
-                ]
-            ),
-            lambda s: s.isNotNull() & ~(F.col("_opens") & (s == F.col("first_seq"))),
-        )
+
+
+def _rows_of(heads: list[Column]) -> Column:
+    """Positions of heads that are changes; a row that sets several values is one change."""
+    return F.array_distinct(F.filter(F.array(*heads), lambda s: s.isNotNull()))
+
+
+def _settled(c: str) -> Column:
+    """The head's position if what came before proves it a change."""
+    return F.when(F.col(f"head_{c}") != F.col(f"entry_{c}"), F.col(f"head_seq_{c}"))
+
+
+def _merged_values(runs: DataFrame) -> DataFrame:
+    """Values, heads and changes of neighbouring runs as those of one run."""
+    entered = _with_entry(runs).withColumn("_settled", _rows_of([_settled(c) for c in VALUES]))
+
+    def still_open(c: str) -> Column:
+        free = F.col(f"entry_{c}").isNull() & ~F.array_contains("_settled", F.col(f"head_seq_{c}"))
+        return F.when(free, F.col(f"head_seq_{c}"))
+
+    return entered.groupBy("dedup_key").agg(
+        F.sum(F.col("changes") + F.size("_settled")).alias("changes"),
+        *[F.min_by(f"head_{c}", F.when(F.col(f"head_{c}").isNotNull(), F.col("first_seq"))).alias(f"head_{c}") for c in VALUES],
+        *[F.max(still_open(c)).alias(f"head_seq_{c}") for c in VALUES],
+        *[_last_present(c, "first_seq").alias(c) for c in VALUES],
+        *_others(runs),
     )
-    return entry.withColumn("changes", F.col("changes") + F.size(changed_rows))
 
 
-def _close(carried: DataFrame) -> DataFrame:
-    events = carried.groupBy("dedup_key").agg(
-        *[_first(c, "segment").alias(c) for c in ("provider", *IDENTITY, "ingested_at")],
+def _others(runs: DataFrame) -> list[Column]:
+    """What is plain aggregation, of the columns that the runs have."""
+    if "last_seq" not in runs.columns:
+        return []
+    return [
+        *[_first(c, "first_seq").alias(c) for c in ("provider", *IDENTITY, "ingested_at")],
         F.min("first_seq").alias("first_seq"),
         F.max("last_seq").alias("last_seq"),
-        *[_last_present(c, "segment").alias(c) for c in VALUES],
         *[F.min(f"{c}_seq").alias(f"{c}_seq") for c in VALUES],
-        (F.sum("changes") + 1).cast("int").alias("revision"),
-        *[_last(c, "segment").alias(c) for c in POINTERS],
+        *[_last(c, "last_seq").alias(c) for c in POINTERS],
+    ]
+
+
+def _repeated(accepted: DataFrame) -> DataFrame:
+    """Keys with more than one arrival: a count over the key column."""
+    counts = accepted.groupBy(F.unhex("dedup_key").alias("_key")).agg(F.count("*").alias("_n"))
+    return counts.filter("_n > 1").select(F.lower(F.hex("_key")).alias("dedup_key"))
+
+
+def summaries(accepted: DataFrame) -> DataFrame:
+    """One run per key over all of ``accepted``, which should be cheap to re-read.
+
+    Most keys arrive once: their summary is their row.  Only the values of the others are put in
+    order, in ranges of (key, position), and the ranges of a key are merged.
+    """
+    alone = [
+        F.lit(0).cast("bigint").alias("_changes"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"head_{c}") for c in VALUES],
+    ]
+    folded = _by_key(accepted, *_fold_measures(), *alone)
+    rows = accepted.select("dedup_key", "seq", *VALUES).join(_repeated(accepted), "dedup_key", "left_semi")
+    ordered = in_ranges(rows, ["dedup_key", "seq"], "repeated_arrivals")
+    scanned = _merged_values(_segments(_segmented(ordered))).select(
+        "dedup_key",
+        F.col("changes").alias("_scanned"),
+        *[F.col(f"head_seq_{c}").alias(f"_at_{c}") for c in VALUES],
+    )
+    found = F.col("_scanned").isNotNull()
+    return (
+        folded.join(scanned, "dedup_key", "left")
+        .withColumns(
+            {
+                "changes": F.coalesce("_scanned", "_changes"),
+                **{f"head_seq_{c}": F.when(found, F.col(f"_at_{c}")).otherwise(F.col(f"{c}_seq")) for c in VALUES},
+            }
+        )
+        .select(*SUMMARY_COLUMNS)
     )
-    events = with_event_id(events)
+
+
+def merge_summaries(runs: DataFrame) -> DataFrame:
+    """One run per key from any number of neighbouring ones."""
+    return _merged_values(runs).select(*SUMMARY_COLUMNS)
+
+
+def events_from(runs: DataFrame) -> DataFrame:
+    """The event table of keys whose one run holds all of their arrivals.
+
+    The first arrival is no change; later first values are.
+    """
+    late = [F.when(F.col(f"head_seq_{c}") != F.col("first_seq"), F.col(f"head_seq_{c}")) for c in VALUES]
+    revision = (F.col("changes") + F.size(_rows_of(late)) + 1).cast("int")
+    events = with_event_id(runs.withColumn("revision", revision))
     return with_event_id(events, "content_hash", "raw_payload_id").select(*EVENT_COLUMNS)
 
 
 def events_table(accepted: DataFrame) -> DataFrame:
-    """The full event table, revision included."""
-    return _close(_carried(_summaries(_segmented(accepted))))
+    """The full event table, revision included; ``accepted`` should be cheap to re-read."""
+    return events_from(summaries(accepted))
 
 
-def _as_segment(existing: DataFrame) -> DataFrame:
-    """Existing events as summaries of one segment that precedes all new ones."""
-    return existing.select(
-        "dedup_key",
-        "provider",
-        F.lit(-1).cast("bigint").alias("segment"),
-        *IDENTITY,
-        "ingested_at",
-        "first_seq",
-        "last_seq",
-        (F.col("revision") - 1).alias("changes"),
-        *[F.col(c).alias(f"head_{c}") for c in VALUES],
-        *[F.lit(None).cast("bigint").alias(f"head_seq_{c}") for c in VALUES],
-        *VALUES,
-        *[f"{c}_seq" for c in VALUES],
-        *POINTERS,
-    )
+def as_run(existing: DataFrame) -> DataFrame:
+    """Events as the opening runs of their keys."""
+    return existing.withColumns(
+        {
+            "changes": (F.col("revision") - 1).cast("bigint"),
+            **{f"head_{c}": F.col(c) for c in VALUES},
+            **{f"head_seq_{c}": F.lit(None).cast("bigint") for c in VALUES},
+        }
+    ).select(*SUMMARY_COLUMNS)
 
 
 def merge_events(existing: DataFrame, accepted: DataFrame) -> DataFrame:
     """Fold a later batch into an existing event table."""
-    return _close(_carried(_as_segment(existing).unionByName(_summaries(_segmented(accepted)))))
+    # An existing event without a value has seen all of its past: a later first value is a change.
+    runs = as_run(existing).unionByName(summaries(accepted))
+    return events_from(merge_summaries(runs))
 
 
 def ingest_results(accepted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Per arrival: whether it inserted the event, and the event's revision after it.
 
-    ``existing`` is the event table before these arrivals, if there is one.
+    ``existing`` is the event table before these arrivals, if there is one.  A key's only arrival
+    inserts at revision 1; just the arrivals of the other keys are put in order.
     """
-    segmented = _segmented(accepted)
-    summaries = _summaries(segmented)
+    slim = accepted.select("dedup_key", "provider", "seq", *VALUES)
+    several = _repeated(accepted)
+    touched = None
     if existing is not None:
-        touched = existing.join(accepted.select("dedup_key").distinct(), "dedup_key", "left_semi")
-        summaries = _as_segment(touched).unionByName(summaries)
-    carried = _carried(summaries)
-    key = Window.partitionBy("dedup_key").orderBy("segment")
-    entry = carried.select(
-        "dedup_key",
-        "segment",
-        *[f"entry_{c}" for c in VALUES],
-        "_opens",
-        F.col("first_seq").alias("_segment_first"),
-        F.coalesce(F.sum("changes").over(key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+        touched = cut(existing.join(accepted.select("dedup_key").distinct(), "dedup_key", "left_semi"), "touched")
+        several = several.union(touched.select("dedup_key")).distinct()
+    several = cut(several, "several")
+    once = slim.join(several, "dedup_key", "left_anti").select(
+        "seq", "provider", "dedup_key", F.lit(True).alias("inserted"), F.lit(1).alias("revision")
+    )
+
+    segmented = _segmented(in_ranges(slim.join(several, "dedup_key", "left_semi"), ["dedup_key", "seq"], "in_order"))
+    runs = _segments(segmented)
+    if touched is not None:
+        runs = as_run(touched).select(*[c for c in runs.columns if c != "_range"]).unionByName(runs, allowMissingColumns=True)
+    entered = _with_entry(runs)
+    opening = F.col("_opens") & F.col("_range").isNotNull()
+    changed = [
+        F.when(~F.col(f"head_{c}").eqNullSafe(F.col(f"entry_{c}")), F.col(f"head_seq_{c}")) for c in VALUES
+    ]
+    known = F.filter(_rows_of(changed), lambda s: ~(opening & (s == F.col("first_seq"))))
+    # What an existing event has seen is settled.
+    steps = F.col("changes") + F.when(F.col("_range").isNotNull(), F.size(known)).otherwise(0)
+    before = Window.partitionBy("dedup_key").orderBy("first_seq").rowsBetween(Window.unboundedPreceding, -1)
+    entry = entered.withColumn("_base", F.coalesce(F.sum(steps).over(before), F.lit(0))).filter("_range is not null")
+    entry = entry.select(
+        "dedup_key", "_range", "_opens", "_base", F.col("first_seq").alias("_segment_first"), *[f"entry_{c}" for c in VALUES]
     )
-    rows = segmented.join(entry, ["dedup_key", "segment"])
+    rows = segmented.join(entry, ["dedup_key", "_range"])
     first = F.col("_opens") & (F.col("seq") == F.col("_segment_first"))
     head_change = reduce(
         lambda a, b: a | b,
         [F.col(f"_head_{c}") & ~F.col(c).eqNullSafe(F.col(f"entry_{c}")) for c in VALUES],
     )
     change = F.when(~first & (F.col("_changed") | head_change), 1).otherwise(0)
-    inside = Window.partitionBy("dedup_key", "segment").orderBy("seq")
-    results = rows.withColumn("inserted", first).withColumn(
+    inside = Window.partitionBy("dedup_key", "_range").orderBy("seq")
+    ordered = rows.withColumn("inserted", first).withColumn(
         "revision", (F.lit(1) + F.col("_base") + F.sum(change).over(inside)).cast("int")
     )
+    results = once.unionByName(ordered.select(*once.columns))
     return with_event_id(results).select("seq", "provider", "dedup_key", "event_id", "inserted", "revision")
 
 

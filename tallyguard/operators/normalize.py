@@ -16,7 +16,6 @@ from ..functions import ecma, identity, paths, variants
 from .registry import PROVIDERS, EventType, Parser, Registry
 
 EPOCH_TEXT = "1970-01-01T00:00:00.000Z"
-COST_TYPE = "decimal(38,18)"
 # Years 1 to 9999, the range a four-digit year can name.
 MILLIS_RANGE = "-62135596800000D and 253402300799999D"
 INT_RANGE = "-2147483648 and 2147483647"
@@ -127,7 +126,7 @@ def _store_reasons() -> str:
             ("usage.output_tokens:not_int32", not_int("output_tokens")),
             (
                 "cost.amount_usd:out_of_range",
-                f"cost_value is not null and try_cast(cost_value as {COST_TYPE}) is null",
+                "cost_value is not null and (isnan(cost_value) or abs(cost_value) = double('Infinity'))",
             ),
             ("occurred_at:out_of_range", "startswith(occurred_at_text, '0000-')"),
             # Stored text cannot hold the character NUL, which JSON can only escape.
@@ -199,7 +198,7 @@ def normalize(arrivals: DataFrame, registry: Registry) -> DataFrame:
         "try_cast(occurred_at_text as timestamp) as occurred_at",
         "event_type",
         *_TYPED_COLUMNS,
-        f"try_cast(cost_value as {COST_TYPE}) as cost_amount_usd",
+        "cost_value as cost_amount_usd",
         "content_hash",
         f"{paths.shape_key('_doc', '_doc_type')} as shape_key",
         "parse_reasons",

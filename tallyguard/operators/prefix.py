@@ -1,4 +1,4 @@
-"""Running totals over a long, ordered group without a single-task window.
+"""Ordered work over a long group without a single-task window.
 
 A plain window over a provider's rows would put them all in one task.  Here rows are
 cut into buckets by the high bits of their sequence number, so a bucket holds at most
@@ -88,3 +88,60 @@ def running_totals(deltas: DataFrame, group: str, seq: str, measures: list[str],
         .withColumns({m: F.col(m) + F.col(f"_before_{m}") for m in measures})
         .drop("_bucket", *[f"_before_{m}" for m in measures])
     )
+
+
+def in_ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` written in order, dealt by range, with the number of each row's range as ``_range``.
+
+    A group of rows that follow each other lies in as many ranges as its size asks for, whatever
+    the distances of its positions, so a window over (group, ``_range``) is never one task's work
+    for a hot group.  Summaries of (group, ``_range``) are at most one row per group and task.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(placed.withColumn("_range", F.spark_partition_id()), name)
+
+
+def _last_before(buckets: DataFrame, group: list[str], max_rows: int) -> DataFrame:
+    """Per (group, _bucket) row, the last ``_state`` of all earlier buckets of the group."""
+    if small_enough(buckets, max_rows):
+        order = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        return buckets.select(*group, "_bucket", F.last("_state", ignorenulls=True).over(order).alias("_carried"))
+    wide = buckets.withColumn("_outer", F.expr(f"shiftright(_bucket, {BUCKET_BITS})"))
+    outer = wide.groupBy(*group, F.col("_outer").alias("_bucket")).agg(
+        F.max_by("_state", F.when(F.col("_state").isNotNull(), F.col("_bucket"))).alias("_state")
+    )
+    before = _last_before(cut(outer, "outer_states"), group, max_rows)
+    inside = Window.partitionBy(*group, "_outer").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inner = wide.select(*group, "_bucket", "_outer", F.last("_state", ignorenulls=True).over(inside).alias("_in"))
+    joined = inner.join(before.withColumnsRenamed({"_bucket": "_outer", "_carried": "_before"}), [*group, "_outer"])
+    return joined.select(*group, "_bucket", F.coalesce("_in", "_before").alias("_carried"))
+
+
+def as_of(
+    states: DataFrame, probes: DataFrame, group: list[str], seq: str, columns: list[str], max_rows: int = MAX_WINDOW_ROWS
+) -> DataFrame:
+    """Each probe with ``columns`` of the latest state of its group at or before ``seq``.
+
+    States and probes meet inside buckets of positions; what holds at the start of a bucket comes
+    from the last states of the buckets before it.  NULL where no state precedes the probe.  Both
+    sides are read twice, so they should be cheap to re-read.
+    """
+    state = F.struct(*columns)
+    rows = with_bucket(
+        states.select(*group, seq, state.alias("_state")).unionByName(
+            probes.select(*group, seq, F.struct(*probes.columns).alias("_probe")), allowMissingColumns=True
+        ),
+        seq,
+    )
+    ends = cut(
+        rows.groupBy(*group, "_bucket").agg(
+            F.max_by("_state", F.when(F.col("_state").isNotNull(), F.col(seq))).alias("_state")
+        ),
+        "bucket_states",
+    )
+    # States come before probes of the same position.
+    inside = Window.partitionBy(*group, "_bucket").orderBy(seq, F.col("_probe").isNotNull())
+    seen = rows.withColumn("_seen", F.last("_state", ignorenulls=True).over(inside)).filter("_probe is not null")
+    joined = seen.join(_last_before(ends, group, max_rows), [*group, "_bucket"])
+    held = joined.withColumn("_held", F.coalesce("_seen", "_carried"))
+    return held.select("_probe.*", *[F.col("_held")[c].alias(c) for c in columns])

@@ -87,6 +87,16 @@ class Registry:
     def newest(self, provider: str) -> Parser:
         return self.table[provider][max(self.table[provider])]
 
+    def agreed(self, provider: str) -> tuple[str, ...]:
+        """Fields that every version of a provider expects."""
+        known = [set(parser.expects) for parser in self.table[provider].values()]
+        return tuple(field for field in FIELD_COLUMNS if all(field in fields for fields in known))
+
+    def contested(self, provider: str) -> tuple[str, ...]:
+        """Measurable fields that some versions of a provider expect and others do not."""
+        known = [set(parser.expects) for parser in self.table[provider].values()]
+        return tuple(field for field in FIELD_COLUMNS if 0 < sum(field in fields for fields in known) < len(known))
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """One row per parser; the row count is the registry's own size."""
         rows = [(p.provider, p.version, list(p.expects)) for p in self.parsers]

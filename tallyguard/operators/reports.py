@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sums
 from .registry import PROVIDERS, Registry
 
 # The fields of the population trace and the columns behind them.
@@ -51,10 +52,14 @@ def weekly(
 ) -> DataFrame:
     """Sum and row count per group and Monday-based week.
 
-    Decimals are summed before the cast, so the result does not depend on row order.
+    Decimals are summed before the cast and doubles exactly, so the result does not depend on row
+    order.
     """
-    week = F.date_trunc("week", time).cast("date")
-    return df.groupBy(group, week.alias("week")).agg(
+    weeks = df.withColumn("week", F.date_trunc("week", time).cast("date"))
+    if dict(df.dtypes)[amount] == "double":
+        sums = exact_sums(weeks, [group, "week"], amount, total, count)
+        return sums.withColumn(total, F.coalesce(total, F.lit(0.0)))
+    return weeks.groupBy(group, "week").agg(
         F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias(total), F.count("*").alias(count)
     )
 
@@ -79,8 +84,7 @@ def weekly_grid(weekly_rows: DataFrame, providers: tuple[str, ...] = PROVIDERS)
 
     Runs over the weekly report, whose size is weeks times providers.
     """
-    amount = F.col("cost_usd").cast("decimal(38,18)")
-    total = weekly_rows.agg(F.sum(amount).cast("double")).scalar()
+    total = exact_sums(weekly_rows, [], "cost_usd", "total").select("total").scalar()
     largest = weekly_rows.agg(F.greatest(F.max("cost_usd"), F.lit(0.0001))).scalar()
     grid = weekly_rows.groupBy("week").pivot("provider", list(providers)).agg(F.sum("cost_usd")).fillna(0.0)
     return grid.withColumns({"total_usd": total, "max_cell": largest})

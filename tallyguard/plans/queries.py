@@ -91,14 +91,21 @@ def events(spark, sf_dir):
 def merged_events(spark, sf_dir):
     """The event table folded in two batches: the later half merged into the earlier."""
     t = Tables.from_source(spark, sf_dir)
-    middle = t.arrivals.agg(F.avg("seq")).scalar()
-    first = cut(fold.events_table(t.accepted.filter(F.col("seq") <= middle)), "first_half")
-    return _event_columns(fold.merge_events(first, t.accepted.filter(F.col("seq") > middle)))
+    rows = t.stored_light
+    middle = rows.agg(F.avg("seq")).first()[0]
+    first = cut(fold.events_table(rows.filter(F.col("seq") <= middle)), "first_half")
+    return _event_columns(fold.merge_events(first, rows.filter(F.col("seq") > middle)))
+
+
+def _stored_shapes(t: Tables) -> DataFrame:
+    """The stored payloads, as far as path lists need them."""
+    return fold.corpus_table(t.stored_light, ("provider", "shape_key"))
 
 
 @query
 def alerts(spark, sf_dir):
-    return Tables.from_source(spark, sf_dir).alerts.select(
+    t = Tables.from_source(spark, sf_dir)
+    return drift.with_removed_paths(cut(t.alerts, "alerts"), _stored_shapes(t)).select(
         "id", "seq", "provider", "type", "severity", "field", "message", "fingerprint",
         _list("added").alias("added"), _list("removed").alias("removed"),
         "overall_rate", "recent_rate", "overall_seen", "recent_seen", _ntz("created_at"),
@@ -305,8 +312,9 @@ def ingest_results(spark, sf_dir):
 
 @query
 def structural_alerts(spark, sf_dir):
-    rows = Tables.from_source(spark, sf_dir).stored_light
-    return drift.structural_alerts(rows, fold.corpus_table(rows, ("provider", "shape_key"))).select(
+    t = Tables.from_source(spark, sf_dir)
+    found = cut(drift.structural_alerts(t.stored_light, _stored_shapes(t)), "structural_alerts")
+    return drift.with_removed_paths(found, _stored_shapes(t)).select(
         "seq", "provider", "severity", "message", "fingerprint",
         _list("added").alias("added"), _list("removed").alias("removed"),
     )

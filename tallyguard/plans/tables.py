@@ -64,7 +64,7 @@ class Tables:
 
     @cached_property
     def events(self) -> DataFrame:
-        return fold.events_table(self.accepted)
+        return fold.events_table(self.stored_light)
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -97,7 +97,7 @@ class Tables:
     def alerts(self) -> DataFrame:
         rows = self.stored_light
         structural = drift.structural_alerts(rows, fold.corpus_table(rows, ("provider", "shape_key")))
-        silent = drift.silent_null_first_fire(fold.fold_presence(rows), self.registry)
+        silent = drift.silent_null_first_fire(fold.fold_presence(rows), self.registry, arrivals=rows)
         return drift.alerts_table(structural, silent, rows)
 
     @cached_property

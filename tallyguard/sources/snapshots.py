@@ -1,62 +1,33 @@
-"""Tables written one version per batch.
+"""Tables that grow by one folder per batch, and the commit that makes a batch visible.
 
-A batch writes ``<table>/v=<batch>/`` and is visible once Spark has put its success
-marker there; writing the same batch again replaces its own files only.  Bucketed
-tables rewrite just the buckets a batch touches, and a reader takes the newest version
-of each bucket.
+A batch writes ``<table>/v=<batch>/`` for each of its tables and, last, one row to
+``commits/v=<batch>/``.  Readers start from the commits, so a batch is seen with all of its tables
+or not at all.  Writing a batch again before its commit replaces its own folders only.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def bucket_of(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+def committed(spark: SparkSession, root: str, before: int | None = None) -> list[int]:
+    """Batches whose commit is complete, in order, optionally only those before a batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits/v=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    batches = sorted(int(re.search(r"/v=(\d+)/", str(status.getPath().toString())).group(1)) for status in found)
+    return [b for b in batches if before is None or b < before]
 
 
-def _glob(spark: SparkSession, pattern: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return [str(status.getPath().toString()) for status in (found or [])]
+def publish(df: DataFrame, table: str, batch: int) -> None:
+    """Write one batch of a table."""
+    df.write.mode("overwrite").parquet(f"{table}/v={batch}")
 
 
-def _version(path: str) -> int:
-    return int(re.search(r"/v=(\d+)", path).group(1))
-
-
-def committed(spark: SparkSession, table: str, before: int | None = None) -> list[int]:
-    """Complete versions of a table in order, optionally only those before a batch."""
-    versions = sorted(_version(p) for p in _glob(spark, f"{table}/v=*/_SUCCESS"))
-    return [v for v in versions if before is None or v < before]
-
-
-def publish(df: DataFrame, table: str, batch: int, bucketed: bool = False) -> None:
-    """Write one batch of a table; with ``bucketed`` it has a ``bucket`` column."""
-    writer = df.write.mode("overwrite")
-    if bucketed:
-        writer = writer.partitionBy("bucket")
-    writer.parquet(f"{table}/v={batch}")
-
-
-def read_appended(spark: SparkSession, table: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """All rows of an append-only table."""
-    paths = [f"{table}/v={v}" for v in committed(spark, table, before)]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def read_bucketed(
-    spark: SparkSession, table: str, schema: StructType, before: int | None = None, only: list[int] | None = None
-) -> DataFrame:
-    """The newest version of each bucket; ``only`` limits it to some buckets."""
-    versions = set(committed(spark, table, before))
-    newest: dict[int, str] = {}
-    for path in sorted(_glob(spark, f"{table}/v=*/bucket=*"), key=_version):
-        bucket = int(path.rsplit("=", 1)[1])
-        if _version(path) in versions and (only is None or bucket in only):
-            newest[bucket] = path
-    return spark.read.schema(schema).parquet(*newest.values()) if newest else spark.createDataFrame([], schema)
+def read_batches(spark: SparkSession, table: str, schema: str, batches: list[int]) -> DataFrame:
+    """The rows of some batches of a table."""
+    parsed = StructType.fromDDL(schema)
+    paths = [f"{table}/v={b}" for b in batches]
+    return spark.read.schema(parsed).parquet(*paths) if paths else spark.createDataFrame([], parsed)

@@ -24,7 +24,7 @@ def test_stream_equals_batch(spark, make_arrivals, tmp_path):
     arrivals = make_arrivals(random_load(11, 200), 30011)
     source = str(tmp_path / "arrivals")
     edges = [0, 120 * 30011, 170 * 30011, 1 << 60]
-    job = IngestJob(spark, str(tmp_path / "tables"), build_registry(), LIMITS, buckets=4)
+    job = IngestJob(spark, str(tmp_path / "tables"), build_registry(), LIMITS, least_compacted=60)
     for low, high in zip(edges, edges[1:]):
         part = arrivals.filter((F.col("seq") >= low) & (F.col("seq") < high))
         part.coalesce(1).write.mode("append").parquet(source)

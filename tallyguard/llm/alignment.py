@@ -6,6 +6,9 @@ of a token - inside a multibyte character, or among byte-fallback tokens, which
 decoded bytes of the tokens refine them.  Offsets where both end a token cut the tokens into groups,
 and every pair of tokens with a byte in common is a link.
 
+Texts are aligned in units, cut at single spaces where neither tokenizer can join what stands on both
+sides (``UNIT``).  A unit that a task has met before is not encoded again: what it holds is known.
+
 Links of a corpus are counted per slab (a bounded run of documents of one task): a slab passes on its
 distinct id pairs, their counts are added up over the corpus and come back to the slab, and the
 documents of a slab meet them there.  No document-sized list of pairs is shuffled, and a frequent
@@ -15,9 +18,8 @@ Defined results
 ---------------
 Null and empty texts, and texts whose tokens do not spell a space and the text, have no tokens.
 Repeated rows and ids are documents of their own; a null id stays null.  Ties for the highest count
-are all best.  Columns besides ``doc_id`` and ``text`` are ignored.  A long text is encoded in
-pieces, cut where neither tokenizer can join what stands on both sides (``_safe_cuts``), so memory
-is bounded by a piece, except for a long run of text without any such place.
+are all best.  Columns besides ``doc_id`` and ``text`` are ignored.  A long text needs memory for its
+units only, except for a long run of text without any place to cut.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,24 +44,30 @@ from ..session import cut
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 
-#: Bytes of text that a task encodes at a time, and that make up one slab.
-BATCH_BYTES = 1 << 18
-SLAB_BYTES = 1 << 22
-#: A longer text is encoded in pieces of about this many characters.
-PIECE_CHARS = 1 << 16
-
-_DOC = "slab bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_refined bigint, groups_sha256 string, links binary, pairs binary"
+#: Characters of text that a task encodes at a time, and that make up one slab.
+BATCH_CHARS = 1 << 18
+SLAB_CHARS = 1 << 22
+#: Links of known units that a task keeps; beyond it, it starts to learn anew.
+KNOWN_LINKS = 1 << 22
+#: A single space between two characters that are no white space.  A starts a new word at such a space
+#: before it merges anything, and no piece of B goes on with a space after another character.
+UNIT = re.compile(r" (?=\S)(?<=\S )")
+
+_COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_refined")
+#: Documents with their units; the last row of a slab has its units' pairs and the pairs themselves.
 _DOC_ARROW = pa.schema(
-    [(n, pa.int64()) for n in ("slab", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_refined")]
-    + [("groups_sha256", pa.string()), ("links", pa.binary()), ("pairs", pa.binary())]
+    [(n, pa.int64()) for n in ("slab", "doc_id", *_COUNTS)]
+    + [("groups_sha256", pa.string()), ("units", pa.binary()), ("unit_pairs", pa.binary()), ("pairs", pa.binary())]
 )
+_DOC = f"""slab bigint, doc_id bigint, {', '.join(f'{n} bigint' for n in _COUNTS)}, groups_sha256 string,
+    units binary, unit_pairs binary, pairs binary"""
 _RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string, n_refined bigint"
 _RESULT_ARROW = pa.schema(
     [(n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     + [("groups_sha256", pa.string()), ("n_refined", pa.int64())]
 )
-#: Bits of a document's number above those of an id pair.
-_PAIR_BITS = 40
+#: Bits of a document's number above those of a unit.
+_UNIT_BITS = 40
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -83,6 +93,27 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+class Tokens:
+    """Ids of several parts, the coarse byte end of each, and the part that it belongs to."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, counts: np.ndarray):
+        self.ids, self.ends, self.counts = ids, ends, counts
+        self.part = np.repeat(np.arange(len(counts)), counts)
+
+    def spells(self, vocabulary: Vocabulary, whole: bytes, sizes: np.ndarray) -> np.ndarray:
+        """Per part whether its tokens spell it; ``whole`` is all parts joined, ``sizes`` their bytes."""
+        if vocabulary.spell(self.ids.tolist()) == whole:
+            lengths = np.bincount(self.part, weights=vocabulary.lengths[self.ids], minlength=len(sizes))
+            if (lengths == sizes).all():
+                return np.ones(len(sizes), bool)
+        ends, stops = np.cumsum(sizes).tolist(), np.cumsum(self.counts).tolist()
+        out, ids, at, low = [], self.ids.tolist(), 0, 0
+        for end, stop in zip(ends, stops):
+            out.append(vocabulary.spell(ids[low:stop]) == whole[at:end])
+            at, low = end, stop
+        return np.array(out, bool)
+
+
 class Aligner:
     """Both tokenizers, loaded once per Python worker."""
 
@@ -107,33 +138,32 @@ class Aligner:
             ],
             ";",
         )
-        # A piece with a space after a letter would span the places where long texts are cut.
-        self.can_cut = not any(re.search(r"[A-Za-z]▁", p) for p in pieces)
-
-    def pieces(self, text: str) -> list[str]:
-        """A space and the text, as parts that can be encoded apart."""
-        whole = " " + text
-        if len(whole) <= PIECE_CHARS or not self.can_cut:
-            return [whole]
-        cuts = [0, *_safe_cuts(whole, PIECE_CHARS), len(whole)]
-        return [whole[i:j] for i, j in zip(cuts, cuts[1:])]
-
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[np.ndarray], list[list[int]], list[np.ndarray]]:
-        """Ids and coarse byte ends of each part, by A and by B."""
+        # A piece with a space after another character would span the places where texts are cut.
+        self.can_cut = not any(re.search("[^▁]▁", p) for p in pieces)
+
+    def units(self, text: str) -> list[str]:
+        """Parts of a text that can be encoded apart; each stands for a space and itself."""
+        return UNIT.split(text) if self.can_cut else [text]
+
+    def encode(self, parts: list[str]) -> tuple[Tokens, Tokens]:
+        """Ids and coarse byte ends of the parts (each with its space), by A and by B."""
         found = self.a.encode_batch(parts, add_special_tokens=False)
-        a_ids = [e.ids for e in found]
-        a_ends = [np.array([end for _, end in e.offsets], np.int64) for e in found]
-        del found
-        for k, part in enumerate(parts):
-            if not part.isascii():
-                a_ends[k] = _byte_ends(part)[a_ends[k]]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        ids = [e.ids for e in found]
+        counts = np.array([len(x) for x in ids], np.int64)
+        ends = np.array([end for e in found for _, end in e.offsets], np.int64)
+        # From characters of a part to bytes of all parts.
+        ends = _bytes_before("".join(parts))[ends + np.repeat(np.cumsum(sizes) - sizes, counts)]
+        a = Tokens(_flat(ids), ends, counts)
+        del found, ids
+
         # B adds the space itself and counts bytes from after it.
-        b_ids, b_ends = [], []
-        for part in parts:
-            tokens = self.b.encode(part[1:], return_type="proto").pieces
-            b_ids.append([t.id for t in tokens])
-            b_ends.append(np.array([t.end for t in tokens], np.int64) + 1)
-        return a_ids, a_ends, b_ids, b_ends
+        protos = self.b.encode([p[1:] for p in parts], return_type="proto", num_threads=1)
+        ids = [[t.id for t in p.pieces] for p in protos]
+        counts = np.array([len(x) for x in ids], np.int64)
+        ends = np.array([t.end for p in protos for t in p.pieces], np.int64)
+        base = np.concatenate([[0], np.cumsum([len(p.encode()) for p in parts])]).astype(np.int64)
+        return a, Tokens(_flat(ids), ends + 1 + np.repeat(base[:-1], counts), counts)
 
 
 @lru_cache(maxsize=2)
@@ -141,25 +171,10 @@ def load(byte_bpe: str, piece_bpe: str) -> Aligner:
     return Aligner(byte_bpe, piece_bpe)
 
 
-def _safe_cuts(text: str, size: int) -> list[int]:
-    """Places to cut a text: before a space between two letters.
-
-    Both tokenizers start a new word there: A splits words at such a space before merging, and no
-    piece of B goes on after a letter with a space.
-    """
-    cuts, at = [], 0
-    word = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
-    while len(text) - at > size:
-        found = word.search(text, at + size)
-        if found is None:
-            break
-        at = found.start()
-        cuts.append(at)
-    return cuts
-
-
-def _byte_ends(text: str) -> np.ndarray:
+def _bytes_before(text: str) -> np.ndarray:
     """Bytes before each character, and in all."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     widths = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64)
     return np.concatenate([[0], np.cumsum(widths)])
@@ -179,43 +194,34 @@ def refine(coarse: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.where(holds, coarse, known + since), ~holds
 
 
-def _flat(parts: list) -> np.ndarray:
-    return np.concatenate([np.asarray(p, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
 
 
 class Batch:
-    """Aligned tokens of a few documents, end to end on one byte axis."""
-
-    def __init__(self, aligner: Aligner, texts: list[str | None]):
-        self.texts = texts
-        parts, owner = [], []
-        for row, text in enumerate(texts):
-            if text:
-                own = aligner.pieces(text)
-                parts += own
-                owner += [row] * len(own)
-        a_ids, a_ends, b_ids, b_ends = aligner.encode(parts)
-        data = [p.encode() for p in parts]
-        bad = {
-            row
-            for row, raw, a, b in zip(owner, data, a_ids, b_ids)
-            if aligner.a_ids.spell(a) != raw or aligner.b_ids.spell(b) != raw
-        }
-        kept = [k for k, row in enumerate(owner) if row not in bad]
-        base = np.concatenate([[0], np.cumsum([len(data[k]) for k in kept])]).astype(np.int64)
-
-        def side(ids: list, ends: list, vocabulary: Vocabulary):
-            own = [ids[k] for k in kept]
-            flat = _flat(own)
-            counts = np.array([len(x) for x in own], np.int64)
-            coarse = _flat([ends[k] for k in kept]) + np.repeat(base[:-1], counts)
-            cuts, refined = refine(coarse, vocabulary.lengths[flat])
-            doc = np.repeat(np.array([owner[k] for k in kept], np.int64), counts)
-            return flat, cuts, refined, doc
-
-        self.a, a_cuts, a_refined, self.a_doc = side(a_ids, a_ends, aligner.a_ids)
-        self.b, b_cuts, b_refined, self.b_doc = side(b_ids, b_ends, aligner.b_ids)
-        rows = len(texts)
+    """Aligned tokens of a few texts, each after a space, end to end on one byte axis.
+
+    A text whose tokens do not spell it is ``bad`` and has no tokens.
+    """
+
+    def __init__(self, aligner: Aligner, texts: list[str]):
+        parts = [" " + text for text in texts]
+        of_a, of_b = aligner.encode(parts)
+        whole = "".join(parts).encode()
+        sizes = np.array([len(p.encode()) for p in parts], np.int64)
+        self.bad = ~(of_a.spells(aligner.a_ids, whole, sizes) & of_b.spells(aligner.b_ids, whole, sizes))
+        gone = np.cumsum(np.where(self.bad, sizes, 0))
+
+        def side(tokens: Tokens, vocabulary: Vocabulary):
+            kept = ~self.bad[tokens.part]
+            ids, part = tokens.ids[kept], tokens.part[kept]
+            # Bytes of bad texts before a token are not on the axis.
+            cuts, refined = refine(tokens.ends[kept] - gone[part], vocabulary.lengths[ids])
+            return ids, cuts, refined, part
+
+        self.a, a_cuts, a_refined, self.a_doc = side(of_a, aligner.a_ids)
+        self.b, b_cuts, b_refined, self.b_doc = side(of_b, aligner.b_ids)
+        self.size = rows = len(texts)
         self.refined = np.bincount(self.a_doc[a_refined], minlength=rows) + np.bincount(
             self.b_doc[b_refined], minlength=rows
         )
@@ -231,8 +237,21 @@ class Batch:
         self.link_b = np.searchsorted(b_cuts, ends)
         self.aligner = aligner
 
-    def group_digests(self) -> list[str]:
-        """Per document the hash of its groups, empty without tokens."""
+    def counts(self) -> np.ndarray:
+        """Per text its tokens of A and B, groups, links and refined tokens."""
+        def of(rows: np.ndarray) -> np.ndarray:
+            return np.bincount(rows, minlength=self.size)
+
+        return np.stack(
+            [of(self.a_doc), of(self.b_doc), of(self.a_doc[self.a_last]), of(self.a_doc[self.link_a]), self.refined], 1
+        )
+
+    def pairs(self) -> np.ndarray:
+        """The id pair of each link, text by text."""
+        return self.a[self.link_a] * len(self.aligner.b_ids.bytes) + self.b[self.link_b]
+
+    def group_texts(self) -> list[str]:
+        """Per text its groups, written out."""
         a_ids, b_ids = self.aligner.a_ids, self.aligner.b_ids
         a_group = np.cumsum(self.a_last) - self.a_last
         b_group = np.cumsum(self.b_last) - self.b_last
@@ -246,12 +265,10 @@ class Batch:
         words[np.arange(len(self.b)) + a_up_to[b_group]] = np.where(
             self.b_last, b_ids.closing[self.b], b_ids.inside[self.b]
         )
-        rows = len(self.texts)
-        ends = np.cumsum(np.bincount(self.a_doc, minlength=rows) + np.bincount(self.b_doc, minlength=rows))
+        ends = np.cumsum(np.bincount(self.a_doc, minlength=self.size) + np.bincount(self.b_doc, minlength=self.size))
         words, at, out = words.tolist(), 0, []
         for end in ends.tolist():
-            text = "".join(words[at:end])[:-1]
-            out.append(hashlib.sha256(text.encode()).hexdigest() if end > at else "")
+            out.append("".join(words[at:end])[:-1])
             at = end
         return out
 
@@ -264,68 +281,130 @@ class Batch:
         return out
 
 
+class Known:
+    """Units that a task has aligned: their places, counts, written groups and id pairs."""
+
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
+        self.place: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.bad: set[int] = set()
+        self._counts: list[np.ndarray] = []
+        self._pairs: list[np.ndarray] = []
+        self.links = 0
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """The places of units, aligning those that are new."""
+        new = [u for u in dict.fromkeys(units) if u not in self.place]
+        at = 0
+        while at < len(new):
+            size, low = 0, at
+            while at < len(new) and (size < BATCH_CHARS or at == low):
+                size += len(new[at])
+                at += 1
+            self._learn(new[low:at])
+        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+
+    def _learn(self, units: list[str]) -> None:
+        first, batch = len(self.place), Batch(self.aligner, units)
+        self.place.update(zip(units, range(first, first + len(units))))
+        self.texts += batch.group_texts()
+        self.bad.update((first + np.flatnonzero(batch.bad)).tolist())
+        self._counts.append(batch.counts())
+        self._pairs.append(batch.pairs())
+        self.links += len(self._pairs[-1])
+
+    def counts(self) -> np.ndarray:
+        self._counts = [np.concatenate(self._counts)] if self._counts else [np.zeros((0, len(_COUNTS)), np.int64)]
+        return self._counts[0]
+
+    def pairs_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of some units, unit by unit, and how many each has."""
+        self._pairs = [np.concatenate(self._pairs)] if self._pairs else [np.zeros(0, np.int64)]
+        links = self.counts()[:, _COUNTS.index("n_links")]
+        starts, sizes = np.cumsum(links) - links, links[places]
+        shift = np.repeat(starts[places] - (np.cumsum(sizes) - sizes), sizes)
+        return self._pairs[0][shift + np.arange(int(sizes.sum()))], sizes
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), kind)
+
+
 class Slab:
     """The rows of a run of documents, closed when it has taken in enough text."""
 
-    def __init__(self, number: int):
-        self.number, self.size, self.rows, self.links = number, 0, [], []
-
-    def add(self, ids: list[int | None], batch: Batch) -> None:
-        rows = len(ids)
-        n_a = np.bincount(batch.a_doc, minlength=rows)
-        n_b = np.bincount(batch.b_doc, minlength=rows)
-        link_doc = batch.a_doc[batch.link_a]
-        n_groups = np.bincount(batch.a_doc[batch.a_last], minlength=rows)
-        n_links = np.bincount(link_doc, minlength=rows)
-        pair = batch.a[batch.link_a] * len(batch.aligner.b_ids.bytes) + batch.b[batch.link_b]
-        number = (link_doc + len(self.rows)) << _PAIR_BITS
-        # Once a document and pair, with its links.
-        self.links.append(np.unique(number | pair, return_counts=True))
-        columns = (n_a, n_b, n_groups, n_links, batch.refined)
-        self.rows += list(zip(ids, *[c.tolist() for c in columns], batch.group_digests()))
-        self.size += sum(len(t) for t in batch.texts if t)
+    def __init__(self, number: int, known: Known):
+        self.number, self.known = number, known
+        self.chars, self.rows, self.units = 0, [], []
+
+    def add(self, ids: list[int | None], texts: list[str | None]) -> None:
+        known = self.known
+        split = [known.aligner.units(t) if t else [] for t in texts]
+        places = known.places([u for units in split for u in units])
+        counts, at, docs = known.counts(), 0, []
+        for doc_id, units in zip(ids, split):
+            own = places[at : at + len(units)]
+            at += len(units)
+            spelled = own.tolist()
+            if known.bad and not known.bad.isdisjoint(spelled):
+                own, spelled = own[:0], []
+            sha = hashlib.sha256(";".join(map(known.texts.__getitem__, spelled)).encode()).hexdigest() if spelled else ""
+            self.rows.append((doc_id, *counts[own].sum(0).tolist(), sha))
+            docs.append(own | ((len(self.rows) - 1) << _UNIT_BITS))
+        # Once a document and unit, with how often.
+        self.units.append(np.unique(np.concatenate(docs), return_counts=True))
+        self.chars += sum(len(t) for t in texts if t)
 
     def close(self) -> pa.RecordBatch:
-        """A row per document, its links as places in the slab's sorted pairs, and a row of those pairs."""
-        keys = np.concatenate([k for k, _ in self.links])
-        times = np.concatenate([c for _, c in self.links])
-        pairs, place = np.unique(keys & ((1 << _PAIR_BITS) - 1), return_inverse=True)
-        totals = np.bincount(place, weights=times, minlength=len(pairs)).astype(np.int64)
-        ends = np.searchsorted(keys >> _PAIR_BITS, np.arange(len(self.rows)), side="right").tolist()
-        pack = zstandard.ZstdCompressor(level=1).compress
-        links, at = [], 0
-        for end in ends:
-            links.append(pack(np.stack([place[at:end], times[at:end]]).astype(np.int32).tobytes()))
+        """A row per document with its units, and a row with the pairs of the slab's units."""
+        keys = np.concatenate([k for k, _ in self.units])
+        times = np.concatenate([c for _, c in self.units])
+        units, place = np.unique(keys & ((1 << _UNIT_BITS) - 1), return_inverse=True)
+        used = np.bincount(place, weights=times, minlength=len(units)).astype(np.int64)
+        ends = np.searchsorted(keys >> _UNIT_BITS, np.arange(len(self.rows)), side="right").tolist()
+        rows, at = [], 0
+        for row, end in zip(self.rows, ends):
+            packed = _pack(place[at:end].astype(np.int32), times[at:end].astype(np.int32))
+            rows.append((self.number, *row, packed, None, None))
             at = end
-        rows = [(self.number, *row, link, None) for row, link in zip(self.rows, links)]
-        known = pack(np.stack([pairs, totals]).astype(np.int64).tobytes())
-        rows.append((self.number, None, None, None, None, None, None, None, None, known))
+        links, sizes = self.known.pairs_of(units)
+        pairs, spot = np.unique(links, return_inverse=True)
+        totals = np.bincount(spot, weights=np.repeat(used, sizes), minlength=len(pairs)).astype(np.int64)
+        own = _pack(np.array([len(units)], np.int32), sizes.astype(np.int32), spot.astype(np.int32))
+        rows.append((self.number, *[None] * (2 + len(_COUNTS)), None, own, _pack(pairs, totals)))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(zip(*rows), _DOC_ARROW)], schema=_DOC_ARROW
         )
 
 
-def _encode(docs: DataFrame, byte_bpe: str, piece_bpe: str, slab_bytes: int) -> DataFrame:
+def _encode(docs: DataFrame, byte_bpe: str, piece_bpe: str, slab_chars: int) -> DataFrame:
     """Slabs of encoded documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = load(byte_bpe, piece_bpe)
+        known = Known(load(byte_bpe, piece_bpe))
         # Tasks number their slabs apart.
-        slab = Slab(TaskContext.get().partitionId() << 32)
+        slab = Slab(TaskContext.get().partitionId() << 32, known)
         ids, texts, size = [], [], 0
         for arrow in batches:
             for doc_id, text in zip(arrow.column(0), arrow.column(1)):
                 ids.append(doc_id.as_py())
                 texts.append(text.as_py())
                 size += len(texts[-1] or "")
-                if size >= min(BATCH_BYTES, slab_bytes) or len(ids) >= 4096:
-                    slab.add(ids, Batch(aligner, texts))
+                if size >= min(BATCH_CHARS, slab_chars) or len(ids) >= 4096:
+                    slab.add(ids, texts)
                     ids, texts, size = [], [], 0
-                    if slab.size >= slab_bytes or len(slab.rows) >= 1 << 16:
+                    if slab.chars >= slab_chars or len(slab.rows) >= 1 << 16:
                         yield slab.close()
-                        slab = Slab(slab.number + 1)
+                        if known.links > KNOWN_LINKS:
+                            known = Known(known.aligner)
+                        slab = Slab(slab.number + 1, known)
         if ids:
-            slab.add(ids, Batch(aligner, texts))
+            slab.add(ids, texts)
         if slab.rows:
             yield slab.close()
 
@@ -335,7 +414,7 @@ def _encode(docs: DataFrame, byte_bpe: str, piece_bpe: str, slab_bytes: int) ->
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for slab, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-            pairs, links = np.frombuffer(zstandard.decompress(packed.as_py()), np.int64).reshape(2, -1)
+            pairs, links = _unpack(packed.as_py(), np.int64).reshape(2, -1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(pairs), slab)), pa.array(pairs), pa.array(links)], names=["slab", "pair", "links"]
             )
@@ -345,12 +424,23 @@ def _judge(docs: pa.Table, counts: pa.Table) -> pa.Table:
     """The documents of one slab with the corpus-wide counts of its pairs."""
     order = np.argsort(counts.column("pair").to_numpy())
     n = counts.column("n").to_numpy()[order]
-    best = counts.column("best").to_numpy().astype(bool)[order]
+    best = counts.column("best").to_numpy().astype(np.int64)[order]
+    own = pc.is_valid(docs.column("unit_pairs"))
+    packed = _unpack(docs.filter(own).column("unit_pairs")[0].as_py(), np.int32)
+    sizes, spot = packed[1 : 1 + packed[0]], packed[1 + packed[0] :]
+    ends = np.cumsum(sizes, dtype=np.int64)
+
+    def per_unit(values: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(values[spot])]).astype(np.int64)
+        return total[ends] - total[ends - sizes]
+
+    unit_best, unit_sum = per_unit(best), per_unit(n)
+    docs = docs.filter(pc.invert(own))
     n_best, count_sum = [], []
-    for packed in docs.column("links"):
-        place, times = np.frombuffer(zstandard.decompress(packed.as_py()), np.int32).reshape(2, -1).astype(np.int64)
-        n_best.append(int((times * best[place]).sum()))
-        count_sum.append(int((times * n[place]).sum()))
+    for units in docs.column("units"):
+        place, times = _unpack(units.as_py(), np.int32).reshape(2, -1).astype(np.int64)
+        n_best.append(int((times * unit_best[place]).sum()))
+        count_sum.append(int((times * unit_sum[place]).sum()))
     named = {"n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(count_sum, pa.int64())}
     return pa.Table.from_arrays(
         [named[f.name] if f.name in named else docs.column(f.name).combine_chunks() for f in _RESULT_ARROW],
@@ -359,13 +449,13 @@ def _judge(docs: pa.Table, counts: pa.Table) -> pa.Table:
 
 
 def align(
-    docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, slab_bytes: int = SLAB_BYTES
+    docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, slab_chars: int = SLAB_CHARS
 ) -> DataFrame:
     """Per document the sizes of its alignment, its links' standing in the corpus, and its groups' hash.
 
     The paths name vocabulary files that every executor can open.
     """
-    encoded = cut(_encode(docs, byte_bpe, piece_bpe, slab_bytes), "aligned")
+    encoded = cut(_encode(docs, byte_bpe, piece_bpe, slab_chars), "aligned")
     known = encoded.where("pairs is not null").select("slab", "pairs")
     pairs = known.mapInArrow(_pairs_of, "slab bigint, pair bigint, links bigint")
     counts = cut(pairs.groupBy("pair").agg(F.sum("links").alias("n")), "pair_counts")
@@ -375,8 +465,7 @@ def align(
     most = counts.groupBy(of_b.alias("b")).agg(F.max("n").alias("most"))
     judged = counts.withColumn("b", of_b).join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
     back = pairs.select("slab", "pair").join(judged, "pair")
-    texts = encoded.where("pairs is null").drop("pairs")
-    return texts.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(_judge, _RESULT)
+    return encoded.drop("pairs").groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(_judge, _RESULT)
 
 
 def _piece_count(piece_bpe: str) -> int:

@@ -113,20 +113,38 @@ def test_empty_table(spark):
 def test_many_slabs_count_together(spark, models):
     rows = [(i, f"word{i % 7} and the other {i % 3} words ÄÖ") for i in range(60)]
     # Every task closes a slab after each document.
-    result = alignment.align(spark.createDataFrame(rows, SCHEMA), slab_bytes=1).drop("n_refined")
+    result = alignment.align(spark.createDataFrame(rows, SCHEMA), slab_chars=1).drop("n_refined")
     assert sorted((tuple(r) for r in result.collect()), key=str) == brute(models, rows)
 
 
-@pytest.mark.parametrize("text", ["some words of a text, ÄÖ 漢字 and more. " * 40, "x y z " * 300, "ab" * 700])
-def test_pieces_of_long_texts_change_nothing(models, monkeypatch, text):
+@pytest.mark.parametrize(
+    "text",
+    ["some words of a text, ÄÖ 漢字 and more. " * 40, "x y z " * 300, "don't 's  two 12 3.5 (a) <b> ... \n c\t d " * 50],
+)
+def test_units_change_nothing(text):
     loaded = alignment.load(alignment.BYTE_BPE, alignment.PIECE_BPE)
-    whole = alignment.Batch(loaded, [text])
-    monkeypatch.setattr(alignment, "PIECE_CHARS", 50)
-    parts = loaded.pieces(text)
-    assert "".join(parts) == " " + text
-    cut = alignment.Batch(loaded, [text])
-    assert whole.spans() == cut.spans() and len(whole.spans()) > 100
-    assert whole.group_digests() == cut.group_digests()
+    units = loaded.units(text)
+    assert " ".join(units) == text and len(units) > 100
+    whole, parts = alignment.Batch(loaded, [text]), alignment.Batch(loaded, units)
+    assert whole.spans() == parts.spans()
+    assert whole.group_texts()[0] == ";".join(parts.group_texts())
+    assert whole.counts().sum(0).tolist() == parts.counts().sum(0).tolist()
+
+
+def test_learning_anew_changes_nothing(spark, models):
+    rows = [(i, f"word{i} and word{i + 1} again \U0001f600{i}") for i in range(40)]
+    loaded = alignment.load(alignment.BYTE_BPE, alignment.PIECE_BPE)
+    known, fresh = alignment.Known(loaded), []
+    for _, text in rows:
+        own = alignment.Known(loaded)
+        places = known.places(loaded.units(text))
+        again = own.places(loaded.units(text))
+        assert [known.texts[p] for p in places] == [own.texts[p] for p in again]
+        assert (known.counts()[places] == own.counts()[again]).all()
+        for mine, other in zip(known.pairs_of(places), own.pairs_of(again)):
+            assert mine.tolist() == other.tolist()
+        fresh.append(len(own.place))
+    assert len(known.place) < sum(fresh)
 
 
 def test_long_text(spark):

@@ -166,6 +166,31 @@ class Aligner:
         return a, Tokens(_flat(ids), ends + 1 + np.repeat(base[:-1], counts), counts)
 
 
+    def encode_together(self, parts: list[str]) -> tuple[Tokens, Tokens] | None:
+        """The same for parts that end where neither tokenizer joins, as one text; None if that does not hold."""
+        if not self.can_cut or any(p[1:2].isspace() or p[-1:].isspace() for p in parts):
+            return None
+        whole = "".join(parts)
+        data, stops = whole.encode(), np.cumsum([len(p.encode()) for p in parts])
+        found = self.a.encode(whole, add_special_tokens=False)
+        a_ends = _bytes_before(whole)[np.array([end for _, end in found.offsets], np.int64)]
+        pieces = self.b.encode(whole[1:], return_type="proto").pieces
+        out = []
+        for ids, ends, vocabulary in (
+            (found.ids, a_ends, self.a_ids),
+            ([t.id for t in pieces], np.array([t.end for t in pieces], np.int64) + 1, self.b_ids),
+        ):
+            if vocabulary.spell(ids) != data:
+                return None
+            flat = np.array(ids, np.int64)
+            spelled = np.cumsum(vocabulary.lengths[flat])
+            last = np.searchsorted(spelled, stops)
+            if (spelled[last] != stops).any():
+                return None
+            out.append(Tokens(flat, ends, np.diff(last, prepend=-1)))
+        return out[0], out[1]
+
+
 @lru_cache(maxsize=2)
 def load(byte_bpe: str, piece_bpe: str) -> Aligner:
     return Aligner(byte_bpe, piece_bpe)
@@ -206,10 +231,14 @@ class Batch:
 
     def __init__(self, aligner: Aligner, texts: list[str]):
         parts = [" " + text for text in texts]
-        of_a, of_b = aligner.encode(parts)
-        whole = "".join(parts).encode()
         sizes = np.array([len(p.encode()) for p in parts], np.int64)
-        self.bad = ~(of_a.spells(aligner.a_ids, whole, sizes) & of_b.spells(aligner.b_ids, whole, sizes))
+        if together := aligner.encode_together(parts):
+            of_a, of_b = together
+            self.bad = np.zeros(len(parts), bool)
+        else:
+            of_a, of_b = aligner.encode(parts)
+            whole = "".join(parts).encode()
+            self.bad = ~(of_a.spells(aligner.a_ids, whole, sizes) & of_b.spells(aligner.b_ids, whole, sizes))
         gone = np.cumsum(np.where(self.bad, sizes, 0))
 
         def side(tokens: Tokens, vocabulary: Vocabulary):
@@ -296,13 +325,16 @@ class Known:
     def places(self, units: list[str]) -> np.ndarray:
         """The places of units, aligning those that are new."""
         new = [u for u in dict.fromkeys(units) if u not in self.place]
-        at = 0
-        while at < len(new):
-            size, low = 0, at
-            while at < len(new) and (size < BATCH_CHARS or at == low):
-                size += len(new[at])
-                at += 1
-            self._learn(new[low:at])
+        # Units at the edge of white space are not encoded together with others.
+        edges = [u for u in new if u[:1].isspace() or u[-1:].isspace()]
+        for some in ([u for u in new if not (u[:1].isspace() or u[-1:].isspace())], edges):
+            at = 0
+            while at < len(some):
+                size, low = 0, at
+                while at < len(some) and (size < BATCH_CHARS or at == low):
+                    size += len(some[at])
+                    at += 1
+                self._learn(some[low:at])
         return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
 
     def _learn(self, units: list[str]) -> None:

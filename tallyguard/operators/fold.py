@@ -360,11 +360,24 @@ CORPUS_FIELDS = (
 )
 
 
+def _repeats(accepted: DataFrame) -> DataFrame:
+    """Positions of rows whose content arrived before, from hashes and positions alone."""
+    rows = accepted.select(F.unhex("content_hash").alias("_content"), "seq")
+    several = rows.groupBy("_content").agg(F.min("seq").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    return rows.join(several, "_content").filter("seq > _first").select("seq")
+
+
 def corpus_table(accepted: DataFrame, fields: tuple[str, ...] = CORPUS_FIELDS) -> DataFrame:
     """Distinct payloads in first-received form, with the canonical fields read then.
 
-    The hash decides alone, so the same payload from a second provider is not stored.
+    The hash decides alone, so the same payload from a second provider is not stored.  Payloads do
+    not travel to be compared: copies are found by hash and position, and are taken out of the
+    rows where these are, as long as the copies are few; else payloads move once, by position.
+    ``accepted`` should then be cheap to re-read.  Without the payload, rows travel with their hash.
     """
+    if "payload" in fields:
+        repeats = cut(_repeats(accepted), "repeats")
+        return accepted.join(repeats, "seq", "left_anti").select("seq", *fields, "content_hash")
     rows = accepted.withColumn("_content", F.unhex("content_hash"))
     first = first_by_content(rows, "_content", "seq", list(fields))
     return first.withColumn("content_hash", F.lower(F.hex("_content"))).drop("copies", "_content")

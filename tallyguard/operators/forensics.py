@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..session import cut, lookup, small_enough
+from ..session import cut, lookup
 from .drift import SILENT_NULL, STRUCTURAL, field_stats
 from .normalize import normalize, with_event_id
+from .prefix import ranked
 from .registry import COST_FIELD, FIELD_COLUMNS, Registry
 from .reports import last_flags, missing_cost
 from .shapes import dominant_shape, known_shapes, with_paths
@@ -21,8 +22,8 @@ from .shapes import dominant_shape, known_shapes, with_paths
 RATE_THRESHOLD = 0.9
 RECENT_LIMIT = 1 - RATE_THRESHOLD + 0.0001
 
-# Above either, alert ids reach the events by a salted join instead of a broadcast.
-MAX_BROADCAST_PROVIDERS, MAX_BROADCAST_ALERTS = 1_000, 100_000
+# Above it, alerts reach the events by a salted join instead of a broadcast.
+MAX_BROADCAST_ALERTS = 100_000
 
 # Status names, and the texts and stages of the report.
 HEALTHY, DRIFT, SILENT, REPLAY_FAILED = "Healthy", "Drift", "Silent Null", "Replay Failed"
@@ -41,8 +42,16 @@ TEXT_REPLAY_BAD = "%d regression(s) across %d historical payloads."
 # --- provider facts -------------------------------------------------------------------
 
 
-def provider_facts(events: DataFrame, corpus: DataFrame, matrix: DataFrame) -> DataFrame:
-    """One row per provider with everything event reports need to know about it."""
+FAILURE = "struct<payload: bigint, version: int, expected: double, actual: double, reason: string>"
+
+
+def provider_facts(
+    events: DataFrame, corpus: DataFrame, matrix: DataFrame, failures: DataFrame | None = None
+) -> DataFrame:
+    """One row per provider with everything event reports need to know about it.
+
+    ``failures`` are the first refused payloads of each provider, from ``replay_failures``.
+    """
     shape = dominant_shape(known_shapes(corpus)).select(
         "provider",
         F.col("shape_key").alias("usual_key"),
@@ -67,8 +76,16 @@ def provider_facts(events: DataFrame, corpus: DataFrame, matrix: DataFrame) -> D
     # A provider whose payloads all arrived first from another one has events, but no stored
     # payloads: nothing is usual for it, and nothing of it was replayed.
     facts = events.select("provider").distinct()
-    for part in (shape, rates, series, replay, missing_cost(events)):
+    parts = [shape, rates, series, replay, missing_cost(events)]
+    if failures is not None:
+        # A few per provider.
+        ordered = F.array_sort(F.collect_list(F.struct("version", "payload", "expected", "actual", "reason")))
+        entry = lambda f: F.struct(*[f[n] for n in ("payload", "version", "expected", "actual", "reason")])
+        parts.append(failures.groupBy("provider").agg(F.transform(ordered, entry).alias("failures")))
+    for part in parts:
         facts = facts.join(F.broadcast(part), "provider", "left")
+    if failures is None:
+        facts = facts.withColumn("failures", F.lit(None))
     nothing = F.array().cast("array<string>")
     none = F.lit(0).cast("bigint")
     return facts.withColumns(
@@ -77,6 +94,7 @@ def provider_facts(events: DataFrame, corpus: DataFrame, matrix: DataFrame) -> D
             "usual_paths": F.coalesce("usual_paths", nothing),
             "historical_payloads": F.coalesce("historical_payloads", none),
             "regressions": F.coalesce("regressions", none),
+            "failures": F.coalesce(F.col("failures").cast(f"array<{FAILURE}>"), F.array().cast(f"array<{FAILURE}>")),
         }
     )
 
@@ -145,7 +163,7 @@ def with_silent_null(matched: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def with_replay(events: DataFrame, facts: DataFrame) -> DataFrame:
-    replay = facts.select("provider", "historical_payloads", "regressions", "missing_cost")
+    replay = facts.select("provider", "historical_payloads", "regressions", "failures", "missing_cost")
     return events.join(F.broadcast(replay), "provider", "left").withColumn(
         "replay_status", F.when(F.col("regressions") > 0, "failed").otherwise("passed")
     )
@@ -174,29 +192,58 @@ def suggested_versions(matched: DataFrame, corpus: DataFrame, registry: Registry
     return read.filter(helps).groupBy("event_id").agg(F.min("version").alias("suggested_version"))
 
 
-def with_related_alerts(described: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Ids of alerts that concern an event, newest first.
+def alert_index(alerts: DataFrame) -> DataFrame:
+    """Alerts with what they concern (``kind``) and their place among those of their provider and kind.
+
+    The newest has place 1.
+    """
+    kind = F.when(F.col("type") == STRUCTURAL, F.lit(STRUCTURAL)).otherwise(F.concat_ws(":", "type", "field"))
+    keyed = alerts.withColumn("kind", kind).withColumns(
+        {"_list": F.concat_ws(" ", "provider", "kind"), "_newest": -F.col("id")}
+    )
+    return ranked(cut(keyed, "keyed_alerts"), "_list", "_newest", "place").drop("_list", "_newest")
+
+
+def with_related_alerts(described: DataFrame, index: DataFrame) -> DataFrame:
+    """What alerts concern an event, as intervals of the index: one per kind, however many alerts.
 
     Silent-null alerts count if their field is missing on the event; structural ones if
     the event's shape is not the usual one.
     """
-    kind = F.when(F.col("type") == STRUCTURAL, F.lit(STRUCTURAL)).otherwise(F.concat_ws(":", "type", "field"))
-    by_kind = alerts.groupBy("provider", kind.alias("kind")).agg(F.collect_list("id").alias("ids"))
-    index = by_kind.groupBy("provider").agg(
-        F.map_from_entries(F.collect_list(F.struct("kind", "ids"))).alias("_alerts")
+    sizes = index.groupBy("provider", "kind").agg(F.max("place").alias("n"))
+    # One row per provider; kinds are the measurable fields and the shape.
+    lists = sizes.groupBy("provider").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("_sizes"))
+    kinds = F.concat(
+        F.transform("missing", lambda f: F.concat(F.lit(f"{SILENT_NULL}:"), f)),
+        F.when(F.col("changed"), F.array(F.lit(STRUCTURAL))).otherwise(F.array().cast("array<string>")),
     )
-    # The index has one row per provider, as long as its alerts are many.
-    max_rows = MAX_BROADCAST_PROVIDERS if small_enough(alerts, MAX_BROADCAST_ALERTS) else 0
-    joined = lookup(described, cut(index, "alert_index"), "provider", "event_id", max_rows)
+    spans = F.transform(
+        kinds,
+        lambda k: F.struct(
+            k.alias("kind"), F.lit(1).cast("bigint").alias("start"), (F.try_element_at("_sizes", k) + 1).alias("stop")
+        ),
+    )
+    return (
+        described.join(F.broadcast(lists), "provider", "left")
+        .withColumn("related_alerts", F.filter(spans, lambda i: i["stop"].isNotNull()))
+        .drop("_sizes")
+    )
+
 
-    def ids(key: Column) -> Column:
-        return F.coalesce(F.try_element_at("_alerts", key), F.array().cast("array<bigint>"))
+def event_alerts(reports: DataFrame, index: DataFrame) -> DataFrame:
+    """The alerts that concern events, one row each, for the reports asked for."""
+    def key(place: str) -> Column:
+        return F.concat_ws(" ", "provider", "kind", place)
 
-    nulls = F.flatten(F.transform("missing", lambda f: ids(F.concat(F.lit(f"{SILENT_NULL}:"), f))))
-    shapes = F.when(F.col("changed"), ids(F.lit(STRUCTURAL))).otherwise(F.array().cast("array<bigint>"))
-    return joined.withColumn(
-        "related_alert_ids", F.sort_array(F.concat(nulls, shapes), asc=False)
-    ).drop("_alerts")
+    asked = reports.select("event_id", "provider", F.inline("related_alerts"))
+    rows = asked.select("event_id", "provider", "kind", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("place"))
+    found = index.select(
+        key("place").alias("_key"), F.col("id").alias("alert_id"), "type", "severity", "field", "message", "created_at"
+    )
+    joined = lookup(
+        rows.withColumn("_key", key("place")), cut(found, "alert_rows"), "_key", "event_id", MAX_BROADCAST_ALERTS
+    )
+    return joined.select("event_id", "alert_id", "type", "severity", "field", "message", "created_at")
 
 
 def status() -> Column:
@@ -319,12 +366,12 @@ def with_receipt(events: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def inspect_events(
-    events: DataFrame, corpus: DataFrame, alerts: DataFrame, facts: DataFrame, registry: Registry
+    events: DataFrame, corpus: DataFrame, index: DataFrame, facts: DataFrame, registry: Registry
 ) -> DataFrame:
-    """The full report, one row per event."""
+    """The full report, one row per event; ``index`` comes from :func:`alert_index`."""
     described = describe(events, facts, registry)
     fixes = suggested_versions(described, corpus, registry)
-    full = with_related_alerts(with_receipt(described, corpus).join(fixes, "event_id", "left"), alerts)
+    full = with_related_alerts(with_receipt(described, corpus).join(fixes, "event_id", "left"), index)
     return full.select(
         "event_id",
         "provider",
@@ -344,11 +391,14 @@ def inspect_events(
         F.struct("changed", "baseline_paths", "current_paths", "added", "removed").alias("structural_diff"),
         "silent_null",
         F.struct(
-            F.col("replay_status").alias("status"), F.col("historical_payloads").alias("historical"), "regressions"
+            F.col("replay_status").alias("status"),
+            F.col("historical_payloads").alias("historical"),
+            "regressions",
+            "failures",
         ).alias("replay"),
         timeline().alias("timeline"),
         notes().alias("notes"),
-        "related_alert_ids",
+        "related_alerts",
     )
 
 

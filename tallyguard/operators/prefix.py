@@ -103,7 +103,8 @@ def in_ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def _last_before(buckets: DataFrame, group: list[str], max_rows: int) -> DataFrame:
     """Per (group, _bucket) row, the last ``_state`` of all earlier buckets of the group."""
-    if small_enough(buckets, max_rows):
+    longest = buckets.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if longest <= max_rows:
         order = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         return buckets.select(*group, "_bucket", F.last("_state", ignorenulls=True).over(order).alias("_carried"))
     wide = buckets.withColumn("_outer", F.expr(f"shiftright(_bucket, {BUCKET_BITS})"))

@@ -29,6 +29,41 @@ _EXPECTS = ",".join(name for name, _ in _FIELDS)
 
 ARR = f"a as materialized ({duckdb_recipe()})"
 
+# The arrivals once more, by building JSON values instead of texts.
+ARRIVALS = """
+with priced as (
+  select *, ['cursor', 'openai', 'anthropic'][(event_id + 1) % 3 + 1] who, timestamp '2024-01-28 12:00:00' moved,
+    -- six decimals, as text: amounts keep their zeros
+    format('0.{:06d}', 1000 + cast(round("value" * 100) as bigint)) usd from events
+), deliveries as (
+  select *, unnest(list_filter([
+    {'after': 0, 'due': true}, {'after': 5, 'due': event_id % 31 = 0},
+    {'after': 7, 'due': event_id % 47 = 0 and event_id % 3 = 0 and ts < moved}], lambda d: d.due)) d from priced
+), bodies as (
+  select event_id * 10 + d.after seq, ts received_at, who, usd,
+    to_json({'id': 'oa_' || event_id, 'object': if(event_id % 5 = 0, 'text.completion', 'chat.completion'),
+      'created': epoch_us(ts) // 1000000, 'model': if(event_id % 997 = 0, to_json(404), to_json('gpt-' || event_id % 2)),
+      'user': 'u_' || user_id,
+      'usage': {'prompt_tokens': 40 + 5 * user_id, 'completion_tokens': 12 + cast(floor("value") as bigint)}}) openai,
+    case when ts >= moved then to_json({'pricing': {'cost': {'amount_usd': usd}}})
+      when event_id % 47 = 0 and d.after < 7 then to_json({'cost': {'amount_usd': null}})
+      else to_json({'cost': {'amount_usd': usd}}) end paid,
+    to_json({'id': 'an_' || event_id, 'type': 'message', 'model': 'claude-' || event_id % 2,
+      'created_at': strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ'),
+      'usage': {'input_tokens': 40 + 5 * user_id, 'output_tokens': 12 + cast(floor("value") as bigint)},
+      'metadata': {'user_id': 'u_' || user_id}, 'cost_usd': usd}) anthropic,
+    to_json({'request_id': 'cu_' || event_id, 'kind': 'edit', 'model': 'cursor-' || event_id % 2,
+      'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ'),
+      'tokens': {'in': 40 + 5 * user_id, 'out': 12 + cast(floor("value") as bigint)},
+      'user': {'id': 'u_' || user_id}, 'billing': {'usd': usd}}) cursor
+  from deliveries
+)
+select seq, received_at, provider, replace(quoted, chr(34) || usd || chr(34), usd) payload from (select seq, received_at, who provider, case who
+  when 'openai' then left(openai::varchar, -1) || ',' || substr(paid::varchar, 2)
+  when 'anthropic' then anthropic::varchar else cursor::varchar end as quoted, usd
+from bodies)
+"""
+
 NORM = """
 n0 as (select seq, received_at, provider, payload,
   case provider when 'cursor' then payload->>'$.request_id' else payload->>'$.id' end pid,
@@ -342,7 +377,7 @@ _STAGES = """select event_id, unnest([
 
 
 ORACLE: dict[str, str] = {
-    "arrivals": _with(ARR) + "select seq, received_at, provider, payload from a",
+    "arrivals": ARRIVALS,
     "quarantine": _with(*_BASE) + "select seq, provider, reasons reason from n where reasons != ''",
     "corpus": _with(*_STORED, SHAPES) + f"""select {_uuid('content_hash')} raw_payload_id, content_hash, provider, seq,
       1 parser_version, fingerprint, dedup_key, event_type, model, input_tokens, output_tokens,
@@ -402,6 +437,30 @@ ORACLE: dict[str, str] = {
     "silent_null_first_fire": _with(*_FOLDED, FIRE) + f"""select provider, field, t seq,
       case when field = 'cost.amount_usd' then 'critical' else 'warn' end severity, {_DARK_MESSAGE} message,
       overall_seen, overall_populated, recent_seen, recent_populated from fired""",
+    "silent_null_by_version": _with(*_FOLDED, FIRE) + f"""
+      , asking as (select provider, 'cost.amount_usd' field, seq from acc where provider = 'openai' and seq % 10 != 0),
+      held as (select a.seq t, s.* exclude (t) from asking a asof join state s
+        on a.provider = s.provider and a.field = s.field and a.seq >= s.t),
+      judged as (select t, provider, field, overall_seen, overall_populated, recent_seen, recent_populated from held
+        union all select t, provider, field, overall_seen, overall_populated, recent_seen, recent_populated from state
+        where provider != 'openai' or field != 'cost.amount_usd')
+      select provider, field, t seq, case when field = 'cost.amount_usd' then 'critical' else 'warn' end severity,
+        {_DARK_MESSAGE} message, overall_seen, overall_populated, recent_seen, recent_populated
+      from (select *, row_number() over (partition by provider, field order by t) rn from judged
+        where overall_seen >= 30 and recent_seen >= 10 and overall_populated / overall_seen >= 0.9
+        and recent_populated / recent_seen <= 0.1) where rn = 1""",
+    "known_path_positions": _with(*_SHAPED) + """select provider, path, since,
+        row_number() over (partition by provider order by since, path) - 1 as "position" from (
+      select provider, path, min(first_seq) since from (
+        select provider, first_seq, unnest(string_split(fingerprint, chr(10))) path from known) group by all)""",
+    "alert_list": _with(*_ALERTED) + """select row_number() over (order by created_at desc, id desc) place, id, provider,
+      type, severity, field, message, created_at from al""",
+    "ingest_alerts": _with(*_ALERTED) + f"""select r.seq, {_uuid('dedup_key')} event_id, inserted, revision, l.alerts
+      from results r join (select seq, string_agg(concat_ws(':', id, type, severity, field, message), ';' order by id) alerts
+        from al group by seq) l using (seq)""",
+    "exact_totals": """select event_type, count(*) events, cast(cast(sum(cast(
+        cast(round("value" * 100) as bigint) || 'E' || (event_id % 29 - 14) as decimal(38,14))) as varchar) as double) total
+      from events group by event_type""",
     "label_stats": """with r as (select d.doc_id, lang, quality, toxic,
       row_number() over (partition by lang order by d.doc_id desc) rn from documents d left join labels using (doc_id))
       select lang, 'quality' field, count(*) filter (where rn > 20) overall_seen,
@@ -479,6 +538,20 @@ ORACLE: dict[str, str] = {
       silent status, series from described where silent is not null""",
     "field_series": _with(*_RANKED, SERIES) + "select provider, field, series from series",
     "related_alerts": _with(*_INSPECTED) + "select event_id, alert_ids from related",
+    "event_alerts": _with(*_INSPECTED) + """select d.event_id, al.id alert_id, al.type, al.severity, al.field, al.message,
+      al.created_at from described d join al on al.provider = d.provider and (
+        (al.type = 'SILENT_NULL' and list_contains(d.missing, al.field)) or (al.type = 'STRUCTURAL' and d.changed))""",
+    "strict_inspection": _with(*_DESCRIBED, REPLAY) + f""", refused as (select provider, version, golden_cost,
+        row_number() over (partition by provider order by version, seq) rn, seq from outcomes where outcome = 'throw'),
+      positions as (select seq, row_number() over (partition by provider order by seq) - 1 payload from corpus),
+      failed as (select provider, string_agg(concat_ws(':', payload, version, cast(golden_cost as double),
+          'cost.amount_usd:required'), ';' order by rn) failures
+        from refused join positions using (seq) where rn <= 8 group by provider),
+      sums as (select provider, cast(sum(throw) as bigint) regressions from cells group by provider)
+      select event_id, provider, case when regressions > 0 then 'Replay Failed' else {_STATUS} end status,
+        case when regressions > 0 then 'failed' else 'passed' end replay_status, historical_payloads, regressions,
+        coalesce(failures, '') failures
+      from described join sums using (provider) left join failed using (provider)""",
     "suggested_version": _with(*_DESCRIBED) + "select event_id, suggested_version from fixes",
     "event_status": _with(*_DESCRIBED) + f"select event_id, provider, {_STATUS} status from described",
     "event_timeline": _with(*_DESCRIBED, f"stages as ({_STAGES})")
@@ -489,8 +562,16 @@ ORACLE: dict[str, str] = {
     "event_inspection": _with(*_INSPECTED) + f"""select d.event_id, d.provider, {_STATUS} status,
       {_uuid('d.content_hash')} raw_payload_id, d.received_at, d.revision, cast(d.cost as double) amount_usd,
       array_to_string(missing, ',') missing, changed, silent silent_null, 'passed' replay_status, 8 stages,
-      {_CAUSE} root_cause, {_FIX} suggested_fix, r.alert_ids
+      {_CAUSE} root_cause, {_FIX} suggested_fix, 0 failures, r.alert_ids
       from described d left join fixes f using (event_id) join related r using (event_id)""",
     "alert_inspection": _with(*_INSPECTED) + f"""select t.id, d.event_id, {_STATUS} status, {_CAUSE} root_cause, {_IMPACT} impact
       from targets t join described d using (event_id)""",
 }
+
+# The same tables, however many batches they came in.
+ORACLE |= {
+    "streamed_events": ORACLE["events"],
+    "streamed_alerts": ORACLE["alerts"],
+    "streamed_results": ORACLE["ingest_results"],
+    "streamed_corpus": _with(*_STORED) + "select content_hash, provider, seq, payload from corpus",
+}

@@ -8,10 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ecma
+from ..functions.exact import exact_sums
 from ..operators import drift, fold, forensics, replay, reports, shapes
 from ..operators.normalize import normalize, route, with_event_id
-from ..operators.registry import OPENAI_V2, Parser, Registry, build_registry
-from ..session import cut, prepare
+from ..operators.registry import (
+    ANTHROPIC_V1,
+    COST_FIELD,
+    CURSOR_V1,
+    FIELD_COLUMNS,
+    OPENAI_V1,
+    OPENAI_V2,
+    Parser,
+    Registry,
+    build_registry,
+)
+from ..session import cut, prepare, scratch_dir
+from ..streaming.ingest import IngestJob
 from . import fixture
 from .tables import Tables
 
@@ -68,8 +80,9 @@ def quarantine(spark, sf_dir):
 
 @query
 def corpus(spark, sf_dir):
-    rows = with_event_id(Tables.from_source(spark, sf_dir).corpus, "content_hash", "raw_payload_id")
-    return shapes.attach_paths(cut(rows.drop("payload"), "corpus")).select(
+    fields = [f for f in fold.CORPUS_FIELDS if f != "payload"]
+    rows = with_event_id(Tables.from_source(spark, sf_dir).light_corpus(*fields), "content_hash", "raw_payload_id")
+    return shapes.attach_paths(cut(rows, "corpus")).select(
         "raw_payload_id", "content_hash", "provider", "seq", "parser_version", "fingerprint",
         "dedup_key", "event_type", "model", "input_tokens", "output_tokens", "cost_value",
     )
@@ -257,20 +270,20 @@ def payload_paths(spark, sf_dir):
 
 @query
 def known_shapes(spark, sf_dir):
-    return shapes.known_shapes(Tables.from_source(spark, sf_dir).corpus).select(
+    return shapes.known_shapes(Tables.from_source(spark, sf_dir).light_corpus("provider", "shape_key")).select(
         "provider", "fingerprint", "first_seq", "n"
     )
 
 
 @query
 def known_paths(spark, sf_dir):
-    known = shapes.known_shapes(Tables.from_source(spark, sf_dir).corpus)
+    known = shapes.known_shapes(Tables.from_source(spark, sf_dir).light_corpus("provider", "shape_key"))
     return shapes.known_paths(known)
 
 
 @query
 def dominant_shape(spark, sf_dir):
-    known = shapes.known_shapes(Tables.from_source(spark, sf_dir).corpus)
+    known = shapes.known_shapes(Tables.from_source(spark, sf_dir).light_corpus("provider", "shape_key"))
     return shapes.dominant_shape(known).select("provider", "fingerprint", "n")
 
 
@@ -364,6 +377,95 @@ def label_series(spark, sf_dir):
     return flags.select("source", "field", _list("series", "").alias("series"), "rate")
 
 
+# A second openai version that reads the same places but does not expect a cost.
+BLIND_V2 = Parser(**{**OPENAI_V1.__dict__, "version": 2, "expects": tuple(f for f in FIELD_COLUMNS if f != COST_FIELD)})
+
+
+@query
+def silent_null_by_version(spark, sf_dir):
+    """Only redeliveries and backfills come through the version that expects a cost."""
+    pinned = fixture.arrivals(spark, sf_dir).withColumn("version", F.when(F.col("seq") % 10 != 0, 1))
+    known = Registry([OPENAI_V1, BLIND_V2, ANTHROPIC_V1, CURSOR_V1])
+    t = Tables(pinned, known)
+    rows = t.stored_light
+    return drift.silent_null_first_fire(fold.fold_presence(rows), known, arrivals=rows).select(
+        "provider", "field", "seq", "severity", "message",
+        "overall_seen", "overall_populated", "recent_seen", "recent_populated",
+    )
+
+
+@query
+def known_path_positions(spark, sf_dir):
+    """Known paths in the order they became known, as structural alerts number them."""
+    t = Tables.from_source(spark, sf_dir)
+    return drift.path_positions(drift.stored_shapes(_stored_shapes(t))).select("provider", "path", "since", "position")
+
+
+@query
+def alert_list(spark, sf_dir):
+    """Alerts as a list shows them: the newest first."""
+    t = Tables.stored_load(spark, sf_dir)
+    return drift.latest_first(t.stored_alerts).select(
+        "place", "id", "provider", "type", "severity", "field", "message", _ntz("created_at")
+    )
+
+
+@query
+def ingest_alerts(spark, sf_dir):
+    """Arrivals that raised alerts, with the alerts."""
+    t = Tables.stored_load(spark, sf_dir)
+    rows = drift.with_raised(fold.ingest_results(t.stored_accepted), t.stored_alerts).filter(F.size("alerts") > 0)
+    alert = lambda a: F.concat_ws(":", a["id"], a["type"], a["severity"], a["field"], a["message"])
+    return rows.select("seq", "event_id", "inserted", "revision", _list(F.transform("alerts", alert), ";").alias("alerts"))
+
+
+# --- the same load in four micro-batches --------------------------------------------------------
+
+_STREAMED: dict[tuple[str, str], IngestJob] = {}
+
+
+def _streamed(spark, sf_dir) -> IngestJob:
+    """The tables that four batches of a continuous ingest leave, built on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STREAMED:
+        arrivals = cut(fixture.arrivals(spark, sf_dir), "arrivals")
+        edges = arrivals.agg(F.percentile("seq", [0.25, 0.5, 0.75])).first()[0]
+        job = IngestJob(spark, f"{scratch_dir(spark)}/streamed", build_registry())
+        for batch, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
+            above = F.lit(True) if low is None else F.col("seq") > low
+            up_to = F.lit(True) if high is None else F.col("seq") <= high
+            job.run_batch(arrivals.filter(above & up_to), batch)
+        _STREAMED[key] = job
+    return _STREAMED[key]
+
+
+@query
+def streamed_events(spark, sf_dir):
+    return _event_columns(_streamed(spark, sf_dir).events())
+
+
+@query
+def streamed_alerts(spark, sf_dir):
+    job = _streamed(spark, sf_dir)
+    return drift.with_removed_paths(job.alerts(), job.corpus()).select(
+        "id", "seq", "provider", "type", "severity", "field", "message", "fingerprint",
+        _list("added").alias("added"), _list("removed").alias("removed"),
+        "overall_rate", "recent_rate", "overall_seen", "recent_seen", _ntz("created_at"),
+    )
+
+
+@query
+def streamed_results(spark, sf_dir):
+    return _streamed(spark, sf_dir).results().select(
+        "seq", "dedup_key", "event_id", "inserted", "revision", F.size("alerts").cast("bigint").alias("alerts")
+    )
+
+
+@query
+def streamed_corpus(spark, sf_dir):
+    return _streamed(spark, sf_dir).corpus().select("content_hash", "provider", "seq", "payload")
+
+
 # --- replay -------------------------------------------------------------------------------------
 
 
@@ -448,6 +550,15 @@ def weekly_cost(spark, sf_dir):
     return reports.weekly(Tables.from_source(spark, sf_dir).folded)
 
 
+@query
+def exact_totals(spark, sf_dir):
+    """Amounts between 1e-14 and 1e17, summed without rounding."""
+    rows = _table(spark, sf_dir, "events").selectExpr(
+        "event_type", "cast(concat(cast(round(value * 100) as bigint), 'E', event_id % 29 - 14) as double) as amount"
+    )
+    return exact_sums(rows, ["event_type"], "amount", "total", "events")
+
+
 @query
 def missing_cost(spark, sf_dir):
     return reports.missing_cost(Tables.from_source(spark, sf_dir).presence)
@@ -552,8 +663,6 @@ def silent_null_analysis(spark, sf_dir):
 
 @query
 def field_series(spark, sf_dir):
-    from ..operators.registry import FIELD_COLUMNS
-
     flags = reports.last_flags(Tables.from_source(spark, sf_dir).presence, FIELD_COLUMNS)
     return flags.select("provider", "field", _list("series", "").alias("series"))
 
@@ -561,8 +670,35 @@ def field_series(spark, sf_dir):
 @query
 def related_alerts(spark, sf_dir):
     t, rows = _described(spark, sf_dir)
-    related = forensics.with_related_alerts(rows, t.stored_alerts)
-    return related.select("event_id", _list(F.col("related_alert_ids").cast("array<string>")).alias("alert_ids"))
+    related = forensics.with_related_alerts(rows, t.stored_index)
+    return related.join(_alert_ids(t, related), "event_id", "left").select("event_id", F.coalesce("alert_ids", F.lit("")).alias("alert_ids"))
+
+
+def _alert_ids(t: Tables, related: DataFrame) -> DataFrame:
+    """Ids of the alerts of each event that has any, newest first."""
+    ids = F.sort_array(F.collect_list("alert_id"), asc=False).cast("array<string>")
+    found = forensics.event_alerts(related.select("event_id", "provider", "related_alerts"), t.stored_index)
+    return found.groupBy("event_id").agg(_list(ids).alias("alert_ids"))
+
+
+@query
+def event_alerts(spark, sf_dir):
+    """Every event with every alert that concerns it."""
+    t, rows = _described(spark, sf_dir)
+    found = forensics.event_alerts(forensics.with_related_alerts(rows, t.stored_index), t.stored_index)
+    return found.select("event_id", "alert_id", "type", "severity", "field", "message", _ntz("created_at"))
+
+
+@query
+def strict_inspection(spark, sf_dir):
+    """Replay verdicts and refused payloads per event when a third openai version insists on a cost."""
+    t = Tables.stored_load(spark, sf_dir)
+    rows = forensics.describe(t.stored_events, t.facts(with_v3()), with_v3())
+    failure = lambda f: F.concat_ws(":", f["payload"], f["version"], f["expected"], f["reason"])
+    return rows.select(
+        "event_id", "provider", forensics.status().alias("status"), "replay_status",
+        "historical_payloads", "regressions", _list(F.transform("failures", failure), ";").alias("failures"),
+    )
 
 
 @query
@@ -595,14 +731,15 @@ def event_notes(spark, sf_dir):
 def _inspection(spark, sf_dir) -> tuple[Tables, DataFrame]:
     t = Tables.stored_load(spark, sf_dir)
     return t, forensics.inspect_events(
-        t.stored_events, t.stored_corpus, t.stored_alerts, t.stored_facts, t.latest_registry
+        t.stored_events, t.stored_corpus, t.stored_index, t.stored_facts, t.latest_registry
     )
 
 
 @query
 def event_inspection(spark, sf_dir):
-    _, rows = _inspection(spark, sf_dir)
-    return rows.select(
+    t, rows = _inspection(spark, sf_dir)
+    related = forensics.with_related_alerts(_described(spark, sf_dir)[1], t.stored_index)
+    return rows.join(_alert_ids(t, related), "event_id", "left").select(
         "event_id", "provider", "status", "raw_payload_id", _ntz("received_at"),
         F.col("event.revision").alias("revision"),
         F.col("event.cost.amount_usd").alias("amount_usd"),
@@ -613,7 +750,8 @@ def event_inspection(spark, sf_dir):
         F.size("timeline").alias("stages"),
         F.col("notes.root_cause").alias("root_cause"),
         F.col("notes.suggested_fix").alias("suggested_fix"),
-        _list(F.col("related_alert_ids").cast("array<string>")).alias("alert_ids"),
+        F.size("replay.failures").alias("failures"),
+        F.coalesce("alert_ids", F.lit("")).alias("alert_ids"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import drift, fold, forensics, replay
 from ..operators.normalize import accepted, normalize, quarantined
@@ -68,7 +69,11 @@ class Tables:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return fold.corpus_table(self.accepted)
+        return fold.corpus_table(self.stored_accepted)
+
+    def light_corpus(self, *fields: str) -> DataFrame:
+        """Some fields of the stored payloads, straight from the source."""
+        return fold.corpus_table(self.accepted, fields)
 
     @cached_property
     def stored_accepted(self) -> DataFrame:
@@ -112,8 +117,18 @@ class Tables:
         """What reports replay with: the load's parsers and every later version known."""
         return build_registry(openai_v2=True)
 
+    @cached_property
+    def stored_index(self) -> DataFrame:
+        return cut(forensics.alert_index(self.stored_alerts), "alert_index")
+
+    def facts(self, registry: Registry) -> DataFrame:
+        """What event reports need to know of each provider, replayed with ``registry``."""
+        rows = replay.replay_rows(self.stored_corpus, registry)
+        matrix = cut(replay.replay_matrix(rows, registry), "replay_matrix")
+        refused = matrix.agg(F.sum("throw")).first()[0]
+        failures = replay.replay_failures(rows, self.stored_corpus) if refused else None
+        return cut(forensics.provider_facts(self.stored_events, self.stored_corpus, matrix, failures), "provider_facts")
+
     @cached_property
     def stored_facts(self) -> DataFrame:
-        rows = replay.replay_rows(self.stored_corpus, self.latest_registry)
-        matrix = cut(replay.replay_matrix(rows, self.latest_registry), "replay_matrix")
-        return cut(forensics.provider_facts(self.stored_events, self.stored_corpus, matrix), "provider_facts")
+        return self.facts(self.latest_registry)

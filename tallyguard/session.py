@@ -46,6 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
 _own_folders: dict[str, str] = {}
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, for this session's tables."""
+    return f"{shared_dir(spark)}/tallyguard/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -53,7 +58,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     once and a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyguard/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+    path = f"{scratch_dir(spark)}-{name}"
     df.write.parquet(path)
     if open_scopes := _scopes():
         open_scopes[-1].append(path)

@@ -72,7 +72,7 @@ def test_provider_without_stored_payloads(make_arrivals):
     )
     matrix = replay.replay_matrix(replay.replay_rows(corpus, registry), registry)
     facts = forensics.provider_facts(events, corpus, matrix)
-    reports = {r.provider: r for r in forensics.inspect_events(events, corpus, alerts, facts, registry).collect()}
+    reports = {r.provider: r for r in forensics.inspect_events(events, corpus, forensics.alert_index(alerts), facts, registry).collect()}
     report = reports["openai"]
     assert (report.status, report.structural_diff.changed) == ("Drift", True)
     assert report.notes.impact.startswith("1 openai events currently missing ")

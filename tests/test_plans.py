@@ -86,8 +86,18 @@ def test_lookup_is_the_same_either_way(spark):
 
 
 def test_one_key_with_most_rows_is_spread(spark, make_arrivals):
-    """A key's arrivals are ordered in segments, never in one window over the whole key."""
-    text = plan(fold.events_table(Tables(make_arrivals([("openai", {"id": "hot"})])).accepted))
-    assert "hashpartitioning(dedup_key" in text
+    """A key's arrivals are ordered in ranges, never in one window over the whole key."""
+    text = plan(fold.events_table(Tables(make_arrivals([("openai", {"id": "hot"})])).stored_light))
+    windows = [line for line in text.splitlines() if "Window [" in line or "Window (" in line]
+    assert windows
     first_shuffle = text.rindex("Exchange hashpartitioning(dedup_key")
-    assert "segment" in text[first_shuffle : first_shuffle + 120]
+    assert "_range" in text[first_shuffle : first_shuffle + 120]
+
+
+def test_payloads_are_not_shuffled_to_be_compared(spark, make_arrivals):
+    rows = Tables(make_arrivals([("openai", {"id": str(i % 3)}) for i in range(9)])).stored_accepted
+    corpus = fold.corpus_table(rows)
+    assert corpus.count() == 3
+    text = plan(corpus)
+    assert "BroadcastHashJoin" in text and "payload" in text
+    assert "Exchange hashpartitioning" not in text

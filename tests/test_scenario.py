@@ -115,7 +115,8 @@ def test_inspection(load):
     registry = build_registry(openai_v2=True)
     matrix = replay.replay_matrix(replay.replay_rows(corpus, registry), registry)
     facts = cut(forensics.provider_facts(events, corpus, cut(matrix, "matrix")), "facts")
-    inspected = cut(forensics.inspect_events(events, corpus, alerts, facts, registry), "reports")
+    index = cut(forensics.alert_index(alerts), "index")
+    inspected = cut(forensics.inspect_events(events, corpus, index, facts, registry), "reports")
     targets = forensics.alert_events(alerts, events, corpus)
     focus = forensics.provider_focus(events)
     report = forensics.pick_event(inspected, targets, focus, alert_id=2).first()
@@ -126,10 +127,17 @@ def test_inspection(load):
     assert report.notes.impact == "30 openai events currently missing cost.amount_usd."
     assert report.notes.suggested_fix == "Upgrade to openai parser v2 (reads the moved field)."
     assert report.notes.replay == "182 historical openai payloads validate successfully."
-    assert report.related_alert_ids == [2, 1]
+    picked = forensics.pick_event(inspected, targets, focus, alert_id=2)
+    related = forensics.event_alerts(picked, index).orderBy(F.col("alert_id").desc()).collect()
+    assert [(a.event_id, a.alert_id, a.type, a.severity, a.field) for a in related] == [
+        (report.event_id, 2, "SILENT_NULL", "critical", "cost.amount_usd"),
+        (report.event_id, 1, "STRUCTURAL", "warn", None),
+    ]
+    assert related[0].message.startswith("cost.amount_usd went dark: ") and related[0].created_at
+    assert report.replay.failures == []
     assert [s.status for s in report.timeline] == ["ok", "ok", "ok", "warn", "ok", "fail", "ok", "ok"]
     healthy = forensics.pick_event(inspected, targets, focus, provider="cursor").first()
-    assert (healthy.status, healthy.related_alert_ids, healthy.silent_null) == ("Healthy", [], None)
+    assert (healthy.status, healthy.related_alerts, healthy.silent_null) == ("Healthy", [], None)
     same = forensics.pick_event(inspected, targets, focus, event_id=report.event_id).first()
     assert same == report
     assert forensics.pick_event(inspected, targets, focus).count() == 0

@@ -29,7 +29,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,22 +37,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import SLICE_ROWS, map_slices
 from .search import K1, B
 
 THRESHOLD = 0.5
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 SHINGLE = 5
-PART_ITEMS, BLOCK_ITEMS = 4096, 64
+PART_ITEMS, BLOCK_ITEMS = 1024, 4
+#: Bounds (of words by blocks) that a task holds at a time, and words that it keeps the numbers of.
+BOUND_CELLS, MOST_NUMBERS = 1 << 20, 1 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+")
 #: Punctuation that is no part of a word it stands at the edge of.
 EDGE = string.punctuation + "\u00a1\u00ab\u00b4\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2015\u2018\u2019\u201a\u201c\u201d\u201e\u2026\u2039\u203a\u3001\u3002\u300c\u300d\uff01\uff0c\uff1f"
 FOUND = "doc_id long, item_id long, start long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
+def raw_words(text: str) -> list[bytes]:
+    """Words of a text, case folded."""
+    return text.casefold().encode().split()
+
+
+def bare(word: bytes) -> bytes:
+    """A word without punctuation at the edges; one of punctuation only stays as it is."""
+    return word.decode().strip(EDGE).encode() or word
+
+
 def words_of(text: str) -> list[bytes]:
-    """Words of a text, case folded and without punctuation at the edges; one of punctuation only stays as it is."""
-    return [w.decode().strip(EDGE).encode() or w for w in text.casefold().encode().split()]
+    """Words of a text, case folded and without punctuation at the edges."""
+    return [bare(w) for w in raw_words(text)]
+
+
+class Numbers(dict):
+    """Numbers of words by their raw forms, each worked out when it is first met."""
+
+    def __init__(self, at: dict[bytes, int]):
+        super().__init__()
+        self.at, self.unknown = at, len(at)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = self.at.get(bare(word), self.unknown)
+        return number
 
 
 def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -70,6 +94,13 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[: len(words) - third], words[len(words) - third :]
 
 
+def _running(rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows before each place, and of all."""
+    out = np.zeros((len(rows) + 1, rows.shape[1]))
+    np.cumsum(rows, axis=0, dtype=np.float64, out=out[1:])
+    return out
+
+
 class ItemIndex:
     """Inverted index of some test items under the statistics of all of them."""
 
@@ -82,6 +113,7 @@ class ItemIndex:
         self.sizes = {min(SHINGLE, len(w)) for w in self.words} | {SHINGLE}
         self.stride = max((len(w) for w in self.words), default=1)
         self.at = {w: i for i, w in enumerate(sorted({w for words in self.words for w in words}))}
+        self.numbers = Numbers(self.at)
         postings: list[list[tuple[int, float]]] = [[] for _ in self.at]
         for j, words in enumerate(self.words):
             counts = Counter(words)
@@ -107,44 +139,77 @@ class ItemIndex:
                 impacts[np.searchsorted(terms, w), j] = gain
             self.blocks.append((terms, impacts))
 
-    def retrieve(self, text: str) -> Iterator[tuple[int, int, float, list[bytes]]]:
-        """(item, start, score, words) of each passage and item at or above the threshold."""
-        words = words_of(text)
-        if not words or not self.ids:
+    def passages(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
+        """(text, start, raw words, known terms, bounds) of each passage with a bound at or above the threshold.
+
+        All passages of a few texts are bounded at once, ``BOUND_CELLS`` cells at a time.
+        """
+        raw = [raw_words(t or "") for t in texts]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        if not self.ids or not sizes.sum():
             return
-        ids = np.fromiter(map(self.at.get, words, repeat(len(self.at))), np.int64, len(words))
+        if len(self.numbers) > MOST_NUMBERS:
+            self.numbers.clear()
+        ids = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(raw)), np.int64, int(sizes.sum()))
         known = np.flatnonzero(ids < len(self.at))
-        if not len(known):
-            return
-        starts = np.arange(0, max(1, len(words) - self.stride), self.stride)
-        sums = np.vstack([np.zeros((1, self.bounds.shape[1])), np.cumsum(self.bounds[ids[known]], axis=0, dtype=np.float64)])
-        low, high = np.searchsorted(known, starts), np.searchsorted(known, starts + 2 * self.stride)
-        bounds = sums[high] - sums[low]
-        for p in np.flatnonzero(bounds.max(1) >= THRESHOLD - 1e-6):
-            terms = np.unique(ids[known[low[p] : high[p]]])
-            exact = self.bounds[terms].sum(0)  # each word once: a tighter bound of the same kind
-            for block in np.flatnonzero((bounds[p] >= THRESHOLD - 1e-6) & (exact >= THRESHOLD - 1e-6)):
+        terms = ids[known]
+        first = np.cumsum(sizes) - sizes
+        # A word counts once in a passage, which is two cells of one stride: in its first cell if it did not
+        # occur before in that cell, in its second one if it occurred in neither.
+        order = np.argsort(terms, kind="stable")
+        again = np.flatnonzero(terms[order][1:] == terms[order][:-1])
+        before = np.full(len(known), -1)
+        before[order[again + 1]] = known[order[again]]
+        cell = known - (known - first[np.repeat(np.arange(len(raw)), sizes)[known]]) % self.stride
+        fresh, fresh_pair = before < cell, before < cell - self.stride
+
+        counts = np.where(sizes > 0, -(-np.maximum(1, sizes - self.stride) // self.stride), 0)
+        owner = np.repeat(np.arange(len(raw)), counts)
+        starts = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * self.stride
+        begin, stops = first[owner] + starts, first[owner] + sizes[owner]
+        low, middle, high = (
+            np.searchsorted(known, np.minimum(begin + n * self.stride, stops)) for n in range(3)
+        )
+        width, at = self.bounds.shape[1], 0
+        while at < len(owner):
+            stop = max(at + 1, int(np.searchsorted(high, low[at] + BOUND_CELLS // width, side="right")))
+            span = slice(low[at], high[stop - 1])
+            gains = self.bounds[terms[span]]
+            in_first, in_second = (_running(gains * mask[span, None]) for mask in (fresh, fresh_pair))
+            x, y, z = (edge[at:stop] - low[at] for edge in (low, middle, high))
+            bounds = in_first[y] - in_first[x] + in_second[z] - in_second[y]
+            for p in np.flatnonzero(bounds.max(1) >= THRESHOLD - 1e-6):
+                n, start = owner[at + p], int(starts[at + p])
+                yield n, start, raw[n][start : start + 2 * self.stride], np.unique(terms[low[at + p] : high[at + p]]), bounds[p]
+            at = stop
+
+    def retrieve(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, float, list[bytes]]]:
+        """(text, item, start, score, raw words) of each passage and item at or above the threshold."""
+        for n, start, words, terms, bounds in self.passages(texts):
+            for block in np.flatnonzero(bounds >= THRESHOLD - 1e-6):
                 own, impacts = self.blocks[block]
                 at = np.searchsorted(own, terms)
                 at[at == len(own)] = 0
                 scores = impacts[at[own[at] == terms]].sum(0)
                 for j in np.flatnonzero(scores >= THRESHOLD):
-                    passage = words[starts[p] : starts[p] + 2 * self.stride]
-                    yield block * BLOCK_ITEMS + int(j), int(starts[p]), float(scores[j]), passage
+                    yield n, block * BLOCK_ITEMS + int(j), start, float(scores[j]), words
 
-    def leaks(self, text: str | None) -> list[tuple[int, int, float, float, float, float]]:
-        """(item id, start, score, overlaps) of the items that a text holds, by its best passage."""
-        best: dict[int, tuple] = {}
+    def leaks(self, texts: list[str | None]) -> list[list[tuple[int, int, float, float, float, float]]]:
+        """Per text (item id, start, score, overlaps) of the items that it holds, by its best passage."""
+        best: list[dict[int, tuple]] = [{} for _ in texts]
         last, have = None, set()
-        for item, start, score, passage in self.retrieve(text or ""):
-            if start != last:
-                last = start
-                have = {tuple(passage[i : i + n]) for n in self.sizes for i in range(len(passage) - n + 1)}
+        for n, item, start, score, passage in self.retrieve(texts):
+            if (n, start) != last:
+                last, passage = (n, start), [bare(w) for w in passage]
+                have = {tuple(passage[i : i + k]) for k in self.sizes for i in range(len(passage) - k + 1)}
             share = [len(s & have) / len(s) if s else 1.0 for s in (self.whole[item], *self.parts[item])]
             if share[0] >= OVERLAP and min(share[1:]) >= PART_OVERLAP:
                 found = (score, -start, *share)
-                best[item] = max(best.get(item, found), found)
-        return [(self.ids[j], -f[1], round(f[0], 6), *(round(x, 6) for x in f[2:])) for j, f in sorted(best.items())]
+                best[n][item] = max(best[n].get(item, found), found)
+        return [
+            [(self.ids[j], -f[1], round(f[0], 6), *(round(x, 6) for x in f[2:])) for j, f in sorted(held.items())]
+            for held in best
+        ]
 
 
 def item_indexes(benchmark: DataFrame) -> list[ItemIndex]:
@@ -182,11 +247,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def make(shared=shared):
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                rows = [
-                    (doc_id, *leak)
-                    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for leak in shared.value.leaks(text)
-                ]
+                found = shared.value.leaks(batch.column(1).to_pylist())
+                rows = [(doc_id, *leak) for doc_id, own in zip(batch.column(0).to_pylist(), found, strict=True) for leak in own]
                 kinds = [pa.int64()] * 3 + [pa.float64()] * 4
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FOUND.split(", ")])
@@ -204,7 +266,12 @@ def leaked(docs: DataFrame, benchmark: DataFrame) -> Column:
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([any(s.value.leaks(t) for s in shared) for t in texts.tolist()], dtype="bool")
+            held: list[bool] = []
+            for at in range(0, len(texts), SLICE_ROWS):
+                part = texts.iloc[at : at + SLICE_ROWS].tolist()
+                found = [s.value.leaks(part) for s in shared]
+                held += [any(own[i] for own in found) for i in range(len(part))]
+            yield pd.Series(held, dtype="bool")
 
     return holds("text")
 

@@ -7,10 +7,13 @@ documents; the others occur in one.  120 consistent samples per text, in 20 band
 Jaccard similarity 0.8 share a band with probability 0.998, and texts that only share a passage
 hardly ever; candidates are verified by their exact weighted similarity.
 
-Texts with equal words form one node.  Within a band's bucket not all pairs are compared: leaders
-are compared with the members of other classes; members that are not similar to any choose the
-next leaders, four times as many as before, until every member is a leader or linked to one, or the
-bucket is one class.  Two members that are linked to leaders of different classes are then compared
+Texts with equal words form one node.  A shingle that no other node has cannot be shared, so a node
+whose own shingles outweigh the rest has no link at all and takes no part (see ``linkable``); for two
+others the weights that they can share bound their similarity.  Within a band's bucket not all pairs
+are compared: leaders are compared with the members of other classes; members that are not similar
+to any choose the next leaders, four times as many as before, until every member is a leader or linked
+to one, or the bucket is one class.  A few bands go first: they join most classes, and buckets of one class
+are done.  Two members that are linked to leaders of different classes are then compared
 unless the distances to their leaders rule a link out (see ``bridges``), so every pair that shares a bucket is
 compared, of one class, or known to be too far apart.  Classes are the connected components of all verified links.
 
@@ -28,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -39,6 +42,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Distance of linked texts, with room for rounding.
 NEAR = 1 - SIMILARITY + 1e-12
 BANDS, ROWS = 20, 6
+#: Bands that are joined before the others.
+FIRST_BANDS = 4
 #: log2 of the size of a table of weights by the first bits of a hash (``Shingles.weights``).
 DF_BITS = 18
 #: Documents and bytes of text of a chunk at most (a longer text is one by itself), and bytes of text for each part of the hash range.
@@ -229,8 +234,9 @@ def _shared_counts(chunks: DataFrame, parts: int) -> DataFrame:
 
 
 def signatures(keyed: DataFrame) -> tuple[DataFrame, int]:
-    """``doc_id``, ``row_key``, node ``t0``/``t1`` (hashes of the words), bands, ``packed`` text and exact document frequencies
-    ``df`` of its sorted shingles, for rows with words and an id; and the number of documents."""
+    """``doc_id``, ``row_key``, node ``t0``/``t1`` (hashes of the words), bands, ``packed`` text, exact document frequencies
+    ``df`` of its sorted shingles, the least of these with the weight of its shingles, and the whole weight, for rows
+    with words and an id; and the number of documents."""
     chunks = _chunks(keyed)
     shape = chunks.agg(F.sum("n_rows"), F.sum("n_bytes")).first()
     n, parts = shape[0] or 0, max(16, -(-(shape[1] or 0) // PART_BYTES))
@@ -253,6 +259,7 @@ def signatures(keyed: DataFrame) -> tuple[DataFrame, int]:
                     bands = sampler.bands(made, exact_weights(made, own, n), len(texts[piece])).view(np.int64)
                     names = [xxhash.xxh128_intdigest(w) for w in made.words]
                     ends = np.searchsorted(made.text, np.arange(len(names) + 1))
+                    rarest, own_weight, weight = weight_sums(made, own, exact_weights(made, own, n), len(names))
                     columns = [
                         pa.array(doc_ids[piece], pa.int64()),
                         pa.array(row_keys[piece], pa.int64()),
@@ -261,14 +268,19 @@ def signatures(keyed: DataFrame) -> tuple[DataFrame, int]:
                         pa.array(list(bands), pa.list_(pa.int64())),
                         pa.array(blobs[piece], pa.binary()),
                         pa.array([_squeezed(own[i:j]) if i < j else b"" for i, j in zip(ends, ends[1:])], pa.binary()),
+                        pa.array(rarest, pa.int64()),
+                        pa.array(own_weight, pa.float64()),
+                        pa.array(weight, pa.float64()),
                     ]
                     keep = pa.array([bool(w) and i is not None for w, i in zip(made.words, doc_ids[piece], strict=True)])
-                    out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "t0", "t1", "bands", "packed", "df"]).filter(keep))
+                    out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "t0", "t1", "bands", "packed", "df", "rarest", "rarest_weight", "weight"]).filter(keep))
             return out
 
         return each
 
-    return map_slices(joined, make, "doc_id long, row_key long, t0 long, t1 long, bands array<long>, packed binary, df binary", 1), n
+    schema = """doc_id long, row_key long, t0 long, t1 long, bands array<long>, packed binary, df binary,
+        rarest long, rarest_weight double, weight double"""
+    return map_slices(joined, make, schema, 1), n
 
 
 def exact_weights(made: Shingles, df: np.ndarray, n: int) -> np.ndarray:
@@ -276,6 +288,37 @@ def exact_weights(made: Shingles, df: np.ndarray, n: int) -> np.ndarray:
     return made.count * np.log1p(n / df)
 
 
+def weight_sums(made: Shingles, df: np.ndarray, weights: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the least frequency of a shingle, the weight of its shingles with that frequency, and of all."""
+    rarest = np.full(n_texts, np.iinfo(np.int64).max)
+    np.minimum.at(rarest, made.text, df)
+    rare = df == rarest[made.text]
+    return (
+        rarest,
+        np.bincount(made.text[rare], weights=weights[rare], minlength=n_texts),
+        np.bincount(made.text, weights=weights, minlength=n_texts),
+    )
+
+
+def with_shareable(nodes: DataFrame) -> DataFrame:
+    """Add ``share``, the weight of the shingles of a node that another node can have.
+
+    A shingle that occurs in as many documents as the node has copies is the node's own.
+    """
+    return nodes.withColumn("share", F.col("weight") - F.when(F.col("rarest") <= F.col("copies"), F.col("rarest_weight")).otherwise(0.0))
+
+
+def linkable(share: str = "share", weight: str = "weight") -> Column:
+    """Whether anything can be similar to a node: what is shared of its weight bounds the similarity."""
+    return F.col(share) >= F.col(weight) * (SIMILARITY - 1e-9)
+
+
+def _least_distance(x: str, y: str) -> Column:
+    """What the distance of two nodes (``x_share``, ``x_weight`` and so on) is at least: they share at most either's share."""
+    shared = F.least(f"{x}_share", f"{y}_share")
+    return 1 - shared / (F.col(f"{x}_weight") + F.col(f"{y}_weight") - shared) - F.lit(1e-9)
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Similarity of two (sorted distinct shingles, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -365,35 +408,56 @@ def bridges(members: DataFrame, labels: DataFrame, leaders: DataFrame, checked:
 
 
 def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """Classes of ``members(bucket, node)`` by rounds of leaders, then bridges between the classes of a bucket."""
+    """Classes of ``members(bucket, node)`` by rounds of leaders, then bridges between the classes of a bucket.
+
+    ``nodes`` has ``node``, and ``share`` and ``weight`` where they are known.  Members may say with ``early`` which
+    buckets go first.
+    """
     spark = members.sparkSession
     labels = cut(nodes.select("node", F.col("node").alias("class")), "classes")
     checked = spark.createDataFrame([], "a long, b long, d double")  # all pairs compared so far
     led = spark.createDataFrame([], "bucket long, leader long")  # all leaders so far
-    open_ = members  # neither a leader nor linked to one
-    turn = 0
-    while True:
-        at = members.join(labels, "node")
-        open_ = cut(open_.join(_spanning(at), "bucket", "left_semi"), "open-members")
-        if open_.isEmpty():
-            break
-        turn += 1
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)) if turn > 1 else F.col("node"), "node")
-        ranked = open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 4 ** (turn - 1))
-        leaders = cut(ranked.select("bucket", F.col("node").alias("leader")), "leaders")
-        led = led.unionByName(leaders)
-        leader_class = labels.select(F.col("node").alias("leader"), F.col("class").alias("leader_class"))
-        met = at.join(leaders, "bucket").join(leader_class, "leader").where("class != leader_class")
-        pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        judged = cut(_verified(pairs.join(checked, ["a", "b"], "left_anti"), texts, n), "judged-pairs")
-        checked = checked.unionByName(judged)
-        links = checked.where(F.col("d") <= NEAR).select("a", "b")
-        near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        covered = leaders.join(near, leaders.leader == near.a).select("bucket", F.col("b").alias("node"))
-        covered = covered.unionByName(leaders.select("bucket", F.col("leader").alias("node")))
-        open_ = open_.join(covered, ["bucket", "node"], "left_anti")
-        labels = merged(labels, judged.where(F.col("d") <= NEAR).select("a", "b"))
-    left = cut(bridges(members, labels, led, checked), "bridges")
+    weighed = "share" in nodes.columns
+    stages = [members.where("early"), members.where("not early")] if "early" in members.columns else [members]
+    for part in stages:
+        part = part.select("bucket", "node")
+        open_ = part  # neither a leader nor linked to one
+        turn = 0
+        while True:
+            at = part.join(labels, "node")
+            open_ = cut(open_.join(_spanning(at), "bucket", "left_semi"), "open-members")
+            if open_.isEmpty():
+                break
+            turn += 1
+            order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)) if turn > 1 else F.col("node"), "node")
+            ranked = open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 4 ** (turn - 1))
+            leaders = cut(ranked.select("bucket", F.col("node").alias("leader")), "leaders")
+            led = led.unionByName(leaders)
+            about = [F.col(c).alias(f"leader_{c}") for c in ("share", "weight") if weighed]
+            leader_facts = labels.join(nodes, "node").select(F.col("node").alias("leader"), F.col("class").alias("leader_class"), *about)
+            with_leaders = leaders.join(leader_facts, "leader")
+            least = F.lit(0.0)
+            if weighed:
+                at = at.join(nodes.select("node", F.col("share").alias("own_share"), F.col("weight").alias("own_weight")), "node")
+                least = _least_distance("leader", "own")
+            # Beyond twice the distance of a link, neither the pair nor one of its neighbours can be linked.
+            met = at.join(with_leaders, "bucket").where((F.col("class") != F.col("leader_class")) & (least <= 2 * NEAR))
+            met = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"), least.alias("d"))
+            pairs = cut(met.groupBy("a", "b").agg(F.min("d").alias("d")).join(checked, ["a", "b"], "left_anti"), "met-pairs")
+            judged = cut(_verified(pairs.where(F.col("d") <= NEAR).select("a", "b"), texts, n), "judged-pairs")
+            # For pairs that the bound decides, it stands for their distance.
+            checked = checked.unionByName(judged).unionByName(pairs.where(F.col("d") > NEAR))
+            links = checked.where(F.col("d") <= NEAR).select("a", "b")
+            near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            covered = leaders.join(near, leaders.leader == near.a).select("bucket", F.col("b").alias("node"))
+            covered = covered.unionByName(leaders.select("bucket", F.col("leader").alias("node")))
+            open_ = open_.join(covered, ["bucket", "node"], "left_anti")
+            labels = merged(labels, judged.where(F.col("d") <= NEAR).select("a", "b"))
+    left = cut(bridges(members.select("bucket", "node"), labels, led, checked), "bridges")
+    if weighed:
+        for side in ("a", "b"):
+            left = left.join(nodes.select(F.col("node").alias(side), F.col("share").alias(f"{side}_share"), F.col("weight").alias(f"{side}_weight")), side)
+        left = cut(left.where(_least_distance("a", "b") <= NEAR).select("a", "b"), "weighed-bridges")
     # A first share of the pairs joins most classes that have any link, and the rest of their pairs is spared.
     for share in (16, 1):
         if left.isEmpty():
@@ -415,12 +479,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
     keyed = with_row_key(docs)
     signed, n = signatures(keyed)
     signed = cut(signed, "signatures")
-    nodes = signed.groupBy("t0").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.first("bands").alias("bands"))
-    nodes = cut(nodes.select(F.col("t0").alias("node"), "first", "bands"), "near-nodes")
-    banded = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("bucket"))
+    same = [F.first(c).alias(c) for c in ("bands", "rarest", "rarest_weight", "weight")]
+    nodes = signed.groupBy("t0").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("copies"), *same)
+    nodes = with_shareable(nodes).select(F.col("t0").alias("node"), "first", "bands", "share", "weight")
+    nodes = cut(nodes, "near-nodes")
+    banded = nodes.where(linkable()).select("node", F.posexplode("bands"))
+    banded = banded.select("node", F.xxhash64("pos", "col").alias("bucket"), (F.col("pos") < FIRST_BANDS).alias("early"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut(banded.join(shared, "bucket").select("bucket", "node"), "bucket-members")
-    met = cut(members.select("node").distinct(), "candidate-nodes")
+    members = cut(banded.join(shared, "bucket").select("bucket", "node", "early"), "bucket-members")
+    met = cut(nodes.select("node", "share", "weight").join(members.select("node").distinct(), "node", "left_semi"), "candidate-nodes")
     chosen = nodes.join(met, "node", "left_semi").select("node", F.col("first.row_key").alias("row_key")).alias("c")
     carried = signed.select("row_key", F.struct("packed", "df").alias("text")).alias("t")
     texts = carried.join(chosen, F.col("t.row_key") == F.col("c.row_key")).select("c.node", "t.text")
@@ -437,6 +504,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
-    gone = near_classes(docs).where(~F.col("kept")).select(F.col("row_key").alias("_row_key")).distinct()
+    name = "_row_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = near_classes(docs).where(~F.col("kept")).select(F.col("row_key").alias(name)).distinct()
     key = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("text").isNull())
-    return docs.withColumn("_row_key", key).join(gone, "_row_key", "left_anti").dropDuplicates(["_row_key"]).drop("_row_key")
+    return docs.withColumn(name, key).join(gone, name, "left_anti").dropDuplicates([name]).drop(name)

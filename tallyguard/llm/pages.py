@@ -6,7 +6,7 @@ longest common subsequence aligns with the nearest page are shared: templates, m
 
 Shared lines are deleted, with two corrections where sharing alone is wrong for a page:
 elements that HTML itself marks as no content (navigation, forms, adverts, reader comments and so
-on) go even if their words differ from page to page, and lines inside an article element stay
+on, by their name or by a class, id or role of such words only) go even if their words differ from page to page, and lines inside an article element stay
 even if a neighbour repeats them, as copied articles and licence lines do.  Lines outside the article
 and not marked as no content stay unless they are shared.
 
@@ -22,6 +22,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -31,10 +32,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import map_slices, packed, unpacked
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|iframe|select|button)\b[^>]*>.*?(?:</\1\s*>|$)|<[/!?a-zA-Z][^>]*>?|[^<]+|<",
-    re.S | re.I,
-)
+#: A quoted attribute value may hold ``>``; nothing is tried twice.
+_ATTRIBUTES = r"""(?>=[\x20\x09-\x0D]*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[/!?a-zA-Z]" + _ATTRIBUTES + r">?|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements that hold no content, and words of class, id or role that say so.
@@ -47,15 +47,52 @@ NO_CONTENT_WORDS = frozenset(
 ARTICLE = frozenset(("article", "main"))
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 CONTAINERS = frozenset("div section ul ol table nav header footer aside form dialog menu head body main article figure dl details fieldset center".split())
+#: Elements whose text is none of the page's.  The first two run to their end, or to that of the page; the others
+#: to their end, if it comes before the next of their kind, else to the next tag.
+RAW = frozenset("script style noscript template textarea title svg iframe select button".split())
+TO_THE_END = frozenset(("script", "style"))
+_ENDS = {name: re.compile(rf"</{name}[\x20\x09-\x0D]*>", re.I) for name in RAW}
+_STARTS = {name: re.compile(rf"<{name}\b", re.I) for name in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+def _marked(tag: str) -> bool:
+    """Whether a class, id or role of a tag says that there is no content: all of its words do."""
+    for _, a, b, c in _MARKS.findall(tag):
+        for name in (a or b or c).lower().split():
+            words = [w for w in _SPLIT.split(name) if w]
+            if words and NO_CONTENT_WORDS.issuperset(words):
+                return True
+    return False
+
+
 def _no_content(name: str, tag: str, inside: bool) -> bool:
     if name in NO_CONTENT and not (name == "header" and inside):
         return True
-    return name not in ("body", "html", "article", "main") and any(
-        NO_CONTENT_WORDS.intersection(_SPLIT.split((a or b or c).lower())) for _, a, b, c in _MARKS.findall(tag)
-    )
+    return name not in ("body", "html", "article", "main") and _marked(tag)
+
+
+def _tokens(page: str) -> Iterator[str]:
+    """Tags, texts and comments of a page in order, without elements of ``RAW`` and what they hold."""
+    at, missing = 0, set()
+    while at < len(page):
+        token = _TOKEN.match(page, at).group()
+        at += len(token)
+        tag = _TAG.match(token) if token[0] == "<" and len(token) > 1 else None
+        name = tag.group(2).lower() if tag else ""
+        yield token
+        if name not in RAW or tag.group(1) or token.endswith("/>"):
+            continue
+        end = None if name in missing else _ENDS[name].search(page, at)
+        if end is None:
+            missing.add(name)  # nor is there one further on
+        if name in TO_THE_END:
+            at = end.end() if end else len(page)
+        elif end and not _STARTS[name].search(page, at, end.start()):
+            at = end.end()
+        else:
+            following = page.find("<", at)
+            at = following if following >= 0 else len(page)
 
 
 def lines(page: str) -> list[tuple[str, str]]:
@@ -64,20 +101,20 @@ def lines(page: str) -> list[tuple[str, str]]:
     held: list[str] = []
     stack: list[tuple[str, bool]] = []  # open containers; whether each holds no content
     dropped = articles = 0
+    marked = False  # whether the block at hand is marked itself
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append((text, "none" if dropped else "article" if articles else "open"))
+                out.append((text, "none" if dropped or marked else "article" if articles else "open"))
             held.clear()
 
-    for match in _TOKEN.finditer(page):
-        token = match.group()
+    for token in _tokens(page):
         if token[0] != "<" or token == "<":
             held.append(html.unescape(token))
             continue
-        tag = None if match.group(1) else _TAG.match(token)
+        tag = _TAG.match(token)
         if tag is None:
             continue
         name = tag.group(2).lower()
@@ -86,6 +123,7 @@ def lines(page: str) -> list[tuple[str, str]]:
                 held.append(" ")
             continue
         flush()
+        marked = not tag.group(1) and name not in CONTAINERS and _marked(token)
         if name not in CONTAINERS:
             continue
         if not tag.group(1):
@@ -104,36 +142,61 @@ def lines(page: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Cells of the table of two lists of lines that are held at a time, as bits.
+CELLS = 1 << 26
+
+
 def common_lines(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (bit-parallel)."""
+    """Places in ``a`` of a longest common subsequence with ``b``."""
     both = set(a) & set(b)
     left = [i for i, x in enumerate(a) if x in both]
     right = [x for x in b if x in both]
     start = 0
     while start < min(len(left), len(right)) and a[left[start]] == right[start]:
         start += 1
-    found = set(left[:start])
-    left, right = left[start:], right[start:]
+    return set(left[:start]) | {left[start + k] for k in _subsequence([a[i] for i in left[start:]], right[start:])}
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Bit-parallel rows of the table: the zeros below a place count the common lines up to there."""
     masks: dict[int, int] = {}
-    for j, x in enumerate(right):
+    for j, x in enumerate(b):
         masks[x] = masks.get(x, 0) | 1 << j
-    full = (1 << len(right)) - 1
-    row, rows = full, []
-    for i in left:
-        hit = row & masks.get(a[i], 0)
+    row = full = (1 << len(b)) - 1
+    for x in a:
+        hit = row & masks.get(x, 0)
         row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    j = len(right)
-    for k in range(len(left) - 1, -1, -1):
-        # Lengths of subsequences are the zeros below a place; step back where row k is needed.
+        yield row
+
+
+def _counts(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each prefix of ``b``."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):  # noqa: B007 - the last one
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits[: len(b)].astype(np.int64))])
+
+
+def _subsequence(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a``; long lists are halved where both halves share most, so memory stays bounded."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > CELLS:
+        middle = len(a) // 2
+        split = int(np.argmax(_counts(a[:middle], b) + _counts(a[middle:][::-1], b[::-1])[::-1]))
+        return _subsequence(a[:middle], b[:split]) + [middle + k for k in _subsequence(a[middle:], b[split:])]
+    rows, full, j, found = list(_rows(a, b)), (1 << len(b)) - 1, len(b), []
+    for k in range(len(a) - 1, -1, -1):
+        # Step back where row k is needed.
         below = (1 << j) - 1
         before = rows[k - 1] if k else full
         if (~rows[k] & below).bit_count() > (~before & below).bit_count():
-            found.add(left[k])
+            found.append(k)
             while j and (rows[k] >> (j - 1)) & 1:
                 j -= 1
             j -= 1
-    return found
+    return found[::-1]
 
 
 def main_text(page: str, neighbour: list[int] | None) -> str:

@@ -116,3 +116,58 @@ def test_lines_outside_the_article(spark):
 
     got = run(spark, [(i, f"https://h.example/x/{i}", page(i)) for i in range(4)])
     assert got == {i: f"Summary of {i}\nSame text.\nNote {i}." for i in range(4)}
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<p title="a > b">real text</p>', [("real text", "open")]),
+        ("<p title='<b>' class = \"x > y\">one</p>two", [("one", "open"), ("two", "open")]),
+        ("<p>one</p><button>x<p>two</p><p>three</p>", [("one", "open"), ("two", "open"), ("three", "open")]),
+        ("<p>a</p><select><option>x</select><p>b</p><title>t<p>c</p><svg><p>d</p>", [("a", "open"), ("b", "open"), ("c", "open"), ("d", "open")]),
+        ("<button>a</button>b<button>c<p>d</p><button>e</button>f", [("b", "open"), ("d", "open"), ("f", "open")]),
+        ("<p>a</p><script>if (a < b) '<p>no</p>'</script><p>b</p><style>x<p>no", [("a", "open"), ("b", "open")]),
+        ('<article><section class="related-work"><p>kept</p></section></article>', [("kept", "article")]),
+        ('<article><div class="search-engine-notice">a</div><div class="alert-systems">b</div></article>', [("a", "article"), ("b", "article")]),
+        ('<article><p>a</p><p class="ad">BUY</p><p>b</p><div class="big cookie-banner">c</div></article>', [("a", "article"), ("BUY", "none"), ("b", "article"), ("c", "none")]),
+        ("<p>1 < 2 &amp; 3</p><", [("1 < 2 & 3", "open"), ("<", "open")]),
+    ],
+)
+def test_blocks_of_a_page(page, want):
+    assert pages.lines(page) == want
+
+
+@pytest.mark.parametrize("cells", [pages.CELLS, 1, 7])
+def test_longest_common_subsequence(monkeypatch, cells):
+    """Against the plain table, also with the lists halved."""
+    import random
+
+    monkeypatch.setattr(pages, "CELLS", cells)
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(25))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        found, left = sorted(pages.common_lines(a, b)), iter(b)
+        assert len(found) == table[-1][-1] and all(any(y == a[i] for y in left) for i in found)
+
+
+@pytest.mark.parametrize("text", ["<button>", "<p a=\"", "<", "<title>x", "<a b='\"", "<!-- ", "</p <"])
+def test_hard_pages_take_linear_time(text):
+    import time
+
+    start = time.process_time()
+    pages.lines(text * 50_000)
+    assert time.process_time() - start < 10
+
+
+def test_many_lines_take_bounded_memory():
+    import tracemalloc
+
+    a, b = list(range(20_000)), list(range(19_999, -1, -1))
+    tracemalloc.start()
+    assert len(pages.common_lines(a, b)) == 1
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()

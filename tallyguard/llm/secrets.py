@@ -55,7 +55,8 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]{32,}", 32),
     Rule("pem", 2, _PEM, 1),
     Rule("pat", 1, r"gh[opsu]_[A-Za-z0-9]+", 40),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 30),
+    # Only at the start of a run of its characters: each run is read once.
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 30),
 )
 BASE = tuple(r.kind for r in RULES[:3])
 MARK = "[SECRET]"
@@ -177,6 +178,9 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans become one mark.  All rows stay; untouched texts stay as they are.
     """
     findings, _ = scan_documents(docs)
+    spans = "_spans"
+    while spans in {c.lower() for c in docs.columns}:
+        spans += "_"
 
     @F.udf("array<struct<start: int, stop: int>>")
     def merged(spans):  # only runs on blobs with findings; the last span comes first
@@ -195,14 +199,15 @@ def redact(docs: DataFrame) -> DataFrame:
         .select("_blob", merged("_found").alias("_spans"))
     )
     blanked = F.aggregate(
-        "_spans",
+        spans,
         F.col("text"),
         lambda text, s: F.concat(
             F.substring(text, F.lit(1), s["start"]), F.lit(MARK), F.substring(text, s["stop"] + 1, F.length(text))
         ),
     )
-    joined = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(marked, "_blob", "left")
-    found = F.col("_spans").isNotNull() & F.col("text").isNotNull()
+    blob = F.sha2(F.col("d.text"), 256) == F.col("m._blob")
+    joined = docs.alias("d").join(marked.alias("m"), blob, "left").select("d.*", F.col("m._spans").alias(spans))
+    found = F.col(spans).isNotNull() & F.col("text").isNotNull()
     changes = {"text": F.when(found, blanked).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changes["n_chars"] = F.when(found, F.length(blanked).cast("long")).otherwise(F.col("n_chars"))

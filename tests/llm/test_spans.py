@@ -135,3 +135,23 @@ def test_private_keys_go_whole(spark):
     frame = spark.createDataFrame([(i, f"Before it.\n{k}\nAfter it all.") for i, k in enumerate(keys)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
     assert got == dict.fromkeys(range(len(keys)), "Before it.\n[SECRET]\nAfter it all.")
+
+
+def test_starts_of_tokens_take_linear_time():
+    import re
+    import time
+
+    rules = tuple(r for r in secrets.RULES if r.kind == "jwt")
+    compiled = {r.name: re.compile(r.pattern, r.flags) for r in rules}
+    start = time.process_time()
+    assert secrets.find("eyJaaaaaaaa" * 1_000_000, rules, compiled) == []
+    assert time.process_time() - start < 10
+    text = " eyJabcdefgh12.eyJabcdefgh34.signature0000 "
+    assert [x[1:] for x in secrets.find(text, rules, compiled)] == [(1, len(text) - 1)]
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = [(1, "password = hunter2hunter2", "b1", "s1"), (2, "nothing", "b2", None), (3, None, None, "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _blob string, _spans string")
+    got = {r.doc_id: (r.text, r._blob, r._spans) for r in secrets.redact(docs).collect()}
+    assert got == {1: ("[SECRET]", "b1", "s1"), 2: ("nothing", "b2", None), 3: (None, None, "s3")}

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from .common import map_slices, mix, unpacked, with_row_key
 from .segments import pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Share of its weight that a node must have in common with others to be linked to any, with room for rounding.
+LEAST_SHARE = SIMILARITY - 1e-9
 #: Distance of linked texts, with room for rounding.
 NEAR = 1 - SIMILARITY + 1e-12
 BANDS, ROWS = 20, 6
@@ -256,10 +259,14 @@ def signatures(keyed: DataFrame) -> tuple[DataFrame, int]:
                 for piece in pieces([len(t) // 4 for t in texts]):
                     made = Shingles(texts[piece])
                     own = df[np.searchsorted(hashes, made.shingle)]
-                    bands = sampler.bands(made, exact_weights(made, own, n), len(texts[piece])).view(np.int64)
+                    weights = exact_weights(made, own, n)
+                    rarest, own_weight, weight = weight_sums(made, own, weights, len(made.words))
+                    # A text that is nobody's copy and can share too little needs no samples.
+                    open_ = ~((rarest == 1) & (weight - own_weight < weight * LEAST_SHARE))[made.text]
+                    sampled = SimpleNamespace(text=made.text[open_], shingle=made.shingle[open_])
+                    bands = sampler.bands(sampled, weights[open_], len(made.words)).view(np.int64)
                     names = [xxhash.xxh128_intdigest(w) for w in made.words]
                     ends = np.searchsorted(made.text, np.arange(len(names) + 1))
-                    rarest, own_weight, weight = weight_sums(made, own, exact_weights(made, own, n), len(names))
                     columns = [
                         pa.array(doc_ids[piece], pa.int64()),
                         pa.array(row_keys[piece], pa.int64()),
@@ -310,7 +317,7 @@ def with_shareable(nodes: DataFrame) -> DataFrame:
 
 def linkable(share: str = "share", weight: str = "weight") -> Column:
     """Whether anything can be similar to a node: what is shared of its weight bounds the similarity."""
-    return F.col(share) >= F.col(weight) * (SIMILARITY - 1e-9)
+    return F.col(share) >= F.col(weight) * LEAST_SHARE
 
 
 def _least_distance(x: str, y: str) -> Column:

@@ -13,8 +13,10 @@ always descends.
 
 Defined cases: null and empty texts have no tokens and keep a rate; rows with a null domain or
 text teach nothing; without labelled rows or without tokens every rate is 1; a domain
-with a target but no tokens cannot be met and is left out of the sum; repeated rows count as often
-as they occur; other columns are kept by :func:`mix` and ignored by :func:`rates`.
+with a target but no tokens cannot be met and is left out of the sum; documents of a domain without a
+target (the likeliest one counts, the first of equally likely ones) keep the rate 1 and count for nothing;
+repeated rows count as often as they occur; other columns are kept by :func:`mix` and ignored by
+:func:`rates`, which reports the largest remaining miss, as a share of all tokens, as ``miss``.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .features import Scaler, byte_shares
 
 #: Bound of the labelled sample.
 LABELLED = 20_000
+#: The descent ends when no domain misses its tokens by more than this share of all, or after so many steps;
+#: what it still misses then is reported.
 TOLERANCE, MAX_STEPS = 1e-9, 30
 _SPACE = 2**32
 
@@ -102,21 +106,27 @@ def posteriors(model: Classifier, text: str | Column = "text") -> Column:
     return judged(text)
 
 
-def _rate(steps: list[np.ndarray], p: str = "p") -> Column:
+def _rate(steps: list[np.ndarray], p: str | Column = "p") -> Column:
     """The rate after projected steps from one."""
+    p = F.col(p) if isinstance(p, str) else p
     if not steps:
         return F.lit(1.0)
     moves = F.array(*(F.array(*(F.lit(float(g)) for g in step)) for step in steps))
 
     def descend(rate: Column, step: Column) -> Column:
-        move = sum((F.col(p)[i] * step[i] for i in range(len(steps[0]))), F.lit(0.0))
+        move = sum((p[i] * step[i] for i in range(len(steps[0]))), F.lit(0.0))
         return F.greatest(F.lit(0.0), rate - move)
 
     return F.aggregate(moves, F.lit(1.0), descend)
 
 
 def solve(judged: DataFrame, targets: np.ndarray, total: float | None = None) -> list[np.ndarray]:
-    """Steps that bring ``judged(tokens, p)`` to the targets; ``targets`` follow the domains.
+    """The steps of :func:`descent`."""
+    return descent(judged, targets, total)[0]
+
+
+def descent(judged: DataFrame, targets: np.ndarray, total: float | None = None) -> tuple[list[np.ndarray], float]:
+    """Steps that bring ``judged(tokens, p)`` to the targets, which follow the domains, and the remaining miss.
 
     ``total`` is the number of tokens to aim at.  By default it is the least for which every
     domain is repeated rather than thinned out, so that no document has to go.
@@ -131,10 +141,10 @@ def solve(judged: DataFrame, targets: np.ndarray, total: float | None = None) ->
     first = sums([F.col("tokens") * a for a in p] + [F.col("tokens") * a * b for a in p for b in p])
     have, curvature = first[:n], first[n:].reshape(n, n)
     if not have.sum():
-        return []
+        return [], 0.0
     targets = np.where(have > 0, targets, 0.0)
     if not targets.sum():
-        return []
+        return [], 0.0
     targets = targets / targets.sum()
     goal = targets * (total if total is not None else max(h / t for h, t in zip(have, targets, strict=True) if t > 0))
     inverse = np.linalg.pinv(curvature)
@@ -144,11 +154,12 @@ def solve(judged: DataFrame, targets: np.ndarray, total: float | None = None) ->
         while len(steps) < MAX_STEPS and np.abs(at - goal).max() > TOLERANCE * goal.sum():
             steps.append(inverse @ (at - goal))
             at = sums([_rate(steps) * F.col("tokens") * a for a in p])
+        miss = float(np.abs(at - goal).max() / goal.sum())
         if total is not None or not steps:
-            return steps
+            return steps, miss
         least = judged.agg(F.min(_rate(steps))).first()[0]
         if least >= 1 or least <= 0:
-            return steps
+            return steps, miss
         goal = goal / least * (1 + 1e-6)  # posteriors overlap a little: aim as much higher
 
 
@@ -158,17 +169,34 @@ def copies(rate: Column, *key: str) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
+def _likeliest(model: Classifier, p: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, model.domains)), F.array_position(p, F.array_max(p)).cast("int"))
+
+
+def _rated(judged: DataFrame, model: Classifier, targets: dict[str, float], column: str) -> tuple[Column, float]:
+    """The rate of each row of ``judged``, whose ``column`` has tokens and posteriors, and the remaining miss."""
+    aimed = [i for i, d in enumerate(model.domains) if d in targets]
+    if not aimed:
+        return F.lit(1.0), 0.0
+    counts = _likeliest(model, F.col(f"{column}.p")).isin([model.domains[i] for i in aimed])
+    p = F.array(*(F.col(f"{column}.p")[i] for i in aimed))
+    seen = judged.select(F.when(counts, F.col(f"{column}.tokens")).otherwise(0).alias("tokens"), p.alias("p"))
+    steps, miss = descent(seen.where("tokens > 0"), np.array([targets[model.domains[i]] for i in aimed]))
+    return F.when(counts, _rate(steps, p)).otherwise(1.0), miss
+
+
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``domain`` (likeliest), ``posterior``, ``rate``, ``copies`` for every row."""
+    """``doc_id``, ``n_tokens``, ``domain`` (likeliest), ``posterior``, ``rate``, ``copies``, ``miss`` for every row."""
     model = fit_classifier(labelled)
     if model is None:
         plain = docs.select("doc_id", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"))
-        return plain.select("*", F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
-    judged = cut(docs.select("doc_id", posteriors(model).alias("j")).select("doc_id", "j.*"), "domain-posteriors")
-    steps = solve(judged, np.array([targets.get(d, 0.0) for d in model.domains]))
-    best = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("p", F.array_max("p")).cast("int"))
-    rated = judged.select("doc_id", F.col("tokens").alias("n_tokens"), best.alias("domain"), F.col("p").alias("posterior"), _rate(steps).alias("rate"))
-    return rated.withColumn("copies", copies(F.col("rate"), "doc_id"))
+        plain = plain.select("*", F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+        return plain.withColumn("miss", F.lit(None).cast("double"))
+    judged = cut(docs.select("doc_id", posteriors(model).alias("j")), "domain-posteriors")
+    rate, miss = _rated(judged, model, targets, "j")
+    best = _likeliest(model, F.col("j.p")).alias("domain")
+    rated = judged.select("doc_id", F.col("j.tokens").alias("n_tokens"), best, F.col("j.p").alias("posterior"), rate.alias("rate"))
+    return rated.withColumn("copies", copies(F.col("rate"), "doc_id")).withColumn("miss", F.lit(miss))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -180,7 +208,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     model = fit_classifier(labelled)
     if model is None:
         return plain.withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1).cast("long"))
-    judged = cut(plain.select("*", posteriors(model).alias("_judged")), "mixed-documents")
-    steps = solve(judged.select("_judged.*"), np.array([targets.get(d, 0.0) for d in model.domains]))
-    rated = judged.select(*plain.columns, _rate(steps, "_judged.p").alias("rate"))
+    name = "_judged"
+    while name in {c.lower() for c in plain.columns}:
+        name += "_"
+    judged = cut(plain.select("*", posteriors(model).alias(name)), "mixed-documents")
+    rate, _ = _rated(judged, model, targets, name)
+    rated = judged.select(*plain.columns, rate.alias("rate"))
     return rated.withColumn("copies", copies(F.col("rate"), "doc_id")).where(F.col("copies") > 0)

@@ -57,6 +57,9 @@ def test_rates_meet_the_targets(tables):
     totals = np.array([np.array(r["posterior"]) * r["rate"] * r["n_tokens"] for r in rows]).sum(0)
     assert np.allclose(totals / totals.sum(), [TARGETS[n] for n in names], atol=1e-6)
     assert min(r["rate"] for r in rows) >= 1 and min(r["copies"] for r in rows) >= 1
+    # What is still missed is reported, and is as small as the sums say.
+    worst = max(abs(t / totals.sum() - TARGETS[n]) for t, n in zip(totals, names))
+    assert {r["miss"] for r in rows} == {rows[0]["miss"]} and worst <= rows[0]["miss"] + 1e-9 <= 1e-6
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
     assert np.mean([truth[r["doc_id"]] == r["domain"] for r in rows]) > 0.97
 
@@ -91,3 +94,28 @@ def test_mix_edges(spark):
     assert [r["copies"] for r in mixing.mix(docs, none, TARGETS).collect()] == [1] * 5
     assert [r["rate"] for r in mixing.rates(docs, none, TARGETS).collect()] == [1.0] * 5
     assert mixing.rates(docs.limit(0), labelled, TARGETS).collect() == []
+
+
+def test_a_miss_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([0.5, 0.5], 40)
+    frame = spark.createDataFrame([(10, x.tolist()) for x in p], "tokens long, p array<double>")
+    targets, total = np.array([0.95, 0.05]), 200.0
+    steps, miss = mixing.descent(frame, targets, total)
+    rate = np.array([r[0] for r in frame.select(mixing._rate(steps)).collect()])
+    have = (rate[:, None] * 10 * p).sum(0)
+    assert len(steps) == 1 and miss == pytest.approx(np.abs(have - targets * total).max() / total) and miss > 1e-4
+
+
+def test_domains_without_a_target_stay(tables):
+    docs, labels = tables
+    targets = {"en": 0.5, "de": 0.5}
+    labelled = labelled_domains(docs, labels)
+    rows = mixing.rates(docs, labelled, targets).collect()
+    assert {r["rate"] for r in rows if r["domain"] not in targets} == {1.0}
+    share = {d: sum(r["rate"] * r["n_tokens"] for r in rows if r["domain"] == d) for d in targets}
+    assert share["en"] / sum(share.values()) == pytest.approx(0.5, abs=0.02)
+    extra = docs.withColumn("_judged", F.lit("mine"))
+    mixed = mixing.mix(extra, labelled, targets)
+    assert mixed.count() == docs.count() and {r["_judged"] for r in mixed.select("_judged").collect()} == {"mine"}

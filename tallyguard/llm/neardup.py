@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import map_slices, mix, unpacked, with_row_key
-from .segments import pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Share of its weight that a node must have in common with others to be linked to any, with room for rounding.
@@ -47,6 +46,8 @@ NEAR = 1 - SIMILARITY + 1e-12
 BANDS, ROWS = 20, 6
 #: Bands that are joined before the others.
 FIRST_BANDS = 4
+#: Shingles that are sampled at a time.
+SAMPLED = 1 << 18
 #: log2 of the size of a table of weights by the first bits of a hash (``Shingles.weights``).
 DF_BITS = 18
 #: Documents and bytes of text of a chunk at most (a longer text is one by itself), and bytes of text for each part of the hash range.
@@ -236,8 +237,20 @@ def _shared_counts(chunks: DataFrame, parts: int) -> DataFrame:
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "places", "counts")).alias("answers"))
 
 
+def _pieces_of(texts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of texts with a bounded number of shingles together, or one text each."""
+    sizes, low, held = ends[texts + 1] - ends[texts], 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if held and held + size > SAMPLED:
+            yield texts[low:k]
+            low, held = k, 0
+        held += size
+    if low < len(texts):
+        yield texts[low:]
+
+
 def signatures(keyed: DataFrame) -> tuple[DataFrame, int]:
-    """``doc_id``, ``row_key``, node ``t0``/``t1`` (hashes of the words), bands, ``packed`` text, exact document frequencies
+    """``doc_id``, ``row_key``, node ``t0``/``t1`` (hashes of the words), bands, ``packed`` text and exact document frequencies
     ``df`` of its sorted shingles, the least of these with the weight of its shingles, and the whole weight, for rows
     with words and an id; and the number of documents."""
     chunks = _chunks(keyed)
@@ -252,35 +265,38 @@ def signatures(keyed: DataFrame) -> tuple[DataFrame, int]:
             out = []
             for doc_ids, row_keys, blobs, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 texts = [unpacked(x) for x in blobs]
-                hashes = np.unique(Shingles(texts).shingle)
+                made = Shingles(texts)
+                hashes, place = np.unique(made.shingle, return_inverse=True)
                 df, edges = np.ones(len(hashes), np.int64), _part_edges(hashes, parts)
                 for x in answers or []:
                     df[edges[x["part"]] + _numbers(x["places"], np.uint32).astype(np.int64)] = _numbers(x["counts"], np.int64)
-                for piece in pieces([len(t) // 4 for t in texts]):
-                    made = Shingles(texts[piece])
-                    own = df[np.searchsorted(hashes, made.shingle)]
-                    weights = exact_weights(made, own, n)
-                    rarest, own_weight, weight = weight_sums(made, own, weights, len(made.words))
-                    # A text that is nobody's copy and can share too little needs no samples.
-                    open_ = ~((rarest == 1) & (weight - own_weight < weight * LEAST_SHARE))[made.text]
-                    sampled = SimpleNamespace(text=made.text[open_], shingle=made.shingle[open_])
-                    bands = sampler.bands(sampled, weights[open_], len(made.words)).view(np.int64)
-                    names = [xxhash.xxh128_intdigest(w) for w in made.words]
-                    ends = np.searchsorted(made.text, np.arange(len(names) + 1))
-                    columns = [
-                        pa.array(doc_ids[piece], pa.int64()),
-                        pa.array(row_keys[piece], pa.int64()),
-                        pa.array(np.array([x >> 64 for x in names], np.uint64).view(np.int64)),
-                        pa.array(np.array([x & (2**64 - 1) for x in names], np.uint64).view(np.int64)),
-                        pa.array(list(bands), pa.list_(pa.int64())),
-                        pa.array(blobs[piece], pa.binary()),
-                        pa.array([_squeezed(own[i:j]) if i < j else b"" for i, j in zip(ends, ends[1:])], pa.binary()),
-                        pa.array(rarest, pa.int64()),
-                        pa.array(own_weight, pa.float64()),
-                        pa.array(weight, pa.float64()),
-                    ]
-                    keep = pa.array([bool(w) and i is not None for w, i in zip(made.words, doc_ids[piece], strict=True)])
-                    out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "t0", "t1", "bands", "packed", "df", "rarest", "rarest_weight", "weight"]).filter(keep))
+                own = df[place]
+                weights = exact_weights(made, own, n)
+                rarest, own_weight, weight = weight_sums(made, own, weights, len(texts))
+                # A text that is nobody's copy and can share too little needs no samples.
+                alone = (rarest == 1) & (weight - own_weight < weight * LEAST_SHARE)
+                bands = np.zeros((len(texts), BANDS), np.uint64)
+                ends = np.searchsorted(made.text, np.arange(len(texts) + 1))
+                for some in _pieces_of(np.flatnonzero(~alone), ends):
+                    at = np.concatenate([np.arange(ends[k], ends[k + 1]) for k in some])
+                    sampled = SimpleNamespace(text=made.text[at], shingle=made.shingle[at])
+                    bands[some] = sampler.bands(sampled, weights[at], len(texts))[some]
+                names = [xxhash.xxh128_intdigest(w) for w in made.words]
+                columns = [
+                    pa.array(doc_ids, pa.int64()),
+                    pa.array(row_keys, pa.int64()),
+                    pa.array(np.array([x >> 64 for x in names], np.uint64).view(np.int64)),
+                    pa.array(np.array([x & (2**64 - 1) for x in names], np.uint64).view(np.int64)),
+                    pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
+                    pa.array(blobs, pa.binary()),
+                    pa.array([_squeezed(own[i:j]) if i < j else b"" for i, j in zip(ends, ends[1:])], pa.binary()),
+                    pa.array(rarest, pa.int64()),
+                    pa.array(own_weight, pa.float64()),
+                    pa.array(weight, pa.float64()),
+                ]
+                keep = pa.array([bool(w) and i is not None for w, i in zip(made.words, doc_ids, strict=True)])
+                names = ["doc_id", "row_key", "t0", "t1", "bands", "packed", "df", "rarest", "rarest_weight", "weight"]
+                out.append(pa.RecordBatch.from_arrays(columns, names=names).filter(keep))
             return out
 
         return each
@@ -485,7 +501,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """
     keyed = with_row_key(docs)
     signed, n = signatures(keyed)
-    signed = cut(signed, "signatures")
+    # What cannot be linked is not read again.
+    compared = (F.col("rarest") > 1) | (F.col("weight") - F.col("rarest_weight") >= F.col("weight") * LEAST_SHARE)
+    signed = cut(signed.withColumns({c: F.when(compared, F.col(c)) for c in ("bands", "packed", "df")}), "signatures")
     same = [F.first(c).alias(c) for c in ("bands", "rarest", "rarest_weight", "weight")]
     nodes = signed.groupBy("t0").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("copies"), *same)
     nodes = with_shareable(nodes).select(F.col("t0").alias("node"), "first", "bands", "share", "weight")

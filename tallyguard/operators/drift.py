@@ -203,6 +203,15 @@ def field_stats(
     )
 
 
+def expected_stats(stats: DataFrame, arrivals: DataFrame, registry: Registry) -> DataFrame:
+    """The statistics of the fields that the parser of each provider's newest arrival expects."""
+    # One row per provider.
+    newest = arrivals.groupBy("provider").agg(F.max_by("parser_version", "seq").alias("_version"))
+    expected = registry.expected_fields(version="_version")
+    joined = stats.join(F.broadcast(newest), "provider")
+    return joined.filter(F.expr(f"array_contains({expected}, field)")).drop("_version")
+
+
 def _rates(df: DataFrame) -> DataFrame:
     return df.withColumn("overall_rate", F.try_divide("overall_populated", "overall_seen")).withColumn(
         "recent_rate", F.try_divide("recent_populated", "recent_seen")

@@ -449,6 +449,9 @@ ORACLE: dict[str, str] = {
       from (select *, row_number() over (partition by provider, field order by t) rn from judged
         where overall_seen >= 30 and recent_seen >= 10 and overall_populated / overall_seen >= 0.9
         and recent_populated / recent_seen <= 0.1) where rn = 1""",
+    "expected_field_stats": _with(*_RANKED) + """select provider, field, overall_seen, overall_populated, recent_seen,
+      recent_populated from stats where field != 'cost.amount_usd' or provider not in (
+        select provider from acc group by provider having provider = 'openai' and max(seq) % 10 = 0)""",
     "known_path_positions": _with(*_SHAPED) + """select provider, path, since,
         row_number() over (partition by provider order by since, path) - 1 as "position" from (
       select provider, path, min(first_seq) since from (

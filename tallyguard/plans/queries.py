@@ -381,14 +381,25 @@ def label_series(spark, sf_dir):
 BLIND_V2 = Parser(**{**OPENAI_V1.__dict__, "version": 2, "expects": tuple(f for f in FIELD_COLUMNS if f != COST_FIELD)})
 
 
+def _two_expectations(spark, sf_dir) -> Tables:
+    """A load whose redeliveries and backfills are pinned to the first version."""
+    pinned = fixture.arrivals(spark, sf_dir).withColumn("version", F.when(F.col("seq") % 10 != 0, 1))
+    return Tables(pinned, Registry([OPENAI_V1, BLIND_V2, ANTHROPIC_V1, CURSOR_V1]))
+
+
+@query
+def expected_field_stats(spark, sf_dir):
+    """Population of the fields that the newest arrival's version expects."""
+    t = _two_expectations(spark, sf_dir)
+    return drift.expected_stats(drift.field_stats(t.presence), t.accepted, t.registry)
+
+
 @query
 def silent_null_by_version(spark, sf_dir):
     """Only redeliveries and backfills come through the version that expects a cost."""
-    pinned = fixture.arrivals(spark, sf_dir).withColumn("version", F.when(F.col("seq") % 10 != 0, 1))
-    known = Registry([OPENAI_V1, BLIND_V2, ANTHROPIC_V1, CURSOR_V1])
-    t = Tables(pinned, known)
+    t = _two_expectations(spark, sf_dir)
     rows = t.stored_light
-    return drift.silent_null_first_fire(fold.fold_presence(rows), known, arrivals=rows).select(
+    return drift.silent_null_first_fire(fold.fold_presence(rows), t.registry, arrivals=rows).select(
         "provider", "field", "seq", "severity", "message",
         "overall_seen", "overall_populated", "recent_seen", "recent_populated",
     )

@@ -186,6 +186,15 @@ def test_no_version_expects_a_field(make_arrivals):
     assert drift.silent_null_first_fire(fold.fold_presence(rows), registry, LIMITS).count() == 0
 
 
+@pytest.mark.parametrize("last,fields", [(None, ["model"]), (1, sorted(FIELDS))])
+def test_statistics_of_the_fields_that_the_newest_arrival_expects(make_arrivals, last, fields):
+    registry = build_registry().plus(Parser(**{**OPENAI_V1.__dict__, "version": 2, "expects": ("model",)}))
+    items = [("openai", {"id": f"k{i}", "model": "m"}, 1) for i in range(5)] + [("openai", {"id": "z"}, last)]
+    rows = good_rows(make_arrivals, items, registry=registry)
+    stats = drift.expected_stats(drift.field_stats(fold.fold_presence(rows)), rows, registry).collect()
+    assert sorted(r.field for r in stats) == fields
+
+
 def test_as_of_meets_the_latest_state(spark):
     far = 1 << 17
     states = [("a", 5, "x"), ("a", far, "y"), ("b", 3 * far, "z")]

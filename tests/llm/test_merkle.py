@@ -109,3 +109,12 @@ def test_clashing_columns_do_not_matter(spark):
         "*", "1 as tree", "2 as idx", "'x' as n", "'y' as digest", "'z' as _salt", "3 as _at", "4 as run", "5 as tampered"
     )
     assert sorted((tuple(r) for r in merkle.build(extra).collect()), key=str) == sequential(rows)
+
+
+def test_query_matches_sql_on_the_table(spark):
+    from tallyguard.llm.queries import ORACLE, QUERIES
+
+    from ..compare import connect, differences
+    from ..conftest import SMALL
+
+    assert differences(QUERIES["op12_merkle"](spark, SMALL), connect(SMALL), ORACLE["op12_merkle"]) == []

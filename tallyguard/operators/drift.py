@@ -61,6 +61,12 @@ def path_positions(stored: DataFrame) -> DataFrame:
     return cut(placed.withColumn("position", F.col("_rank") - 1).drop("_rank"), "path_positions")
 
 
+def known_of(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored shapes and path positions of a corpus, for callers that need them more than once."""
+    stored = stored_shapes(corpus)
+    return stored, path_positions(stored)
+
+
 def _compare_paths(new: DataFrame, positions: DataFrame) -> DataFrame:
     """Add to each new shape its added paths, and the intervals of known positions that it lacks."""
     shape = ["provider", "fingerprint"]
@@ -87,15 +93,17 @@ def _compare_paths(new: DataFrame, positions: DataFrame) -> DataFrame:
     )
 
 
-def structural_alerts(accepted: DataFrame, corpus: DataFrame) -> DataFrame:
+def structural_alerts(
+    accepted: DataFrame, corpus: DataFrame | None, known: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """One alert per provider and shape that was new when it arrived.
 
     A shape is known once a payload with it is stored, and a provider's first stored
     payload raises nothing.  Arrivals and stored payloads are reduced to one row per
     shape key before anything is compared.  ``removed`` holds intervals of known paths by
-    position; :func:`with_removed_paths` lists them.
+    position; :func:`with_removed_paths` lists them.  ``known`` stands for the corpus if it is given.
     """
-    stored = stored_shapes(corpus)
+    stored, positions = known or known_of(corpus)
     # One row per provider, and providers are limited to the registry's.
     opening = stored.groupBy("provider").agg(F.min("stored_seq").alias("opened_seq"))
     later = (
@@ -115,7 +123,7 @@ def structural_alerts(accepted: DataFrame, corpus: DataFrame) -> DataFrame:
         .join(F.broadcast(opening), "provider")
         .filter("stored_seq is null or stored_seq > opened_seq")
     )
-    return _compare_paths(cut(new, "new_shapes"), path_positions(stored)).select(
+    return _compare_paths(cut(new, "new_shapes"), positions).select(
         "seq",
         "provider",
         F.lit(STRUCTURAL).alias("type"),
@@ -128,13 +136,15 @@ def structural_alerts(accepted: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def with_removed_paths(alerts: DataFrame, corpus: DataFrame) -> DataFrame:
+def with_removed_paths(
+    alerts: DataFrame, corpus: DataFrame | None, known: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Alerts with ``removed`` spelled out: one step per path listed, as the list asks for."""
     alert = ["provider", "fingerprint"]
     wanted = alerts.filter(F.col("type") == STRUCTURAL).select(*alert, F.inline("removed"))
     wanted = wanted.select(*alert, F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("position"))
     lists = (
-        wanted.join(path_positions(stored_shapes(corpus)), ["provider", "position"])
+        wanted.join((known or known_of(corpus))[1], ["provider", "position"])
         .groupBy(*alert)
         .agg(F.array_sort(F.collect_list("path")).alias("_removed"))
     )

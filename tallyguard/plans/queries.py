@@ -110,15 +110,10 @@ def merged_events(spark, sf_dir):
     return _event_columns(fold.merge_events(first, rows.filter(F.col("seq") > middle)))
 
 
-def _stored_shapes(t: Tables) -> DataFrame:
-    """The stored payloads, as far as path lists need them."""
-    return fold.corpus_table(t.stored_light, ("provider", "shape_key"))
-
-
 @query
 def alerts(spark, sf_dir):
     t = Tables.from_source(spark, sf_dir)
-    return drift.with_removed_paths(cut(t.alerts, "alerts"), _stored_shapes(t)).select(
+    return drift.with_removed_paths(cut(t.alerts, "alerts"), None, t.known).select(
         "id", "seq", "provider", "type", "severity", "field", "message", "fingerprint",
         _list("added").alias("added"), _list("removed").alias("removed"),
         "overall_rate", "recent_rate", "overall_seen", "recent_seen", _ntz("created_at"),
@@ -326,8 +321,8 @@ def ingest_results(spark, sf_dir):
 @query
 def structural_alerts(spark, sf_dir):
     t = Tables.from_source(spark, sf_dir)
-    found = cut(drift.structural_alerts(t.stored_light, _stored_shapes(t)), "structural_alerts")
-    return drift.with_removed_paths(found, _stored_shapes(t)).select(
+    found = cut(drift.structural_alerts(t.stored_light, None, t.known), "structural_alerts")
+    return drift.with_removed_paths(found, None, t.known).select(
         "seq", "provider", "severity", "message", "fingerprint",
         _list("added").alias("added"), _list("removed").alias("removed"),
     )
@@ -409,7 +404,7 @@ def silent_null_by_version(spark, sf_dir):
 def known_path_positions(spark, sf_dir):
     """Known paths in the order they became known, as structural alerts number them."""
     t = Tables.from_source(spark, sf_dir)
-    return drift.path_positions(drift.stored_shapes(_stored_shapes(t))).select("provider", "path", "since", "position")
+    return t.known[1].select("provider", "path", "since", "position")
 
 
 @query

@@ -98,10 +98,15 @@ class Tables:
     def stored_corpus(self) -> DataFrame:
         return cut(fold.corpus_table(self.stored_accepted), "corpus")
 
+    @cached_property
+    def known(self) -> tuple[DataFrame, DataFrame]:
+        """Shapes and paths of the stored payloads."""
+        return drift.known_of(fold.corpus_table(self.stored_light, ("provider", "shape_key")))
+
     @cached_property
     def alerts(self) -> DataFrame:
         rows = self.stored_light
-        structural = drift.structural_alerts(rows, fold.corpus_table(rows, ("provider", "shape_key")))
+        structural = drift.structural_alerts(rows, None, self.known)
         silent = drift.silent_null_first_fire(fold.fold_presence(rows), self.registry, arrivals=rows)
         return drift.alerts_table(structural, silent, rows)
 

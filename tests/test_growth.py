@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from tallyguard.plans.queries import _quarters
 from tallyguard.session import spread
 
+from .test_plans import plan
+
 
 def test_rows_of_one_split_are_dealt_evenly(spark):
     """One split holds all rows, and there are more splits than cores."""
@@ -12,3 +15,10 @@ def test_rows_of_one_split_are_dealt_evenly(spark):
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert dealt.rdd.getNumPartitions() == 40 and sum(sizes) == 4000
     assert max(sizes) < 200
+
+
+def test_quarters_come_from_bounded_summaries(spark):
+    rows = spark.range(0, 200_000, 7).withColumnRenamed("id", "seq")
+    assert " percentile(" not in plan(_quarters(rows))
+    edges = _quarters(rows).first()[0]
+    assert [abs(e - 50_000 * (i + 1)) < 200 for i, e in enumerate(edges)] == [True] * 3

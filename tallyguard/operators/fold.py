@@ -55,7 +55,7 @@ def _last_present(column: str, by: str = "seq") -> Column:
 
 
 def _by_key(accepted: DataFrame, *measures: Column) -> DataFrame:
-    """Aggregate per event; the key travels as bytes, half the size of its hex text."""
+    """Aggregate per event; keys and hashes travel as bytes, half the size of their hex texts."""
     grouped = accepted.groupBy(F.unhex("dedup_key").alias("_key"), "provider").agg(*measures)
     return grouped.withColumn("dedup_key", F.lower(F.hex("_key"))).drop("_key")
 
@@ -68,7 +68,8 @@ def _fold_measures() -> list[Column]:
         F.max("seq").alias("last_seq"),
         *[_last_present(c).alias(c) for c in VALUES],
         *[F.min(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{c}_seq") for c in VALUES],
-        *[_last(c).alias(c) for c in POINTERS],
+        F.lower(F.hex(F.max_by(F.unhex("content_hash"), "seq"))).alias("content_hash"),
+        *[_last(c).alias(c) for c in POINTERS if c != "content_hash"],
     ]
 
 

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..session import COMPRESSION
+
 
 def committed(spark: SparkSession, root: str, before: int | None = None) -> list[int]:
     """Batches whose commit is complete, in order, optionally only those before a batch."""
@@ -23,7 +25,7 @@ def committed(spark: SparkSession, root: str, before: int | None = None) -> list
 
 def publish(df: DataFrame, table: str, batch: int) -> None:
     """Write one batch of a table."""
-    df.write.mode("overwrite").parquet(f"{table}/v={batch}")
+    df.write.mode("overwrite").parquet(f"{table}/v={batch}", compression=COMPRESSION)
 
 
 def read_batches(spark: SparkSession, table: str, schema: str, batches: list[int]) -> DataFrame:

@@ -1,10 +1,15 @@
 """Steps whose cost per task must not grow with the input."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallyguard.plans.queries import _quarters
-from tallyguard.session import spread
+from tallyguard.plans.tables import Tables
+from tallyguard.session import cut, spread
+from tallyguard.sources.snapshots import publish
 
+from .conftest import SMALL
 from .test_plans import plan
 
 
@@ -22,3 +27,22 @@ def test_quarters_come_from_bounded_summaries(spark):
     assert " percentile(" not in plan(_quarters(rows))
     edges = _quarters(rows).first()[0]
     assert [abs(e - 50_000 * (i + 1)) < 200 for i, e in enumerate(edges)] == [True] * 3
+
+
+def _codecs(df):
+    return {re.search(r"\.(\w+)\.parquet$", f).group(1) for f in df.inputFiles()}
+
+
+def test_stored_tables_are_entropy_coded(spark, tmp_path):
+    rows = spark.range(10).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    stored = cut(rows, "hashes")
+    assert _codecs(stored) == {"zstd"}
+    publish(rows, str(tmp_path / "t"), 0)
+    assert _codecs(spark.read.parquet(str(tmp_path / "t" / "v=0"))) == {"zstd"}
+    assert stored.exceptAll(rows).count() == 0
+
+
+def test_hashes_travel_as_bytes(spark):
+    text = plan(Tables.from_source(spark, SMALL).folded)
+    partial = next(line for line in text.splitlines() if "partial_max_by" in line)
+    assert "partial_max_by(content_hash" not in partial and "partial_max_by(unhex(content_hash" in partial

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .normalize import GOLDEN_FIELDS, golden, normalize
 from .registry import Registry
 
@@ -65,6 +66,8 @@ def replay_failures(rows: DataFrame, corpus: DataFrame, limit: int = 8) -> DataF
         .filter(F.col("_rn") <= limit)
         .select("provider", "version", "seq", F.col("golden.cost_value").alias("expected"), "parse_reasons")
     )
+    # Read twice below; a replay parses every stored payload.
+    first = cut(first, "first_refused")
     # At most `limit` positions per provider: the stored payloads before each are counted
     # where they are, without ranking the corpus.
     sought = first.groupBy("provider").agg(F.array_sort(F.collect_set("seq")).alias("seqs"))

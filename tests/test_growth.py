@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tallyguard.plans.queries import _quarters
+from tallyguard.operators import replay
+from tallyguard.plans.queries import _quarters, with_v3
 from tallyguard.plans.tables import Tables
 from tallyguard.session import cut, spread
 from tallyguard.sources.snapshots import publish
@@ -46,3 +47,11 @@ def test_hashes_travel_as_bytes(spark):
     text = plan(Tables.from_source(spark, SMALL).folded)
     partial = next(line for line in text.splitlines() if "partial_max_by" in line)
     assert "partial_max_by(content_hash" not in partial and "partial_max_by(unhex(content_hash" in partial
+
+
+def test_refused_payloads_are_replayed_once(spark):
+    t = Tables.from_source(spark, SMALL)
+    rows = replay.replay_rows(t.stored_corpus, with_v3())
+    found = replay.replay_failures(rows, t.stored_corpus)
+    assert "try_parse_json" not in plan(found)
+    assert found.count() == min(8, rows.filter("outcome = 'throw'").count()) > 0

@@ -80,6 +80,17 @@ def is_numeric(kind: str) -> str:
     return f"({kind} in ('BIGINT', 'DOUBLE', 'FLOAT') or startswith({kind}, 'DECIMAL'))"
 
 
+def double_from(value: str, kind: str) -> str:
+    """The DOUBLE of a JSON number; NULL for every other type.
+
+    Reading a VARIANT as another type than its own builds a cast for each row, so numbers are read as
+    what they are.
+    """
+    return f"""case when {kind} = 'BIGINT' then cast(try_variant_get({value}, '$', 'bigint') as double)
+        when startswith({kind}, 'DECIMAL') then try_cast(to_json({value}) as double)
+        when {kind} in ('DOUBLE', 'FLOAT') then try_variant_get({value}, '$', 'double') end"""
+
+
 def _array_text(printed: str) -> str:
     """Items joined by commas at every depth; objects as ``[object Object]``, null as nothing.
 
@@ -112,7 +123,8 @@ def number_from(value: str, kind: str) -> str:
     text = f"""case when {kind} = 'STRING' then trim(try_variant_get({value}, '$', 'string'))
         when startswith({kind}, 'ARRAY') then {_array_text(f'to_json({value})')} end"""
     decimal = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-    return f"""case when {is_numeric(kind)} or {kind} = 'BOOLEAN' then try_variant_get({value}, '$', 'double')
+    return f"""case when {is_numeric(kind)} then {double_from(value, kind)}
+        when {kind} = 'BOOLEAN' then try_variant_get({value}, '$', 'double')
         when ({text}) = '' then 0D
         when ({text}) rlike '{decimal}' then try_cast({text} as double) end"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .ecma import is_numeric
+from .ecma import double_from
 
 
 def first_present(payload: str, paths: tuple[str, ...]) -> str:
@@ -22,4 +22,4 @@ def as_string(value: str, kind: str) -> str:
 
 def as_double(value: str, kind: str) -> str:
     """The value of a JSON number; NULL for every other type."""
-    return f"if({is_numeric(kind)}, try_variant_get({value}, '$', 'double'), null)"
+    return double_from(value, kind)

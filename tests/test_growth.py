@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from tallyguard.functions import ecma
 from tallyguard.operators import replay
+from tallyguard.plans import fixture
 from tallyguard.plans.queries import _quarters, with_v3
 from tallyguard.plans.tables import Tables
 from tallyguard.session import cut, spread
@@ -55,3 +57,38 @@ def test_refused_payloads_are_replayed_once(spark):
     found = replay.replay_failures(rows, t.stored_corpus)
     assert "try_parse_json" not in plan(found)
     assert found.count() == min(8, rows.filter("outcome = 'throw'").count()) > 0
+
+
+def test_events_are_dealt_before_their_payloads_are_made(spark):
+    """Only the four columns that payloads are made of are shuffled, once, and no payload is."""
+    text = fixture.arrivals(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression") == 1
+    above, below = text.split("RepartitionByExpression")
+    assert "concat(" in above and "concat(" not in below
+
+
+def test_deliveries_at_once_are_the_branches_of_the_recipe(spark, tmp_path):
+    """Repeated and null ids and times included."""
+    start = "timestamp '2024-01-28 11:59:00'"
+    rows = spark.range(0, 5000).selectExpr(
+        "if(id % 701 = 0, null, id % 4400) event_id", f"if(id % 89 = 0, null, {start} + make_interval(0,0,0,0,0,id % 3)) ts",
+        "id % 7 user_id", "id * 0.25d value", "'x' event_type", "'{}' props",
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    branches = fixture.RECIPE.format(
+        text="string", iso="date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")", epoch="unix_timestamp(ts)",
+        events="{source}", deliveries=fixture.DELIVERIES,
+    )
+    want = spark.sql(fixture._escape(branches), source=rows)
+    got = fixture.arrivals(spark, str(tmp_path)).select(*want.columns)
+    assert {r["k"] for r in want.selectExpr("seq % 10 as k").distinct().collect()} == {None, 0, 5, 7}
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_numbers_are_read_as_what_they_are(spark):
+    texts = ["0", "-0.0", "9223372036854775807", "9007199254740993", "0.1", "123.4560", "1e400", "1e-7", "0.30000000000000004",
+             "12345678901234567890123456789", "1.2345678901234567890123456789012345678901", '"1"', "true", "null", "{}", "[1]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("parse_json(t) v", "schema_of_variant(parse_json(t)) k")
+    both = rows.selectExpr(f"if({ecma.is_numeric('k')}, try_variant_get(v, '$', 'double'), null) a", f"{ecma.double_from('v', 'k')} b")
+    assert [(str(r["a"]), str(r["b"])) for r in both.collect() if str(r["a"]) != str(r["b"])] == []
+    assert both.where("b is not null").count() == 11

@@ -11,7 +11,7 @@ Texts with equal words form one node.  A shingle that no other node has cannot b
 whose own shingles outweigh the rest has no link at all and takes no part (see ``linkable``); for two
 others the weights that they can share bound their similarity.  Within a band's bucket not all pairs
 are compared: leaders are compared with the members of other classes; members that are not similar
-to any choose the next leaders, four times as many as before, until every member is a leader or linked
+to any choose the next leaders, eight times as many as before, until every member is a leader or linked
 to one, or the bucket is one class.  A few bands go first: they join most classes, and buckets of one class
 are done.  Two members that are linked to leaders of different classes are then compared
 unless the distances to their leaders rule a link out (see ``bridges``), so every pair that shares a bucket is
@@ -25,6 +25,7 @@ one document; other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -48,6 +49,8 @@ BANDS, ROWS = 20, 6
 FIRST_BANDS = 4
 #: Shingles that are sampled at a time.
 SAMPLED = 1 << 18
+#: Shingles of compared texts that a task keeps, as texts of one bucket meet again and again.
+KEPT = 1 << 20
 #: log2 of the size of a table of weights by the first bits of a hash (``Shingles.weights``).
 DF_BITS = 18
 #: Documents and bytes of text of a chunk at most (a longer text is one by itself), and bytes of text for each part of the hash range.
@@ -355,18 +358,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
 
     def make():
-        last: list = [None, None]
-
-        def vector(text: dict) -> tuple[np.ndarray, np.ndarray]:
-            made = Shingles([unpacked(text["packed"])])
-            return made.shingle, exact_weights(made, _numbers(text["df"], np.int64), n)
+        kept: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()  # the latest last
+        held = 0
+
+        def vector(node: int, text: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
+            if node in kept:
+                kept.move_to_end(node)
+                return kept[node]
+            made = Shingles([unpacked(text["packed"].as_py())])
+            kept[node] = found = made.shingle, exact_weights(made, _numbers(text["df"].as_py(), np.int64), n)
+            held += len(found[0])
+            while held > KEPT and len(kept) > 1:
+                held -= len(kept.popitem(last=False)[1][0])
+            return found
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             apart = []
-            for x, text_x, text_y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != x:
-                    last[:] = [x, vector(text_x)]
-                apart.append(1 - weighted_jaccard(last[1], vector(text_y)))
+            for x, y, text_x, text_y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                apart.append(1 - weighted_jaccard(vector(x, text_x), vector(y, text_y)))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.float64())], names=["a", "b", "d"])
 
         return each
@@ -408,11 +418,30 @@ def _spanning(at: DataFrame) -> DataFrame:
     return at.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
 
 
-def bridges(members: DataFrame, labels: DataFrame, leaders: DataFrame, checked: DataFrame) -> DataFrame:
+def _named(nodes: DataFrame, side: str) -> DataFrame:
+    """``node``, ``share`` and ``weight`` of ``nodes`` under the names that ``_least_distance`` reads."""
+    return nodes.select("node", *[F.col(c).alias(f"{side}_{c}") for c in ("share", "weight")])
+
+
+def _ruled_out(members: DataFrame, labels: DataFrame, leaders: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``leader``, ``node``, ``d`` for pairs of a bucket that their weights rule out, but not the links of a led member.
+
+    Their least distance ``d`` stands for the distance.  Only leaders that members are linked to are asked for.
+    """
+    widest = own.groupBy("leader").agg(F.max("d").alias("widest"))
+    led = leaders.join(widest, "leader").join(_named(nodes, "leader").withColumnRenamed("node", "leader"), "leader")
+    led = led.join(labels.select(F.col("node").alias("leader"), F.col("class").alias("leader_class")), "leader")
+    at = members.join(led.select("bucket").distinct(), "bucket", "left_semi").join(labels, "node").join(_named(nodes, "own"), "node")
+    least = _least_distance("leader", "own")
+    met = at.join(led, "bucket").where((F.col("class") != F.col("leader_class")) & (least > NEAR) & (least <= F.col("widest") + NEAR))
+    return met.select("leader", "node", least.alias("d")).groupBy("leader", "node").agg(F.min("d").alias("d"))
+
+
+def bridges(members: DataFrame, labels: DataFrame, leaders: DataFrame, checked: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` of linked members of different classes that may be similar and were not compared.
 
     Every member is a leader of its bucket or linked to one, and a leader was compared with all members
-    of other classes.  One minus the weighted Jaccard similarity is a metric, so members as near as a link lie
+    of other classes that their weights allow to be linked.  One minus the weighted Jaccard similarity is a metric, so members as near as a link lie
     about as far from either one's leader: ``d(leader, other) <= d(leader, own) + NEAR``.
     A pair must hold this seen from both sides; no link is lost.
     """
@@ -422,7 +451,10 @@ def bridges(members: DataFrame, labels: DataFrame, leaders: DataFrame, checked:
     own = leaders.join(active, "bucket", "left_semi").join(both.where(F.col("d") <= NEAR), "leader")
     own = own.join(members, ["bucket", "node"], "left_semi").select("leader", "node", "d").distinct()
     own = cut(own.join(labels, "node"), "led-members")
-    others = cut(both.join(own.select("leader").distinct(), "leader", "left_semi").join(labels, "node"), "judged-others")
+    others = both.join(own.select("leader").distinct(), "leader", "left_semi")
+    if "share" in nodes.columns:
+        others = others.unionByName(_ruled_out(members, labels, leaders.join(active, "bucket", "left_semi"), own, nodes))
+    others = cut(others.join(labels, "node"), "judged-others")
     others = others.select("leader", F.col("node").alias("other"), F.col("d").alias("reach"), F.col("class").alias("other_class"))
     met = own.join(others, "leader").where((F.col("class") != F.col("other_class")) & (F.col("reach") <= F.col("d") + NEAR))
     seen = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), (F.col("node") < F.col("other")).alias("up"))
@@ -453,30 +485,28 @@ def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, n: int) -> Da
                 break
             turn += 1
             order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)) if turn > 1 else F.col("node"), "node")
-            ranked = open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 4 ** (turn - 1))
+            ranked = open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 8 ** (turn - 1))
             leaders = cut(ranked.select("bucket", F.col("node").alias("leader")), "leaders")
             led = led.unionByName(leaders)
             about = [F.col(c).alias(f"leader_{c}") for c in ("share", "weight") if weighed]
             leader_facts = labels.join(nodes, "node").select(F.col("node").alias("leader"), F.col("class").alias("leader_class"), *about)
             with_leaders = leaders.join(leader_facts, "leader")
-            least = F.lit(0.0)
+            apart = F.col("class") != F.col("leader_class")
             if weighed:
-                at = at.join(nodes.select("node", F.col("share").alias("own_share"), F.col("weight").alias("own_weight")), "node")
-                least = _least_distance("leader", "own")
-            # Beyond twice the distance of a link, neither the pair nor one of its neighbours can be linked.
-            met = at.join(with_leaders, "bucket").where((F.col("class") != F.col("leader_class")) & (least <= 2 * NEAR))
-            met = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"), least.alias("d"))
-            pairs = cut(met.groupBy("a", "b").agg(F.min("d").alias("d")).join(checked, ["a", "b"], "left_anti"), "met-pairs")
-            judged = cut(_verified(pairs.where(F.col("d") <= NEAR).select("a", "b"), texts, n), "judged-pairs")
-            # For pairs that the bound decides, it stands for their distance.
-            checked = checked.unionByName(judged).unionByName(pairs.where(F.col("d") > NEAR))
+                at = at.join(_named(nodes, "own"), "node")
+                apart = apart & (_least_distance("leader", "own") <= NEAR)
+            met = at.join(with_leaders, "bucket").where(apart)
+            met = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+            pairs = cut(met.join(checked, ["a", "b"], "left_anti"), "met-pairs")
+            judged = cut(_verified(pairs, texts, n), "judged-pairs")
+            checked = checked.unionByName(judged)
             links = checked.where(F.col("d") <= NEAR).select("a", "b")
             near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
             covered = leaders.join(near, leaders.leader == near.a).select("bucket", F.col("b").alias("node"))
             covered = covered.unionByName(leaders.select("bucket", F.col("leader").alias("node")))
             open_ = open_.join(covered, ["bucket", "node"], "left_anti")
             labels = merged(labels, judged.where(F.col("d") <= NEAR).select("a", "b"))
-    left = cut(bridges(members.select("bucket", "node"), labels, led, checked), "bridges")
+    left = cut(bridges(members.select("bucket", "node"), labels, led, checked, nodes), "bridges")
     if weighed:
         for side in ("a", "b"):
             left = left.join(nodes.select(F.col("node").alias(side), F.col("share").alias(f"{side}_share"), F.col("weight").alias(f"{side}_weight")), side)

@@ -199,3 +199,35 @@ def test_table_under_plain_counts(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert classes(docs) == brute_classes(rows, counted_idf(rows))
+
+
+def apart_rows():
+    """A family of near copies, and texts with a few words more of their own that can be linked to none of these."""
+    base = [f"b{i}" for i in range(200)]
+    near = [(i, " ".join(base[:199] + [f"n{i}"])) for i in range(12)]
+    far = [(100 + i, " ".join(base[:192] + [f"o{i}x{k}" for k in range(8)])) for i in range(40)]
+    return near + far
+
+
+def test_pairs_ruled_out_by_weight_leave_the_bucket_join(spark, monkeypatch):
+    """Only pairs that may be linked come out of the join on buckets, and each is compared."""
+    F, rows, met = neardup.F, apart_rows(), []
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dict(brute_classes(rows, counted_idf(rows)))
+    signed, n = neardup.signatures(neardup.with_row_key(frame))
+    signed = signed.withColumnRenamed("doc_id", "node").withColumn("copies", F.lit(1)).localCheckpoint()
+    nodes = neardup.with_shareable(signed).select("node", "share", "weight")
+    members = nodes.select(F.lit(7).cast("long").alias("bucket"), "node")
+    cut = neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df, name: (met.append(df.count()) if name == "met-pairs" else None, cut(df, name))[1])
+    monkeypatch.setattr(neardup, "KEPT", 300, raising=False)  # texts are dropped and made again
+    got = {r["node"]: r["class"] for r in neardup._links(members, signed.select("node", "packed", "df"), nodes, n).collect()}
+    assert got == want and len(set(want.values())) > 1
+    facts = {r["node"]: (r["share"], r["weight"]) for r in nodes.collect()}
+
+    def may_link(x, y):
+        shared = min(facts[x][0], facts[y][0])
+        return shared / (facts[x][1] + facts[y][1] - shared) >= neardup.SIMILARITY - 1e-6
+
+    ids = [i for i, _ in rows]
+    assert sum(met) <= sum(may_link(x, y) for x in ids for y in ids if x < y)

@@ -16,24 +16,24 @@ def content_hash(printed: str) -> str:
 
 
 def dedup_key(
-    provider: str, provider_id: str, id_kind: str, occurred_at_text: str, model: str, user: str, payload: str
+    provider: str, provider_id: str, id_kind: str, id_text: str, occurred_at_text: str, model: str, user: str, payload: str
 ) -> str:
     """Identity hash of an event; cost and token counts never take part.
 
     A usable provider id decides alone.  Otherwise time, model, user and the hash
     of the content do, where the content is the (falsy) id if there is one and the
-    whole payload if there is none.
+    whole payload if there is none.  ``id_text`` is the text of an id that is a JSON string, else NULL.
     """
     truthy = is_truthy(provider_id, id_kind)
     # Printed inside the rare branch, so that rows with a usable id never pay for it.
     payload_hash = f"transform(array(to_json({payload})), q -> {content_hash('q')})[0]"
-    usual = f"concat_ws('{SEPARATOR}', {provider}, try_variant_get({provider_id}, '$', 'string'))"
+    usual = f"concat_ws('{SEPARATOR}', {provider}, {id_text})"
     composite = f"""concat_ws('{SEPARATOR}', {provider}, coalesce({occurred_at_text}, ''), coalesce({model}, ''),
         coalesce({user}, ''), coalesce(if({id_kind} != 'VOID', sha2(idt, 256), null), {payload_hash}))"""
     by_id = f"concat_ws('{SEPARATOR}', {provider}, {string_text(provider_id, id_kind, 'idt')})"
     general = f"""transform(transform(array(to_json({provider_id})), p -> {json_text('p')}),
         idt -> sha2(if({truthy}, {by_id}, {composite}), 256))[0]"""
-    return f"case when {id_kind} = 'STRING' and {truthy} then sha2({usual}, 256) else {general} end"
+    return f"case when {id_text} != '' then sha2({usual}, 256) else {general} end"
 
 
 def uuid_from(seed_hash: str) -> str:

@@ -71,9 +71,8 @@ def shape_key(value: str, kind: str) -> str:
     plain key names only and no array that holds containers or mixed items; otherwise
     the exact path list does, marked by a leading "=".
     """
-    plain = f"""not (contains({kind}, '`') or contains({kind}, 'VARIANT')
-        or contains({kind}, 'ARRAY<OBJECT') or contains({kind}, 'ARRAY<ARRAY'))"""
-    reduced = f"if(contains({kind}, 'DECIMAL('), regexp_replace({kind}, 'DECIMAL[(][0-9,]+[)]', 'DOUBLE'), {kind})"
+    plain = f"not {kind} rlike '(?=[`VA])(?:`|VARIANT|ARRAY<(?:OBJECT|ARRAY))'"
+    reduced = f"regexp_replace({kind}, 'DECIMAL[(][0-9,]+[)]', 'DOUBLE')"
     return f"""case when {value} is null then null when {plain} then {reduced}
         else concat('=', to_json({path_set(value)})) end"""
 

@@ -80,13 +80,26 @@ def _event_type(spec: EventType) -> str:
     return f"case {text} {branches} else '{spec.default}' end"
 
 
+_CLOCK_MISSING = "coalesce(_clock_type, 'VOID') = 'VOID'"
+_IS_EPOCH = "_clock_kind = 'epoch_seconds'"
+
+
+def _millis() -> str:
+    """The clock of an epoch parser as milliseconds."""
+    number = ecma.number_from("_clock", "_clock_type")
+    return f"case when {_IS_EPOCH} then if({_CLOCK_MISSING}, 0D, {number} * 1000) end"
+
+
+def _iso() -> str:
+    """The clock of the other parsers as text."""
+    text = variants.as_string("_clock", "_clock_type")
+    return f"if({_IS_EPOCH}, null, if({_CLOCK_MISSING}, '{EPOCH_TEXT}', {text}))"
+
+
 def _occurred_at_text() -> str:
-    missing = "coalesce(_clock_type, 'VOID') = 'VOID'"
-    iso = f"if({missing}, '{EPOCH_TEXT}', {variants.as_string('_clock', '_clock_type')})"
-    millis = f"if({missing}, 0D, {ecma.number_from('_clock', '_clock_type')} * 1000)"
     # A cast to an integer cuts fractions of a millisecond towards zero.
-    stamp = f"""date_format(timestamp_millis(cast({millis} as bigint)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")"""
-    return f"if(_clock_kind = 'epoch_seconds', if({millis} between {MILLIS_RANGE}, {stamp}, null), {iso})"
+    stamp = """date_format(timestamp_millis(cast(_millis as bigint)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")"""
+    return f"if({_IS_EPOCH}, if(_millis between {MILLIS_RANGE}, {stamp}, null), _iso)"
 
 
 def _reasons(conditions: list[tuple[str, str]]) -> str:
@@ -96,9 +109,8 @@ def _reasons(conditions: list[tuple[str, str]]) -> str:
 
 def _parse_reasons(registry: Registry) -> str:
     known = f"coalesce(provider in ({_quoted(PROVIDERS)}), false)"
-    # Valid JSON is an object exactly if its text starts with a brace.
     routed = "(parser_version is not null and _is_object)"
-    stamped = f"(occurred_at_text rlike '{_UTC_TEXT}' and try_cast(occurred_at_text as timestamp) is not null)"
+    stamped = f"(occurred_at is not null and occurred_at_text rlike '{_UTC_TEXT}')"
     checks = [
         ("provider:unknown", f"not {known}"),
         ("payload:missing", "payload is null"),
@@ -132,7 +144,7 @@ def _store_reasons() -> str:
             # Stored text cannot hold the character NUL, which JSON can only escape.
             (
                 "payload:nul_text",
-                r"contains(payload, r'\u0000') and contains(replace(payload, r'\\', ''), r'\u0000')",
+                r"payload rlike r'\\u0000' and contains(replace(payload, r'\\', ''), r'\u0000')",
             ),
         ]
     )
@@ -147,11 +159,13 @@ def normalize(arrivals: DataFrame, registry: Registry) -> DataFrame:
 
     The steps are separate projections on purpose: each value that later steps read
     more than once (the parsed document, a raw field, its type) is computed once.
+    ``arrivals`` may bring its parsed documents as ``_doc``.
     """
     parsers = registry.parsers
-    source = [f"`{c}`" for c in arrivals.columns]
+    source = [f"`{c}`" for c in arrivals.columns if c != "_doc"]
+    parsed = "_doc" if "_doc" in arrivals.columns else "try_parse_json(payload) as _doc"
     doc = route(arrivals, registry).selectExpr(
-        *source, "parser_version", "concat_ws(':', provider, parser_version) as _route", "try_parse_json(payload) as _doc"
+        *source, "parser_version", "concat_ws(':', provider, parser_version) as _route", parsed
     )
 
     def locate(name: str) -> str:
@@ -164,7 +178,7 @@ def normalize(arrivals: DataFrame, registry: Registry) -> DataFrame:
         *[locate(name) for name in _RAW],
         f"{_pick(parsers, lambda p: p.clock[0], lambda kind: repr(kind))} as _clock_kind",
         f"{_pick(parsers, lambda p: p.event_type, _event_type)} as event_type",
-        r"coalesce(_doc is not null and payload rlike '^\\s*[{]', false) as _is_object",
+        "schema_of_variant(_doc) as _doc_type",
     )
     typed = raw.selectExpr("*", *[f"schema_of_variant(_{name}) as _{name}_type" for name in _RAW])
     kinds = [f"_{name}_type" for name in _RAW]
@@ -172,35 +186,47 @@ def normalize(arrivals: DataFrame, registry: Registry) -> DataFrame:
         *kept,
         "_id",
         *kinds,
-        "_is_object",
+        "_doc_type",
+        "coalesce(startswith(_doc_type, 'OBJECT'), false) as _is_object",
         "event_type",
-        f"{_occurred_at_text()} as occurred_at_text",
+        "_clock_kind",
+        f"{_millis()} as _millis",
+        f"{_iso()} as _iso",
+        f"{variants.as_string('_id', '_id_type')} as _id_text",
         *[f"{read(f'_{n}', f'_{n}_type')} as {column}" for n, (column, _, read, _) in _TYPED.items()],
     )
     checked = values.selectExpr(
+        "*",
+        f"{_occurred_at_text()} as occurred_at_text",
+        f"{_store_reasons()} as store_reasons",
+        "to_json(_doc) as _text",
+    )
+    key = identity.dedup_key("provider", "_id", "_id_type", "_id_text", "occurred_at_text", "model", "raw_user_id", "_doc")
+    hashed = checked.selectExpr(
+        "*",
+        f"{identity.content_hash('_text')} as content_hash",
+        "try_cast(occurred_at_text as timestamp) as occurred_at",
+        f"{key} as dedup_key",
+    )
+    judged = hashed.selectExpr(
         "*",
         # The partition id makes this projection non-deterministic to the optimizer, so
         # a filter on the reasons stays above it.  Pushed below, the filter would
         # repeat the whole extraction that the projection does anyway.
         f"if(spark_partition_id() >= 0, {_parse_reasons(registry)}, null) as parse_reasons",
-        f"{_store_reasons()} as store_reasons",
-        "to_json(_doc) as _text",
-        "schema_of_variant(_doc) as _doc_type",
+        f"{paths.shape_key('_doc', '_doc_type')} as shape_key",
     )
-    hashed = checked.selectExpr("*", f"{identity.content_hash('_text')} as content_hash")
-    key = identity.dedup_key("provider", "_id", "_id_type", "occurred_at_text", "model", "raw_user_id", "_doc")
-    identified = hashed.selectExpr("*", f"{key} as dedup_key")
-    return identified.selectExpr(
+    return judged.selectExpr(
         *source,
         "parser_version",
         "dedup_key",
         "occurred_at_text",
-        "try_cast(occurred_at_text as timestamp) as occurred_at",
+        "occurred_at",
         "event_type",
         *_TYPED_COLUMNS,
         "cost_value as cost_amount_usd",
         "content_hash",
-        f"{paths.shape_key('_doc', '_doc_type')} as shape_key",
+        "shape_key",
         "parse_reasons",
         "store_reasons",
     )

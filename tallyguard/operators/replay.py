@@ -13,16 +13,18 @@ from .registry import Registry
 def replay_rows(corpus: DataFrame, registry: Registry) -> DataFrame:
     """One row per stored payload and version of its provider, with its outcome.
 
-    Each payload is parsed once per version inside a scan; nothing is shuffled.
+    Each payload becomes a VARIANT once and is read once per version, inside a scan; nothing is shuffled.
     ``ok`` means equal to what was read at ingest, ``drift`` that another value came
     out, ``throw`` that the version refuses the payload.
     """
-    stored = corpus.select(
+    parsed = corpus.withColumn("_doc", F.expr("try_parse_json(payload)"))
+    stored = parsed.select(
         "seq",
         "received_at",
         "provider",
         F.explode(F.expr(registry.version_list())).alias("version"),
         "payload",
+        "_doc",
         golden().alias("golden"),
     )
     candidate = normalize(stored, registry).withColumn("candidate", golden())

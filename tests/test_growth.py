@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tallyguard.functions import ecma
-from tallyguard.operators import replay
+from tallyguard.operators import fold, replay
 from tallyguard.plans import fixture
 from tallyguard.plans.queries import _quarters, with_v3
 from tallyguard.plans.tables import Tables
@@ -92,3 +92,50 @@ def test_numbers_are_read_as_what_they_are(spark):
     both = rows.selectExpr(f"if({ecma.is_numeric('k')}, try_variant_get(v, '$', 'double'), null) a", f"{ecma.double_from('v', 'k')} b")
     assert [(str(r["a"]), str(r["b"])) for r in both.collect() if str(r["a"]) != str(r["b"])] == []
     assert both.where("b is not null").count() == 11
+
+
+def _payloads(make_arrivals):
+    """Two keys that arrive twice, among keys that arrive once."""
+    items = [("cursor", {"request_id": f"c{i}", "timestamp": "2024-01-01T00:00:00Z", "tokens": {"in": i}}) for i in range(6)]
+    items += [("cursor", {"request_id": "c1", "timestamp": "2024-01-01T00:00:00Z", "tokens": {"in": 1}, "billing": {"usd": 0.5}})]
+    items += [("openai", {"id": "o1", "created": 1704067200, "model": "m", "cost": {"amount_usd": c}}) for c in (None, 0.25)]
+    return make_arrivals(items)
+
+
+def test_replay_parses_a_payload_once(spark, make_arrivals):
+    stored = fold.corpus_table(cut(Tables(_payloads(make_arrivals)).accepted, "accepted"))
+    text = plan(replay.replay_rows(stored, with_v3()))
+    # Plans are printed from the end: what comes later in the text happens earlier.
+    assert "parsejson" in text[text.index("Generate explode") :].lower().replace("_", "")
+
+
+def test_keys_that_arrive_once_are_not_folded(spark, make_arrivals):
+    """Only rows of the two other keys reach the fold and the merge; the results are those of a load as a whole."""
+    rows = cut(Tables(_payloads(make_arrivals)).accepted, "accepted")
+    several = cut(fold._repeated(rows), "several")
+    once, others = fold._parted(rows, several)
+    assert several.count() == 2 and (once.count(), others.count()) == (5, 4)
+    whole = fold.events_table(rows)
+    assert "LeftAnti" in plan(whole)
+    assert {r.event_id: r.revision for r in whole.collect()} == {
+        r.event_id: r.revision for r in fold.merge_events(cut(fold.events_table(rows.filter("seq < 55")), "first"), rows.filter("seq >= 55")).collect()
+    }
+    assert sorted(r.revision for r in whole.collect()) == [1, 1, 1, 1, 1, 2, 2]
+
+
+def test_keys_beyond_the_broadcast_bound_are_parted_alike(spark, make_arrivals, monkeypatch):
+    rows = cut(Tables(_payloads(make_arrivals)).accepted, "accepted")
+    whole = fold.events_table(rows).collect()
+    monkeypatch.setattr(fold, "MAX_REPEATED", 0)
+    assert sorted(fold.events_table(rows).collect()) == sorted(whole)
+
+
+def test_texts_to_reprint_are_found_in_one_pass(spark):
+    """As by a search for each kind of text."""
+    assert ecma.is_suspect("t").count("contains(") == 0
+    texts = ["", "1.0", '{"a":1.0}', "[1.0,2]", "[1.0]", "0.0000001", "0.000001", "1E5", '{"E":1}', '"\\u0001"', '"\\\\u"', "0.05", "1.01",
+             "1234567890.12345", "123456789.12345", '"2024-01-01T00:00:00.000Z"', "1.0 ", "a.0", "5e3"]
+    old = """(contains(t, '.0,') or contains(t, '.0]') or contains(t, '.0}') or contains(t, '.000000') or contains(t, r'\\u00')
+        or endswith(t, '.0') or (contains(t, 'E') and t rlike '[0-9]E') or t rlike '[0-9.]{16}')"""
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"{ecma.is_suspect('t')} as now", f"{old} as before")
+    assert [r for r in rows.collect() if r.now != r.before] == []

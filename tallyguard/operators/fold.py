@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small_enough
 from .normalize import with_event_id
 from .prefix import in_ranges
 
@@ -205,25 +205,57 @@ def _others(runs: DataFrame) -> list[Column]:
     ]
 
 
-def _repeated(accepted: DataFrame) -> DataFrame:
-    """Keys with more than one arrival: a count over the key column."""
-    counts = accepted.groupBy(F.unhex("dedup_key").alias("_key")).agg(F.count("*").alias("_n"))
-    return counts.filter("_n > 1").select(F.lower(F.hex("_key")).alias("dedup_key"))
+# Hashes of repeated keys that are broadcast; more are joined by a shuffle.
+MAX_REPEATED = 2_000_000
+
+
+def _key_hash() -> Column:
+    return F.xxhash64("dedup_key").alias("_hash")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Hashes of the keys with more than one row: a count over the key column.
+
+    A key that shares its hash with another is among them, which costs its rows a detour and changes no result.
+    """
+    return rows.groupBy(_key_hash()).agg(F.count("*").alias("_n")).filter("_n > 1").select("_hash")
+
+
+def _parted(rows: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys that are not in ``several(_hash)``, a stored table, and of those that are."""
+    several = F.broadcast(several) if small_enough(several, MAX_REPEATED) else several
+    hashed = rows.select("*", _key_hash())
+    return tuple(hashed.join(several, "_hash", how).drop("_hash") for how in ("left_anti", "left_semi"))
 
 
 def summaries(accepted: DataFrame) -> DataFrame:
     """One run per key over all of ``accepted``, which should be cheap to re-read.
 
-    Most keys arrive once: their summary is their row.  Only the values of the others are put in
-    order, in ranges of (key, position), and the ranges of a key are merged.
+    Most keys arrive once: their summary is their row, and they are not shuffled while the others are few.  Only
+    the values of the others are put in order, in ranges of (key, position), and the ranges of a key are merged.
     """
+    once, several = _parted(accepted, cut(_repeated(accepted), "several"))
+    seen = {c: F.when(F.col(c).isNotNull(), F.col("seq")) for c in VALUES}
+    single = once.select(
+        "*",
+        F.col("received_at").alias("ingested_at"),
+        F.col("seq").alias("first_seq"),
+        F.col("seq").alias("last_seq"),
+        F.lit(0).cast("bigint").alias("changes"),
+        *[F.col(c).alias(f"head_{c}") for c in VALUES],
+        *[at.alias(name) for c, at in seen.items() for name in (f"head_seq_{c}", f"{c}_seq")],
+    )
+    return single.select(*SUMMARY_COLUMNS).unionByName(_folded_runs(several))
+
+
+def _folded_runs(accepted: DataFrame) -> DataFrame:
+    """:func:`summaries` of keys that arrive several times."""
     alone = [
         F.lit(0).cast("bigint").alias("_changes"),
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"head_{c}") for c in VALUES],
     ]
     folded = _by_key(accepted, *_fold_measures(), *alone)
-    rows = accepted.select("dedup_key", "seq", *VALUES).join(_repeated(accepted), "dedup_key", "left_semi")
-    ordered = in_ranges(rows, ["dedup_key", "seq"], "repeated_arrivals")
+    ordered = in_ranges(accepted.select("dedup_key", "seq", *VALUES), ["dedup_key", "seq"], "repeated_arrivals")
     scanned = _merged_values(_segments(_segmented(ordered))).select(
         "dedup_key",
         F.col("changes").alias("_scanned"),
@@ -275,10 +307,14 @@ def as_run(existing: DataFrame) -> DataFrame:
 
 
 def merge_events(existing: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Fold a later batch into an existing event table."""
+    """Fold a later batch into an existing event table; both should be cheap to re-read.
+
+    Only keys with runs on both sides are merged: a single run is its own merge.
+    """
     # An existing event without a value has seen all of its past: a later first value is a change.
-    runs = as_run(existing).unionByName(summaries(accepted))
-    return events_from(merge_summaries(runs))
+    runs = as_run(existing).unionByName(cut(summaries(accepted), "later_runs"))
+    once, several = _parted(runs, cut(_repeated(runs), "met_again"))
+    return events_from(once.unionByName(merge_summaries(several)))
 
 
 def ingest_results(accepted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -292,13 +328,13 @@ def ingest_results(accepted: DataFrame, existing: DataFrame | None = None) -> Da
     touched = None
     if existing is not None:
         touched = cut(existing.join(accepted.select("dedup_key").distinct(), "dedup_key", "left_semi"), "touched")
-        several = several.union(touched.select("dedup_key")).distinct()
-    several = cut(several, "several")
-    once = slim.join(several, "dedup_key", "left_anti").select(
+        several = several.union(touched.select(_key_hash())).distinct()
+    once, repeated = _parted(slim, cut(several, "several"))
+    once = once.select(
         "seq", "provider", "dedup_key", F.lit(True).alias("inserted"), F.lit(1).alias("revision")
     )
 
-    segmented = _segmented(in_ranges(slim.join(several, "dedup_key", "left_semi"), ["dedup_key", "seq"], "in_order"))
+    segmented = _segmented(in_ranges(repeated, ["dedup_key", "seq"], "in_order"))
     runs = _segments(segmented)
     if touched is not None:
         runs = as_run(touched).select(*[c for c in runs.columns if c != "_range"]).unionByName(runs, allowMissingColumns=True)

@@ -420,7 +420,9 @@ def alert_list(spark, sf_dir):
 def ingest_alerts(spark, sf_dir):
     """Arrivals that raised alerts, with the alerts."""
     t = Tables.stored_load(spark, sf_dir)
-    rows = drift.with_raised(fold.ingest_results(t.stored_accepted), t.stored_alerts).filter(F.size("alerts") > 0)
+    # Ids are made of the results that are kept only.
+    raising = fold.ingest_results(t.stored_accepted).join(t.stored_alerts.select("seq"), "seq", "left_semi")
+    rows = drift.with_raised(raising, t.stored_alerts).filter(F.size("alerts") > 0)
     alert = lambda a: F.concat_ws(":", a["id"], a["type"], a["severity"], a["field"], a["message"])
     return rows.select("seq", "event_id", "inserted", "revision", _list(F.transform("alerts", alert), ";").alias("alerts"))
 

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import ROWS_PER_TASK, cut, release
 from .common import map_slices, mix, unpacked, with_row_key
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -51,6 +51,8 @@ FIRST_BANDS = 4
 SAMPLED = 1 << 18
 #: Shingles of compared texts that a task keeps, as texts of one bucket meet again and again.
 KEPT = 1 << 20
+#: Rows of a table of links or hooks that is broadcast at most, by its count.
+FEW_LINKS = 100_000
 #: log2 of the size of a table of weights by the first bits of a hash (``Shingles.weights``).
 DF_BITS = 18
 #: Documents and bytes of text of a chunk at most (a longer text is one by itself), and bytes of text for each part of the hash range.
@@ -384,28 +386,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return map_slices(joined, make, "a long, b long, d double")
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels(node, class)`` after joining the classes that ``links(a, b)`` connect.
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, made of at most ``rows`` rows, in tasks that their number is worth: each one is driver memory and a file."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` rows for an inner join or as the right side of a left one: broadcast if it is small."""
+    return F.broadcast(df) if rows <= FEW_LINKS else df
+
+
+def merged(labels: DataFrame, links: DataFrame, rows: int | None = None) -> DataFrame:
+    """``labels(node, class)`` after joining the classes that ``links(a, b)``, at most ``rows``, connect.
 
     The least node names a class.  Classes hook onto lesser neighbours, and chains of hooks are
     shortened, so the number of steps grows with the logarithm of the longest chain.
     """
+    rows = links.count() if rows is None else rows
     left = labels.select(F.col("node").alias("a"), F.col("class").alias("x"))
     right = labels.select(F.col("node").alias("b"), F.col("class").alias("y"))
-    across = links.join(left, "a").join(right, "b").select("x", "y")
+    across = _sent(_sent(links, rows).join(left, "a"), rows).join(right, "b").select("x", "y")
     while True:
-        across = cut(across.where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "class-links")
-        if across.isEmpty():
+        across = across.where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        across = cut(_few(across, rows), "class-links")
+        rows = across.count()
+        if not rows:
             return cut(labels, "classes")
         hooks = across.groupBy("x").agg(F.min("y").alias("to")).withColumnRenamed("x", "class")
         for _ in range(2):
             onward = hooks.select(F.col("class").alias("to"), F.col("to").alias("next"))
-            hooks = hooks.join(onward, "to", "left").select("class", F.coalesce("next", "to").alias("to"))
-        hooks = cut(hooks, "hooks")
-        labels = labels.join(hooks, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+            hooks = hooks.join(_sent(onward, rows), "to", "left").select("class", F.coalesce("next", "to").alias("to"))
+        hooks = cut(_few(hooks, rows), "hooks")
+        labels = labels.join(_sent(hooks, rows), "class", "left").select("node", F.coalesce("to", "class").alias("class"))
         for end in ("x", "y"):
             onto = hooks.select(F.col("class").alias(end), "to")
-            across = across.join(onto, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            across = across.join(_sent(onto, rows), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -473,6 +488,7 @@ def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, n: int) -> Da
     checked = spark.createDataFrame([], "a long, b long, d double")  # all pairs compared so far
     led = spark.createDataFrame([], "bucket long, leader long")  # all leaders so far
     weighed = "share" in nodes.columns
+    n_members = members.count()
     stages = [members.where("early"), members.where("not early")] if "early" in members.columns else [members]
     for part in stages:
         part = part.select("bucket", "node")
@@ -480,13 +496,14 @@ def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, n: int) -> Da
         turn = 0
         while True:
             at = part.join(labels, "node")
-            open_ = cut(open_.join(_spanning(at), "bucket", "left_semi"), "open-members")
-            if open_.isEmpty():
+            open_ = cut(_few(open_.join(_spanning(at), "bucket", "left_semi"), n_members), "open-members")
+            n_open = open_.count()
+            if not n_open:
                 break
             turn += 1
             order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)) if turn > 1 else F.col("node"), "node")
             ranked = open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 8 ** (turn - 1))
-            leaders = cut(ranked.select("bucket", F.col("node").alias("leader")), "leaders")
+            leaders = cut(_few(ranked.select("bucket", F.col("node").alias("leader")), n_open), "leaders")
             led = led.unionByName(leaders)
             about = [F.col(c).alias(f"leader_{c}") for c in ("share", "weight") if weighed]
             leader_facts = labels.join(nodes, "node").select(F.col("node").alias("leader"), F.col("class").alias("leader_class"), *about)
@@ -505,7 +522,8 @@ def _links(members: DataFrame, texts: DataFrame, nodes: DataFrame, n: int) -> Da
             covered = leaders.join(near, leaders.leader == near.a).select("bucket", F.col("b").alias("node"))
             covered = covered.unionByName(leaders.select("bucket", F.col("leader").alias("node")))
             open_ = open_.join(covered, ["bucket", "node"], "left_anti")
-            labels = merged(labels, judged.where(F.col("d") <= NEAR).select("a", "b"))
+            labels = merged(labels, judged.where(F.col("d") <= NEAR).select("a", "b"), pairs.count())
+            release(spark)
     left = cut(bridges(members.select("bucket", "node"), labels, led, checked, nodes), "bridges")
     if weighed:
         for side in ("a", "b"):

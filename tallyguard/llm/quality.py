@@ -79,9 +79,23 @@ def _features(docs: DataFrame, bound: int) -> np.ndarray:
         return each
 
     made = map_slices(docs.select("doc_id", "text"), make, "doc_id long, row binary")
-    table = made.groupBy("doc_id").agg(F.min("row").alias("row")).limit(2 * bound).toArrow().sort_by("doc_id")
-    rows = [np.frombuffer(r, np.float32) for r in table.column("row").to_pylist()]
-    return np.array(rows, np.float32) if rows else np.zeros((0, BYTES + 16), np.float32)
+    table = made.groupBy("doc_id").agg(F.min("row").alias("row")).limit(2 * bound).toArrow()
+    return _matrix(table.column("doc_id"), table.column("row"))
+
+
+def _matrix(ids: pa.ChunkedArray, rows: pa.ChunkedArray) -> np.ndarray:
+    """The rows of features in the order of ``ids``; their bytes are read where they lie, so the driver holds them twice at most."""
+    out = np.zeros((len(ids), BYTES + 16), np.float32)
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids.to_numpy())] = np.arange(len(ids))
+    done = 0
+    for chunk in rows.cast(pa.binary()).chunks:
+        if len(chunk):
+            start = np.frombuffer(chunk.buffers()[1], np.int32, 1, 4 * chunk.offset)[0]
+            own = np.frombuffer(chunk.buffers()[2], np.float32, len(chunk) * out.shape[1], start)
+            out[place[done : done + len(chunk)]] = own.reshape(len(chunk), -1)
+        done += len(chunk)
+    return out
 
 
 def descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -122,8 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     background = _features(_chosen(web, unlabelled), unlabelled)
     if not len(positive) or not len(background):
         return Model(None, None, float(np.log(prior / (1 - prior))))
+    pa.default_memory_pool().release_unused()
     scaler = Scaler(background)
-    weights, bias = descend(scaler(positive), scaler(background), prior)
+    positive, background = scaler(positive), scaler(background)  # the unscaled rows go
+    weights, bias = descend(positive, background, prior)
     return Model(scaler, weights.astype(np.float64), bias)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import threading
@@ -95,6 +96,16 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished rounds left behind, for jobs of many rounds.
+
+    Spark drops shuffle files, broadcasts and plans only once the driver's garbage is collected, and the
+    driver's heap otherwise grows before it is.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Deal a source's rows evenly: a bounded number per task, and work for every core.
 

@@ -1,6 +1,9 @@
 """The quality classifier and the mix: held-out accuracy, brute force, edge rows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,18 @@ def test_domains_without_a_target_stay(tables):
     extra = docs.withColumn("_judged", F.lit("mine"))
     mixed = mixing.mix(extra, labelled, targets)
     assert mixed.count() == docs.count() and {r["_judged"] for r in mixed.select("_judged").collect()} == {"mine"}
+
+
+def test_features_are_gathered_without_copies():
+    """The driver once held the sampled rows four times: in two tables, as Python objects and as a matrix."""
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(4000)
+    rows = rng.random((4000, quality.BYTES + 16)).astype(np.float32)
+    column = pa.array([r.tobytes() for r in rows], pa.binary())
+    chunks = pa.chunked_array([column.slice(0, 1500), pa.array([], pa.binary()), column.slice(1500)])
+    tracemalloc.start()
+    made = quality._matrix(pa.chunked_array([ids[:100], ids[100:]]), chunks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(made, rows[np.argsort(ids)]) and peak < 1.5 * rows.nbytes
+    assert quality._matrix(pa.chunked_array([], pa.int64()), pa.chunked_array([], pa.binary())).shape == (0, rows.shape[1])

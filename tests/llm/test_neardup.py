@@ -231,3 +231,30 @@ def test_pairs_ruled_out_by_weight_leave_the_bucket_join(spark, monkeypatch):
 
     ids = [i for i, _ in rows]
     assert sum(met) <= sum(may_link(x, y) for x in ids for y in ids if x < y)
+
+
+def test_small_merges_take_few_tasks(spark, monkeypatch):
+    """Each task stays in the driver's memory; a table of some links once took one per shuffle partition."""
+    files, cut = [], neardup.cut
+
+    def counted(df, name):
+        made = cut(df, name)
+        files.append((name, len(made.inputFiles())))
+        return made
+
+    monkeypatch.setattr(neardup, "cut", counted)
+    settings = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    nodes = spark.range(301).selectExpr("id as node", "id as class").coalesce(2)
+    links = spark.range(1, 301).selectExpr("0L as a", "id as b").coalesce(2)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        made = neardup.merged(nodes, links)
+        assert max(n for _, n in files) <= spark.sparkContext.defaultParallelism, files
+        # Links that are too many to be broadcast are joined by a shuffle.
+        monkeypatch.setattr(neardup, "FEW_LINKS", 0)
+        assert {r["class"] for r in made.collect()} == {0} and sorted(neardup.merged(nodes, links).collect()) == sorted(made.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

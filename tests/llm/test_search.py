@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tallyguard.llm import decontaminate, search
@@ -48,6 +49,65 @@ def test_search_against_brute_force(spark, monkeypatch, shard_docs):
     assert sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 4)) for r in got.collect()) == [(*w[:3], round(w[3], 4)) for w in want]
 
 
+def test_index_is_read_in_small_parts(spark, monkeypatch):
+    """However many documents one task indexes, the JVM reads a few MB of its file at a time."""
+    cut, stored = search.cut, []
+    monkeypatch.setattr(search, "cut", lambda *a, **o: stored.append(cut(*a, **o)) or stored[-1])
+    words = "array_join(transform(sequence(1, 250), i -> concat('w', pmod(xxhash64(id, i), 60000))), ' ')"
+    docs = spark.range(0, 12_000, 1, 1).selectExpr("id as doc_id", f"{words} as text")
+    got = search.search_documents(docs, docs.where("doc_id % 4000 = 0"), 3).collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in got if r["rank"] == 1) == [(i, i) for i in (0, 4000, 8000)]
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in stored[0].inputFiles()]
+    parts = [f.read_row_group(i).nbytes for f in files for i in range(f.num_row_groups)]
+    assert len(parts) > 1 and max(parts) < 8e6
+
+
+def test_small_pieces_and_blocks(spark, monkeypatch):
+    """Shards of many pieces, blocks of few queries, texts longer than a piece."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 60)) if x < 400)) for i in range(150)]
+    rows += [(150, rows[3][1]), (3, rows[3][1]), (None, rows[5][1]), (151, None), (152, ""), (153, " ".join(f"w{i}" for i in range(300)))]
+    for name, value in {"PIECE_POSTINGS": 40, "SHARD_POSTINGS": 700, "BLOCK_QUERIES": 5}.items():
+        monkeypatch.setattr(search, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = search.search_documents(docs, docs.where("doc_id % 5 = 0 or doc_id = 153 or doc_id is null"), 4)
+    want = brute_search(rows, [(i, t) for i, t in rows if i is not None and (i % 5 == 0 or i == 153)], 4)
+    assert sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 4)) for r in got.collect()) == [(*w[:3], round(w[3], 4)) for w in want]
+
+
+def test_pieces_and_bounded_matrix(monkeypatch):
+    """Pieces give back what they hold, joined ones are one shard, and the size of the matrix changes no hit."""
+    rng = np.random.default_rng(6)
+    texts = [[], *(rng.choice(rng.integers(-(2**63), 2**63 - 1, 50), rng.integers(1, 40), replace=False) for _ in range(3))]
+    common = rng.integers(-(2**63), 2**63 - 1, 30)
+    texts += [rng.choice(common, rng.integers(1, 30), replace=False) for _ in range(200)]
+    texts, ids = [np.array(t, np.int64) for t in texts], [search._NO_ID, 2**63 - 1, -5, *range(201)]
+    tfs = [rng.integers(1, 10, len(t)).astype(np.int32) for t in texts]
+    rows = []
+    for at in range(0, len(ids), 30):
+        own = slice(at, at + 30)
+        batch = search._pack(texts[own], tfs[own], ids[own], [int(t.sum()) for t in tfs[own]])
+        rows.append((batch.column(0)[0].as_py(), batch.column(2)[0].as_py(), batch.column(3)[0].as_py()))
+    (whole,) = search._shards(rows, 10**6, 10**6)
+    assert whole["ids"].tolist() == ids and whole["lengths"].tolist() == [int(t.sum()) for t in tfs]
+    assert (np.diff(whole["terms"]) > 0).all()
+    want = {(int(t), i): int(n) for i, (text, some) in enumerate(zip(texts, tfs, strict=True)) for t, n in zip(text, some, strict=True)}
+    assert dict(zip(zip(np.repeat(whole["terms"], whole["sizes"]).tolist(), whole["docs"].tolist(), strict=True), whole["tfs"].tolist(), strict=True)) == want
+    starts = np.cumsum(whole["sizes"]) - whole["sizes"]
+    assert all((np.diff(whole["docs"][at : at + n]) > 0).all() for at, n in zip(starts, whole["sizes"], strict=True))
+    assert [len(s["ids"]) for s in search._shards(rows, 10**6, 60)] == [60, 60, 60, len(ids) - 180]
+
+    vocabulary = np.sort(common)
+    hits = []
+    for cells in (10**6, 1000, 0):
+        monkeypatch.setattr(search, "DENSE_CELLS", cells)
+        shard = search.Shard(whole, 20.0, vocabulary, np.linspace(0.5, 3.0, 30))
+        assert shard.dense.size <= cells
+        found = shard.search([np.arange(30, dtype=np.int32), np.arange(0, 30, 4, dtype=np.int32)], 10, [0.0, 0.0])
+        hits.append([[x.tolist() for x in search.best(*h, 10)] for h in found])
+    assert hits[0] == hits[1] == hits[2] and all(len(h[0]) == 10 for h in hits[0])
+
+
 def test_search_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(0, "a b"), (1, None)], "doc_id long, text string")
